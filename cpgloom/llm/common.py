@@ -116,26 +116,15 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each position on; the last n - 1 positions have none (length max(0, len - n + 1))."""
     if len(words) < n:
         return np.zeros(0, np.uint64)
-    total, done, level, size, scale = None, 0, words, 1, _STEP
-    rest, parts = n, []
+    total, done, level, size, scale = np.uint64(0), 0, words, 1, int(_STEP)
+    m, rest, weight = len(words) - n + 1, n, 1
     while rest:
         if rest & 1:
-            parts.append((level, size, scale))
+            total = total + level[done : done + m] * np.uint64(weight)
+            done, weight = done + size, weight * scale % 2**64
         rest >>= 1
         if rest:
-            level = level[:-size] + scale * level[size:]
-            size, scale = size * 2, scale * scale
-    m = len(words) - n + 1
-    weight = np.uint64(1)
-    for level, size, scale in parts:
-        term = level[done : done + m] * weight
-        total = term if total is None else total + term
-        done += size
-        weight = weight * scale
+            level = level[:-size] + np.uint64(scale) * level[size:]
+            size, scale = size * 2, scale * scale % 2**64
     return mix64(total + np.uint64(n))
 
-
-def hex_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    """The words themselves."""
-    raw = data.tobytes()
-    return [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cpgloom.llm import bpe, mixing, pii, secrets, topk
+from cpgloom.llm import bpe, jaccard_join, mixing, pii, rlz_dedup, secrets, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 50 words that an earlier document holds, as a digest."""
+    return rlz_dedup.dedup(_table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's share of a mix of all sources by Sainte-Lague apportionment."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -25,6 +30,11 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows.where(F.col("id") % 50 == 0), rows, 5)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents by four-word shingles at a Jaccard similarity of 0.85."""
+    return jaccard_join.classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text."""
     return secrets.scan(_table(spark, sf_dir, "documents")).withColumn("spans", F.array_join("spans", ","))
@@ -40,7 +50,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_mixing, op5_topk, op8_secrets, op9_pii, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op5_topk, op7_ngram_join, op8_secrets, op9_pii, op10_bpe)}
 
 ORACLES: dict[str, str] = {
     "op5_topk": """
