@@ -81,11 +81,11 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         a = b
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and for each row the index of its first word (n rows + 1)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~_SEP[data]
+    word = ~separators[data]
     before = np.empty_like(word)
     before[0], before[1:] = False, word[:-1]
     before[offsets[:-1][offsets[:-1] < len(data)]] = False
@@ -128,3 +128,25 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
             size, scale = size * 2, scale * scale % 2**64
     return mix64(total + np.uint64(n))
 
+
+
+#: Separators of plain words: all ASCII bytes but letters, digits and the underscore.
+PLAIN = np.ones(256, dtype=bool)
+PLAIN[128:] = False
+PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), 95]] = False
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: int) -> DataFrame:
+    """(doc_id, text, label int): the documents of at most ``most`` labelled ids, chosen by a seeded hash.
+
+    The chosen labels are bounded in number, so they are broadcast and the texts
+    are not shuffled. Rows with a null id or label, or a null text, take no part;
+    of repeated labels of an id the largest counts, and equal texts count once.
+    """
+    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("label"))
+    chosen = chosen.groupBy("_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.col("_id"), F.lit(seed)), "_id").limit(most)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    return found.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cpgloom.llm import bpe, jaccard_join, mixing, pii, rlz_dedup, secrets, topk
+from cpgloom.llm import bpe, jaccard_join, mixing, pii, quality, rlz_dedup, secrets, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +19,21 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz_dedup.dedup(_table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity, grade and verdict of every text."""
+    return toxicity.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", F.round("expected_severity", 6).alias("expected_severity"), "grade", "toxic")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's share of a mix of all sources by Sainte-Lague apportionment."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the base rules and the verdict on every text."""
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumn("probability", F.round("probability", 6))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every 50th vector against all vectors."""
     rows = topk.quantised(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
@@ -50,7 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op5_topk, op7_ngram_join, op8_secrets, op9_pii, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_mixing, op4_quality, op5_topk, op7_ngram_join, op8_secrets, op9_pii, op10_bpe)}
 
 ORACLES: dict[str, str] = {
     "op5_topk": """
