@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cpgloom.llm import bpe, mixing, pii
+from cpgloom.llm import bpe, jaccard_join, mixing, pii, toxicity
 from cpgloom.llm.common import materialize
 
 
+def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model doesn't find toxic."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class, with five-word shingles at a Jaccard similarity of 0.8."""
+    return jaccard_join.keep_one(docs, ngram=5, percent=80)
+
+
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts gives way to its kind in angle brackets."""
     return pii.redact(docs)
@@ -24,6 +34,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", civil),
+    ("n-gram Jaccard join", distinct),
     ("PII", private),
     ("mixing sources to target weights", mixed),
     ("BPE encoding and decoding", tokens),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cpgloom.llm import bpe, jaccard_join, mixing, pii, quality, rlz_dedup, secrets, topk, toxicity
+from cpgloom.llm import bpe, jaccard_join, licenses, mixing, pii, quality, rlz_dedup, secrets, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,13 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows.where(F.col("id") % 50 == 0), rows, 5)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every text."""
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    text = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["name"], m["start"], m["end"])), ",")
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), text.alias("matches"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents by four-word shingles at a Jaccard similarity of 0.85."""
     return jaccard_join.classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -60,7 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_mixing, op4_quality, op5_topk, op7_ngram_join, op8_secrets, op9_pii, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_mixing, op4_quality, op5_topk, op6_licenses, op7_ngram_join, op8_secrets, op9_pii, op10_bpe)}
 
 ORACLES: dict[str, str] = {
     "op5_topk": """
