@@ -1,4 +1,520 @@
 """Registered queries: each has a DataFrame form, and SQL of the same rows where SQL can say it."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cpgloom.functions import scalars as S
+from cpgloom.operators import classify as C
+from cpgloom.operators import deconvolve as D
+from cpgloom.operators import evaluate as E
+from cpgloom.operators import features as X
+from cpgloom.operators import patterns as P
+from cpgloom.operators import simulate as M
+from cpgloom.operators import units as U
+from cpgloom.operators import upscale as V
+from cpgloom.plans.sql import TOP, sql
+from cpgloom.sources import artifacts as A
+from cpgloom.sources import bindings as B
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+TARGET, SIM_PATTERNS = 100, 8
+STATES = X.state_list(TOP)
+
+
+def query(oracle: str | None = None):
+    """Registers a function under its name, with its SQL."""
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Sums of doubles differ in their last bits between engines, so results are compared rounded."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# ---- shared inputs ----
+
+def sites(spark, d):
+    ns = B.n_samples(spark, d)
+    return P.ambiguity(P.site_calls(B.ref_obs(spark, d), B.cpgs(spark, d), ns), ns), ns
+
+
+def mined(spark, d):
+    s, ns = sites(spark, d)
+    return P.cpg_pattern(s, ns), ns
+
+
+def ranks(spark, d):
+    p, ns = mined(spark, d)
+    return p, P.pattern_rank(p, ns)
+
+
+def members(spark, d):
+    return P.membership(*ranks(spark, d))
+
+
+def masked(spark, d):
+    return P.mask(members(spark, d), TOP)
+
+
+def feats(spark, d):
+    return X.features(B.query_obs(spark, d), masked(spark, d), STATES)
+
+
+def type_feats(spark, d):
+    return X.features(B.celltype_obs(spark, d), masked(spark, d), STATES, "cell_type")
+
+
+def ladder(spark):
+    return M.ladder_fixed(spark, [8, 24], 1)
+
+
+def drawn(spark, d):
+    return M.sample(B.query_obs(spark, d), ladder(spark))
+
+
+def sim_feats(spark, d):
+    return M.sampled_features(drawn(spark, d), members(spark, d), SIM_PATTERNS)
+
+
+def cells(spark, d):
+    return B.query_obs(spark, d).select("cell_id").distinct()
+
+
+def predictions(spark, d):
+    """(cell_id, cpg_idx, y, state, p, q): truth, the cell's mean of the state, and the state's mean over all cells."""
+    rows = B.query_obs(spark, d).where(S.coverage() > 0).select("cell_id", "cpg_idx", S.beta().alias("y")).join(masked(spark, d), "cpg_idx")
+    overall = rows.groupBy("state").agg(F.avg("y").alias("q"))
+    own = rows.groupBy("cell_id", "state").agg(F.avg("y").alias("p"))
+    return rows.join(own, ["cell_id", "state"]).join(F.broadcast(overall), "state").select("cell_id", "cpg_idx", "y", "state", "p", "q")
+
+
+# ---- patterns ----
+
+@query(sql("SELECT cell_id, cpg_idx, round(m / (m + u), 6) AS beta, m + u AS cov FROM query_obs WHERE m + u > 0", "query_obs"))
+def obs_beta(spark, d):
+    return rounded(B.query_obs(spark, d).where(S.coverage() > 0).select("cell_id", "cpg_idx", S.beta().alias("beta"), S.coverage().alias("cov")))
+
+
+@query(sql("SELECT * FROM calls", "calls"))
+def cell_calls(spark, d):
+    s, ns = sites(spark, d)
+    return P.cell_calls(s, ns)
+
+
+@query(sql("SELECT * FROM amb", "amb"))
+def cpg_ambiguity(spark, d):
+    return sites(spark, d)[0].drop("digits")
+
+
+@query(sql("SELECT * FROM pat", "pat"))
+def cpg_pattern(spark, d):
+    return mined(spark, d)[0]
+
+
+@query(sql("SELECT rank, 'P' || (rank + 1) AS label, pattern, n FROM ranked", "ranked"))
+def pattern_rank(spark, d):
+    return ranks(spark, d)[1]
+
+
+@query(sql("SELECT cpg_idx, rank FROM member", "member"))
+def pattern_membership(spark, d):
+    return members(spark, d)
+
+
+@query(sql("SELECT count(*) AS n, pattern FROM pat GROUP BY pattern", "pat"))
+def pattern_counts_with_pna(spark, d):
+    return P.counts_with_pna(mined(spark, d)[0])
+
+
+@query(sql(f"SELECT pattern, 'P' || (rank + 1) AS label, n FROM ranked WHERE rank < {TOP}", "ranked"))
+def pattern_top_k(spark, d):
+    return ranks(spark, d)[1].where(F.col("rank") < TOP).select("pattern", "label", "n")
+
+
+@query(sql("SELECT cpg_idx, state FROM mask", "mask"))
+def pattern_mask_top_k(spark, d):
+    return masked(spark, d)
+
+
+@query(sql("""SELECT key, value FROM (SELECT unnest([
+  {'key': 'n_cpg', 'value': CAST((SELECT count(*) FROM pat) AS DOUBLE)}, {'key': 'n_samples', 'value': CAST((SELECT ns FROM ns) AS DOUBLE)},
+  {'key': 'n_patterns', 'value': CAST((SELECT count(*) FROM ranked) AS DOUBLE)}, {'key': 'n_pna', 'value': CAST((SELECT count(*) FROM member WHERE rank IS NULL) AS DOUBLE)},
+  {'key': 'pna_percent', 'value': round(100.0 * (SELECT count(*) FROM member WHERE rank IS NULL) / (SELECT count(*) FROM pat), 4)}], recursive := true))""", "pat", "ns", "member"))
+def pattern_summary(spark, d):
+    p, ns = mined(spark, d)
+    return P.summary(p, ns)
+
+
+@query(sql("SELECT cpg_idx, CAST(CASE WHEN rank < 10 THEN rank + 1 ELSE 0 END AS BIGINT) AS \"group\" FROM member", "member"))
+def mask_group_map(spark, d):
+    return P.group_map(masked(spark, d), 10)
+
+
+@query(sql("SELECT cpg_idx, CASE WHEN state IN ('P1', 'P2', 'P3') THEN state ELSE 'Pna' END AS state FROM mask", "mask"))
+def mask_trim(spark, d):
+    return P.trim(masked(spark, d), ["P1", "P2", "P3"])
+
+
+# ---- features, signatures, deconvolution ----
+
+@query(sql("SELECT cell_id, pattern, ord, round(beta, 6) AS beta, n_o FROM feat", "feat"))
+def feature_long(spark, d):
+    return rounded(feats(spark, d))
+
+
+@query(sql("SELECT cell_id, pattern, ord, CASE WHEN n_o >= 20 THEN round(beta, 6) END AS beta, n_o FROM feat", "feat"))
+def feature_min_cov(spark, d):
+    return rounded(X.min_cov(feats(spark, d), 20))
+
+
+@query("""SELECT state AS pattern, CAST(row_number() OVER (ORDER BY CASE WHEN state = 'Pna' THEN 2 WHEN regexp_matches(state, '[0-9]') THEN 0 ELSE 1 END,
+  TRY_CAST(nullif(regexp_extract(state, '([0-9]+)', 1), '') AS BIGINT) NULLS LAST, defined) - 1 AS INTEGER) AS ord
+FROM (SELECT n_name AS state, CAST(n_nationkey AS BIGINT) AS defined FROM nation UNION ALL SELECT 'P' || (s_suppkey * 3 % 1000), 100 + s_suppkey FROM supplier UNION ALL SELECT 'Pna', 50)""")
+def feature_order(spark, d):
+    named = B.table(spark, d, "nation").select(F.col("n_name").alias("state"), F.col("n_nationkey").cast("long").alias("defined"))
+    numbered = B.table(spark, d, "supplier").select(F.concat(F.lit("P"), F.col("s_suppkey") * 3 % 1000).alias("state"), (F.col("s_suppkey") + 100).alias("defined"))
+    return X.order_states(named.unionByName(numbered).unionByName(spark.range(1).select(F.lit("Pna").alias("state"), F.lit(50).cast("long").alias("defined"))))
+
+
+@query(sql("SELECT cell_id, " + ", ".join(f"round(max(beta) FILTER (pattern = 'P{k}'), 6) AS P{k}" for k in range(1, 9)) + " FROM feat GROUP BY cell_id", "feat"))
+def feature_wide_top8(spark, d):
+    return rounded(X.wide(feats(spark, d), STATES[:8]))
+
+
+@query(sql("SELECT cell_type, pattern, beta FROM sig", "sig"))
+def signature_build(spark, d):
+    return X.signature(type_feats(spark, d))
+
+
+@query(sql("SELECT pattern FROM used", "used"))
+def deconv_used_patterns(spark, d):
+    return X.used_patterns(X.signature(type_feats(spark, d)), feats(spark, d))
+
+
+@query(sql("SELECT f.cell_id, count(u.pattern) AS n_used FROM (SELECT DISTINCT cell_id FROM feat) f LEFT JOIN usable u USING (cell_id) GROUP BY 1", "usable"))
+def deconv_complete_case(spark, d):
+    f = feats(spark, d)
+    n = X.usable(X.signature(type_feats(spark, d)), f, 2).groupBy("cell_id").agg(F.count("*").alias("n_used"))
+    return f.select("cell_id").distinct().join(n, "cell_id", "left").select("cell_id", F.coalesce("n_used", F.lit(0).cast("long")).alias("n_used"))
+
+
+_NNLS = """, w AS (SELECT pattern, max(beta) FILTER (cell_type = 0) AS a, max(beta) FILTER (cell_type = 1) AS b, max(beta) FILTER (cell_type = 2) AS c FROM sig GROUP BY 1),
+g AS (SELECT cell_id, sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc,
+  sum(a * beta) AS ha, sum(b * beta) AS hb, sum(c * beta) AS hc FROM usable JOIN w USING (pattern) GROUP BY 1),
+k AS (
+  SELECT cell_id, 0.0 AS x, 0.0 AS y, 0.0 AS z FROM g
+  UNION ALL SELECT cell_id, ha / aa, 0, 0 FROM g UNION ALL SELECT cell_id, 0, hb / bb, 0 FROM g UNION ALL SELECT cell_id, 0, 0, hc / cc FROM g
+  UNION ALL SELECT cell_id, (ha * bb - hb * ab) / (aa * bb - ab * ab), (hb * aa - ha * ab) / (aa * bb - ab * ab), 0 FROM g
+  UNION ALL SELECT cell_id, (ha * cc - hc * ac) / (aa * cc - ac * ac), 0, (hc * aa - ha * ac) / (aa * cc - ac * ac) FROM g
+  UNION ALL SELECT cell_id, 0, (hb * cc - hc * bc) / (bb * cc - bc * bc), (hc * bb - hb * bc) / (bb * cc - bc * bc) FROM g
+  UNION ALL SELECT cell_id, (ha * (bb * cc - bc * bc) - ab * (hb * cc - bc * hc) + ac * (hb * bc - bb * hc)) / det,
+    (aa * (hb * cc - bc * hc) - ha * (ab * cc - bc * ac) + ac * (ab * hc - hb * ac)) / det,
+    (aa * (bb * hc - hb * bc) - ab * (ab * hc - hb * ac) + ha * (ab * bc - bb * ac)) / det
+  FROM (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM g)),
+best AS (SELECT cell_id, arg_min({'x': x, 'y': y, 'z': z}, x * x * aa + y * y * bb + z * z * cc + 2 * (x * y * ab + x * z * ac + y * z * bc) - 2 * (x * ha + y * hb + z * hc)) AS s
+  FROM k JOIN g USING (cell_id) WHERE x >= 0 AND y >= 0 AND z >= 0 GROUP BY 1)
+SELECT f.cell_id, CAST(t.i AS BIGINT) AS cell_type, round(coalesce(CASE WHEN s.x + s.y + s.z > 0 THEN [s.x, s.y, s.z][t.i + 1] / (s.x + s.y + s.z) END, 0), 5) AS proportion
+FROM (SELECT DISTINCT cell_id FROM feat) f CROSS JOIN (SELECT unnest(range(3)) AS i) t LEFT JOIN best USING (cell_id)"""
+
+
+@query(sql("", "usable").rstrip() + _NNLS)
+def deconv_nnls3(spark, d):
+    return rounded(D.deconvolve(X.signature(type_feats(spark, d)), feats(spark, d), 2), 5)
+
+
+# ---- classifiers ----
+
+@query(sql("SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS class_idx FROM (SELECT DISTINCT label FROM labels2)", "labels2"))
+def class_index(spark, d):
+    return C.class_index(B.labels(spark, d))
+
+
+@query(sql("SELECT pattern, round(mean, 6) AS mean, round(mu0, 6) AS mu0, round(mu1, 6) AS mu1 FROM lmeans", "lmeans"))
+def linear_feature_means(spark, d):
+    return rounded(C.feature_means(feats(spark, d), B.labels(spark, d)).drop("ord"))
+
+
+@query(sql("SELECT pattern, round(mu1 - mu0, 6) AS weight, round(mean, 6) AS mean, round(bias, 6) AS bias, round(scale, 6) AS scale FROM lmeans CROSS JOIN lcut", "lcut"))
+def linear_threshold_fit(spark, d):
+    return rounded(C.fit_threshold(feats(spark, d), B.labels(spark, d)))
+
+
+@query(sql("""SELECT cell_id, CAST(p1 >= 0.5 AS INTEGER) AS label, round(p1, 6) AS p1,
+  round(least(1.0, greatest(0.0, 1 + (p1 * ln(p1 + 1e-10) + (1 - p1) * ln(1 - p1 + 1e-10)) / ln(2.0))), 6) AS confidence
+FROM (SELECT cell_id, 1 / (1 + exp(-(bias + s) / scale)) AS p1 FROM lscore CROSS JOIN lcut)""", "lcut"))
+def linear_threshold_score(spark, d):
+    f = feats(spark, d)
+    return rounded(C.score_linear(f, C.fit_threshold(f, B.labels(spark, d))))
+
+
+@query()
+def linear_logistic_fit(spark, d):
+    return rounded(C.fit_logistic(feats(spark, d), B.labels(spark, d)), 4)
+
+
+@query(sql("""SELECT cell_id, CAST(3 - list_position(list_reverse(p), list_max(p)) + 1 AS INTEGER) AS label,
+  round(least(1.0, greatest(0.0, 1 + list_sum(list_transform(p, lambda x: x * ln(x + 1e-10))) / ln(4.0))), 6) AS confidence FROM (
+  SELECT cell_id, [a / t, b / t, c / t, e / t] AS p FROM (SELECT *, a + b + c + e AS t FROM (
+    SELECT cell_id, """ + ", ".join(f"coalesce(max(beta) FILTER (pattern = 'P{k}'), 0) + 0.01 AS {n}" for k, n in zip(range(1, 5), "abce")) + " FROM feat GROUP BY 1)))", "feat"))
+def entropy_confidence(spark, d):
+    w = X.wide(feats(spark, d), STATES[:4])
+    raw = [F.coalesce(c, F.lit(0.0)) + 0.01 for c in STATES[:4]]
+    total = raw[0] + raw[1] + raw[2] + raw[3]
+    w = w.select("cell_id", *[(r / total).alias(f"p{i}") for i, r in enumerate(raw)])
+    best, confidence = C.decide([F.col(f"p{i}") for i in range(4)])
+    return rounded(w.select("cell_id", best.cast("int").alias("label"), confidence.alias("confidence")))
+
+
+@query()
+def gbt_train_predict(spark, d):
+    region = B.table(spark, d, "supplier").join(F.broadcast(B.table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("cell_id"), F.col("n_regionkey").cast("string").alias("label"))
+    w = X.wide(feats(spark, d), STATES[:8])
+    return rounded(C.boosted_predict(w.join(region, "cell_id"), w, STATES[:8], depth=4))
+
+
+# ---- units ----
+
+def real_units(spark, d):
+    return U.membership_units(ranks(spark, d)[1], TARGET)
+
+
+def every_unit(spark, d):
+    real = real_units(spark, d)
+    n_pna = members(spark, d).where(F.col("rank").isNull()).count()
+    return real.drop("first_rank").unionByName(U.pna_units(n_pna, real, TARGET))
+
+
+@query(sql("SELECT unit, output_offset, cpg_count, membership_count, class FROM units", "units"))
+def unit_pack(spark, d):
+    return real_units(spark, d).drop("first_rank")
+
+
+@query(sql("SELECT * FROM pnaunits", "pnaunits"))
+def unit_pna_chunks(spark, d):
+    n_pna = members(spark, d).where(F.col("rank").isNull()).count()
+    return U.pna_units(n_pna, real_units(spark, d), TARGET)
+
+
+@query(sql("""SELECT p.dest, u.unit, p.cpg_idx FROM (SELECT row_number() OVER (ORDER BY rank NULLS LAST, cpg_idx) - 1 AS dest, cpg_idx FROM member) p
+JOIN allunits u ON p.dest >= u.output_offset AND p.dest < u.output_offset + u.cpg_count""", "allunits"))
+def unit_cpg_scatter(spark, d):
+    return U.scatter(members(spark, d), ranks(spark, d)[1], real_units(spark, d), TARGET)
+
+
+@query(sql("SELECT class, count(*) AS units, min(cpg_count) AS min_cpgs, round(avg(cpg_count), 6) AS mean_cpgs, max(cpg_count) AS max_cpgs FROM allunits GROUP BY class", "allunits"))
+def unit_stats(spark, d):
+    return U.stats(every_unit(spark, d))
+
+
+# ---- simulation and training inputs ----
+
+@query("SELECT CAST(i AS INTEGER) AS rep, CAST([10, 20, 50][i // 3 + 1] AS BIGINT) AS sample FROM (SELECT unnest(range(9)) AS i)")
+def sim_ladder_fixed(spark, d):
+    return M.ladder_fixed(spark, [10, 20, 50], 3)
+
+
+@query("SELECT CAST(i AS INTEGER) AS rep, greatest(1, CAST(floor(exp(ln(5.0) + (ln(200.0) - ln(5.0)) * pow(i / 19.0, 0.5)) + 0.5) AS BIGINT)) AS sample FROM (SELECT unnest(range(20)) AS i)")
+def sim_ladder_log(spark, d):
+    return M.ladder_log(spark, 20, 5, 200)
+
+
+@query(sql("SELECT rep, cell_id, cpg_idx FROM sampled", "sampled"))
+def sim_sample(spark, d):
+    return drawn(spark, d).drop("b")
+
+
+@query(sql("SELECT rep, cell_id, pattern, round(beta, 6) AS beta, round(beta_binary, 6) AS beta_binary, n FROM simfeat", "simfeat"))
+def sim_features(spark, d):
+    return rounded(sim_feats(spark, d))
+
+
+@query(sql("SELECT * FROM codes", "codes"))
+def sim_truth_u16(spark, d):
+    return M.truth_codes(B.query_obs(spark, d))
+
+
+@query(sql("SELECT * FROM split", "split"))
+def cell_split(spark, d):
+    return M.split(cells(spark, d))
+
+
+_CHANNEL = {
+    "beta": "SELECT rep, cell_id, pattern AS j, beta AS v FROM simgrid",
+    "missing": "SELECT rep, cell_id, 2 * pattern AS j, beta AS v FROM simgrid UNION ALL SELECT rep, cell_id, 2 * pattern + 1, CASE WHEN beta IS NULL THEN 1.0 ELSE 0.0 END FROM simgrid",
+    "count": "SELECT rep, cell_id, 2 * pattern AS j, beta AS v FROM simgrid UNION ALL SELECT rep, cell_id, 2 * pattern + 1, ln(1 + n) FROM simgrid",
+    "scalar": f"SELECT rep, cell_id, pattern AS j, beta AS v FROM simgrid UNION ALL SELECT rep, cell_id, {SIM_PATTERNS}, ln(1 + sum(n)) FROM simgrid GROUP BY rep, cell_id",
+}
+
+
+def inputs(spark, d, mode):
+    draws = drawn(spark, d)
+    full = M.grid(sim_feats(spark, d), draws.select("rep", "cell_id").distinct(), SIM_PATTERNS)
+    rows = M.channels(full, mode, SIM_PATTERNS).join(M.split(cells(spark, d)), "cell_id")
+    return M.standardise(rows, F.col("split") == "train")
+
+
+def _standardised(mode):
+    text = sql("", "simgrid", "split").rstrip() + f""", c AS ({_CHANNEL[mode]}),
+t AS (SELECT j, v, avg(v) OVER (PARTITION BY j) AS mean FROM c JOIN split USING (cell_id) WHERE split = 'train'),
+s AS (SELECT j, any_value(mean) AS mean, sqrt(greatest(coalesce(sum((v - mean) * (v - mean)), 0) / count(*), 1e-12)) AS scale FROM t GROUP BY j)
+SELECT rep, cell_id, CAST(j AS INTEGER) AS j, round(coalesce((v - mean) / scale, 0), 5) AS x FROM c JOIN s USING (j)"""
+
+    def run(spark, d):
+        x = F.round("x", 5)
+        return inputs(spark, d, mode).select("rep", "cell_id", F.col("j").cast("int").alias("j"), F.when(x == 0, 0.0).otherwise(x).alias("x"))
+
+    run.__name__ = f"feature_standardize_{mode}"
+    return query(text)(run)
+
+
+for _mode in _CHANNEL:
+    _standardised(_mode)
+
+
+@query(sql("""SELECT c.cpg_idx, round(ln(q / (1 - q)), 6) AS logit FROM (
+  SELECT cpg_idx, least(0.99, greatest(0.01, coalesce(p, 0.5))) AS q FROM cpgs LEFT JOIN (
+    SELECT cpg_idx, avg(code / 65534.0) AS p FROM codes JOIN split USING (cell_id) WHERE split = 'train' GROUP BY 1) USING (cpg_idx)) c""", "codes", "split", "cpgs"))
+def bias_prior(spark, d):
+    train = M.split(cells(spark, d)).where("split = 'train'").select("cell_id")
+    return rounded(M.bias_prior(M.truth_codes(B.query_obs(spark, d)), train, B.cpgs(spark, d)))
+
+
+@query(sql("SELECT l.rep, c.cell_id, c.cpg_idx, round(c.code / 65534.0, 6) AS y FROM codes c CROSS JOIN ladder l ANTI JOIN sampled s ON s.rep = l.rep AND s.cell_id = c.cell_id AND s.cpg_idx = c.cpg_idx", "codes", "sampled"))
+def train_targets(spark, d):
+    return rounded(M.targets(M.truth_codes(B.query_obs(spark, d)), drawn(spark, d), ladder(spark)))
+
+
+# ---- decoders ----
+
+# weights of a block of three inputs, two hidden and four outputs
+_W1, _B1, _W2, _B2 = [[1, 0, 0.5], [0, 1, -0.5]], [0.1, 0.0], [[1, 0], [0, 1], [1, 1], [-1, 0]], [0, 0, 0.2, 0]
+_NORM = ([1, 2], [0, 0.1], [0.2, 0.1], [1, 0.5], 1e-5)
+
+
+@query(sql(f"""SELECT cell_id, CAST(o.i AS INTEGER) AS out, round(1 / (1 + exp(-[h0, h1, h0 + h1 + 0.2, -h0][o.i + 1])), 6) AS p FROM (
+  SELECT cell_id, (greatest(x0 + 0.5 * x2 + 0.1, 0) - 0.2) * (1 / sqrt(1 + 1e-5)) AS h0, (greatest(x1 - 0.5 * x2, 0) - 0.1) * (2 / sqrt(0.5 + 1e-5)) + 0.1 AS h1 FROM (
+    SELECT cell_id, (coalesce(max(beta) FILTER (pattern = 'P1'), 0.5) - 0.5) / 0.25 AS x0, (coalesce(max(beta) FILTER (pattern = 'P2'), 0.5) - 0.5) / 0.25 AS x1, (coalesce(max(beta) FILTER (pattern = 'P3'), 0.5) - 0.5) / 0.25 AS x2
+    FROM feat GROUP BY 1)) CROSS JOIN (SELECT unnest(range(4)) AS i) o""", "feat"))
+def upscale_forward_block(spark, d):
+    w = X.wide(feats(spark, d), STATES[:3])
+    p = V.block_forward([V.imputed(F.col(c), 0.5, 0.5, 0.25) for c in STATES[:3]], _W1, _B1, _NORM, _W2, _B2)
+    return rounded(w.select("cell_id", F.posexplode(F.array(*p)).alias("out", "p")))
+
+
+@query(sql("""SELECT cell_id, CAST(u.i AS BIGINT) AS cpg_idx, round(p, 6) AS p, p > 0.5 AS call FROM (
+  SELECT cell_id, [1 / (1 + exp(-(0.5 * (x0 - x1 + 0.1) - 0.2))), 1 / (1 + exp(-(x1 + 0.05))), 1 / (1 + exp(-(-1.0 * (x0 - x1 + 0.1) + 0.3)))] AS q FROM (
+    SELECT cell_id, (coalesce(max(beta) FILTER (pattern = 'P1'), 0.5) - 0.5) / 0.25 AS x0, (coalesce(max(beta) FILTER (pattern = 'P2'), 0.5) - 0.5) / 0.25 AS x1 FROM feat GROUP BY 1)),
+  LATERAL (SELECT unnest(range(3)) AS i, unnest(q) AS p) u""", "feat"))
+def upscale_forward_units(spark, d):
+    w = X.wide(feats(spark, d), STATES[:2]).select("cell_id", F.array(*[V.imputed(F.col(c), 0.5, 0.5, 0.25) for c in STATES[:2]]).alias("x"))
+    units = [
+        {"unit": 0, "mode": "factor", "rank": 1, "a": [0.1], "head": [1.0, -1.0], "E": [0.5, -1.0], "b": [-0.2, 0.3], "cpgs": [0, 2]},
+        {"unit": 1, "mode": "direct", "rank": 0, "a": [], "head": [0.0, 1.0], "E": [], "b": [0.05], "cpgs": [1]},
+    ]
+    V.check_units(units, 3)
+    schema = "unit int, mode string, rank int, a array<double>, head array<double>, E array<double>, b array<double>, cpgs array<long>"
+    table = spark.createDataFrame([tuple(u.values()) for u in units], schema)
+    return rounded(V.upscale(w, table))
+
+
+@query()
+def unit_train(spark, d):
+    x = inputs(spark, d, "beta").groupBy("rep", "cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda t: t["x"]).alias("x"))
+    place = U.scatter(members(spark, d), ranks(spark, d)[1], real_units(spark, d), TARGET).select("unit", "cpg_idx")
+    y = M.targets(M.truth_codes(B.query_obs(spark, d)), drawn(spark, d), ladder(spark)).join(place, "cpg_idx").join(M.split(cells(spark, d)), "cell_id")
+    return rounded(V.train_units(y, x), 4).drop("params")
+
+
+# ---- evaluation ----
+
+_METRICS = "count(*) AS n, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse, round(avg(abs(p - y)), 6) AS mae, round(corr(y, p), 6) AS pearson, round(avg(CASE WHEN abs(p - y) <= 0.05 THEN 1.0 ELSE 0.0 END), 6) AS within_005"
+
+
+@query(sql(f"SELECT {_METRICS} FROM pred", "pred"))
+def eval_metrics(spark, d):
+    return rounded(E.metrics(predictions(spark, d)))
+
+
+@query(sql(f"SELECT CASE WHEN grouping(class) = 1 THEN 'all' ELSE class END AS class, {_METRICS} FROM (SELECT y, p, CASE WHEN state = 'Pna' THEN 'PNA' WHEN state IN ('P1', 'P2') THEN 'pure' ELSE 'mixed' END AS class FROM pred) GROUP BY ROLLUP (class)", "pred"))
+def eval_strata(spark, d):
+    kind = F.when(F.col("state") == "Pna", "PNA").when(F.col("state").isin("P1", "P2"), "pure").otherwise("mixed")
+    return rounded(E.strata(predictions(spark, d).withColumn("class", kind), "class"))
+
+
+@query(sql("SELECT state, n, round(d, 6) AS d_mae, round(d * n / sum(n) OVER (), 6) AS contrib FROM (SELECT state, count(*) AS n, avg(abs(q - y)) - avg(abs(p - y)) AS d FROM pred GROUP BY 1)", "pred"))
+def eval_unit_contribution(spark, d):
+    return rounded(E.contribution(predictions(spark, d), "state"))
+
+
+@query(sql("""SELECT class, round(sum(n * a) / sum(n), 6) AS mae_a, round(sum(n * b) / sum(n), 6) AS mae_b, round(sum(n * b) / sum(n) - sum(n * a) / sum(n), 6) AS delta FROM (
+  SELECT CASE WHEN state = 'Pna' THEN 'PNA' WHEN state IN ('P1', 'P2') THEN 'pure' ELSE 'mixed' END AS class, state, count(*) AS n, avg(abs(p - y)) AS a, avg(abs(q - y)) AS b FROM pred GROUP BY 1, 2) GROUP BY class""", "pred"))
+def eval_weighted_mae(spark, d):
+    kind = F.when(F.col("state") == "Pna", "PNA").when(F.col("state").isin("P1", "P2"), "pure").otherwise("mixed")
+    units = predictions(spark, d).groupBy("state", kind.alias("class")).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("p") - F.col("y"))).alias("mae_a"), F.avg(F.abs(F.col("q") - F.col("y"))).alias("mae_b"))
+    return rounded(E.weighted_mae(units))
+
+
+@query(sql("", "pred").rstrip() + """, u AS (SELECT row_number() OVER (ORDER BY state) - 1 AS i, avg(abs(q - y)) - avg(abs(p - y)) AS d FROM pred GROUP BY state),
+n AS (SELECT count(*) AS n FROM u),
+r AS (SELECT k // n.n AS draw, CAST(floor(CAST('0x' || substr(md5(concat_ws('|', '1', k)), 1, 8) AS BIGINT) / 4294967296.0 * n.n) AS BIGINT) AS i FROM n, LATERAL (SELECT unnest(range(1000 * n.n)) AS k)),
+m AS (SELECT draw, avg(d) AS m FROM r JOIN u USING (i) GROUP BY draw)
+SELECT round((SELECT avg(d) FROM u), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
+def eval_bootstrap_ci(spark, d):
+    units = predictions(spark, d).groupBy("state").agg((F.avg(F.abs(F.col("q") - F.col("y"))) - F.avg(F.abs(F.col("p") - F.col("y")))).alias("d"))
+    deltas = units.select((F.row_number().over(Window.orderBy("state")) - 1).cast("long").alias("i"), "d")
+    return rounded(E.bootstrap(deltas, 1000))
+
+
+@query(sql("""SELECT CAST(level AS INTEGER) AS level, round(avg(abs(p - b)), 6) AS mae FROM (
+  SELECT level, rn, b, avg(b) FILTER (rn <= level) OVER (PARTITION BY cell_id, rank, level) AS p FROM (
+    SELECT o.*, rank, level FROM (
+      SELECT cell_id, cpg_idx, m / (m + u) AS b, row_number() OVER (PARTITION BY cell_id ORDER BY md5(concat_ws('|', '1', cell_id, cpg_idx)), cpg_idx) AS rn FROM query_obs WHERE m + u > 0) o
+    JOIN member USING (cpg_idx) CROSS JOIN (SELECT unnest([50, 100, 200]) AS level) WHERE rank < 8))
+WHERE rn > level AND p IS NOT NULL GROUP BY 1""", "query_obs", "member"))
+def eval_coverage_ladder(spark, d):
+    return rounded(E.coverage_ladder(B.query_obs(spark, d), members(spark, d), [50, 100, 200], SIM_PATTERNS))
+
+
+_PILOT = """, v AS (SELECT u.unit, u.class, var_pop(t.b) AS variance FROM (
+  SELECT dest, m / (m + u) AS b FROM query_obs JOIN (SELECT row_number() OVER (ORDER BY rank NULLS LAST, cpg_idx) - 1 AS dest, cpg_idx FROM member) USING (cpg_idx) WHERE m + u > 0) t
+  JOIN allunits u ON t.dest >= u.output_offset AND t.dest < u.output_offset + u.cpg_count GROUP BY 1, 2),
+w AS (SELECT unit, class, round(variance, 9) AS variance FROM v),
+q AS (SELECT *, CASE WHEN class = 'mixed' THEN ntile(4) OVER (PARTITION BY class ORDER BY variance, unit) ELSE 0 END AS quartile FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY class, quartile ORDER BY variance, unit) - 1 AS rn, count(*) OVER (PARTITION BY class, quartile) AS n FROM q)
+SELECT unit, class FROM r WHERE rn % greatest(1, n // 2) = 0 AND rn // greatest(1, n // 2) < 2"""
+
+
+@query(sql("", "query_obs", "allunits", "member").rstrip() + _PILOT)
+def pilot_select(spark, d):
+    place = U.scatter(members(spark, d), ranks(spark, d)[1], real_units(spark, d), TARGET).select("unit", "cpg_idx")
+    b = B.query_obs(spark, d).where(S.coverage() > 0).select("cpg_idx", S.beta().alias("b"))
+    variance = b.join(place, "cpg_idx").groupBy("unit").agg(F.round(F.var_pop("b"), 9).alias("variance"))
+    return E.pilot(every_unit(spark, d).select("unit", "class").join(variance, "unit"), 2)
+
+
+@query("SELECT CAST([10, 20, 50][i // 3 + 1] AS BIGINT) AS sample, count(*) AS n_reps FROM (SELECT unnest(range(9)) AS i) GROUP BY 1")
+def store_levels(spark, d):
+    return E.levels(M.ladder_fixed(spark, [10, 20, 50], 3))
+
+
+@query()
+def artifact_describe(spark, d):
+    p, ranked = ranks(spark, d)
+    return A.describe({"patterns": ranked, "membership": P.membership(p, ranked)}, kind="patterns")
+
+
+def flagship(spark, d):
+    """The commonest patterns with their mean fraction in each cell."""
+    top = ranks(spark, d)[1].where(F.col("rank") < TOP)
+    return top.join(feats(spark, d).withColumnRenamed("pattern", "label"), "label").select("rank", "label", F.col("pattern"), F.col("n").alias("n_cpg"), "cell_id", "beta", "n_o")
