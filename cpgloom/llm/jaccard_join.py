@@ -69,7 +69,7 @@ def _count_cells(n: int, cells: int):
                 grams = gram_hashes(word_hashes(data, starts, ends), n)
                 row = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(grams)]
                 grams = grams[np.arange(len(grams)) + n <= first[1:][row]]
-                table += np.bincount((grams & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+                np.add.at(table, (grams & np.uint64(cells - 1)).astype(np.int64), 1)
         task = TaskContext.get().partitionId()
         for k in range(0, cells, part):
             yield pa.RecordBatch.from_arrays([pa.array([k // part], pa.int32()), pa.array([task // 256], pa.int32()), pa.array([zlib.compress(table[k : k + part].tobytes(), 1)], pa.binary())], names=["part", "salt", "counts"])
@@ -105,19 +105,18 @@ def _sets(n: int, percent: int, ranks):
         mask = np.uint64(len(rank) - 1)
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(2)):
-                sid, check, size, prefix = [], [], [], []
+                sid, size, prefix = [], [], []
                 for grams in shingles(data, offsets, n):
                     size.append(len(grams))
                     sid.append(int(mix64(mix64(grams).sum(keepdims=True) + np.uint64(len(grams)))[0]) if len(grams) else 0)
-                    check.append(int(np.bitwise_xor.reduce(mix64(grams + np.uint64(0x51)))) if len(grams) else 0)
                     if len(grams):
                         order = np.argsort((rank[grams & mask] << np.uint64(48)) | (grams >> np.uint64(16)), kind="stable")
                         prefix.append(grams[order[: prefix_length(len(grams), percent)]].view(np.int64))
                     else:
                         prefix.append(np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(np.array(check, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
-                    names=["doc_id", "tkey", "sid", "check", "n", "prefix"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
+                    names=["place", "tkey", "sid", "n", "prefix"],
                 )
 
     return make
@@ -175,6 +174,16 @@ def _pair():
     return F.least(F.col("x.sid"), F.col("y.sid")).alias("a"), F.greatest(F.col("x.sid"), F.col("y.sid")).alias("b")
 
 
+#: Stands for a null doc_id in joins.
+NOWHERE = -(2**63)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(place, tkey, text): doc_id with NOWHERE for null, and a key that tells rows of one doc_id apart by their texts."""
+    text = text_or_empty(F.col("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOWHERE)).alias("place"), F.xxhash64(text).alias("tkey"), text.alias("text"))
+
+
 def classes(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, cells: int = CELLS) -> DataFrame:
     """Near-duplicate classes: (doc_id, tkey, n_shingles, component_id), one row for each input row.
 
@@ -186,37 +195,35 @@ def classes(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, cells:
     ``tkey`` tells rows of one doc_id apart by their texts.
     """
     spark = docs.sparkSession
-    text = text_or_empty(F.col("text"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
-    ranks = spark.sparkContext.broadcast(_ranks(count_table(keyed.select("text"), ngram, cells)))
-    sets = keyed.mapInArrow(_sets(ngram, percent, ranks), "doc_id long, tkey long, sid long, check long, n int, prefix array<long>")
+    keyed = _keyed(docs)
+    ranks = spark.sparkContext.broadcast(_ranks(count_table(keyed.select("text"), ngram, cells)))  # one number a cell, whatever the input
+    sets = keyed.mapInArrow(_sets(ngram, percent, ranks), "place long, tkey long, sid long, n int, prefix array<long>")
     sets = materialize(sets, "join-sets")
 
     # equal sets are one node
-    nodes = sets.where(F.col("n") > 0).groupBy("sid").agg(F.min(F.struct("doc_id", "tkey")).alias("text_of"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    real = sets.where(F.col("n") > 0)
+    owners = materialize(real.groupBy("sid").agg(F.min(F.struct("place", "tkey")).alias("t")).select("sid", "t.place", "t.tkey"), "join-owners")
+    nodes = real.groupBy("sid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     listed = nodes.select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
     common = listed.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > 1)
     shared = materialize(listed.join(common, "token"), "join-shared")
     centre = shared.groupBy("sid").agg((-F.count("*")).alias("rank"))
     shared = materialize(shared.join(centre, "sid"), "join-lists")
 
-    # the whole sets of all nodes that may have a partner
-    owners = sets.where(F.col("n") > 0).groupBy("sid").agg(F.min(F.struct("doc_id", "tkey")).alias("t")).join(shared.select("sid").distinct(), "sid")
-    owners = owners.select("sid", F.col("t.doc_id").alias("_doc"), F.col("t.tkey").alias("_key"))
-    texts = keyed.join(owners, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tkey") == F.col("_key"))).select("sid", "text")
-    whole = texts.mapInArrow(_whole_sets(ngram), "sid long, grams binary").dropDuplicates(["sid"])
-    whole = materialize(whole, "join-grams")
-
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets reach the threshold; whole sets are made of the pairs' texts alone."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(owners, "sid")
+        texts = keyed.join(wanted, ["place", "tkey"]).dropDuplicates(["place", "tkey"]).select("sid", "text")
+        whole = materialize(texts.mapInArrow(_whole_sets(ngram), "sid long, grams binary"), "join-grams")
         both = pairs.join(whole.withColumnsRenamed({"sid": "b", "grams": "y"}), "b").join(whole.withColumnsRenamed({"sid": "a", "grams": "x"}), "a")
-        return both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
+        return materialize(both.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "join-links")
 
     x, y = shared.alias("x"), shared.alias("y")
     short = x.where(F.col("x.df") <= SHORT).join(y.where(F.col("y.df") <= SHORT), (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & _near(percent)).select(*_pair())
     hubs = shared.where(F.col("df") > SHORT).groupBy("token").agg(F.min(F.struct("rank", "sid", "n", "pos")).alias("h")).select("token", "h.*").alias("y")
     long = x.where(F.col("x.df") > SHORT).join(hubs, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") != F.col("y.sid")) & _near(percent)).select(*_pair())
     tried = materialize(short.unionByName(long).distinct(), "join-pairs")
-    links = materialize(verified(tried), "join-links")
+    links = verified(tried)
     found = components(links)
 
     # lists whose sets are still in different components: the others are done
@@ -225,10 +232,11 @@ def classes(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, cells:
     rest = materialize(placed.join(open_, "token"), "join-open")
     x, y = rest.alias("x"), rest.alias("y")
     cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & _near(percent)).select(*_pair()).distinct()
-    more = materialize(verified(cross.join(tried, ["a", "b"], "left_anti")), "join-links")
-    found = materialize(components(links.unionByName(more)), "join-components")
+    cross = materialize(cross.join(tried, ["a", "b"], "left_anti"), "join-pairs")
+    if cross.limit(1).count():
+        found = components(links.unionByName(verified(cross)))
 
-    named = sets.select("doc_id", "tkey", "sid", "n").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    named = sets.select(F.when(F.col("place") != NOWHERE, F.col("place")).alias("doc_id"), "tkey", "sid", "n").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.where(F.col("n") > 0).groupBy("component").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "component", "left")
     return out.select("doc_id", "tkey", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
