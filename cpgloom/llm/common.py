@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that the array kernels take at once; a longer document goes alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -80,12 +80,14 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
     """(first row, end row, bytes, offsets) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
     n = len(column)
     if not n:
         return
+    if column.null_count:
+        column = column.fill_null("")
     _, off, data = column.buffers()
-    offsets = np.frombuffer(off, dtype=np.int64)[column.offset : column.offset + n + 1]
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(off, dtype=width)[column.offset : column.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     a = 0
     while a < n:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cpgloom.llm.common import LOWER, PLAIN, labelled, slices, text_or_empty, word_hashes, word_spans
+from cpgloom.llm.common import LOWER, PLAIN, labelled, materialize, slices, text_or_empty, word_hashes, word_spans
 
 #: Labelled rows at most; features at most; toxic rows that a word must be in; least standardised difference.
 TRAIN_ROWS, FEATURES, LEAST_ROWS, LEAST_Z = 20_000, 256, 5, 4.0
@@ -83,26 +83,23 @@ def fit(x: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted feature hashes, weights, thresholds) from at most ``rows`` labelled texts."""
     none = (np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 30.0))
-    sample = labelled(docs, labels, label, rows, SEED).dropDuplicates(["text", "label"])
-    sample = sample.mapInArrow(_distinct, "doc_id long, label int, words array<long>").persist()
-    try:
-        totals = {r["label"]: r["count"] for r in sample.groupBy((F.col("label") > 0).cast("int").alias("label")).count().collect()}
-        bad, good = totals.get(1, 0), totals.get(0, 0)
-        if not bad or not good:
-            return none
-        seen = sample.select((F.col("label") > 0).cast("int").alias("y"), F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-        share = (F.col("a") + F.col("b") + 1) / F.lit(float(bad + good + 2))
-        z = (F.col("a") / F.lit(float(bad)) - F.col("b") / F.lit(float(good))) / F.sqrt(share * (1 - share) * F.lit(1 / bad + 1 / good))
-        # a word of which toxic rows have many times their share, not merely more
-        strong = (F.col("a") >= LEAST_ROWS) & (F.col("a") / F.lit(float(bad)) >= 10 * (F.col("b") + 0.5) / F.lit(float(good)))
-        top = seen.where(strong & (z >= LEAST_Z)).orderBy(z.desc(), "word").limit(FEATURES).select("word").collect()
-        words = np.sort(np.array([r["word"] for r in top], dtype=np.int64))
-        if not len(words):
-            return none
-        chosen = F.array_sort(F.array_intersect("words", F.array(*[F.lit(int(v)) for v in words])))
-        found = sample.select("doc_id", (F.col("label") > 0).alias("y"), chosen.alias("hit")).groupBy("y", "hit").count().collect()  # feature rows of the bounded sample
-    finally:
-        sample.unpersist()
+    sample = labelled(docs, labels, label, rows, SEED).mapInArrow(_distinct, "doc_id long, label int, words array<long>")
+    sample = materialize(sample.dropDuplicates(["words", "label"]), "toxicity-sample")
+    totals = {r["label"]: r["count"] for r in sample.groupBy((F.col("label") > 0).cast("int").alias("label")).count().collect()}
+    bad, good = totals.get(1, 0), totals.get(0, 0)
+    if not bad or not good:
+        return none
+    seen = sample.select((F.col("label") > 0).cast("int").alias("y"), F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    share = (F.col("a") + F.col("b") + 1) / F.lit(float(bad + good + 2))
+    z = (F.col("a") / F.lit(float(bad)) - F.col("b") / F.lit(float(good))) / F.sqrt(share * (1 - share) * F.lit(1 / bad + 1 / good))
+    # a word of which toxic rows have many times their share, not merely more
+    strong = (F.col("a") >= LEAST_ROWS) & (F.col("a") / F.lit(float(bad)) >= 10 * (F.col("b") + 0.5) / F.lit(float(good)))
+    top = seen.where(strong & (z >= LEAST_Z)).orderBy(z.desc(), "word").limit(FEATURES).select("word").collect()
+    words = np.sort(np.array([r["word"] for r in top], dtype=np.int64))
+    if not len(words):
+        return none
+    chosen = F.array_sort(F.array_intersect("words", F.array(*[F.lit(int(v)) for v in words])))
+    found = sample.select("doc_id", (F.col("label") > 0).alias("y"), chosen.alias("hit")).groupBy("y", "hit").count().collect()  # feature rows of the bounded sample
     found.sort(key=lambda r: (r["y"], r["hit"]))
     repeat = [r["count"] for r in found]
     x = np.zeros((len(found), len(words)))
