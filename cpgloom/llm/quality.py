@@ -163,18 +163,27 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: int = BI
             square[-1] += bias**2
             w[-1] -= RATE * bias / np.sqrt(square[-1])
     z = np.array([w[rows[i][0]] @ rows[i][1] + w[-1] for i in hold])
-    slope, offset = 1.0, 0.0
+    # published sigmoid calibration with smoothed targets, on standardised scores; a step is halved while it doesn't help
     good, bad = (y[hold] == 1).sum(), (y[hold] == 0).sum()
     target = np.where(y[hold] == 1, (good + 1) / (good + 2), 1 / (bad + 2))
-    for _ in range(50):  # Newton steps of the published calibration, with its smoothed targets
-        p = 1 / (1 + np.exp(-np.clip(slope * z + offset, -30, 30)))
-        g = np.array([((p - target) * z).sum() + 1e-3 * (slope - 1), (p - target).sum()])
-        v = np.maximum(p * (1 - p), 1e-9)
-        curve = np.array([[(v * z * z).sum() + 1e-3, (v * z).sum()], [(v * z).sum(), v.sum() + 1e-9]])
-        step = np.linalg.solve(curve, g)
-        slope, offset = slope - step[0], offset - step[1]
+    centre, spread = z.mean(), z.std() or 1.0
+    x = np.stack(((z - centre) / spread, np.ones(len(z))), 1)
+    ab = np.array([1.0, 0.0])
+
+    def loss(ab: np.ndarray) -> float:
+        t = x @ ab
+        return float((np.logaddexp(0, t) - target * t).sum() + 1e-3 * (ab[0] - 1) ** 2)
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
+        g = x.T @ (p - target) + [2e-3 * (ab[0] - 1), 0]
+        step = np.linalg.solve((x.T * np.maximum(p * (1 - p), 1e-6)) @ x + np.diag([2e-3, 1e-6]), g)
+        while loss(ab - step) > loss(ab) and np.abs(step).max() > 1e-10:
+            step = step / 2
+        ab = ab - step
         if np.abs(step).max() < 1e-9:
             break
+    slope, offset = ab[0] / spread, ab[1] - ab[0] * centre / spread
     return w.astype(np.float32), (float(max(slope, 1e-3)), float(offset))
 
 
