@@ -285,36 +285,39 @@ def gbt_train_predict(spark, d):
 
 # ---- units ----
 
-def real_units(spark, d):
-    return U.membership_units(ranks(spark, d)[1], TARGET)
+def placed(spark, d):
+    """(membership, ranked patterns, real units), each computed once and used by several steps."""
+    patterns = A.stage(mined(spark, d)[0], "patterns")
+    ranked = A.stage(P.pattern_rank(patterns, B.n_samples(spark, d)), "ranked")
+    return P.membership(patterns, ranked), ranked, A.stage(U.membership_units(ranked, TARGET), "units")
 
 
-def every_unit(spark, d):
-    real = real_units(spark, d)
-    n_pna = members(spark, d).where(F.col("rank").isNull()).count()
+def every_unit(members, real):
+    n_pna = members.where(F.col("rank").isNull()).count()
     return real.drop("first_rank").unionByName(U.pna_units(n_pna, real, TARGET))
 
 
 @query(sql("SELECT unit, output_offset, cpg_count, membership_count, class FROM units", "units"))
 def unit_pack(spark, d):
-    return real_units(spark, d).drop("first_rank")
+    return U.membership_units(ranks(spark, d)[1], TARGET).drop("first_rank")
 
 
 @query(sql("SELECT * FROM pnaunits", "pnaunits"))
 def unit_pna_chunks(spark, d):
-    n_pna = members(spark, d).where(F.col("rank").isNull()).count()
-    return U.pna_units(n_pna, real_units(spark, d), TARGET)
+    of, _, real = placed(spark, d)
+    return U.pna_units(of.where(F.col("rank").isNull()).count(), real, TARGET)
 
 
 @query(sql("""SELECT p.dest, u.unit, p.cpg_idx FROM (SELECT row_number() OVER (ORDER BY rank NULLS LAST, cpg_idx) - 1 AS dest, cpg_idx FROM member) p
 JOIN allunits u ON p.dest >= u.output_offset AND p.dest < u.output_offset + u.cpg_count""", "allunits"))
 def unit_cpg_scatter(spark, d):
-    return U.scatter(members(spark, d), ranks(spark, d)[1], real_units(spark, d), TARGET)
+    return U.scatter(*placed(spark, d), TARGET)
 
 
 @query(sql("SELECT class, count(*) AS units, min(cpg_count) AS min_cpgs, round(avg(cpg_count), 6) AS mean_cpgs, max(cpg_count) AS max_cpgs FROM allunits GROUP BY class", "allunits"))
 def unit_stats(spark, d):
-    return U.stats(every_unit(spark, d))
+    of, _, real = placed(spark, d)
+    return U.stats(every_unit(of, real))
 
 
 # ---- simulation and training inputs ----
@@ -431,7 +434,7 @@ def upscale_forward_units(spark, d):
 @query()
 def unit_train(spark, d):
     x = inputs(spark, d, "beta").groupBy("rep", "cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda t: t["x"]).alias("x"))
-    place = U.scatter(members(spark, d), ranks(spark, d)[1], real_units(spark, d), TARGET).select("unit", "cpg_idx")
+    place = U.scatter(*placed(spark, d), TARGET).select("unit", "cpg_idx")
     y = M.targets(M.truth_codes(B.query_obs(spark, d)), drawn(spark, d), ladder(spark)).join(place, "cpg_idx").join(M.split(cells(spark, d)), "cell_id")
     return rounded(V.train_units(y, x), 4).drop("params")
 
@@ -497,10 +500,11 @@ SELECT unit, class FROM r WHERE rn % greatest(1, n // 2) = 0 AND rn // greatest(
 
 @query(sql("", "query_obs", "allunits", "member").rstrip() + _PILOT)
 def pilot_select(spark, d):
-    place = U.scatter(members(spark, d), ranks(spark, d)[1], real_units(spark, d), TARGET).select("unit", "cpg_idx")
+    of, ranked, real = placed(spark, d)
+    place = U.scatter(of, ranked, real, TARGET).select("unit", "cpg_idx")
     b = B.query_obs(spark, d).where(S.coverage() > 0).select("cpg_idx", S.beta().alias("b"))
     variance = b.join(place, "cpg_idx").groupBy("unit").agg(F.round(F.var_pop("b"), 9).alias("variance"))
-    return E.pilot(every_unit(spark, d).select("unit", "class").join(variance, "unit"), 2)
+    return E.pilot(every_unit(of, real).select("unit", "class").join(variance, "unit"), 2)
 
 
 @query("SELECT CAST([10, 20, 50][i // 3 + 1] AS BIGINT) AS sample, count(*) AS n_reps FROM (SELECT unnest(range(9)) AS i) GROUP BY 1")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +39,11 @@ def describe(tables: dict[str, DataFrame], kind: str) -> DataFrame:
         out = out.unionByName(df.agg(F.count("*").cast("string").alias("value")).select(F.lit(f"{name}.rows").alias("key"), "value"))
         out = out.unionByName(spark.range(1).select(F.lit(f"{name}.columns").alias("key"), F.lit(",".join(df.columns)).alias("value")))
     return out
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the session's spark.checkpoint.dir and read back: used several times, computed once."""
+    where = (df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    path = f"{where}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
