@@ -146,12 +146,15 @@ def test_bpe_splits_every_class_of_code_points():
         assert bpe.words_of(text) == [text[a:b] for _, (a, b) in ref.pre_tokenize_str(text)], hex(c)
 
 
-def test_top_k_query_equals_sql(spark, small):
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, small, name):
     c = duckdb.connect()
-    c.execute(f"create view embeddings as select * from '{small}/embeddings.parquet'")
-    want = sorted(c.execute(queries.ORACLES["op5_topk"]).fetchall())
-    got = queries.op5_topk(spark, small)
-    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == want
+    for table in ("documents", "embeddings"):
+        c.execute(f"create view {table} as select * from '{small}/{table}.parquet'")
+    want = c.execute(queries.ORACLES[name])
+    columns = [x[0] for x in want.description]
+    rows = sorted(want.fetchall(), key=str)
+    assert rows == sorted(map(tuple, queries.QUERIES[name](spark, small).select(*columns).collect()), key=str)
 
 
 def test_pipeline(spark, small):
