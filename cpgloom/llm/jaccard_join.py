@@ -248,8 +248,8 @@ def keep_one(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> Dat
     Documents without words stay. Of rows with equal doc_id and text one stays.
     """
     kept = classes(docs, ngram, percent).where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy("doc_id").agg(F.min(F.struct("tkey")).alias("k"))
-    kept = kept.select(F.col("doc_id").alias("_doc"), F.col("k.tkey").alias("_key"))
-    keyed = docs.withColumn("_tkey", F.xxhash64(text_or_empty(F.col("text"))))
-    one = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_tkey") == F.col("_key")), "left_semi")
-    return one.dropDuplicates(["doc_id", "_tkey"]).select(*docs.columns)
+    kept = kept.groupBy(F.coalesce("doc_id", F.lit(NOWHERE)).alias("place")).agg(F.min("tkey").alias("tkey"))
+    # whole rows travel as one struct, so that no column of theirs can meet one of these names
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.select("row", F.coalesce(F.col("row")["doc_id"].cast("long"), F.lit(NOWHERE)).alias("place"), F.xxhash64(text_or_empty(F.col("row")["text"])).alias("tkey"))
+    return rows.join(kept, ["place", "tkey"], "left_semi").dropDuplicates(["place", "tkey"]).select("row.*")

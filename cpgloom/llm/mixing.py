@@ -149,19 +149,20 @@ def materialise_mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, repea
 
 
 def _expand(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    twin = Window.partitionBy("_id", "_source", "_size").orderBy("_hash")
-    left = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string"), "_size": n, "_hash": F.xxhash64("text")})
-    left = left.withColumn("_twin", F.row_number().over(twin))
+    # whole rows travel as one struct, so that no column of theirs can meet one of these names
+    text = F.col("row")["text"]
+    left = docs.select(F.struct("*").alias("row"))
+    left = left.select("row", F.col("row")["doc_id"].cast("long").alias("l_id"), F.col("row")["source"].cast("string").alias("l_source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("l_size"))
+    left = left.withColumn("l_twin", F.row_number().over(Window.partitionBy("l_id", "l_source", "l_size").orderBy(F.xxhash64(text))))
     right = plan.select(F.col("doc_id").alias("r_id"), F.col("source").alias("r_source"), F.col("size").alias("r_size"), "whole", "parts")
     right = right.withColumn("r_twin", F.row_number().over(Window.partitionBy("r_id", "r_source", "r_size").orderBy("whole", "parts"))).where((F.col("whole") > 0) | (F.size("parts") > 0))
-    both = left.join(right, F.col("_id").eqNullSafe(F.col("r_id")) & F.col("_source").eqNullSafe(F.col("r_source")) & (F.col("_size") == F.col("r_size")) & (F.col("_twin") == F.col("r_twin")))
+    both = left.join(right, F.col("l_id").eqNullSafe(F.col("r_id")) & F.col("l_source").eqNullSafe(F.col("r_source")) & (F.col("l_size") == F.col("r_size")) & (F.col("l_twin") == F.col("r_twin")))
     whole = F.array_repeat(F.struct(F.lit(True).alias("all"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n")), F.col("whole"))
-    part = F.transform("parts", lambda p: F.struct((p["n"] == F.col("_size")).alias("all"), p["start"].cast("long").alias("start"), p["n"].cast("long").alias("n")))
-    rows = both.withColumn("_take", F.explode(F.concat(whole, part)))
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)
-    text = F.when(F.col("_take")["all"], F.col("text")).otherwise(F.concat_ws(" ", F.slice(words, (F.col("_take")["start"] + 1).cast("int"), F.col("_take")["n"].cast("int"))))
-    out = rows.withColumn("text", text)
+    part = F.transform("parts", lambda p: F.struct((p["n"] == F.col("l_size")).alias("all"), p["start"].cast("long").alias("start"), p["n"].cast("long").alias("n")))
+    rows = both.select("row", F.explode(F.concat(whole, part)).alias("take"))
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
+    taken = F.when(F.col("take")["all"], text).otherwise(F.concat_ws(" ", F.slice(words, (F.col("take")["start"] + 1).cast("int"), F.col("take")["n"].cast("int"))))
+    out = rows.select(F.col("row").withField("text", taken).alias("row")).select("row.*")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
