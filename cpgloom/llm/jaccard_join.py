@@ -220,7 +220,8 @@ def classes(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, cells:
 
     x, y = shared.alias("x"), shared.alias("y")
     short = x.where(F.col("x.df") <= SHORT).join(y.where(F.col("y.df") <= SHORT), (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & _near(percent)).select(*_pair())
-    hubs = shared.where(F.col("df") > SHORT).groupBy("token").agg(F.min(F.struct("rank", "sid", "n", "pos")).alias("h")).select("token", "h.*").alias("y")
+    # aggregates are written before they are joined: a join of plain exchanges lets Spark split a list that many sets share
+    hubs = materialize(shared.where(F.col("df") > SHORT).groupBy("token").agg(F.min(F.struct("rank", "sid", "n", "pos")).alias("h")).select("token", "h.*"), "join-hubs").alias("y")
     long = x.where(F.col("x.df") > SHORT).join(hubs, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") != F.col("y.sid")) & _near(percent)).select(*_pair())
     tried = materialize(short.unionByName(long).distinct(), "join-pairs")
     links = verified(tried)
@@ -228,7 +229,7 @@ def classes(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, cells:
 
     # lists whose sets are still in different components: the others are done
     placed = shared.where(F.col("df") > SHORT).join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    open_ = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("token")
+    open_ = materialize(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("token"), "join-tokens")
     rest = materialize(placed.join(open_, "token"), "join-open")
     x, y = rest.alias("x"), rest.alias("y")
     cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & _near(percent)).select(*_pair()).distinct()
@@ -237,7 +238,7 @@ def classes(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, cells:
         found = components(links.unionByName(verified(cross)))
 
     named = sets.select(F.when(F.col("place") != NOWHERE, F.col("place")).alias("doc_id"), "tkey", "sid", "n").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    least = named.where(F.col("n") > 0).groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = materialize(named.where(F.col("n") > 0).groupBy("component").agg(F.min("doc_id").alias("least")), "join-least")
     out = named.join(least, "component", "left")
     return out.select("doc_id", "tkey", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
