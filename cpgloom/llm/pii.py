@@ -17,7 +17,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -280,18 +279,20 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     counts = {r["pattern"]: r["count"] for r in found.select(F.explode("spans").alias("s")).groupBy(F.col("s.pattern").alias("pattern")).count().collect()}
     accepted = {p for p, x in (train(counts) if counts else {}).items() if x >= threshold}
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            if text is None:
-                out.append(None)
-                continue
-            spans = [s for s in _scan_rows([text])["spans"][0] if s["base"] or s["pattern"] in accepted]
-            out.append(redact_text(text, spans) if spans else text)
-        return pd.Series(out, dtype=object)
-
-    out = docs.withColumn("text", clean(F.col("text").cast("string")))
+    at = docs.columns.index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                texts = part.column(at).to_pylist()
+                found = _scan_rows(texts)["spans"]
+                kept = [[s for s in own if s["base"] or s["pattern"] in accepted] for own in found]
+                out = [redact_text(t, k) if t is not None and k else t for t, k in zip(texts, kept)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(out, part.column(at).type), *part.columns[at + 1 :]], schema=part.schema)
+
+    out = docs.withColumn("text", F.col("text").cast("string"))
+    out = out.mapInArrow(clean, out.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

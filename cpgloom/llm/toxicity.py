@@ -158,13 +158,13 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     """``docs`` without the toxic ones, judged in place so that no text is shuffled."""
     keys, w, theta = train(docs, labels, rows=rows)
 
-    @F.pandas_udf("boolean")
-    def toxic(texts):
-        import pandas as pd
+    at = docs.columns.index("text")
 
-        out = np.zeros(len(texts), dtype=bool)
-        for a, b, data, offsets in slices(pa.array(texts, pa.large_string(), from_pandas=True)):
-            out[a:b] = severities(data, offsets, keys, w, theta)[:, 0] >= threshold
-        return pd.Series(out)
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in slices(batch.column(at)):
+                mask = severities(data, offsets, keys, w, theta)[:, 0] < threshold
+                yield batch.slice(a, b - a).filter(pa.array(mask))
 
-    return docs.where(~toxic(text_or_empty(F.col("text"))))
+    out = docs.withColumn("text", F.col("text").cast("string"))
+    return out.mapInArrow(clean, out.schema)
