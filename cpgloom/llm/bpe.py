@@ -67,7 +67,7 @@ def words_of(text: str) -> list[str]:
 
 
 #: Words kept in a worker's cache; it is emptied when full. Longer words are not kept.
-CACHE_WORDS, CACHE_LENGTH = 500_000, 48
+CACHE_WORDS, CACHE_LENGTH = 300_000, 48
 #: Characters of new words that go through the merge rounds at once.
 ROUND_CHARS = 1 << 20
 
@@ -190,16 +190,17 @@ class ByteBPE:
                 b += 1
             if len(self.cache) > CACHE_WORDS:
                 self.cache = {s: np.uint32(i).tobytes() for s, i in self.special.items()}
-            known = self.cache
-            fresh.difference_update(known)
-            if any(len(w) > CACHE_LENGTH for w in fresh):
-                long = {w for w in fresh if len(w) > CACHE_LENGTH}
-                self.learn(fresh - long, known)
-                known = dict(known)
-                self.learn(long, known)
-            else:
-                self.learn(fresh, known)
-            out += [np.frombuffer(b"".join(map(known.__getitem__, w)), dtype="<u4") for w in split]
+            fresh.difference_update(self.cache)
+            long = {w for w in fresh if len(w) > CACHE_LENGTH}
+            self.learn(fresh - long if long else fresh, self.cache)
+            rare: dict[str, bytes] = {}
+            self.learn(long, rare)
+            for words in split:
+                if rare and not rare.keys().isdisjoint(words):
+                    parts = [rare[w] if w in rare else self.cache[w] for w in words]
+                else:
+                    parts = map(self.cache.__getitem__, words)
+                out.append(np.frombuffer(b"".join(parts), dtype="<u4"))
             a = b
         return out
 
