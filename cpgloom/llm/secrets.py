@@ -7,11 +7,11 @@ parts of the alphabet, the runs test above and below its middle, and the serial
 correlation of neighbours. Fisher's method combines them into one score.
 
 Secrets look random and ordinary text doesn't, so the null of the discovery step
-is ordinary text: in every document strings of ordinary letters are drawn for
-each length class and scored likewise. Candidates and null strings of all
-documents are counted in a histogram of fixed size (length class x encoding x
-score bin); the Benjamini-Hochberg rule on it gives a score limit for each
-length class and encoding.
+is ordinary text: all letters outside the candidates of every document are cut
+into strings of each length class in turn and scored likewise. Candidates and
+null strings of all documents are counted in a histogram of fixed size (length
+class x encoding x score bin); the Benjamini-Hochberg rule on it gives a score
+limit for each length class and encoding.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 
 #: Length classes (from each bound on), score bins, and the false-discovery rate.
 CLASSES, BINS, BIN_STEP, RATE = (20, 32, 48), 48, 0.25, 0.01
-#: One null string of each length class is drawn from every so many characters of all texts.
-NULL_EVERY = 4096
+#: Null strings that are scored at once.
+SCORE_ROWS = 4096
 ENCODINGS = {"hex": 16, "base32": 32, "base64": 64}
 
 _BASE64 = np.full(128, -1, np.int64)
@@ -94,6 +94,11 @@ def scores(values: list[np.ndarray], alphabet: int) -> np.ndarray:
     grid = np.full((len(values), n.max()), -1, dtype=np.int64)
     for i, v in enumerate(values):
         grid[i, : len(v)] = v
+    return battery(grid, n, alphabet)
+
+
+def battery(grid: np.ndarray, n: np.ndarray, alphabet: int) -> np.ndarray:
+    """The score of each row of ``grid``, whose first n symbols count; -1 fills the rest."""
     real = grid >= 0
     part = grid * 8 // alphabet
     counts = np.stack([((part == b) & real).sum(1) for b in range(8)], 1)
@@ -122,50 +127,68 @@ def score_bin(score: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(np.maximum(score, 0) / BIN_STEP), 0, BINS - 1).astype(np.int64)
 
 
-def _null_strings(text: str) -> list[tuple[int, np.ndarray]]:
-    """Ordinary letters for each length class, from every block of NULL_EVERY characters of the text."""
-    out = []
-    for at in range(0, len(text), NULL_EVERY):
-        letters, a = re.sub(r"[^A-Za-z]+", "", text[at : at + 300]), 0
-        for k, n in enumerate(CLASSES):
-            n += n // 4
-            if len(letters) - a >= n:
-                out.append((k, np.frombuffer(letters[a : a + n].encode(), np.uint8).astype(np.int64)))
-                a += n
-    return out
+_LETTER = np.zeros(128, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+NULL_WIDTHS = tuple(n + n // 4 for n in CLASSES)
+
+
+def null_strings(text: str, taken: list[tuple[int, int]]) -> list[np.ndarray]:
+    """For each length class, rows of ordinary letters: all of the text's outside ``taken``, dealt in order to the classes in turn."""
+    if taken:
+        bounds = [0, *(x for span in taken for x in span), len(text)]
+        text = "".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2]))
+    codes = np.frombuffer(text.encode("ascii", "ignore"), np.uint8)
+    letters = codes[_LETTER[codes]]
+    ends = np.cumsum(NULL_WIDTHS).tolist()
+    rounds = len(letters) // ends[-1]
+    whole, rest = letters[: rounds * ends[-1]].reshape(rounds, ends[-1]), letters[rounds * ends[-1] :]
+    return [np.concatenate((whole[:, e - w : e], rest[None, e - w : e])) if len(rest) >= e else whole[:, e - w : e] for w, e in zip(NULL_WIDTHS, ends)]
+
+
+def null_counts(drawn: list[list[np.ndarray]]) -> np.ndarray:
+    """How many null strings of all texts fall into each histogram cell."""
+    counts = np.zeros(len(CLASSES) * len(ENCODINGS) * BINS, dtype=np.int64)
+    for k, width in enumerate(NULL_WIDTHS):
+        rows = np.concatenate([np.zeros((0, width), np.uint8), *(own[k] for own in drawn)])
+        for a in range(0, len(rows), SCORE_ROWS):
+            codes = rows[a : a + SCORE_ROWS].astype(np.int64)
+            n = np.full(len(codes), width)
+            for e, (enc, size) in enumerate(ENCODINGS.items()):
+                grid = _BASE64[codes] if enc == "base64" else codes % size
+                np.add.at(counts, (k * len(ENCODINGS) + e) * BINS + score_bin(battery(grid, n, size)), 1)
+    return counts
 
 
-_SCAN = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<string>, starts array<int>, ends array<int>, encodings array<string>, bins array<int>, nulls array<int>"
+_SCAN = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<string>, starts array<int>, ends array<int>, encodings array<string>, bins array<int>, nulls array<struct<cell:int,n:long>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("base", pa.list_(pa.string())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("encodings", pa.list_(pa.string())), ("bins", pa.list_(pa.int32())), ("nulls", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("base", pa.list_(pa.string())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("encodings", pa.list_(pa.string())), ("bins", pa.list_(pa.int32())), ("nulls", pa.list_(pa.struct([("cell", pa.int32()), ("n", pa.int64())])))])
     for whole in batches:
         for a in range(0, whole.num_rows, 512):
             batch = whole.slice(a, 512)
-            rows, pending, nulls = [], {k: [] for k in ENCODINGS}, {k: [] for k in ENCODINGS}
+            rows, pending, drawn = [], {k: [] for k in ENCODINGS}, []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 spans = base_spans(text)
                 order = sorted((s, k, e) for k, kind in enumerate(KINDS[:3]) for s, e in spans[kind])
                 base = [f"{KINDS[k]}:{s}:{e}" for s, k, e in order]
                 row = {"n_assign": len(spans["assign"]), "n_access": len(spans["access"]), "n_hex": len(spans["hex"]), "base": base, "base_sha256": hashlib.sha256(",".join(base).encode()).hexdigest(), "starts": [], "ends": [], "encodings": [], "bins": [], "nulls": []}
-                for m in CANDIDATE.finditer(text):
+                runs = list(CANDIDATE.finditer(text))
+                for m in runs:
                     if enc := encoding_of(m.group()):
                         pending[enc].append((i, len(row["starts"]), TABLES[enc][np.frombuffer(m.group().rstrip("=").encode(), np.uint8)]))
                         row["starts"].append(m.start())
                         row["ends"].append(m.end())
                         row["encodings"].append(enc)
                         row["bins"].append(0)
-                for k, codes in _null_strings(text):
-                    nulls["base64"].append((i, k, _BASE64[codes]))
-                    nulls["base32"].append((i, k, codes % 32))
-                    nulls["hex"].append((i, k, codes % 16))
+                drawn.append(null_strings(text, [m.span() for m in runs]))
                 rows.append(row)
-            for e, (enc, size) in enumerate(ENCODINGS.items()):
+            for enc, size in ENCODINGS.items():
                 for (i, at, _), b in zip(pending[enc], score_bin(scores([x[2] for x in pending[enc]], size)).tolist()):
                     rows[i]["bins"][at] = b
-                for (i, k, _), b in zip(nulls[enc], score_bin(scores([x[2] for x in nulls[enc]], size)).tolist()):
-                    rows[i]["nulls"].append((k * len(ENCODINGS) + e) * BINS + b)
+            # the slice's counts stand in its first row
+            counts = null_counts(drawn)
+            rows[0]["nulls"] = [{"cell": int(c), "n": int(counts[c])} for c in np.flatnonzero(counts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[f.name] for r in rows], f.type) for f in list(schema)[1:])], schema=schema)
 
 
@@ -196,8 +219,8 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     found = docs.select(F.col("doc_id").cast("long"), text_or_empty(F.col("text")).alias("text")).mapInArrow(_scan, _SCAN)
     found = materialize(found, "secrets")
     seen = found.select(F.explode(F.transform(F.arrays_zip("starts", "ends", "encodings", "bins"), lambda x: _cell_column(x))).alias("cell"))
-    drawn = found.select(F.explode("nulls").alias("cell"))
-    counts = seen.groupBy("cell").count().withColumn("null", F.lit(False)).unionByName(drawn.groupBy("cell").count().withColumn("null", F.lit(True)))
+    drawn = found.select(F.inline("nulls")).groupBy("cell").agg(F.sum("n").alias("count"))
+    counts = seen.groupBy("cell").count().withColumn("null", F.lit(False)).unionByName(drawn.withColumn("null", F.lit(True)))
     shape = (len(CLASSES) * len(ENCODINGS), BINS)
     tables = {False: np.zeros(shape), True: np.zeros(shape)}
     for r in counts.collect():  # at most classes x encodings x bins x 2 rows, whatever the input

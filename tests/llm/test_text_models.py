@@ -173,6 +173,25 @@ def test_random_strings_are_found_among_ordinary_ones(docs):
     assert not [i for i in found if found[i] and i not in planted]
 
 
+def test_null_strings_are_of_whole_texts():
+    letters = "abcdefghijklmnopqrstuvwxyz" * 400
+    text = "é, 1 " + " ".join(letters[i : i + 7] for i in range(0, len(letters), 7)) + " " + "Z9" * 20 + " end"
+    taken = [m.span() for m in secrets.CANDIDATE.finditer(text)]
+    assert [text[a:b] for a, b in taken] == ["Z9" * 20]
+    got = secrets.null_strings(text, taken)
+    want, at, all_letters = [[] for _ in secrets.CLASSES], 0, letters + "end"
+    k = 0
+    while len(all_letters) - at >= secrets.NULL_WIDTHS[k]:
+        want[k].append(all_letters[at : at + secrets.NULL_WIDTHS[k]])
+        at += secrets.NULL_WIDTHS[k]
+        k = (k + 1) % len(secrets.CLASSES)
+    assert [[bytes(r).decode() for r in rows] for rows in got] == want
+    counts = secrets.null_counts([got, secrets.null_strings("", [])])
+    assert counts.reshape(len(secrets.CLASSES), -1).sum(1).tolist() == [len(secrets.ENCODINGS) * len(w) for w in want]
+    each = secrets.score_bin(secrets.scores([secrets._BASE64[np.frombuffer(w.encode(), np.uint8)] for w in want[2]], 64))
+    assert counts.reshape(len(secrets.CLASSES), len(secrets.ENCODINGS), -1)[2, 2].tolist() == np.bincount(each, minlength=secrets.BINS).tolist()
+
+
 def luhn_card(rng):
     digits = [4, *(rng.randrange(10) for _ in range(14))]
     total = sum(d if k % 2 else (d * 2 - 9 * (d > 4)) for k, d in enumerate(digits))
