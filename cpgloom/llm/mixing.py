@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cpgloom.llm.common import WORD, materialize
 
 #: Words in a block; times a source may be repeated; documents in a shard, roughly; shards of a source at most.
-BLOCK, REPEATS, SHARD_DOCS, MOST_SHARDS = 16, 3, 256, 4096
+BLOCK, REPEATS, SHARD_DOCS, MOST_SHARDS = 16, 3, 256, 65536
 SEED = 17
 
 

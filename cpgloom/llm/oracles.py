@@ -25,7 +25,7 @@ ranked AS (SELECT source, low, row_number() OVER (ORDER BY target / (2 * s + 1)
   SELECT *, unnest(range(low, high)) AS s FROM (SELECT *, seats - sum(low) OVER () AS free FROM bounds))),
 quotas AS (SELECT b.source, b.source_size, b.target, b.docs, least(b.low + coalesce(r.won, 0), b.most) AS quota FROM bounds b LEFT JOIN (
   SELECT source, count(*) FILTER (rank <= free) AS won FROM ranked GROUP BY source) r ON r.source IS NOT DISTINCT FROM b.source),
-dealt AS (SELECT s.doc_id, s.source, s.size, q.source_size, q.target, q.quota, md5(concat_ws('|', '17', coalesce(CAST(s.doc_id AS VARCHAR), ''), s.size)) AS key, least(4096, CAST(ceil(q.docs / 256) AS BIGINT)) AS shards
+dealt AS (SELECT s.doc_id, s.source, s.size, q.source_size, q.target, q.quota, md5(concat_ws('|', '17', coalesce(CAST(s.doc_id AS VARCHAR), ''), s.size)) AS key, least(65536, CAST(ceil(q.docs / 256) AS BIGINT)) AS shards
   FROM sizes s JOIN quotas q ON q.source IS NOT DISTINCT FROM s.source),
 placed AS (SELECT *, CAST('0x' || substr(key, 1, 8) AS BIGINT) % shards AS shard FROM dealt),
 shardsizes AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS words, any_value(quota) AS seats, CAST(ceil(sum(size) / 16) AS BIGINT) AS blocks FROM placed GROUP BY source, shard),
