@@ -37,9 +37,30 @@ def weighted_mae(units: DataFrame) -> DataFrame:
     return units.groupBy("class").agg(a.alias("mae_a"), b.alias("mae_b"), (b - a).alias("delta"))
 
 
-def bootstrap(deltas: DataFrame, draws: int, seed: int = 1) -> DataFrame:
+def agreement(a: DataFrame, b: DataFrame, keys: list[str], value: str = "beta", threshold: float = 0.5) -> DataFrame:
+    """(n, na_agreement, max_diff, label_agreement) of two results on their common keys.
+
+    na_agreement is the share of keys missing in both or in neither; the
+    difference and the calls (above ``threshold`` or not) are over keys with both values.
+    """
+    x, y = F.col("x"), F.col("y")
+    both = a.select(*keys, F.col(value).alias("x")).join(b.select(*keys, F.col(value).alias("y")), keys)
+    same = ((x > threshold) == (y > threshold)).cast("double")
+    return both.agg(F.count("*").alias("n"), F.avg((x.isNull() == y.isNull()).cast("double")).alias("na_agreement"), F.max(F.abs(x - y)).alias("max_diff"), F.avg(same).alias("label_agreement"))
+
+
+def key_match(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(n_both, only_a, only_b): how far two tables have the same keys. Paired comparisons need the last two to be 0."""
+    left, right = a.select(*keys).distinct().withColumn("in_a", F.lit(True)), b.select(*keys).distinct().withColumn("in_b", F.lit(True))
+    x, y = F.col("in_a").isNotNull(), F.col("in_b").isNotNull()
+    return left.join(right, keys, "full_outer").agg(F.count_if(x & y).alias("n_both"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"))
+
+
+def bootstrap(deltas: DataFrame, draws: int, seed: int = 1, nearest: bool = False) -> DataFrame:
     """(mean, lo, hi): 95 % interval of the mean delta over ``draws`` resamples.
 
+    Limits are interpolated, or with ``nearest`` the means of the nearest ranks.
+
     ``deltas`` is (i, d) with i from 0. A resample draws as many rows as there
     are, at places that depend on seed, draw and position; deltas are few (one a
     unit or a row of an evaluation), so the drawn places join them broadcast.
@@ -50,7 +71,11 @@ def bootstrap(deltas: DataFrame, draws: int, seed: int = 1) -> DataFrame:
         return deltas.agg(F.avg("d").alias("mean"), F.avg("d").alias("lo"), F.avg("d").alias("hi"))
     places = spark.range(draws * n).select((F.col("id") / n).cast("long").alias("draw"), F.floor(S.uniform(seed, F.col("id")) * n).cast("long").alias("i"))
     means = places.join(deltas, "i").groupBy("draw").agg(F.avg("d").alias("m"))
-    limits = means.agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+    if nearest:  # one mean for each draw
+        ordered = F.sort_array(F.collect_list("m"))
+        limits = means.agg(*[F.element_at(ordered, round((draws - 1) * q) + 1).alias(c) for q, c in ((0.025, "lo"), (0.975, "hi"))])
+    else:
+        limits = means.agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
     return deltas.agg(F.avg("d").alias("mean")).crossJoin(limits)
 
 

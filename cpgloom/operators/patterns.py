@@ -67,6 +67,12 @@ def counts_with_pna(patterns: DataFrame) -> DataFrame:
     return patterns.groupBy("pattern").agg(F.count("*").alias("n")).select("n", "pattern")
 
 
+def checksum(patterns: DataFrame) -> DataFrame:
+    """(checksum, groups): exclusive or of a hash of each pattern with its count, whatever the order."""
+    key = F.conv(F.substring(S.key_of(F.col("pattern"), F.col("n")), 1, 15), 16, 10).cast("long")
+    return counts_with_pna(patterns).agg(F.bit_xor(key).alias("checksum"), F.count("*").alias("groups"))
+
+
 def mask(members: DataFrame, top: int, pna: str = "Pna") -> DataFrame:
     """(cpg_idx, state): P<rank + 1> of the first ``top`` patterns, else the PNA label."""
     return members.select("cpg_idx", F.when(F.col("rank") < top, S.label_of(F.col("rank"))).otherwise(F.lit(pna)).alias("state"))

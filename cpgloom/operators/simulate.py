@@ -78,10 +78,15 @@ def channels(full: DataFrame, mode: str, patterns: int) -> DataFrame:
     return full.select("rep", "cell_id", F.explode(pair).alias("p")).select("rep", "cell_id", "p.j", "p.v")
 
 
-def standardise(rows: DataFrame, train: Column) -> DataFrame:
-    """(rep, cell_id, j, x): mean of the observed training rows, and their squared deviations over all training rows; missing is 0."""
+def standardise(rows: DataFrame, train: Column, trunk: bool = False) -> DataFrame:
+    """(rep, cell_id, j, x): mean of the observed training rows, and their squared deviations over all training rows; missing is 0.
+
+    A scale is at least 1e-6; for the trunk's inputs one of up to 1e-8 is 1 instead.
+    """
     mean = rows.where(train).groupBy("j").agg(F.avg("v").alias("mean"))
-    scale = rows.where(train).join(mean, "j").groupBy("j", "mean").agg(F.sqrt(F.greatest(F.coalesce(F.sum(F.pow(F.col("v") - F.col("mean"), 2)), F.lit(0.0)) / F.count("*"), F.lit(1e-12))).alias("scale"))
+    variance = F.coalesce(F.sum(F.pow(F.col("v") - F.col("mean"), 2)), F.lit(0.0)) / F.count("*")
+    least = F.when(F.sqrt(variance) <= 1e-8, 1.0).otherwise(F.sqrt(variance)) if trunk else F.sqrt(F.greatest(variance, F.lit(1e-12)))
+    scale = rows.where(train).join(mean, "j").groupBy("j", "mean").agg(least.alias("scale"))
     return rows.join(F.broadcast(scale), "j").select("rep", "cell_id", "j", F.coalesce((F.col("v") - F.col("mean")) / F.col("scale"), F.lit(0.0)).alias("x"))
 
 
@@ -95,3 +100,26 @@ def targets(codes: DataFrame, sampled: DataFrame, ladder: DataFrame) -> DataFram
     """(rep, cell_id, cpg_idx, y): true values of the CpGs that a replicate doesn't see."""
     rows = codes.crossJoin(F.broadcast(ladder.select("rep")))
     return rows.join(sampled.select("rep", "cell_id", "cpg_idx"), ["rep", "cell_id", "cpg_idx"], "left_anti").select("rep", "cell_id", "cpg_idx", (F.col("code") / 65534.0).alias("y"))
+
+
+def target_scan(rows: DataFrame, places: DataFrame, units: DataFrame, want: int, seed: int = 1) -> DataFrame:
+    """(rep, cell_id, unit, cpg_idx, y): of a unit's targets the first ``want`` from a seeded start on, going round.
+
+    ``rows`` are targets, ``places`` (dest, unit, cpg_idx) and ``units`` (unit,
+    output_offset, cpg_count). A group is one unit of one cell and replicate, so no larger than a unit.
+    """
+    local = places.join(units.select("unit", "output_offset", "cpg_count"), "unit").select("unit", "cpg_idx", (F.col("dest") - F.col("output_offset")).alias("local"), "cpg_count")
+    start = F.floor(S.uniform(seed, F.lit("t"), F.col("rep"), F.col("cell_id"), F.col("unit")) * F.col("cpg_count")).cast("long")
+    order = Window.partitionBy("rep", "cell_id", "unit").orderBy(F.pmod(F.col("local") - start, F.col("cpg_count")))
+    return rows.join(local, "cpg_idx").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= want).select("rep", "cell_id", "unit", "cpg_idx", "y")
+
+
+def stratified_batch(groups: DataFrame, easy: list[int], batch: int, fraction: float, seed: int = 1) -> DataFrame:
+    """(cpg_idx, group, pool): a seeded batch of grouped CpGs, ``fraction`` of it from the easy groups and the rest from the others.
+
+    A pool with fewer CpGs gives all it has. Each pool's share is a top-k by a stateless order, so no pool is sorted whole.
+    """
+    active = groups.where(F.col("group") > 0).withColumn("pool", F.when(F.col("group").isin(easy), "easy").otherwise("variable")).withColumn("key", S.key_of(seed, F.col("cpg_idx")))
+    share = int(batch * fraction + 0.5)
+    parts = [active.where(F.col("pool") == pool).orderBy("key", "cpg_idx").limit(n) for pool, n in (("easy", share), ("variable", batch - share))]
+    return parts[0].unionByName(parts[1]).select("cpg_idx", "group", "pool")

@@ -86,6 +86,33 @@ def upscale(inputs: DataFrame, units: DataFrame, linear: bool = True) -> DataFra
     return packed.crossJoin(units).mapInPandas(apply, "cell_id long, cpg_idx long, p double, call boolean")
 
 
+def select_outputs(units: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``units`` with the outputs of the CpGs in ``wanted`` (cpg_idx) alone, so that a forward pass computes nothing else.
+
+    Units without any are left out. In direct mode a CpG's row is in ``head``, else in ``E``.
+    """
+    listed = units.select("unit", F.posexplode("cpgs").alias("at", "cpg_idx"))
+    kept = listed.join(wanted.select("cpg_idx"), "cpg_idx", "left_semi").groupBy("unit").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    both = units.join(kept, "unit")
+
+    def rows(name: str) -> Column:
+        width = (F.size(name) / F.size("cpgs")).cast("int")
+        return F.flatten(F.transform("at", lambda i: F.slice(F.col(name), i * width + 1, width)))
+
+    def picked(name: str) -> Column:
+        return F.transform("at", lambda i: F.get(F.col(name), i))
+
+    direct = F.col("mode") == "direct"
+    chosen = {"head": F.when(direct, rows("head")).otherwise(F.col("head")), "E": F.when(direct, F.col("E")).otherwise(rows("E"))}
+    chosen |= {c: picked(c) for c in ("b", "cpgs")}
+    return both.select(*[chosen[c].alias(c) if c in chosen else F.col(c) for c in units.columns])
+
+
+def pending(units: DataFrame, checkpoint: DataFrame, run: str) -> DataFrame:
+    """The units that ``checkpoint`` (unit, run) has no row of this run for; rows of other runs don't count."""
+    return units.join(checkpoint.where(F.col("run") == run).select("unit"), "unit", "left_anti")
+
+
 def train_units(rows: DataFrame, inputs: DataFrame, rank: int = 4, steps: int = 300, evaluate: int = 50, patience: int = 4, lr: float = 1e-2, decay: float = 1e-5, seed: int = 1) -> DataFrame:
     """(unit, best_step, best_mae, n_cpg, params): one decoder for each unit, trained where its rows are.
 

@@ -137,6 +137,11 @@ def pattern_counts_with_pna(spark, d):
     return P.counts_with_pna(mined(spark, d)[0])
 
 
+@query(sql("SELECT bit_xor(CAST('0x' || substr(md5(concat_ws('|', pattern, n)), 1, 15) AS BIGINT)) AS checksum, count(*) AS groups FROM (SELECT pattern, count(*) AS n FROM pat GROUP BY pattern)", "pat"))
+def pattern_checksum(spark, d):
+    return P.checksum(mined(spark, d)[0])
+
+
 @query(sql(f"SELECT pattern, 'P' || (rank + 1) AS label, n FROM ranked WHERE rank < {TOP}", "ranked"))
 def pattern_top_k(spark, d):
     return ranks(spark, d)[1].where(F.col("rank") < TOP).select("pattern", "label", "n")
@@ -360,29 +365,34 @@ _CHANNEL = {
 }
 
 
-def inputs(spark, d, mode):
-    draws = drawn(spark, d)
-    full = M.grid(sim_feats(spark, d), draws.select("rep", "cell_id").distinct(), SIM_PATTERNS)
-    rows = M.channels(full, mode, SIM_PATTERNS).join(M.split(cells(spark, d)), "cell_id")
-    return M.standardise(rows, F.col("split") == "train")
+def sim_grid(spark, d):
+    return M.grid(sim_feats(spark, d), drawn(spark, d).select("rep", "cell_id").distinct(), SIM_PATTERNS)
+
 
+def inputs(spark, d, mode, trunk=False):
+    rows = M.channels(sim_grid(spark, d), mode, SIM_PATTERNS).join(M.split(cells(spark, d)), "cell_id")
+    return M.standardise(rows, F.col("split") == "train", trunk)
 
-def _standardised(mode):
+
+def _standardised(mode, trunk=False):
+    least = "CASE WHEN sqrt({0}) <= 1e-8 THEN 1.0 ELSE sqrt({0}) END" if trunk else "sqrt(greatest({0}, 1e-12))"
+    least = least.format("coalesce(sum((v - mean) * (v - mean)), 0) / count(*)")
     text = sql("", "simgrid", "split").rstrip() + f""", c AS ({_CHANNEL[mode]}),
 t AS (SELECT j, v, avg(v) OVER (PARTITION BY j) AS mean FROM c JOIN split USING (cell_id) WHERE split = 'train'),
-s AS (SELECT j, any_value(mean) AS mean, sqrt(greatest(coalesce(sum((v - mean) * (v - mean)), 0) / count(*), 1e-12)) AS scale FROM t GROUP BY j)
+s AS (SELECT j, any_value(mean) AS mean, {least} AS scale FROM t GROUP BY j)
 SELECT rep, cell_id, CAST(j AS INTEGER) AS j, round(coalesce((v - mean) / scale, 0), 5) AS x FROM c JOIN s USING (j)"""
 
     def run(spark, d):
         x = F.round("x", 5)
-        return inputs(spark, d, mode).select("rep", "cell_id", F.col("j").cast("int").alias("j"), F.when(x == 0, 0.0).otherwise(x).alias("x"))
+        return inputs(spark, d, mode, trunk).select("rep", "cell_id", F.col("j").cast("int").alias("j"), F.when(x == 0, 0.0).otherwise(x).alias("x"))
 
-    run.__name__ = f"feature_standardize_{mode}"
+    run.__name__ = f"feature_standardize_{'trunk' if trunk else mode}"
     return query(text)(run)
 
 
 for _mode in _CHANNEL:
     _standardised(_mode)
+_standardised("missing", trunk=True)
 
 
 @query(sql("""SELECT c.cpg_idx, round(ln(q / (1 - q)), 6) AS logit FROM (
@@ -398,6 +408,31 @@ def train_targets(spark, d):
     return rounded(M.targets(M.truth_codes(B.query_obs(spark, d)), drawn(spark, d), ladder(spark)))
 
 
+@query(sql("", "codes", "sampled", "member", "allunits").rstrip() + """, place AS (SELECT p.dest - u.output_offset AS local, u.unit, u.cpg_count, p.cpg_idx
+  FROM (SELECT row_number() OVER (ORDER BY rank NULLS LAST, cpg_idx) - 1 AS dest, cpg_idx FROM member) p JOIN allunits u ON p.dest >= u.output_offset AND p.dest < u.output_offset + u.cpg_count),
+t AS (SELECT l.rep, c.cell_id, c.cpg_idx, c.code / 65534.0 AS y FROM codes c CROSS JOIN ladder l ANTI JOIN sampled s ON s.rep = l.rep AND s.cell_id = c.cell_id AND s.cpg_idx = c.cpg_idx),
+o AS (SELECT t.*, unit, local, cpg_count, CAST(floor(CAST('0x' || substr(md5(concat_ws('|', '1', 't', rep, cell_id, unit)), 1, 8) AS BIGINT) / 4294967296.0 * cpg_count) AS BIGINT) AS start FROM t JOIN place USING (cpg_idx))
+SELECT rep, cell_id, unit, cpg_idx, round(y, 6) AS y FROM (SELECT *, row_number() OVER (PARTITION BY rep, cell_id, unit ORDER BY (local - start + cpg_count) % cpg_count) AS rn FROM o) WHERE rn <= 4""")
+def train_target_scan(spark, d):
+    of, ranked, real = placed(spark, d)
+    rows = M.targets(M.truth_codes(B.query_obs(spark, d)), drawn(spark, d), ladder(spark))
+    return rounded(M.target_scan(rows, U.scatter(of, ranked, real, TARGET), every_unit(of, real), 4))
+
+
+@query(sql("""SELECT cpg_idx, "group", pool FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY md5(concat_ws('|', '1', cpg_idx)), cpg_idx) AS rn FROM (
+  SELECT cpg_idx, CAST(rank + 1 AS BIGINT) AS "group", CASE WHEN rank < 2 THEN 'easy' ELSE 'variable' END AS pool FROM member WHERE rank < 10)) WHERE rn <= CASE WHEN pool = 'easy' THEN 6 ELSE 54 END""", "member"))
+def trunk_batch(spark, d):
+    return M.stratified_batch(P.group_map(masked(spark, d), 10), [1, 2], 60, 0.1)
+
+
+@query(sql("SELECT unit, cpg_count, class FROM allunits WHERE unit % 3 <> 0", "allunits"))
+def units_pending(spark, d):
+    of, _, real = placed(spark, d)
+    units = every_unit(of, real)
+    done = units.where(F.col("unit") % 3 < 2).select("unit", F.when(F.col("unit") % 3 == 0, "this").otherwise("other").alias("run"))
+    return V.pending(units, done, "this").select("unit", "cpg_count", "class")
+
+
 # ---- decoders ----
 
 # weights of a block of three inputs, two hidden and four outputs
@@ -415,11 +450,14 @@ def upscale_forward_block(spark, d):
     return rounded(w.select("cell_id", F.posexplode(F.array(*p)).alias("out", "p")))
 
 
-@query(sql("""SELECT cell_id, CAST(u.i AS BIGINT) AS cpg_idx, round(p, 6) AS p, p > 0.5 AS call FROM (
+_FORWARD_UNITS = """SELECT cell_id, CAST(u.i AS BIGINT) AS cpg_idx, round(p, 6) AS p, p > 0.5 AS call FROM (
   SELECT cell_id, [1 / (1 + exp(-(0.5 * (x0 - x1 + 0.1) - 0.2))), 1 / (1 + exp(-(x1 + 0.05))), 1 / (1 + exp(-(-1.0 * (x0 - x1 + 0.1) + 0.3)))] AS q FROM (
     SELECT cell_id, (coalesce(max(beta) FILTER (pattern = 'P1'), 0.5) - 0.5) / 0.25 AS x0, (coalesce(max(beta) FILTER (pattern = 'P2'), 0.5) - 0.5) / 0.25 AS x1 FROM feat GROUP BY 1)),
-  LATERAL (SELECT unnest(range(3)) AS i, unnest(q) AS p) u""", "feat"))
-def upscale_forward_units(spark, d):
+  LATERAL (SELECT unnest(range(3)) AS i, unnest(q) AS p) u"""
+
+
+def small_decoder(spark, d):
+    """Standardised inputs of two patterns, and the units of a decoder of three CpGs."""
     w = X.wide(feats(spark, d), STATES[:2]).select("cell_id", F.array(*[V.imputed(F.col(c), 0.5, 0.5, 0.25) for c in STATES[:2]]).alias("x"))
     units = [
         {"unit": 0, "mode": "factor", "rank": 1, "a": [0.1], "head": [1.0, -1.0], "E": [0.5, -1.0], "b": [-0.2, 0.3], "cpgs": [0, 2]},
@@ -428,7 +466,18 @@ def upscale_forward_units(spark, d):
     V.check_units(units, 3)
     schema = "unit int, mode string, rank int, a array<double>, head array<double>, E array<double>, b array<double>, cpgs array<long>"
     table = spark.createDataFrame([tuple(u.values()) for u in units], schema)
-    return rounded(V.upscale(w, table))
+    return w, table
+
+
+@query(sql(_FORWARD_UNITS, "feat"))
+def upscale_forward_units(spark, d):
+    return rounded(V.upscale(*small_decoder(spark, d)))
+
+
+@query(sql(_FORWARD_UNITS + " WHERE u.i > 0", "feat"))
+def upscale_forward_selected(spark, d):
+    w, units = small_decoder(spark, d)
+    return rounded(V.upscale(w, V.select_outputs(units, spark.range(1, 3).withColumnRenamed("id", "cpg_idx"))))
 
 
 @query()
@@ -468,15 +517,43 @@ def eval_weighted_mae(spark, d):
     return rounded(E.weighted_mae(units))
 
 
-@query(sql("", "pred").rstrip() + """, u AS (SELECT row_number() OVER (ORDER BY state) - 1 AS i, avg(abs(q - y)) - avg(abs(p - y)) AS d FROM pred GROUP BY state),
+_PAIR = "(SELECT * FROM simgrid WHERE rep = 0) a {0} JOIN (SELECT * FROM simgrid WHERE rep = 1) b"
+
+
+@query(sql("""SELECT count(*) AS n, round(avg(CASE WHEN (a.beta IS NULL) = (b.beta IS NULL) THEN 1.0 ELSE 0.0 END), 6) AS na_agreement, round(max(abs(a.beta - b.beta)), 6) AS max_diff,
+  round(avg(CASE WHEN a.beta IS NULL OR b.beta IS NULL THEN NULL WHEN (a.beta > 0.5) = (b.beta > 0.5) THEN 1.0 ELSE 0.0 END), 6) AS label_agreement FROM """ + _PAIR.format("") + " USING (cell_id, pattern)", "simgrid"))
+def eval_agreement(spark, d):
+    full = sim_grid(spark, d)
+    return rounded(E.agreement(full.where("rep = 0"), full.where("rep = 1"), ["cell_id", "pattern"]))
+
+
+@query(sql("""SELECT count(*) FILTER (a.rank IS NOT NULL AND b.rank IS NOT NULL) AS n_both, count(*) FILTER (b.rank IS NULL) AS only_a, count(*) FILTER (a.rank IS NULL) AS only_b FROM (
+  SELECT DISTINCT cell_id, pattern, 1 AS rank FROM simfeat WHERE rep = 0) a FULL JOIN (SELECT DISTINCT cell_id, pattern, 1 AS rank FROM simfeat WHERE rep = 1) b USING (cell_id, pattern)""", "simfeat"))
+def eval_key_match(spark, d):
+    f = sim_feats(spark, d)
+    return E.key_match(f.where("rep = 0"), f.where("rep = 1"), ["cell_id", "pattern"])
+
+
+_BOOTSTRAP = sql("", "pred").rstrip() + """, u AS (SELECT row_number() OVER (ORDER BY state) - 1 AS i, avg(abs(q - y)) - avg(abs(p - y)) AS d FROM pred GROUP BY state),
 n AS (SELECT count(*) AS n FROM u),
 r AS (SELECT k // n.n AS draw, CAST(floor(CAST('0x' || substr(md5(concat_ws('|', '1', k)), 1, 8) AS BIGINT) / 4294967296.0 * n.n) AS BIGINT) AS i FROM n, LATERAL (SELECT unnest(range(1000 * n.n)) AS k)),
 m AS (SELECT draw, avg(d) AS m FROM r JOIN u USING (i) GROUP BY draw)
-SELECT round((SELECT avg(d) FROM u), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
-def eval_bootstrap_ci(spark, d):
+SELECT round((SELECT avg(d) FROM u), 6) AS mean, """
+
+
+def state_deltas(spark, d):
     units = predictions(spark, d).groupBy("state").agg((F.avg(F.abs(F.col("q") - F.col("y"))) - F.avg(F.abs(F.col("p") - F.col("y")))).alias("d"))
-    deltas = units.select((F.row_number().over(Window.orderBy("state")) - 1).cast("long").alias("i"), "d")
-    return rounded(E.bootstrap(deltas, 1000))
+    return units.select((F.row_number().over(Window.orderBy("state")) - 1).cast("long").alias("i"), "d")
+
+
+@query(_BOOTSTRAP + "round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m")
+def eval_bootstrap_ci(spark, d):
+    return rounded(E.bootstrap(state_deltas(spark, d), 1000))
+
+
+@query(_BOOTSTRAP + "round(list_sort(list(m))[26], 6) AS lo, round(list_sort(list(m))[975], 6) AS hi FROM m")
+def eval_bootstrap_nearest(spark, d):
+    return rounded(E.bootstrap(state_deltas(spark, d), 1000, nearest=True))
 
 
 @query(sql("""SELECT CAST(level AS INTEGER) AS level, round(avg(abs(p - b)), 6) AS mae FROM (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cpgloom.operators import classify as C
 from cpgloom.operators import deconvolve as D
+from cpgloom.operators import evaluate as E
 from cpgloom.operators import features as X
 from cpgloom.operators import simulate as M
 from cpgloom.operators import upscale as V
@@ -39,6 +40,52 @@ def test_units_in_position_order(spark):
     assert [r["call"] for r in got] == [False, True, True]
 
 
+def test_selected_outputs_are_those_of_all(spark):
+    x = spark.createDataFrame([(i, np.random.default_rng(i).normal(size=2).tolist()) for i in range(4)], "cell_id long, x array<double>")
+    rng = np.random.default_rng(9)
+    units = spark.createDataFrame(
+        [(0, "factor", 3, rng.normal(size=3).tolist(), rng.normal(size=6).tolist(), rng.normal(size=12).tolist(), rng.normal(size=4).tolist(), [5, 0, 3, 1]), (1, "direct", 0, [], rng.normal(size=6).tolist(), [], rng.normal(size=3).tolist(), [2, 6, 4]), (2, "direct", 0, [], [0.5, 0.5], [], [0.1], [7])],
+        "unit int, mode string, rank int, a array<double>, head array<double>, E array<double>, b array<double>, cpgs array<long>",
+    )
+    every = {(r["cell_id"], r["cpg_idx"]): r["p"] for r in V.upscale(x, units).collect()}
+    for wanted in ([0, 3, 6, 3, 99], [4], []):
+        kept = V.select_outputs(units, spark.createDataFrame([(c,) for c in wanted], "cpg_idx long"))
+        assert kept.columns == units.columns
+        got = {(r["cell_id"], r["cpg_idx"]): r["p"] for r in V.upscale(x, kept).collect()}
+        assert got == pytest.approx({k: v for k, v in every.items() if k[1] in wanted})
+
+
+def test_agreement_and_keys(spark):
+    a = spark.createDataFrame([(1, 0.2), (2, None), (3, 0.9), (4, None), (5, 0.5)], "k int, beta double")
+    b = spark.createDataFrame([(1, 0.3), (2, None), (3, 0.1), (4, 0.4), (6, 1.0)], "k int, beta double")
+    (r,) = E.agreement(a, b, ["k"]).collect()
+    assert (r["n"], r["na_agreement"], r["label_agreement"]) == (4, 0.75, 0.5) and r["max_diff"] == pytest.approx(0.8)
+    assert tuple(E.key_match(a, b, ["k"]).first()) == (4, 1, 1)
+    none = a.where("k < 0")
+    assert tuple(E.key_match(none, none, ["k"]).first()) == (0, 0, 0)
+    assert tuple(E.agreement(none, none, ["k"]).first()) == (0, None, None, None)
+
+
+def test_scan_goes_round_and_batch_takes_what_there_is(spark):
+    rows = spark.createDataFrame([(0, c, i, 0.5) for c in range(6) for i in range(10) if i != 4], "rep int, cell_id long, cpg_idx long, y double")
+    places = spark.createDataFrame([(100 + i, 7, i) for i in range(10)], "dest long, unit int, cpg_idx long")
+    units = spark.createDataFrame([(7, 100, 10)], "unit int, output_offset long, cpg_count long")
+    got = M.target_scan(rows, places, units, 3).collect()
+    for c in range(6):
+        own = {r["cpg_idx"] for r in got if r["cell_id"] == c}
+        rounds = [[(s + k) % 10 for k in range(10) if (s + k) % 10 != 4][:3] for s in range(10)]
+        assert own in map(set, rounds)
+    groups = spark.createDataFrame([(i, i % 3) for i in range(30)], "cpg_idx long, group long")
+    batch = M.stratified_batch(groups, [1], 18, 0.8).collect()
+    assert sorted((r["pool"], r["group"]) for r in batch) == [("easy", 1)] * 10 + [("variable", 2)] * 4
+
+
+def test_pending_units(spark):
+    units = spark.createDataFrame([(0,), (1,), (2,)], "unit int")
+    done = spark.createDataFrame([(0, "a"), (1, "b"), (0, "a")], "unit int, run string")
+    assert sorted(r["unit"] for r in V.pending(units, done, "a").collect()) == [1, 2]
+
+
 def test_duplicate_position_is_rejected():
     with pytest.raises(ValueError):
         V.check_units([{"cpgs": [2, 0]}, {"cpgs": [0]}], 3)
