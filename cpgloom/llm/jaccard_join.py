@@ -176,6 +176,8 @@ def _pair():
 
 #: Stands for a null doc_id in joins.
 NOWHERE = -(2**63)
+#: All characters between words.
+SPACE = " \t\n\v\f\r"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -184,15 +186,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOWHERE)).alias("place"), F.xxhash64(text).alias("tkey"), text.alias("text"))
 
 
-def classes(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, cells: int = CELLS) -> DataFrame:
-    """Near-duplicate classes: (doc_id, tkey, n_shingles, component_id), one row for each input row.
+def _named(docs: DataFrame, ngram: int, percent: int, cells: int) -> DataFrame:
+    """(component, doc_id, tkey, sid, n), one row for each input row; ``component`` is a node, the same for all sets that links connect.
 
-    ``component_id`` is the smallest doc_id among all documents that links lead
-    to. Null and wordless texts have no n-grams, link with nothing and are their
-    own component. Rows with a null doc_id take part as documents; a component of
-    such rows alone has a null id. Repeated rows come as often as they are. An empty
-    table gives an empty table; columns other than doc_id and text are not read.
-    ``tkey`` tells rows of one doc_id apart by their texts.
+    Rows with n = 0 have no n-grams, and their component says nothing.
     """
     spark = docs.sparkSession
     keyed = _keyed(docs)
@@ -237,20 +234,37 @@ def classes(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, cells:
     if cross.limit(1).count():
         found = components(links.unionByName(verified(cross)))
 
-    named = sets.select(F.when(F.col("place") != NOWHERE, F.col("place")).alias("doc_id"), "tkey", "sid", "n").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    return sets.select(F.when(F.col("place") != NOWHERE, F.col("place")).alias("doc_id"), "tkey", "sid", "n").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+
+
+def classes(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, cells: int = CELLS) -> DataFrame:
+    """Near-duplicate classes: (doc_id, tkey, n_shingles, component_id), one row for each input row.
+
+    ``component_id`` is the smallest doc_id among all documents that links lead
+    to. Null and wordless texts have no n-grams, link with nothing and are their
+    own component. Rows with a null doc_id take part as documents; a component of
+    such rows alone has a null id. Repeated rows come as often as they are. An empty
+    table gives an empty table; columns other than doc_id and text are not read.
+    ``tkey`` tells rows of one doc_id apart by their texts.
+    """
+    named = _named(docs, ngram, percent, cells)
     least = materialize(named.where(F.col("n") > 0).groupBy("component").agg(F.min("doc_id").alias("least")), "join-least")
     out = named.join(least, "component", "left")
     return out.select("doc_id", "tkey", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each near-duplicate class: that of the smallest doc_id.
+    """``docs`` with one document of each near-duplicate class: that of the smallest doc_id, a null one being the last.
 
-    Documents without words stay. Of rows with equal doc_id and text one stays.
+    Documents without words are in no class and stay, all that have a null
+    doc_id included. Of rows with equal doc_id (not null) and text one stays.
     """
-    kept = classes(docs, ngram, percent).where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy(F.coalesce("doc_id", F.lit(NOWHERE)).alias("place")).agg(F.min("tkey").alias("tkey"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tkey")).alias("t")
+    kept = _named(docs, ngram, percent, CELLS).where(F.col("n") > 0).groupBy("component").agg(first)
+    kept = kept.select(F.coalesce("t.doc_id", F.lit(NOWHERE)).alias("place"), "t.tkey")
     # whole rows travel as one struct, so that no column of theirs can meet one of these names
-    rows = docs.select(F.struct("*").alias("row"))
-    rows = rows.select("row", F.coalesce(F.col("row")["doc_id"].cast("long"), F.lit(NOWHERE)).alias("place"), F.xxhash64(text_or_empty(F.col("row")["text"])).alias("tkey"))
-    return rows.join(kept, ["place", "tkey"], "left_semi").dropDuplicates(["place", "tkey"]).select("row.*")
+    text, place = F.col("row")["text"], F.coalesce(F.col("row")["doc_id"].cast("long"), F.lit(NOWHERE))
+    rows = docs.select(F.struct("*").alias("row")).select("row", place.alias("place"), F.xxhash64(text_or_empty(text)).alias("tkey"), (F.ltrim(text_or_empty(text), F.lit(SPACE)) == "").alias("wordless"))
+    worded = rows.where(~F.col("wordless")).join(kept, ["place", "tkey"], "left_semi").dropDuplicates(["place", "tkey"])
+    wordless = rows.where("wordless").withColumn("null", text.isNull()).withColumn("own", F.when(F.col("row")["doc_id"].isNull(), F.monotonically_increasing_id()))
+    return worded.select("row.*").unionByName(wordless.dropDuplicates(["place", "tkey", "null", "own"]).select("row.*"))

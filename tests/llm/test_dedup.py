@@ -140,6 +140,19 @@ def test_keep_one(docs):
     assert kept.columns == docs(rows).columns
 
 
+def test_keep_one_by_class(docs):
+    """A class keeps one document whatever its rows' doc_ids: null, shared by two classes, or both."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    rows = [(None, a), (None, a + " more"), (None, b), (None, c), (4, c), (7, d), (7, "quite another text here"), (7, "quite another text here"), (8, d + " more")]
+    wordless = [(None, None), (None, None), (None, ""), (None, " \t\n\v\f\r"), (9, None), (9, ""), (9, ""), (9, "\n")]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs(rows + wordless), 5, 80).collect()]
+    assert sorted(((i, t) for i, t in kept if (t or "").strip()), key=str) in (
+        sorted([(None, x), (None, b), (4, c), (7, d), (7, "quite another text here")], key=str) for x in (a, a + " more")
+    )
+    assert sorted((x for x in kept if not (x[1] or "").strip()), key=str) == sorted([(None, None), (None, None), (None, ""), (None, " \t\n\v\f\r"), (9, None), (9, ""), (9, "\n")], key=str)
+    assert jaccard_join.keep_one(docs([]), 5, 80).count() == 0
+
+
 def test_suffix_filter_never_rejects_a_link():
     import numpy as np
 
