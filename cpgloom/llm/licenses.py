@@ -3,16 +3,18 @@
 A template is a notice, as shingles of five plain words in lower case (a shorter
 notice is one shingle as a whole). For each template length class the text has
 windows of twice that many words, each half over the next, so every occurrence
-lies whole in some window and makes up at least about a third of its shingles.
-With BANDS bands of one row a window at Jaccard similarity J shares a band with
-probability 1 - (1 - J)**BANDS: over 0.99999 from J = 0.2 on. A retrieved pair
-is verified exactly: the share of the template's shingles that the window holds
-must reach CONTAINED. Band keys are smallest hashes, which are shingles of both
+of at most that length lies whole in some window. With bands of one row a window at Jaccard similarity
+J shares no band with probability (1 - J)**bands. Each length class has BANDS
+bands or more, so many that this is at most MISSED for the smallest J of an
+accepted occurrence of any of its templates: 1/12 for a notice of five words,
+whose windows have 12 shingles. A retrieved pair is verified exactly: the share
+of the template's shingles that the window holds must reach CONTAINED. Band keys are smallest hashes, which are shingles of both
 sides, so only windows that hold some template shingle need signatures.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cpgloom.llm.common import LOWER, PLAIN, gram_hashes, mix64, slices, text_or_empty, word_hashes, word_spans
 
-SHINGLE, BANDS, CONTAINED = 5, 64, 0.8
+SHINGLE, BANDS, CONTAINED, MISSED = 5, 64, 0.8, 1e-5
 
 # Short public notices.
 NOTICES = {
@@ -58,26 +60,40 @@ def row_shingles(words: np.ndarray, n: int) -> np.ndarray:
 def signature(shingles: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """Smallest value of each of the bands' hash functions over the shingles."""
     salts = mix64(np.arange(1, bands + 1, dtype=np.uint64))
-    return mix64(shingles[:, None] ^ salts[None, :]).min(0)
+    return np.concatenate([mix64(shingles[:, None] ^ salts[None, a : a + 256]).min(0) for a in range(0, bands, 256)])
+
+
+def least_jaccard(shingles: int, width: int, n: int, contained: float) -> float:
+    """Smallest Jaccard similarity of a template to a window that holds an accepted occurrence of it."""
+    common = next((k for k in range(1, shingles + 1) if k / shingles >= contained), shingles)
+    return common / (2 * width - n + 1 + shingles - common)
+
+
+def bands_for(jaccard: float, missed: float = MISSED) -> int:
+    """Bands of one row, BANDS at least, of which a pair at this similarity shares none with probability ``missed`` at most."""
+    return max(BANDS, math.ceil(math.log(missed) / math.log1p(-jaccard))) if jaccard < 1 else BANDS
 
 
 class Templates:
     """Template shingles, and the table from (band, smallest hash) to templates of each window width."""
 
-    def __init__(self, notices: dict[str, str], n: int = SHINGLE, bands: int = BANDS):
-        self.n, self.bands = n, bands
+    def __init__(self, notices: dict[str, str], n: int = SHINGLE, contained: float = CONTAINED):
+        self.n = n
         self.names = sorted(notices)
         self.words = [text_words(notices[name]) for name in self.names]
         self.sets = [np.unique(row_shingles(w, min(n, max(len(w), 1)))) for w in self.words]
         self.table: dict[int, dict[tuple[int, int], set[int]]] = {}
         self.sizes: dict[tuple[int, int], np.ndarray] = {}
-        for i, (w, s) in enumerate(zip(self.words, self.sets)):
+        keys = [(1 << max(2, (len(w) - 1).bit_length()), min(n, len(w))) for w in self.words]
+        self.bands: dict[tuple[int, int], int] = {}
+        for key, s in zip(keys, self.sets):
+            if len(s):
+                self.bands[key] = max(self.bands.get(key, 0), bands_for(least_jaccard(len(s), *key, contained)))
+        for i, (key, s) in enumerate(zip(keys, self.sets)):
             if not len(s):
                 continue
-            width = 1 << max(2, (len(w) - 1).bit_length())
-            key = (width, min(n, len(w)))
             own = self.table.setdefault(key, {})
-            for b, v in enumerate(signature(s, bands).tolist()):
+            for b, v in enumerate(signature(s, self.bands[key]).tolist()):
                 own.setdefault((b, v), set()).add(i)
             self.sizes[key] = np.unique(np.concatenate((self.sizes.get(key, np.zeros(0, np.uint64)), s)))
 
@@ -97,7 +113,7 @@ class Templates:
             for s in starts[starts >= 0].tolist():
                 own = shingles[s : s + 2 * width - n + 1]
                 found: set[int] = set()
-                for key in enumerate(signature(own, self.bands).tolist()):
+                for key in enumerate(signature(own, self.bands[width, n]).tolist()):
                     found |= table.get(key, set())
                 for i in found:
                     place = np.flatnonzero(np.isin(own, self.sets[i]))
@@ -147,7 +163,7 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, contained: floa
     kind = pa.list_(pa.struct([("name", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("containment", pa.float64())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates(notices)
+        templates = Templates(notices, contained=contained)
         every = np.unique(np.concatenate([np.zeros(0, np.uint64), *templates.sizes.values()]))
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1)):

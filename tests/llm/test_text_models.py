@@ -125,6 +125,21 @@ def test_licences(docs):
     assert {len(r["matches"]) for r in licenses.scan(docs(rows), {}).collect()} == {0}
 
 
+def test_short_licences_are_found_at_all_places():
+    """A notice of one shingle, and a shortened one of nine words, in each of many places among other words."""
+    rng = random.Random(5)
+    nine = "one two three four five six seven eight nine"
+    for notices, found in (({"MIT": licenses.NOTICES["MIT"]}, licenses.NOTICES["MIT"]), ({"nine": nine}, nine.rsplit(" ", 1)[0])):
+        templates = licenses.Templates(notices)
+        n, missed = len(found.split()), []
+        for k in range(4000):
+            before = rng.randrange(16, 48)
+            words = [f"w{rng.randrange(10**9)}" for _ in range(before)] + found.split() + [f"w{rng.randrange(10**9)}" for _ in range(40)]
+            if [m[1:3] for m in templates.find(licenses.text_words(" ".join(words)))] != [(before, before + n)]:
+                missed.append(k)
+        assert missed == []
+
+
 def test_licence_with_one_word_changed(docs):
     text = licenses.NOTICES["BSD"].replace("are met", "are fulfilled") + " and more words after it"
     (row,) = licenses.scan(docs([(1, text)])).collect()
