@@ -119,7 +119,9 @@ def train_units(rows: DataFrame, inputs: DataFrame, rank: int = 4, steps: int =
     ``rows`` is (unit, rep, cell_id, split, cpg_idx, y) and ``inputs`` (rep,
     cell_id, x). Adam with a plain L2 term in the gradient, squared error after the
     sigmoid, biases undecayed; stops after ``patience`` evaluations without gain.
-    A unit's rows are bounded by its size, so one group fits in a task.
+    All rows of a unit are one group in one task: its CpGs times covered cells
+    times replicates. That grows with the cells, and a unit of one large
+    membership, which is never split, with the CpGs, so it is not bounded.
     """
     def fit(df: pd.DataFrame) -> pd.DataFrame:
         cpgs = np.sort(df["cpg_idx"].unique())
