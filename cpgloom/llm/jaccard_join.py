@@ -13,6 +13,8 @@ that share an n-gram, not all pairs are made: first all meet the list's most
 central set, and only sets that the found links leave in different components
 meet each other. No link between components can be missed, as every pair that
 shares a prefix n-gram is then either verified or inside one component.
+So links inside a component are not all verified: classes are exact, but neither
+the links nor a document's number of links can be told.
 """
 
 from __future__ import annotations
