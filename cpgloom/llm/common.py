@@ -28,11 +28,13 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local default only where none is set."""
+    """The folder that driver and executors share; a local default only on a local master, where they are one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "/tmp/checkpoints"
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "/tmp/checkpoints"
 
 
 @contextmanager
@@ -53,7 +55,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with released_shuffles(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialize`` that nothing reads any more, since all that was made of them is written too."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(c: Column) -> Column:
@@ -156,13 +167,18 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: int) -> DataFrame:
-    """(doc_id, text, label int): the documents of at most ``most`` labelled ids, chosen by a seeded hash.
-
-    The chosen labels are bounded in number, so they are broadcast and the texts
-    are not shuffled. Rows with a null id or label, or a null text, take no part;
-    of repeated labels of an id the largest counts, and equal texts count once.
+    """(doc_id, text, label int): the texts of at most ``most`` labelled ids, chosen by a seeded hash.
+
+    The chosen labels are bounded in number, so they are broadcast and only the
+    sample's texts are shuffled. A label is 1 if it is above 0, else 0. Rows with
+    a null id or label, or a null text, take no part; of repeated labels of an id
+    the largest counts; of different texts of an id the one with the smallest
+    hash; equal texts count once, with the largest label and the smallest id. So
+    there are at most ``most`` rows.
     """
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("label"))
+    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), (F.col(label) > 0).cast("int").alias("label"))
     chosen = chosen.groupBy("_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.col("_id"), F.lit(seed)), "_id").limit(most)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    return found.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    found = found.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("key"), "text")).alias("t"), F.max("label").alias("label"))
+    return one.groupBy(F.col("t.key"), F.col("t.text").alias("text")).agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")).select("doc_id", "text", "label")
