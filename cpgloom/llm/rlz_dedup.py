@@ -4,17 +4,20 @@ Index. Every document is cut at content-defined anchors: the anchor of a window
 of ``window`` words is its smallest hashed ``gram``-word run. Neighbouring
 windows with the same anchor form a block, so equal passages are cut alike
 wherever they stand, about one block for each 20 words. The reference is the set
-of distinct blocks of all documents, each with the first document (smallest
-doc_id) that holds it; it is built by a grouped minimum and is never in one place.
-
-Parsing. A document's blocks are looked up in the reference by a join. A block
-that an earlier document holds is copied whole, and runs of such blocks are one
-greedy factor. Where the run ends, at the factor's boundary, the match may go on
-into a part of the next block: if blocks of other content share the anchor, the
-windows of the first copies of these blocks are looked up one by one. Factors of
-at least ``window`` words are the duplicate spans. Windows of a block whose
-first copy is elsewhere need no such look, since that copy's windows stand for
-them.
+of distinct blocks of all documents, each with its first place (smallest doc_id,
+then the place in that document); it is built by a grouped minimum and is never
+in one place.
+
+Parsing. A document's blocks are looked up in the reference by a join, and a
+block that an earlier document holds is a copy of the reference from a known
+place on. Where a block isn't copied whole, a factor may still end inside it: if
+blocks of other content share its anchor, its windows are looked up one by one
+among those of such blocks' first copies. (Windows of a block whose first copy
+is elsewhere need no such look, since that copy's windows stand for them.) From
+left to right, a factor goes on as long as the next window is a copy of the next
+place of the same reference document, so a factor is (reference document, place
+in it, length in words). Factors are made of whole windows, so all are long
+enough, and the words that they cover are the duplicate spans.
 
 Keys are pairs of 64-bit hashes (anchor and content), so they behave as 128 bits.
 """
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cpgloom.llm.common import gram_hashes, materialize, mix64, powers, slices, text_or_empty, word_hashes, word_spans
+from cpgloom.llm.common import discard, gram_hashes, materialize, mix64, powers, slices, text_or_empty, word_hashes, word_spans
 
 WINDOW, GRAM = 50, 12
 _ROLL = np.uint64(0xA24BAED4963EE407)
@@ -77,8 +80,22 @@ def blocks_of(words: np.ndarray, first: np.ndarray, window: int, gram: int) -> t
     return row[begin], inside[begin] - first[row[begin]], size, grams[anchor[begin]], content
 
 
+def origins(row: np.ndarray, start: np.ndarray, anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """For each block, where the first block of the same content starts in its row."""
+    order = np.lexsort((start, content, anchor, row))
+    same = np.zeros(len(order), dtype=bool)
+    for x in (row, anchor, content):
+        x = x[order]
+        same[1:] |= x[1:] != x[:-1]
+    same[:1] = True
+    lead = np.maximum.accumulate(np.where(same, np.arange(len(order)), 0))
+    out = np.empty_like(start)
+    out[order] = start[order][lead]
+    return out
+
+
 def _index(window: int, gram: int):
-    names = ["doc_id", "tkey", "anchor", "block", "start", "n"]
+    names = ["doc_id", "tkey", "anchor", "block", "start", "origin", "n"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,13 +104,14 @@ def _index(window: int, gram: int):
                 starts, ends, first = word_spans(data, offsets)
                 row, start, n, anchor, content = blocks_of(word_hashes(data, starts, ends), first, window, gram)
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[a:b][row]), pa.array(key[a:b][row]), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=names)
+                    columns = (doc[a:b][row], key[a:b][row], anchor.view(np.int64), content.view(np.int64), start.astype(np.int32), origins(row, start, anchor, content).astype(np.int32), n.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return index
 
 
 def _windows(window: int):
-    names = ["doc_id", "tkey", "anchor", "content", "at"]
+    names = ["doc_id", "tkey", "anchor", "content", "place"]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,42 +143,65 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, tkey, copies array<struct<start, n>>): runs of windows that begin in an earlier document too."""
+    """(doc_id, tkey, copies array<struct<start, n, ref, at>>): runs of n windows that document ``ref``, an earlier one, holds from its word ``at`` on.
+
+    Aggregates are written before they are joined: a join of plain exchanges lets Spark split a block, anchor or text that many rows share.
+    """
     keyed = _keyed(docs)
-    blocks = materialize(keyed.where(F.col("doc_id").isNotNull()).mapInArrow(_index(window, gram), "doc_id long, tkey long, anchor long, block long, start int, n int"), "rlz-blocks")
-    reference = blocks.groupBy("anchor", "block").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    shared = reference.groupBy("anchor").agg(F.count("*").alias("blocks"), F.min("first").alias("low"), F.max("last").alias("high"))
-    shared = shared.where((F.col("blocks") > 1) & (F.col("low") < F.col("high"))).select("anchor", F.lit(True).alias("varies"))
-    useful = reference.join(shared, "anchor", "left").where((F.col("first") < F.col("last")) | F.col("varies")).select("anchor", "block", "first", F.coalesce("varies", F.lit(False)).alias("varies"))
-    found = blocks.join(useful, ["anchor", "block"]).where((F.col("first") < F.col("doc_id")) | F.col("varies"))
-    copied = F.col("first") < F.col("doc_id")
-    one = F.struct("start", "n")
+    blocks = materialize(keyed.where(F.col("doc_id").isNotNull()).mapInArrow(_index(window, gram), "doc_id long, tkey long, anchor long, block long, start int, origin int, n int"), "rlz-blocks")
+    reference = blocks.groupBy("anchor", "block").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last"), F.min_by("origin", "doc_id").alias("at"))
+    reference = materialize(reference, "rlz-reference")
+    shared = reference.groupBy("anchor").agg(F.count("*").alias("blocks"), F.min("ref").alias("low"), F.max("last").alias("high"))
+    shared = materialize(shared.where((F.col("blocks") > 1) & (F.col("low") < F.col("high"))).select("anchor", F.lit(True).alias("varies")), "rlz-anchors")
+    useful = reference.join(shared, "anchor", "left").where((F.col("ref") < F.col("last")) | F.col("varies"))
+    useful = materialize(useful.select("anchor", "block", "ref", "at", F.coalesce("varies", F.lit(False)).alias("varies")), "rlz-useful")
+    discard(reference, shared)
+    copied = F.col("ref") < F.col("doc_id")
+    found = blocks.join(useful, ["anchor", "block"]).where(copied | F.col("varies"))
+    # sets, so that repeated rows of one text are one here
     per_doc = found.groupBy("doc_id", "tkey").agg(
-        F.collect_list(F.when(copied, one)).alias("copies"), F.collect_list(F.when(~copied, F.struct("start", "n", "anchor"))).alias("edges")
+        F.collect_set(F.when(copied, F.struct("start", "n", "ref", "at"))).alias("copies"), F.collect_set(F.when(~copied, F.struct("start", "n", "anchor"))).alias("edges")
     )
-    per_doc = materialize(per_doc, "rlz-marks")
+    per_doc = materialize(per_doc, "rlz-copies")
+    discard(blocks, useful)
     edges = per_doc.where(F.size("edges") > 0).select("doc_id", "tkey", "edges")
-    # repeated rows of one text are one here
     texts = keyed.join(edges, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "edges")
-    look = texts.mapInArrow(_windows(window), "doc_id long, tkey long, anchor long, content long, at int")
-    look = materialize(look, "rlz-windows")
-    early = look.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).select("anchor", "content", "first")
-    late = look.join(early, ["anchor", "content"]).where(F.col("first") < F.col("doc_id"))
-    single = late.groupBy("doc_id", "tkey").agg(F.collect_set("at").alias("places"))
+    look = materialize(texts.mapInArrow(_windows(window), "doc_id long, tkey long, anchor long, content long, place int"), "rlz-windows")
+    early = look.groupBy("anchor", "content").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last"), F.min(F.struct("doc_id", "place"))["place"].alias("at"))
+    early = materialize(early.where(F.col("ref") < F.col("last")).select("anchor", "content", "ref", "at"), "rlz-early")
+    late = look.join(early, ["anchor", "content"]).where(copied)
+    single = late.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct(F.col("place").alias("start"), F.lit(1).alias("n"), "ref", "at")).alias("places"))
     both = per_doc.select("doc_id", "tkey", "copies").join(single, ["doc_id", "tkey"], "left")
-    places = F.transform(F.coalesce("places", F.array().cast("array<int>")), lambda x: F.struct(x.alias("start"), F.lit(1).alias("n")))
-    return both.select("doc_id", "tkey", F.concat("copies", places).alias("copies")).where(F.size("copies") > 0)
+    both = both.select("doc_id", "tkey", F.when(F.col("places").isNull(), F.col("copies")).otherwise(F.concat("copies", "places")).alias("copies")).where(F.size("copies") > 0)
+    both = materialize(both, "rlz-marks")
+    discard(per_doc, look, early)
+    return both
+
+
+def factors(copies: list[tuple[int, int, int, int]], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """The greedy parse, as (first word, end word, reference document, its first word), from runs (start, n, ref, at) of copied windows.
+
+    A factor goes on while the next window is a copy of the reference's next
+    place. Runs don't overlap, as a window is either in a copied block or looked up.
+    """
+    out: list[list[int]] = []
+    for start, n, ref, at in sorted(copies):
+        if out and out[-1][2] == ref and start == out[-1][1] and at - start == out[-1][3] - out[-1][0]:
+            out[-1][1] += n
+        else:
+            out.append([start, start + n, ref, at])
+    return [(a, b - 1 + window, ref, at) for a, b, ref, at in out]
 
 
-def factors(copies: list[tuple[int, int]], window: int = WINDOW) -> list[tuple[int, int]]:
-    """Word spans (start, end) of the greedy parse: runs of windows that go on from each other make one factor."""
+def covered(parts: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """The words that factors, in order of their places, cover: spans that touch are one."""
     out: list[list[int]] = []
-    for start, n in sorted(copies):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], start + n)
+    for a, b, *_ in parts:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
         else:
-            out.append([start, start + n])
-    return [(a, b - 1 + window) for a, b in out]
+            out.append([a, b])
+    return [(a, b) for a, b in out]
 
 
 def cut(words: list, spans: list[tuple[int, int]]) -> list:
@@ -181,28 +222,31 @@ def _apply(window: int, keep_text: bool):
                 out: list[tuple] = []
                 for text, copies in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                     words = text.encode().split()  # bytes.split() takes exactly the separators of a word
-                    spans = factors([(c["start"], c["n"]) for c in copies], window) if copies else []
-                    kept = cut(words, spans) if spans else words
+                    parts = factors([(c["start"], c["n"], c["ref"], c["at"]) for c in copies], window) if copies else []
+                    kept = cut(words, covered(parts)) if parts else words
                     joined = b" ".join(kept)
-                    out.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode() if keep_text else None, [{"start": s, "end": e} for s, e in spans]))
-                n, gone, digest, kept_text, spans_of = zip(*out) if out else ((), (), (), (), ())
-                spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+                    out.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode() if keep_text else None, [{"start": s, "end": e, "ref": r, "at": t} for s, e, r, t in parts]))
+                n, gone, digest, kept_text, parts_of = zip(*out) if out else ((), (), (), (), ())
+                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ref", pa.int64()), ("at", pa.int32())]))
                 arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
                 names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
                 if keep_text:
-                    arrays += [pa.array(kept_text, pa.string()), pa.array(spans_of, spans_type)]
-                    names += ["kept", "spans"]
+                    arrays += [pa.array(kept_text, pa.string()), pa.array(parts_of, kind)]
+                    names += ["kept", "factors"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return apply
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bool = True) -> DataFrame:
-    """Every document without the words of its duplicate spans: (doc_id, n_words, n_removed, kept_sha256[, kept, spans]).
+    """Every document without the words of its duplicate spans: (doc_id, n_words, n_removed, kept_sha256[, kept, factors]).
 
     A word goes if it is covered by ``window`` consecutive words that also stand
     in a document with a smaller doc_id; spans are judged on the input. ``kept``
-    joins the other words by one space; ``spans`` are word places, end exclusive.
+    joins the other words by one space. ``factors`` are the copies (start, end,
+    ref, at): words start to end, exclusive, are those of document ``ref`` from
+    its word ``at`` on, the first document that holds the block, or of the windows
+    looked up, the window (of several rows with that doc_id, any).
     Null text has no words. A row with a null doc_id is neither searched nor a
     source and stays whole; rows with equal doc_id are no sources for each
     other. Each input row gives one row; an empty table gives an empty table;
@@ -210,5 +254,5 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bo
     """
     found = marks(docs, window, gram)
     joined = _keyed(docs).join(found, ["doc_id", "tkey"], "left").select("doc_id", "text", "copies")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string, spans array<struct<start:int,end:int>>" if keep_text else "")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string, factors array<struct<start:int,end:int,ref:bigint,at:int>>" if keep_text else "")
     return joined.mapInArrow(_apply(window, keep_text), schema)

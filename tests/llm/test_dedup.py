@@ -49,8 +49,19 @@ def shared_texts(seed, n, vocabulary=60):
 
 def run_dedup(docs, rows, window, gram):
     got = rlz_dedup.dedup(docs(rows), window, gram).collect()
+    words, gone = {}, {}
+    for d, t in rows:
+        words.setdefault(d, []).append(WORD.findall(t or ""))
     for r in got:
         assert hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"]
+        # every factor is a copy of that place of an earlier document, and the factors cover what is gone
+        own = next(w for w in words[r["doc_id"]] if len(w) == r["n_words"] and rlz_dedup.cut(w, rlz_dedup.covered([tuple(f) for f in r["factors"]])) == r["kept"].split(" ")[: len(w) - r["n_removed"]])
+        for f in r["factors"]:
+            assert f["ref"] < r["doc_id"] and f["end"] - f["start"] >= window
+            assert any(own[f["start"] : f["end"]] == w[f["at"] : f["at"] + f["end"] - f["start"]] for w in words[f["ref"]])
+        for f, g in zip(r["factors"], r["factors"][1:]):
+            # greedy: a factor doesn't end where its source goes on as the next window's source
+            assert g["start"] > f["start"] and not (g["ref"] == f["ref"] and g["start"] == f["end"] - window + 1 and g["at"] == f["at"] + g["start"] - f["start"])
     return sorted([(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got], key=str)
 
 
@@ -73,10 +84,26 @@ def test_no_break_space_is_part_of_a_word(docs):
 
 
 def test_factors():
-    assert rlz_dedup.factors([(5, 2), (7, 1), (20, 1)], 10) == [(5, 17), (20, 30)]
+    assert rlz_dedup.factors([(5, 2, 1, 30), (7, 1, 1, 32), (8, 3, 2, 0), (20, 1, 1, 9)], 10) == [(5, 17, 1, 30), (8, 20, 2, 0), (20, 30, 1, 9)]
+    assert rlz_dedup.covered([(5, 17, 1, 30), (8, 20, 2, 0), (20, 30, 1, 9), (40, 50, 1, 0)]) == [(5, 30), (40, 50)]
     assert rlz_dedup.cut(list(range(12)), [(2, 5), (4, 6), (9, 12)]) == [0, 1, 6, 7, 8]
 
 
+def test_passage_in_most_documents(docs):
+    """One notice in nine of ten documents, between words of their own: a few factors cover it, and nothing else."""
+    rng = random.Random(9)
+    notice = [f"n{i}" for i in range(60)]
+    rows, at = [], {}
+    for i in range(300):
+        own = [[f"o{rng.randrange(10**9)}" for _ in range(rng.randrange(0, 40))] for _ in range(2)]
+        at[i] = len(own[0])
+        rows.append((i, " ".join(own[0] + (notice if i % 10 != 9 else []) + own[1])))
+    assert run_dedup(docs, rows, 50, 12) == brute_dedup(rows, 50)
+    for r in rlz_dedup.dedup(docs(rows), 50, 12).collect():
+        want = [(at[r["doc_id"]], at[r["doc_id"]] + 60)] if r["doc_id"] % 10 != 9 and r["doc_id"] else []
+        assert rlz_dedup.covered([tuple(f) for f in r["factors"]]) == want and len(r["factors"]) <= 3
+
+
 def brute_classes(rows, n, percent):
     sets = []
     for d, t in rows:
