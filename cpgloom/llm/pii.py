@@ -6,13 +6,16 @@ counted by kind and vote pattern, a table of fixed size, on which
 expectation-maximisation estimates each labeler's reliability and each pattern's
 probability of being personal data. These soft labels, with the shape features
 of the spans, train a logistic span classifier, again on counts by feature
-pattern. Base spans always stay; a candidate becomes a span where the
-classifier says so and it meets no base span.
+pattern. Base spans always stay. Further candidates are matches of looser
+patterns, and matches of the base patterns that failed their check, which the
+pattern labeler votes against; a candidate becomes a span where the classifier
+says so and it meets no base span.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cpgloom.llm.common import materialize, text_or_empty
+from cpgloom.llm.common import materialize, meeting, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -35,6 +38,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Looser patterns for further candidates.
 SPOKEN_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63})+")
 LOCAL_PHONE = re.compile(r"(?<![A-Za-z0-9+()-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
+DIALLED_PHONE = re.compile(r"(?<![A-Za-z0-9+.-])00[1-9][0-9]?[ ()-][0-9 ()-]{5,16}[0-9](?![0-9-])")
+LONG_IP = re.compile(r"(?<![A-Za-z0-9:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![A-Za-z0-9:.])")
 #: Words before a span, with which it is looked at in context.
 CONTEXT = 48
 CUES = {
@@ -88,21 +93,41 @@ def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
-def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
-    out: dict[str, list[tuple[int, int]]] = {"email": emails(text) if "@" in text else []}
-    out["ip"] = [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
-    out["card"] = [m.span() for m in CARD.finditer(text) if m.end() - m.start() >= 16 and 16 <= len(d := digits_of(m.group())) <= 19 and luhn(d)]
-    out["phone"] = [m.span() for m in PHONE.finditer(text) if 8 <= len(digits_of(m.group())) <= 15] if "+" in text else []
-    return out
-
-
-def votes(text: str, kind: str, s: int, e: int, base: bool) -> tuple[int, ...]:
-    """A vote of each labeler: 1 for, -1 against, 0 none."""
+def base_spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
+    """The base spans of each kind, and the matches that fail their check but are near enough to be looked at."""
+    out: dict[str, list[tuple[int, int]]] = {"email": emails(text) if "@" in text else [], "ip": [], "card": [], "phone": []}
+    failed: list[tuple[str, int, int]] = []
+    for m in IP.finditer(text):
+        sound = all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))
+        out["ip"].append(m.span()) if sound else failed.append(("ip", *m.span()))
+    for m in CARD.finditer(text):
+        if m.end() - m.start() >= 13 and 13 <= len(d := digits_of(m.group())) <= 19:
+            if len(d) >= 16 and luhn(d):
+                out["card"].append(m.span())
+            elif len(d) >= 16 or luhn(d):
+                failed.append(("card", *m.span()))
+    for m in PHONE.finditer(text) if "+" in text else ():
+        n = len(digits_of(m.group()))
+        if 8 <= n <= 15:
+            out["phone"].append(m.span())
+        elif n == 7:
+            failed.append(("phone", *m.span()))
+    return out, failed
+
+
+def votes(text: str, kind: str, s: int, e: int, pattern: int) -> tuple[int, ...]:
+    """A vote of each labeler: 1 for, -1 against, 0 none; ``pattern`` is that of the base patterns."""
     span, before = text[s:e], text[max(0, s - CONTEXT) : s]
     digits = digits_of(span)
     if kind == "email":
         top = re.split(r"[.\s)\]]+", span.rstrip(" .)]"))[-1].lower()
         valid, known = (1 if ".." not in span and not span.startswith((".", "-")) else -1), (1 if top in TOP_LEVEL else -1)
+    elif kind == "ip" and ":" in span:
+        try:
+            known = 1 if ipaddress.IPv6Address(span).is_global else 0
+            valid = 1
+        except ValueError:
+            valid = known = -1
     elif kind == "ip":
         parts = span.split(".")
         valid = 1 if len(parts) == 4 and all(p == "0" or not p.startswith("0") for p in parts) else -1
@@ -111,9 +136,10 @@ def votes(text: str, kind: str, s: int, e: int, base: bool) -> tuple[int, ...]:
         valid, known = (1 if luhn(digits) else -1), (1 if digits.startswith(CARD_LEADS) else -1)
     else:
         valid = 1 if 10 <= len(digits) <= 13 else -1
-        known = 1 if span.startswith("+") and any(digits[:n] in CALLING for n in (1, 2)) else 0
+        dialled = digits[2:] if span.startswith("00") else digits if span.startswith("+") else ""
+        known = 1 if dialled and any(dialled[:n] in CALLING for n in (1, 2)) else 0
     cue = 1 if CUES[kind].search(before) else 0
-    return (1 if base else 0, valid, known, cue, -1 if AGAINST.search(before) else 0)
+    return (pattern, valid, known, cue, -1 if AGAINST.search(before) else 0)
 
 
 def features(kind: str, text: str, s: int, e: int, vote: tuple[int, ...]) -> str:
@@ -126,17 +152,20 @@ def features(kind: str, text: str, s: int, e: int, vote: tuple[int, ...]) -> str
     return f"{kind}/{','.join(map(str, vote))}/{length}/{joint}/{edge}"
 
 
-def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int, str]]:
-    """(kind, start, end, feature pattern) of the base spans and of further candidates beside them."""
-    out = [(kind, s, e, features(kind, text, s, e, votes(text, kind, s, e, True))) for kind in KINDS for s, e in base[kind]]
-    taken = sorted((s, e) for kind in KINDS for s, e in base[kind])
-    more: list[tuple[str, int, int]] = []
+def candidates(text: str, base: dict[str, list[tuple[int, int]]], failed: list[tuple[str, int, int]]) -> list[tuple[str, int, int, bool, str]]:
+    """(kind, start, end, base, feature pattern) of the base spans and of further candidates beside them."""
+    out = [(kind, s, e, True, features(kind, text, s, e, votes(text, kind, s, e, 1))) for kind in KINDS for s, e in base[kind]]
+    more = [(kind, s, e, -1) for kind, s, e in failed]
     if "(at)" in text or "[at]" in text:
-        more += [("email", *m.span()) for m in SPOKEN_EMAIL.finditer(text)]
-    more += [("phone", *m.span()) for m in LOCAL_PHONE.finditer(text)]
-    for kind, s, e in more:
-        if not any(s < y and x < e for x, y in taken):
-            out.append((kind, s, e, features(kind, text, s, e, votes(text, kind, s, e, False))))
+        more += [("email", *m.span(), 0) for m in SPOKEN_EMAIL.finditer(text)]
+    more += [("phone", *m.span(), 0) for m in LOCAL_PHONE.finditer(text)]
+    if "00" in text:
+        more += [("phone", *m.span(), 0) for m in DIALLED_PHONE.finditer(text)]
+    if ":" in text:
+        more += [("ip", *m.span(), 0) for m in LONG_IP.finditer(text)]
+    if more:
+        meets = meeting(span for kind in KINDS for span in base[kind])
+        out += [(kind, s, e, False, features(kind, text, s, e, votes(text, kind, s, e, vote))) for kind, s, e, vote in more if not meets(s, e)]
     return out
 
 
@@ -147,12 +176,11 @@ def _scan_rows(texts: list[str | None]) -> dict[str, list]:
     out: dict[str, list] = {c: [] for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")}
     for text in texts:
         text = text or ""
-        base = base_spans(text)
+        base, failed = base_spans(text)
         for kind in KINDS:
             out[f"n_{kind}"].append(len(base[kind]))
         out["base_sha256"].append(hashlib.sha256(",".join(f"{k}:{s}:{e}" for k in KINDS for s, e in base[k]).encode()).hexdigest())
-        known = {(k, s, e) for k in KINDS for s, e in base[k]}
-        out["spans"].append([{"kind": k, "start": s, "end": e, "base": (k, s, e) in known, "pattern": p} for k, s, e, p in candidates(text, base)])
+        out["spans"].append([{"kind": k, "start": s, "end": e, "base": b, "pattern": p} for k, s, e, b, p in candidates(text, base, failed)])
     return out
 
 
