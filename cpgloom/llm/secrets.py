@@ -2,13 +2,15 @@
 
 Any run of 20 or more token characters is a candidate. From its characters an
 encoding is inferred (hex, base32 or base64), which gives symbol values, and
-three tests of randomness are made: chi-squared uniformity over eight equal
-parts of the alphabet, the runs test above and below its middle, and the serial
-correlation of neighbours. Fisher's method combines them into one score.
+three tests of randomness are made: chi-squared uniformity over the alphabet,
+the runs test above and below its middle, and the serial correlation of
+neighbours. Fisher's method combines them into one score.
 
 Secrets look random and ordinary text doesn't, so the null of the discovery step
-is ordinary text: all letters outside the candidates of every document are cut
-into strings of each length class in turn and scored likewise. Candidates and
+is ordinary text as each encoding's alphabet has it: all letters outside the
+candidates of every document (for base32 in upper case, for hex those that are
+hex digits, with the digits) are cut into strings of each length class in turn
+and scored likewise. Candidates and
 null strings of all documents are counted in a histogram of fixed size (length
 class x encoding x score bin); the Benjamini-Hochberg rule on it gives a score
 limit for each length class and encoding.
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cpgloom.llm.common import materialize, text_or_empty
+from cpgloom.llm.common import materialize, meeting, text_or_empty
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(
@@ -73,7 +75,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 def encoding_of(run: str) -> str | None:
     """The narrowest encoding of a run; runs of digits alone or of one letter case alone have none."""
     body = run.rstrip("=")
-    if body.isdigit() or not body:
+    if not body or body.isdigit() or (body.isalpha() and (body.islower() or body.isupper())):
         return None
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", body):
         return "hex"
@@ -100,10 +102,13 @@ def scores(values: list[np.ndarray], alphabet: int) -> np.ndarray:
 def battery(grid: np.ndarray, n: np.ndarray, alphabet: int) -> np.ndarray:
     """The score of each row of ``grid``, whose first n symbols count; -1 fills the rest."""
     real = grid >= 0
-    part = grid * 8 // alphabet
-    counts = np.stack([((part == b) & real).sum(1) for b in range(8)], 1)
-    chi = ((counts - n[:, None] / 8) ** 2 / (n[:, None] / 8)).sum(1)
-    uniform = _erfc(np.sqrt(chi / 2)).astype(float) + np.exp(-chi / 2) * np.sqrt(2 * chi / math.pi) * (1 + chi / 3 + chi**2 / 15)
+    rows = len(grid)
+    at = np.where(real, grid, alphabet) + np.arange(rows)[:, None] * (alphabet + 1)
+    counts = np.bincount(at.ravel(), minlength=rows * (alphabet + 1)).reshape(rows, alphabet + 1)[:, :alphabet]
+    chi = (counts.astype(float) ** 2).sum(1) * alphabet / n - n
+    # published cube-root approximation of the chi-squared tail
+    width = 2 / (9 * (alphabet - 1))
+    uniform = _erfc((np.cbrt(chi / (alphabet - 1)) - (1 - width)) / math.sqrt(2 * width)).astype(float) / 2
     high = (grid * 2 >= alphabet) & real
     up = high.sum(1)
     down = n - up
@@ -127,35 +132,45 @@ def score_bin(score: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(np.maximum(score, 0) / BIN_STEP), 0, BINS - 1).astype(np.int64)
 
 
-_LETTER = np.zeros(128, dtype=bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_KEPT = {enc: np.zeros(128, dtype=bool) for enc in ENCODINGS}
+for _enc in ("base32", "base64"):
+    _KEPT[_enc][[*range(65, 91), *range(97, 123)]] = True
+_KEPT["hex"][[*range(48, 58), *range(97, 103)]] = True
+_UPPER = np.arange(128)
+_UPPER[97:123] -= 32
 NULL_WIDTHS = tuple(n + n // 4 for n in CLASSES)
 
 
-def null_strings(text: str, taken: list[tuple[int, int]]) -> list[np.ndarray]:
-    """For each length class, rows of ordinary letters: all of the text's outside ``taken``, dealt in order to the classes in turn."""
+def null_strings(text: str, taken: list[tuple[int, int]]) -> dict[str, list[np.ndarray]]:
+    """For each encoding and length class, rows of ordinary symbols: all of the text's outside ``taken``, dealt in order to the classes in turn."""
     if taken:
         bounds = [0, *(x for span in taken for x in span), len(text)]
         text = "".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2]))
     codes = np.frombuffer(text.encode("ascii", "ignore"), np.uint8)
-    letters = codes[_LETTER[codes]]
     ends = np.cumsum(NULL_WIDTHS).tolist()
-    rounds = len(letters) // ends[-1]
-    whole, rest = letters[: rounds * ends[-1]].reshape(rounds, ends[-1]), letters[rounds * ends[-1] :]
-    return [np.concatenate((whole[:, e - w : e], rest[None, e - w : e])) if len(rest) >= e else whole[:, e - w : e] for w, e in zip(NULL_WIDTHS, ends)]
+    out = {}
+    for enc, kept in _KEPT.items():
+        own = codes[kept[codes]]
+        rounds = len(own) // ends[-1]
+        whole, rest = own[: rounds * ends[-1]].reshape(rounds, ends[-1]), own[rounds * ends[-1] :]
+        out[enc] = [np.concatenate((whole[:, e - w : e], rest[None, e - w : e])) if len(rest) >= e else whole[:, e - w : e] for w, e in zip(NULL_WIDTHS, ends)]
+    return out
 
 
-def null_counts(drawn: list[list[np.ndarray]]) -> np.ndarray:
+def null_symbols(enc: str, codes: np.ndarray) -> np.ndarray:
+    """Symbol values of a null string's characters."""
+    return TABLES[enc][_UPPER[codes] if enc == "base32" else codes]
+
+
+def null_counts(drawn: list[dict[str, list[np.ndarray]]]) -> np.ndarray:
     """How many null strings of all texts fall into each histogram cell."""
     counts = np.zeros(len(CLASSES) * len(ENCODINGS) * BINS, dtype=np.int64)
-    for k, width in enumerate(NULL_WIDTHS):
-        rows = np.concatenate([np.zeros((0, width), np.uint8), *(own[k] for own in drawn)])
-        for a in range(0, len(rows), SCORE_ROWS):
-            codes = rows[a : a + SCORE_ROWS].astype(np.int64)
-            n = np.full(len(codes), width)
-            for e, (enc, size) in enumerate(ENCODINGS.items()):
-                grid = _BASE64[codes] if enc == "base64" else codes % size
-                np.add.at(counts, (k * len(ENCODINGS) + e) * BINS + score_bin(battery(grid, n, size)), 1)
+    for e, (enc, size) in enumerate(ENCODINGS.items()):
+        for k, width in enumerate(NULL_WIDTHS):
+            rows = np.concatenate([np.zeros((0, width), np.uint8), *(own[enc][k] for own in drawn)])
+            for a in range(0, len(rows), SCORE_ROWS):
+                grid = null_symbols(enc, rows[a : a + SCORE_ROWS])
+                np.add.at(counts, (k * len(ENCODINGS) + e) * BINS + score_bin(battery(grid, np.full(len(grid), width), size)), 1)
     return counts
 
 
@@ -232,10 +247,10 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
             out = []
             for base, starts, ends, encs, bins in zip(df["base"], df["starts"], df["ends"], df["encodings"], df["bins"]):
                 kept = [(int(s), KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in base)]
-                taken = list(kept)
+                meets = meeting((s, e) for s, _, e in kept)
                 for s, e, enc, b in zip(starts, ends, encs, bins):
                     c, _ = divmod(cell(int(e) - int(s), enc, int(b)), BINS)
-                    if b <= accepted[c] and not any(s < y and x < e for x, _, y in taken):
+                    if b <= accepted[c] and not meets(int(s), int(e)):
                         kept.append((int(s), 3, int(e)))
                 out.append([f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(kept)])
             yield pd.DataFrame({"doc_id": df["doc_id"], "n_assign": df["n_assign"], "n_access": df["n_access"], "n_hex": df["n_hex"], "base_sha256": df["base_sha256"], "spans": out})
