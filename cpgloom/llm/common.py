@@ -8,7 +8,8 @@ of a whole Arrow batch at once, without decoding.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -166,6 +167,24 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def meeting(taken: Iterable[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """A test whether a span (start, end) meets any of ``taken``, by bisection in their union."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(taken):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+
+    def meets(s: int, e: int) -> bool:
+        i = bisect_left(starts, e) - 1
+        return i >= 0 and ends[i] > s
+
+    return meets
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: int) -> DataFrame:
     """(doc_id, text, label int): the texts of at most ``most`` labelled ids, chosen by a seeded hash.
 

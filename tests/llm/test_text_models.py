@@ -8,7 +8,9 @@ import re
 import numpy as np
 import pytest
 
-from cpgloom.llm import licenses, pii, quality, secrets, toxicity
+from pyspark.sql import functions as F
+
+from cpgloom.llm import common, licenses, pii, quality, secrets, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -51,12 +53,59 @@ def test_toxicity_held_out(spark, docs):
     assert kept.columns == d.columns
 
 
-def test_thresholds_are_ordered():
+def test_toxicity_fit_is_optimal():
+    """Against likelihoods computed grade by grade: no small step improves the penalised fit, and thresholds are ordered."""
     rng = np.random.default_rng(0)
-    x = (rng.uniform(size=(400, 3)) < 0.4).astype(float)
-    grade = np.minimum(x.sum(1).astype(int), 3)
-    w, theta = toxicity.fit(x, grade)
-    assert (np.diff(theta) > 0).all() and (w > 0).all()
+    x = (rng.uniform(size=(400, 12)) < 0.4).astype(float)
+    grade = np.minimum((x[:, :3].sum(1) + (rng.uniform(size=400) < 0.2)).astype(int), 3)
+    rows = toxicity.Rows.of_lists([np.flatnonzero(r) for r in x])
+
+    def brute(w, theta):
+        total = 0.0
+        for r, g in zip(x, grade):
+            above = [1.0, *(1 / (1 + np.exp(t - r @ w)) for t in theta), 0.0]
+            total -= np.log(above[g] - above[g + 1])
+        return total / len(x) + toxicity.PENALTY / len(x) * np.abs(w).sum()
+
+    w, theta = toxicity.fit(rows, grade, steps=2000)
+    best = brute(w, theta)
+    assert (np.diff(theta) > 0).all() and (w[:3] > 0.3).all() and np.abs(w[3:]).max() < np.abs(w[:3]).min() / 3
+    for j in range(12):
+        for d in (-0.01, 0.01):
+            assert brute(w + d * np.eye(12)[j], theta) > best - 1e-6
+    for k in range(3):
+        for d in (-0.01, 0.01):
+            assert brute(w, theta + d * np.eye(3)[k]) > best - 1e-6
+
+
+def test_grades_come_from_the_other_half():
+    """The grade of a toxic row depends on the words that the other half's toxic rows have, not on its own label."""
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 50, 12)) for _ in range(600)]
+    toxic = rng.uniform(size=600) < 0.3
+    rows = [np.union1d(r, 100 + rng.choice(6, rng.integers(1, 7), replace=False)) if t else r for r, t in zip(rows, toxic)]
+    grade = toxicity.graded(rows, toxic)
+    assert (grade[~toxic] == 0).all() and set(grade[toxic]) == {1, 2, 3}
+    bad = np.array([(r >= 100).sum() for r in rows])
+    assert bad[grade == 1].mean() < bad[grade == 2].mean() < bad[grade == 3].mean()
+
+
+def test_toxicity_scores_equal_brute_force(spark, docs):
+    d, labels, _ = labelled(spark, docs, insult)
+    weights, theta = toxicity.train(d, labels)
+    for r in toxicity.assess(d, labels).join(d.selectExpr("doc_id AS i", "text"), F.col("doc_id") == F.col("i")).collect():
+        words = {w.lower().encode() for w in re.findall(r"[A-Za-z0-9_]+", r["text"])}
+        hashes = {int(toxicity.row_words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0]) for w in words}
+        above = [1 / (1 + np.exp(t - sum(weights[h] for h in hashes))) for t in theta]
+        assert r["expected_severity"] == pytest.approx(sum(above)) and r["toxic"] == (above[0] >= 0.5)
+
+
+def test_labelled_sample_is_bounded(spark, docs):
+    rows = [(1, "same")] * 50 + [(1, "other"), (2, "same"), (3, "x"), (4, None), (5, "y")]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 5), (3, 1, None), (4, 1, 1), (5, 0, -2)], "doc_id long, quality int, toxic int")
+    got = common.labelled(docs(rows), labels, "toxic", 10, 1).collect()
+    assert len(got) <= 3 and {r["label"] for r in got} == {0, 1} and len({r["text"] for r in got}) == len(got)
+    assert common.labelled(docs(rows), labels, "toxic", 2, 1).count() <= 2
 
 
 def test_toxicity_edges(spark, docs):
@@ -194,17 +243,51 @@ def test_null_strings_are_of_whole_texts():
     taken = [m.span() for m in secrets.CANDIDATE.finditer(text)]
     assert [text[a:b] for a, b in taken] == ["Z9" * 20]
     got = secrets.null_strings(text, taken)
-    want, at, all_letters = [[] for _ in secrets.CLASSES], 0, letters + "end"
-    k = 0
-    while len(all_letters) - at >= secrets.NULL_WIDTHS[k]:
-        want[k].append(all_letters[at : at + secrets.NULL_WIDTHS[k]])
-        at += secrets.NULL_WIDTHS[k]
-        k = (k + 1) % len(secrets.CLASSES)
-    assert [[bytes(r).decode() for r in rows] for rows in got] == want
-    counts = secrets.null_counts([got, secrets.null_strings("", [])])
-    assert counts.reshape(len(secrets.CLASSES), -1).sum(1).tolist() == [len(secrets.ENCODINGS) * len(w) for w in want]
-    each = secrets.score_bin(secrets.scores([secrets._BASE64[np.frombuffer(w.encode(), np.uint8)] for w in want[2]], 64))
-    assert counts.reshape(len(secrets.CLASSES), len(secrets.ENCODINGS), -1)[2, 2].tolist() == np.bincount(each, minlength=secrets.BINS).tolist()
+    for enc, symbols in (("base64", letters + "end"), ("base32", letters + "end"), ("hex", "1" + "abcdef" * 400 + "ed")):
+        want, at, k = [[] for _ in secrets.CLASSES], 0, 0
+        while len(symbols) - at >= secrets.NULL_WIDTHS[k]:
+            want[k].append(symbols[at : at + secrets.NULL_WIDTHS[k]])
+            at += secrets.NULL_WIDTHS[k]
+            k = (k + 1) % len(secrets.CLASSES)
+        assert [[bytes(r).decode() for r in rows] for rows in got[enc]] == want
+        counts = secrets.null_counts([got, secrets.null_strings("", [])]).reshape(len(secrets.CLASSES), len(secrets.ENCODINGS), -1)
+        e = list(secrets.ENCODINGS).index(enc)
+        assert counts[:, e].sum(1).tolist() == [len(w) for w in want]
+        each = secrets.score_bin(secrets.scores([secrets.null_symbols(enc, np.frombuffer(w.encode(), np.uint8)) for w in want[2]], secrets.ENCODINGS[enc]))
+        assert counts[2, e].tolist() == np.bincount(each, minlength=secrets.BINS).tolist()
+
+
+def test_scores_of_random_symbols_are_those_of_chance():
+    """Under randomness few strings have a large score, in every encoding and length class."""
+    rng = np.random.default_rng(0)
+    for size in secrets.ENCODINGS.values():
+        for n in secrets.NULL_WIDTHS:
+            s = secrets.scores(list(rng.integers(0, size, (2000, n))), size)
+            assert np.quantile(s, 0.95) < 2.5 and np.quantile(s, 0.5) < 0.8
+
+
+def test_encodings():
+    of = secrets.encoding_of
+    assert of("abcdefghijklmnopqrstuvwxyz") is None and of("ABCDEFGHIJKLMNOPQRST") is None and of("12345678901234567890") is None and of("=" * 20) is None
+    assert (of("0123456789abcdef0123"), of("ABCDEFGH234567ABCDEF"), of("abcDEF0123456789+/xyz==")) == ("hex", "base32", "base64")
+
+
+def test_span_merging_is_fast_and_right():
+    import time
+
+    from cpgloom.llm.common import meeting
+
+    rng = random.Random(3)
+    for _ in range(300):
+        taken = [(a, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(8)))]
+        meets = meeting(taken)
+        for s in range(64):
+            e = s + rng.randrange(1, 6)
+            assert meets(s, e) == any(s < y and x < e for x, y in taken)
+    text = " ".join(f"write to a{i}@b.org or call 555-123-{i % 9000 + 1000}" for i in range(60_000))
+    began = time.time()
+    base, failed = pii.base_spans(text)
+    assert len(pii.candidates(text, base, failed)) == 120_000 and time.time() - began < 30
 
 
 def luhn_card(rng):
@@ -247,6 +330,16 @@ def test_em_finds_the_reliable_labeler():
     assert p[(1, 1, 1, 0, 0)] > 0.9 > 0.1 > p[(-1, -1, -1, 0, 0)]
 
 
+def test_labelers_vote_against_failed_matches(docs):
+    text = "host 2001:4860:4860::8888 at 12:30:45, card 4111 1111 1111 1112, version 1.2.3.999, dial 0044 20 7946 0958, amex 378282246310005"
+    base, failed = pii.base_spans(text)
+    assert not any(base.values())
+    found = {text[s:e]: (kind, pii.vote_pattern(p)[1]) for kind, s, e, _, p in pii.candidates(text, base, failed)}
+    assert found["4111 1111 1111 1112"] == ("card", (-1, -1, 1, 1, 0)) and found["1.2.3.999"][1][0] == -1 and found["1.2.3.999"][1][4] == -1
+    assert found["2001:4860:4860::8888"] == ("ip", (0, 1, 1, 1, 0)) and found["12:30:45"][1][1] == -1
+    assert found["0044 20 7946 0958"][1][2] == 1 and found["378282246310005"][1][:2] == (-1, 1)
+
+
 def test_redaction(docs):
     d = docs([(1, "write to a.b@c.org now"), (2, None), (3, "clean text, 12 words")])
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.redact(d).collect()}
