@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in DataFrame operations only.
 
 The mix has as many equal-token blocks as the corpus holds. Blocks go to the
-sources by highest quotients of their targets, and each source's blocks to its
-shards likewise, so every shard has an integer quota. In a shard the documents
+sources by highest quotients of their targets, each source's blocks to its
+groups of shards likewise, and each group's to its shards, so every shard has an
+integer quota and no task ranks more than a group. In a shard the documents
 stand one after another in a seeded order and form one stream of words, cut into
 blocks: all blocks are taken as often as the quota allows in whole, and the rest
 of the quota is a seeded choice of blocks. A document's share is the overlap of
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from cpgloom.llm.common import WORD, materialize
 
-#: Words in a block; times a source may be repeated; documents in a shard, roughly; shards of a source at most.
-BLOCK, REPEATS, SHARD_DOCS, MOST_SHARDS = 16, 3, 256, 65536
+#: Words in a block; times a source may be repeated; documents in a shard, roughly; shards in a group, roughly.
+BLOCK, REPEATS, SHARD_DOCS, GROUP_SHARDS = 16, 3, 256, 4096
 SEED = 17
 
 
@@ -90,32 +91,41 @@ def _seeded(seed: int, *parts: Column) -> Column:
 
 
 def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, repeats: int = REPEATS) -> DataFrame:
-    """What a mix takes of every document: (doc_id, source, size, source_size, target, taken, offset words).
+    """What a mix takes of every document: (doc_id, source, size, source_size, target, taken, whole, parts).
 
     ``taken`` counts words with repeats: ``whole`` times the full text, and the
-    words from ``part_start`` on, cyclically, ``part_words`` of them, once more.
+    words of ``parts`` (start, n) once more.
     Null text has size 0; a null source is a source of its own, last in order; a
     null doc_id is a document like any other. Rows with equal doc_id and size are
     ordered arbitrarily among themselves but get their shares independently.
     An empty table gives an empty table; columns other than doc_id, source and
     text are not read. Reruns give the same rows.
     """
-    base = materialize(sizes(docs), "mixing-sizes")
+    return _shares(materialize(sizes(docs), "mixing-sizes"), seed, block, repeats)
+
+
+def _shares(base: DataFrame, seed: int, block: int, repeats: int) -> DataFrame:
+    """``mix`` of the written rows (doc_id, source, size), which keep their other columns."""
+    own = [c for c in base.columns if c not in ("doc_id", "source", "size")]
     totals = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
     aims = targets(default_weights(totals), repeats)
-    aims = aims.withColumn("_shards", F.least(F.lit(MOST_SHARDS), F.ceil(F.col("_docs") / SHARD_DOCS)).cast("int"))
+    aims = aims.withColumn("_shards", F.ceil(F.col("_docs") / SHARD_DOCS).cast("long"))
     aims = aims.withColumn("_seats", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")).withColumn("_most", (repeats * F.ceil(F.col("source_size") / block)).cast("long"))
     aims = aims.withColumn("_one", F.lit(1))
     aims = apportion(aims, ["_one"], "target", "_seats", "source", "_most").withColumnRenamed("quota", "_source_quota").select("source", "source_size", "target", "_shards", "_source_quota")
     aims = materialize(aims, "mixing-targets")
     dealt = base.join(aims.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     dealt = dealt.withColumn("_key", _seeded(seed, F.col("doc_id"), F.col("size")))
-    dealt = dealt.withColumn("_shard", F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), F.col("_shards").cast("long")))
-    shards = dealt.groupBy("source", "_shard").agg(F.sum("size").alias("_words"), F.first("_source_quota").alias("_source_quota"))
+    dealt = dealt.withColumn("_shard", F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), F.col("_shards")))
+    shards = dealt.groupBy("source", "_shard").agg(F.sum("size").alias("_words"), F.first("_source_quota").alias("_source_quota"), F.first("_shards").alias("_shards"))
     shards = shards.withColumn("_blocks", F.ceil(F.col("_words") / block)).withColumn("_most", repeats * F.col("_blocks"))
-    quotas = apportion(shards, ["source"], "_words", "_source_quota", "_shard", "_most")
+    shards = shards.withColumn("_group", F.pmod(F.col("_shard"), F.ceil(F.col("_shards") / GROUP_SHARDS).cast("long"))).drop("_shards")
+    groups = shards.groupBy("source", "_group").agg(F.sum("_words").alias("_words"), F.first("_source_quota").alias("_source_quota"), F.sum("_most").alias("_most"))
+    groups = apportion(groups, ["source"], "_words", "_source_quota", "_group", "_most").select(F.col("source").alias("_source"), F.col("_group").alias("_g"), F.col("quota").alias("_seats"))
+    shards = shards.drop("_source_quota").join(groups, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_group") == F.col("_g"))).drop("_source", "_g")
+    quotas = apportion(shards, ["source", "_group"], "_words", "_seats", "_shard", "_most")
     quotas = quotas.select(F.col("source").alias("_source"), F.col("_shard").alias("_s"), "_words", "_blocks", "quota")
-    stream = Window.partitionBy("source", "_shard").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    stream = Window.partitionBy("source", "_shard").orderBy("_key", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("_at", F.coalesce(F.sum("size").over(stream), F.lit(0)))
     placed = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_s")))
     n = F.nullif(F.col("_blocks"), F.lit(0))
@@ -134,35 +144,38 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, repeats: int = RE
     placed = placed.withColumn("_q", overlap(F.lit(0), F.greatest(F.col("_first") + F.col("_extra") - F.col("_blocks"), F.lit(0)) * block))
     parts = F.filter(F.array("_q", "_p"), lambda x: x["n"] > 0)
     taken = F.col("whole") * F.col("size") + F.col("_p")["n"] + F.col("_q")["n"]
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("whole").cast("int").alias("whole"), parts.alias("parts"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("whole").cast("int").alias("whole"), parts.alias("parts"), *own)
+
+
+#: Stands for a null doc_id in joins.
+NOWHERE = -(2**63)
 
 
 def materialise_mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, repeats: int = REPEATS) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``.
 
     A document comes once for each time that its whole text is taken and once
-    for each part; a part's text is its words joined by a space. Rows of the same
-    doc_id and size are told apart by their text's hash.
+    for each part; a part's text is its words joined by a space, and n_chars, if
+    there, is counted anew. Rows that are equal in all columns (but maps, which
+    have no hash) are one document for this, taken as often as the mix takes all of them.
     """
-    plan = mix(docs.select("doc_id", "source", "text"), seed, block, repeats)
-    return _expand(docs, plan)
-
-
-def _expand(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    told = [c for c, t in docs.dtypes if "map<" not in t]
+    key = F.xxhash64(*[F.col(f"row.`{c}`") for c in told])
     # whole rows travel as one struct, so that no column of theirs can meet one of these names
     text = F.col("row")["text"]
-    left = docs.select(F.struct("*").alias("row"))
-    left = left.select("row", F.col("row")["doc_id"].cast("long").alias("l_id"), F.col("row")["source"].cast("string").alias("l_source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("l_size"))
-    left = left.withColumn("l_twin", F.row_number().over(Window.partitionBy("l_id", "l_source", "l_size").orderBy(F.xxhash64(text))))
-    right = plan.select(F.col("doc_id").alias("r_id"), F.col("source").alias("r_source"), F.col("size").alias("r_size"), "whole", "parts")
-    right = right.withColumn("r_twin", F.row_number().over(Window.partitionBy("r_id", "r_source", "r_size").orderBy("whole", "parts"))).where((F.col("whole") > 0) | (F.size("parts") > 0))
-    both = left.join(right, F.col("l_id").eqNullSafe(F.col("r_id")) & F.col("l_source").eqNullSafe(F.col("r_source")) & (F.col("l_size") == F.col("r_size")) & (F.col("l_twin") == F.col("r_twin")))
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.coalesce(F.col("row")["doc_id"].cast("long"), F.lit(NOWHERE)).alias("place"), key.alias("tkey"))
+    base = rows.select(F.col("row")["doc_id"].cast("long").alias("doc_id"), F.col("row")["source"].cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "tkey")
+    plan = _shares(materialize(base, "mixing-sizes"), seed, block, repeats)
+    plan = plan.where((F.col("whole") > 0) | (F.size("parts") > 0)).select(F.coalesce("doc_id", F.lit(NOWHERE)).alias("p_place"), F.col("tkey").alias("p_tkey"), "size", "whole", "parts")
+    # written, so that a row which very often repeats can be split in the join
+    plan = materialize(plan, "mixing-plan")
+    both = rows.dropDuplicates(["place", "tkey"]).join(plan, (F.col("place") == F.col("p_place")) & (F.col("tkey") == F.col("p_tkey")))
     whole = F.array_repeat(F.struct(F.lit(True).alias("all"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n")), F.col("whole"))
-    part = F.transform("parts", lambda p: F.struct((p["n"] == F.col("l_size")).alias("all"), p["start"].cast("long").alias("start"), p["n"].cast("long").alias("n")))
-    rows = both.select("row", F.explode(F.concat(whole, part)).alias("take"))
+    part = F.transform("parts", lambda p: F.struct((p["n"] == F.col("size")).alias("all"), p["start"].cast("long").alias("start"), p["n"].cast("long").alias("n")))
+    takes = both.select("row", F.explode(F.concat(whole, part)).alias("take"))
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
     taken = F.when(F.col("take")["all"], text).otherwise(F.concat_ws(" ", F.slice(words, (F.col("take")["start"] + 1).cast("int"), F.col("take")["n"].cast("int"))))
-    out = rows.select(F.col("row").withField("text", taken).alias("row")).select("row.*")
+    out = takes.select(F.col("row").withField("text", taken).alias("row")).select("row.*")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -25,14 +25,22 @@ ranked AS (SELECT source, low, row_number() OVER (ORDER BY target / (2 * s + 1)
   SELECT *, unnest(range(low, high)) AS s FROM (SELECT *, seats - sum(low) OVER () AS free FROM bounds))),
 quotas AS (SELECT b.source, b.source_size, b.target, b.docs, least(b.low + coalesce(r.won, 0), b.most) AS quota FROM bounds b LEFT JOIN (
   SELECT source, count(*) FILTER (rank <= free) AS won FROM ranked GROUP BY source) r ON r.source IS NOT DISTINCT FROM b.source),
-dealt AS (SELECT s.doc_id, s.source, s.size, q.source_size, q.target, q.quota, md5(concat_ws('|', '17', coalesce(CAST(s.doc_id AS VARCHAR), ''), s.size)) AS key, least(65536, CAST(ceil(q.docs / 256) AS BIGINT)) AS shards
+dealt AS (SELECT s.doc_id, s.source, s.size, q.source_size, q.target, q.quota, md5(concat_ws('|', '17', coalesce(CAST(s.doc_id AS VARCHAR), ''), s.size)) AS key, CAST(ceil(q.docs / 256) AS BIGINT) AS shards
   FROM sizes s JOIN quotas q ON q.source IS NOT DISTINCT FROM s.source),
 placed AS (SELECT *, CAST('0x' || substr(key, 1, 8) AS BIGINT) % shards AS shard FROM dealt),
-shardsizes AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS words, any_value(quota) AS seats, CAST(ceil(sum(size) / 16) AS BIGINT) AS blocks FROM placed GROUP BY source, shard),
+shardwords AS (SELECT source, shard, shard % any_value(CAST(ceil(shards / 4096) AS BIGINT)) AS grp, CAST(sum(size) AS BIGINT) AS words, any_value(quota) AS quota, CAST(ceil(sum(size) / 16) AS BIGINT) AS blocks FROM placed GROUP BY source, shard),
+groupwords AS (SELECT source, grp, CAST(sum(words) AS BIGINT) AS words, any_value(quota) AS seats, CAST(3 * sum(blocks) AS BIGINT) AS most FROM shardwords GROUP BY source, grp),
+gbounds AS (SELECT *, CAST(coalesce(greatest(0, floor(x - coalesce(x * n / nullif(2 * seats, 0), 0) - 1)), 0) AS BIGINT) AS low, CAST(coalesce(ceil(x + coalesce(x * n / nullif(2 * seats, 0), 0) + 1), 0) AS BIGINT) AS high FROM (
+  SELECT *, words * seats / nullif(CAST(sum(words) OVER (PARTITION BY source) AS DOUBLE), 0) AS x, count(*) OVER (PARTITION BY source) AS n FROM groupwords)),
+granked AS (SELECT source, grp, free, row_number() OVER (PARTITION BY source ORDER BY words / (2 * s + 1) DESC, grp, s) AS rank FROM (
+  SELECT *, unnest(range(low, high)) AS s FROM (SELECT *, seats - sum(low) OVER (PARTITION BY source) AS free FROM gbounds))),
+gquotas AS (SELECT b.source, b.grp, least(b.low + coalesce(r.won, 0), b.most) AS seats FROM gbounds b LEFT JOIN (
+  SELECT source, grp, count(*) FILTER (rank <= free) AS won FROM granked GROUP BY ALL) r ON r.source IS NOT DISTINCT FROM b.source AND r.grp = b.grp),
+shardsizes AS (SELECT w.source, w.grp, w.shard, w.words, w.blocks, g.seats FROM shardwords w JOIN gquotas g ON g.source IS NOT DISTINCT FROM w.source AND g.grp = w.grp),
 sbounds AS (SELECT *, CAST(coalesce(greatest(0, floor(x - coalesce(x * n / nullif(2 * seats, 0), 0) - 1)), 0) AS BIGINT) AS low, CAST(coalesce(ceil(x + coalesce(x * n / nullif(2 * seats, 0), 0) + 1), 0) AS BIGINT) AS high FROM (
-  SELECT *, words * seats / nullif(CAST(sum(words) OVER (PARTITION BY source) AS DOUBLE), 0) AS x, count(*) OVER (PARTITION BY source) AS n FROM shardsizes)),
-sranked AS (SELECT source, shard, free, row_number() OVER (PARTITION BY source ORDER BY words / (2 * s + 1) DESC, shard, s) AS rank FROM (
-  SELECT *, unnest(range(low, high)) AS s FROM (SELECT *, seats - sum(low) OVER (PARTITION BY source) AS free FROM sbounds))),
+  SELECT *, words * seats / nullif(CAST(sum(words) OVER (PARTITION BY source, grp) AS DOUBLE), 0) AS x, count(*) OVER (PARTITION BY source, grp) AS n FROM shardsizes)),
+sranked AS (SELECT source, shard, free, row_number() OVER (PARTITION BY source, grp ORDER BY words / (2 * s + 1) DESC, shard, s) AS rank FROM (
+  SELECT *, unnest(range(low, high)) AS s FROM (SELECT *, seats - sum(low) OVER (PARTITION BY source, grp) AS free FROM sbounds))),
 squotas AS (SELECT b.source, b.shard, b.words, b.blocks, least(b.low + coalesce(r.won, 0), 3 * b.blocks) AS quota FROM sbounds b LEFT JOIN (
   SELECT source, shard, count(*) FILTER (rank <= free) AS won FROM sranked GROUP BY ALL) r ON r.source IS NOT DISTINCT FROM b.source AND r.shard = b.shard),
 stream AS (SELECT p.*, q.words, q.blocks, q.quota AS shard_quota,

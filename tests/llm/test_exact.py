@@ -76,6 +76,23 @@ def test_mix(docs):
     assert mixing.mix(docs([])).count() == 0 and mixing.materialise_mix(docs([])).count() == 0
 
 
+def test_mix_in_groups_of_shards(docs, monkeypatch):
+    """Many shards in several groups: sources come as near to their targets as with one group; repeated and very long rows too."""
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 4)
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 5)
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 90)), rng.choice("aab")) for i in range(400)] + [(900, "v " * 60_000, "b")] + [(None, "same words again", "a")] * 200
+    d = docs(rows)
+    got = mixing.mix(d).collect()
+    assert len(got) == len(rows) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 3 * mixing.BLOCK * (1 + len(own) / 4)  # a shard's last block isn't full
+    made = mixing.materialise_mix(d)
+    assert made.columns == d.columns
+    assert made.agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0] == made.sparkSession.createDataFrame(got).agg(F.sum("taken")).first()[0]
+
+
 def test_mix_is_native(docs):
     plan = mixing.mix(docs([(1, "a b c", "x")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
@@ -99,18 +116,41 @@ def test_top_k(spark):
     rows = topk.quantised(spark.createDataFrame(raw + odd, "vec_id long, embedding array<float>"), "vec_id", "embedding")
     got = topk.top_k(rows.where("id % 50 = 0"), rows, 5)
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == brute_top(ints, 5)
+    assert topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding").count() == 0
     few = rows.where("id < 3")
     assert topk.top_k(few.where("id = 0"), few, 5).count() == 2
     assert topk.top_k(few.where("id < 0"), few, 5).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Scores are exact where neither float64 nor a long holds the products."""
+    raw = [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [0.0, 3.5]), (50, [0.0, 2.0**60]), (51, [2.0**55, -1.0]), (52, [1e300, -1e300]), (53, [2.0**43 + 0.5, 0.0]), (100, [1.0, 0.0])]
+    ints = [(i, [int(x) * 256 if abs(x) >= 2**52 else int(np.floor(256 * x)) for x in v]) for i, v in raw]
+    rows = topk.quantised(spark.createDataFrame(raw, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(rows.where("id % 50 = 0"), rows, 5).collect())
+    assert got == [(*r[:3], r[3] if abs(r[3]) < 2**63 else None) for r in brute_top(ints, 5)]
+    assert any(r[3] is None for r in got) and any(r[3] is not None and r[3] > 2**53 for r in got)
+
+
+def test_blocks_of_small_norms_are_left_out(spark, monkeypatch):
+    """Vectors of very different norms in many blocks: the same results, from a fraction of the block pairs."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "SEEDS", 32)
+    rng = np.random.default_rng(4)
+    raw = [(i, (np.abs(rng.normal(size=8)) * float(0.97**i)).tolist()) for i in range(400)]
+    ints = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in raw]
+    rows = topk.quantised(spark.createDataFrame(raw, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = topk.top_k(rows.where("id % 50 = 0"), rows, 5)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == brute_top(ints, 5)
+
+
 def test_bounds_drop_no_result():
     rng = np.random.default_rng(2)
     v, q = rng.integers(-300, 300, (64, 900)), rng.integers(-300, 300, (64, 12))
-    got = topk.search_block(q, np.arange(5000, 5012), v, np.arange(900), 5, step=4)
     score = q.T @ v
     want = [(5000 + j, int(i), int(score[j, i])) for j in range(12) for i in np.lexsort((np.arange(900), -score[j]))[:5]]
-    assert got == want
+    for bounds in (None, np.sort(score, 1)[:, -5].astype(float), np.full(12, -np.inf)):
+        assert topk.search_block(q / 256, np.arange(5000, 5012), v / 256, np.arange(900), 5, step=4, bounds=bounds) == want
 
 
 def test_bpe_equals_the_library(docs):
