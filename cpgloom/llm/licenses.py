@@ -1,15 +1,17 @@
 """License scans: MinHash bands over overlapping text windows, then exact shingle containment.
 
-A template is a notice, as shingles of five plain words in lower case (a shorter
-notice is one shingle as a whole). For each template length class the text has
-windows of twice that many words, each half over the next, so every occurrence
-of at most that length lies whole in some window. With bands of one row a window at Jaccard similarity
+A template is a notice, a file header or the whole text of a short licence, as
+shingles of five plain words in lower case (a shorter notice is one shingle as a
+whole). An occurrence may be a quarter longer than its template. For each class
+of such lengths the text has windows of twice that many words, each half over
+the next, so every occurrence of at most that length lies whole in some window. With bands of one row a window at Jaccard similarity
 J shares no band with probability (1 - J)**bands. Each length class has BANDS
 bands or more, so many that this is at most MISSED for the smallest J of an
 accepted occurrence of any of its templates: 1/12 for a notice of five words,
 whose windows have 12 shingles. A retrieved pair is verified exactly: the share
-of the template's shingles that the window holds must reach CONTAINED. Band keys are smallest hashes, which are shingles of both
-sides, so only windows that hold some template shingle need signatures.
+of the template's shingles that the window holds must reach CONTAINED. Band keys
+are smallest hashes, which are shingles of both sides, so only windows that hold
+some template shingle need signatures.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from cpgloom.llm.common import LOWER, PLAIN, gram_hashes, mix64, slices, text_or
 
 SHINGLE, BANDS, CONTAINED, MISSED = 5, 64, 0.8, 1e-5
 
-# Short public notices.
+# Public notices, file headers and licence texts.
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "MIT": "Released under the MIT License",
@@ -38,9 +40,30 @@ NOTICES = {
     "GPL-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "all-rights": "All rights reserved. No part of this publication may be reproduced",
+    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-2-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Zlib-text": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "GPL-2.0-or-later-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "EPL-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "OFL-1.1-header": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
 }
 
 
+def spanned(words: int) -> int:
+    """Words of the longest occurrence of a template that is looked for."""
+    return words + max(2, words // 4)
+
+
 def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = LOWER[data]
     starts, ends, first = word_spans(low, offsets, PLAIN)
@@ -84,7 +107,7 @@ class Templates:
         self.sets = [np.unique(row_shingles(w, min(n, max(len(w), 1)))) for w in self.words]
         self.table: dict[int, dict[tuple[int, int], set[int]]] = {}
         self.sizes: dict[tuple[int, int], np.ndarray] = {}
-        keys = [(1 << max(2, (len(w) - 1).bit_length()), min(n, len(w))) for w in self.words]
+        keys = [(1 << max(2, (spanned(len(w)) - 1).bit_length()), min(n, len(w))) for w in self.words]
         self.bands: dict[tuple[int, int], int] = {}
         for key, s in zip(keys, self.sets):
             if len(s):
@@ -134,13 +157,13 @@ class Templates:
         return kept
 
     def occurrences(self, own: np.ndarray, place: np.ndarray, i: int, contained: float):
-        """Runs of a template's shingles no further apart than the template is long, each checked on its own."""
+        """Runs of a template's shingles within the length of an occurrence, each checked on its own."""
         length = len(self.words[i])
         n = min(self.n, length)
         a = 0
         while a < len(place):
             b = a
-            while b + 1 < len(place) and place[b + 1] - place[a] + n <= length + 2:
+            while b + 1 < len(place) and place[b + 1] - place[a] + n <= spanned(length):
                 b += 1
             share = len(np.unique(own[place[a : b + 1]])) / len(self.sets[i])
             if share >= contained:
