@@ -196,3 +196,34 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components.components(links).collect()}
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100, 102: 100}
     assert components.components(links.limit(0)).count() == 0
+
+
+def test_template_pages_make_no_pairs(docs, monkeypatch):
+    """Pages that share most of their text, but not enough to link, meet nowhere; those that link do."""
+    from cpgloom.llm.common import materialize
+
+    rng = random.Random(4)
+    shared = [f"t{i}" for i in range(263)]
+    page = lambda own: " ".join(shared[:100] + [f"o{rng.randrange(10**9)}" for _ in range(own)] + shared[100:])
+    sizes = []
+
+    def noted(df, name):
+        out = materialize(df, name)
+        if name == "join-pairs":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", noted)
+    rows = [(i, page(35)) for i in range(300)]
+    assert len({r[2] for r in run_classes(docs, rows, 4, 85)}) == 300 and sum(sizes) <= 300  # of 44,850; the few come from shared cells
+    sizes.clear()
+    rows = [(i, page(rng.randrange(0, 60))) for i in range(120)]
+    assert run_classes(docs, rows, 4, 85) == brute_classes(rows, 4, 85)
+
+
+def test_join_of_very_long_texts(docs):
+    rng = random.Random(5)
+    long = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    other = long[:57_000] + [f"v{i}" for i in range(3_000)]
+    rows = [(3, " ".join(long)), (2, " ".join(other)), (1, " ".join(long[:40_000]))]
+    assert run_classes(docs, rows, 4, 85) == brute_classes(rows, 4, 85)
