@@ -41,7 +41,7 @@ STAGES = [
     ("BPE encoding and decoding", tokens),
 ]
 
-#: SQL can express none of the learned stages; tests hold them against brute force.
+#: SQL can express none of the learned stages; tests/llm/test_pipeline.py holds each stage against brute force on its own input.
 ORACLE_SQL = None
 
 
