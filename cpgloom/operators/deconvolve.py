@@ -11,19 +11,19 @@ from cpgloom.operators.features import usable
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
-    """Smallest ||a x - b|| with x >= 0, by the published active-set method on normal equations."""
+    """Smallest ||a x - b|| with x >= 0, by the published active-set method; the free columns are solved as they are, not by normal equations."""
     n = a.shape[1]
-    g, h = a.T @ a, a.T @ b
+    scale = max(1.0, float(np.abs(a.T @ b).max(initial=0)))
     x, free = np.zeros(n), np.zeros(n, dtype=bool)
     for _ in range(rounds or 3 * n):
-        w = h - g @ x
+        w = a.T @ (b - a @ x)
         w[free] = -np.inf
-        if n == free.sum() or w.max() <= 1e-12 * max(1.0, np.abs(h).max()):
+        if n == free.sum() or w.max() <= 1e-12 * scale:
             break
         free[int(w.argmax())] = True
         while True:
             s = np.zeros(n)
-            s[free] = np.linalg.lstsq(g[np.ix_(free, free)], h[free], rcond=None)[0]
+            s[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
             if (s[free] > 0).all():
                 break
             bad = free & (s <= 0)

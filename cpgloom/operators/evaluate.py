@@ -90,17 +90,80 @@ def coverage_ladder(obs: DataFrame, members: DataFrame, levels: list[int], patte
     return held.groupBy("level").agg(F.avg(F.abs(F.col("p") - F.col("b"))).alias("mae"))
 
 
-def pilot(units: DataFrame, pick: int) -> DataFrame:
-    """(unit, class): evenly spaced picks of each variance quartile of the mixed units, and of the others as one group.
+def spaced(n: Column, pick: int) -> Column:
+    """The ``pick`` evenly spaced of n places, both ends among them; halves are rounded to the even one."""
+    step = (n - 1) / F.lit(float(max(pick - 1, 1)))
+    return F.transform(F.sequence(F.lit(0), F.lit(pick - 1)), lambda j: F.bround(j * step, 0).cast("int"))
 
-    ``units`` is (unit, class, variance): a row for each unit.
+
+def target_variance(codes: DataFrame, places: DataFrame, units: DataFrame, train_cells: DataFrame, per_unit: int = 1024) -> DataFrame:
+    """(unit, variance) of the training cells' true values at up to ``per_unit`` evenly spaced places of each unit.
+
+    ``places`` is (dest, unit, cpg_idx). A unit without any value has none.
+    """
+    local = places.join(units.select("unit", "output_offset", "cpg_count"), "unit").withColumn("local", F.col("dest") - F.col("output_offset"))
+    take = F.least(F.col("cpg_count"), F.lit(per_unit))
+    # the place that is nearest below on the grid of ``take`` places
+    j = F.ceil(F.col("local") * (take - 1) / F.greatest(F.col("cpg_count") - 1, F.lit(1)))
+    chosen = (F.col("local") == F.col("cpg_count") - 1) | (F.floor(j * (F.col("cpg_count") - 1) / F.greatest(take - 1, F.lit(1))) == F.col("local"))
+    chosen = F.when(take == 1, F.col("local") == 0).otherwise(chosen)
+    rows = codes.join(train_cells.select("cell_id"), "cell_id").join(local.where(chosen).select("unit", "cpg_idx"), "cpg_idx")
+    return rows.groupBy("unit").agg(F.var_pop(F.col("code") / 65534.0).alias("variance"))
+
+
+def pilot(units: DataFrame, mixed: int = 6, pna: int = 8) -> DataFrame:
+    """(unit, class): evenly spaced picks of each quarter of the mixed units by variance, and of the background units in order.
+
+    ``units`` is (unit, class, variance), a row for each unit; pure units have no part. Too few units to pick from are an error.
     """
-    quartile = F.when(F.col("class") == "mixed", F.ntile(4).over(Window.partitionBy("class").orderBy("variance", "unit"))).otherwise(0)
-    rows = units.withColumn("quartile", quartile)
-    group = Window.partitionBy("class", "quartile")
-    rows = rows.withColumn("rn", F.row_number().over(group.orderBy("variance", "unit")) - 1).withColumn("n", F.count("*").over(group))
-    every = F.greatest(F.lit(1), F.floor(F.col("n") / pick))
-    return rows.where((F.col("rn") % every == 0) & (F.floor(F.col("rn") / every) < pick)).select("unit", "class")
+    rows = units.where(F.col("class").isin("mixed", "PNA"))
+    order = Window.partitionBy("class").orderBy(F.when(F.col("class") == "mixed", F.col("variance")).asc_nulls_last(), "unit")
+    rows = rows.withColumn("quarter", F.when(F.col("class") == "mixed", F.ntile(4).over(order)).otherwise(0))
+    group = Window.partitionBy("class", "quarter")
+    rows = rows.withColumn("rn", F.row_number().over(group.orderBy(F.when(F.col("class") == "mixed", F.col("variance")).asc_nulls_last(), "unit")) - 1).withColumn("n", F.count("*").over(group))
+    have = {(r["class"], r["quarter"]): r["n"] for r in rows.select("class", "quarter", "n").distinct().collect()}  # five rows
+    if any(have.get(("mixed", q), 0) < mixed for q in (1, 2, 3, 4)) or have.get(("PNA", 0), 0) < pna:
+        raise ValueError("too few units in a stratum")
+    picked = F.when(F.col("class") == "mixed", F.array_contains(spaced(F.col("n"), mixed), F.col("rn"))).otherwise(F.array_contains(spaced(F.col("n"), pna), F.col("rn")))
+    return rows.where(picked).select("unit", "class")
+
+
+def paired(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, y, p, q): two models' predictions (keys, y, p) of the same targets side by side; each has the other's keys or it is an error."""
+    both = a.select(*keys, "y", "p", F.lit(True).alias("in_a")).join(b.select(*keys, F.col("p").alias("q"), F.lit(True).alias("in_b")), keys, "full_outer")
+    lone = F.col("in_a").isNull() | F.col("in_b").isNull()
+    return both.select(*keys, "y", F.when(lone, F.raise_error(F.lit("the models' keys differ")).cast("double")).otherwise(F.col("p")).alias("p"), "q")
+
+
+def paired_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, mae_a, mae_b, delta): both models' errors on each row of targets, for intervals by rows."""
+    a, b = F.avg(F.abs(F.col("p") - F.col("y"))), F.avg(F.abs(F.col("q") - F.col("y")))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), a.alias("mae_a"), b.alias("mae_b"), (b - a).alias("delta"))
+
+
+def class_gap(rows: DataFrame) -> DataFrame:
+    """(class, n, mae_a, mae_b, gap, rmse_a, rmse_b) of targets in a ranked group (``group`` > 0: top), the residual ones, and all."""
+    d, e = F.col("p") - F.col("y"), F.col("q") - F.col("y")
+    by = rows.withColumn("class", F.explode(F.array(F.lit("all"), F.when(F.col("group") > 0, "top").otherwise("residual"))))
+    by = by.groupBy("class").agg(F.count("*").alias("n"), F.avg(F.abs(d)).alias("mae_a"), F.avg(F.abs(e)).alias("mae_b"), F.sqrt(F.avg(d * d)).alias("rmse_a"), F.sqrt(F.avg(e * e)).alias("rmse_b"))
+    return by.select("class", "n", "mae_a", "mae_b", (F.col("mae_a") - F.col("mae_b")).alias("gap"), "rmse_a", "rmse_b")
+
+
+def extremes(units: DataFrame, by: str, count: int = 12) -> DataFrame:
+    """(side, place, by, contrib): the ``count`` units that add most to the change of the error (worst) and least (best)."""
+    worst = units.orderBy(F.desc("contrib"), by).limit(count).withColumn("side", F.lit("worst"))
+    best = units.orderBy(F.asc("contrib"), F.desc(by)).limit(count).withColumn("side", F.lit("best"))
+    key = F.when(F.col("side") == "worst", -F.col("contrib")).otherwise(F.col("contrib"))
+    tie = Window.partitionBy("side").orderBy(key, F.when(F.col("side") == "worst", F.col(by)), F.when(F.col("side") == "best", F.col(by)).desc())
+    return worst.unionByName(best).select("side", F.row_number().over(tie).alias("place"), by, "contrib")
+
+
+def rank_rollup(units: DataFrame) -> DataFrame:
+    """(change, units, share, contrib) of (n, d_mae, rank_a, rank_b) units by whether the second model has a lower, higher or the same rank."""
+    change = F.when(F.col("rank_b") < F.col("rank_a"), "demoted").when(F.col("rank_b") > F.col("rank_a"), "promoted").otherwise("unchanged")
+    sums = units.groupBy(change.alias("change")).agg(F.count("*").alias("units"), F.sum("n").alias("n"), F.sum(F.col("d_mae") * F.col("n")).alias("d"))
+    total = F.sum("n").over(Window.partitionBy())
+    return sums.select("change", "units", (F.col("n") / total).alias("share"), (F.col("d") / total).alias("contrib"))
 
 
 def levels(ladder: DataFrame) -> DataFrame:

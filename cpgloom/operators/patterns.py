@@ -14,7 +14,8 @@ def site_calls(obs: DataFrame, cpgs: DataFrame, ns: int, threshold: float = 0.5,
     """(cpg_idx, n1, n0, digits): calls of each CpG, ``digits`` mapping samples to 0 or 1.
 
     One grouped aggregation; the grid of samples and CpGs is never made. A CpG
-    without observations comes from ``cpgs`` with an empty map.
+    without observations comes from ``cpgs`` with an empty map. ``obs`` has one
+    row for each sample and CpG; a repeated one is an error.
     """
     called = obs.withColumn("digit", S.call(threshold, mincov)).where(F.col("digit").isNotNull() & (F.col("sample_id") < ns))
     grouped = called.groupBy("cpg_idx").agg(
@@ -43,9 +44,9 @@ def cpg_pattern(sites: DataFrame, ns: int) -> DataFrame:
     return sites.select("cpg_idx", F.when(F.col("is_pna"), F.lit("2" * ns)).otherwise(digits).alias("pattern"))
 
 
-def mine(obs: DataFrame, cpgs: DataFrame, ns: int, **options) -> DataFrame:
+def mine(obs: DataFrame, cpgs: DataFrame, ns: int, threshold: float = 0.5, mincov: int = 1, max_ambiguous: float = MAX_AMBIGUOUS, fold: int = FOLD) -> DataFrame:
     """(cpg_idx, pattern) from observations in one step."""
-    return cpg_pattern(ambiguity(site_calls(obs, cpgs, ns), ns, **options), ns)
+    return cpg_pattern(ambiguity(site_calls(obs, cpgs, ns, threshold, mincov), ns, max_ambiguous, fold), ns)
 
 
 def pattern_rank(patterns: DataFrame, ns: int) -> DataFrame:

@@ -82,8 +82,11 @@ def standardise(rows: DataFrame, train: Column, trunk: bool = False) -> DataFram
     """(rep, cell_id, j, x): mean of the observed training rows, and their squared deviations over all training rows; missing is 0.
 
     A scale is at least 1e-6; for the trunk's inputs one of up to 1e-8 is 1 instead.
+    But for the trunk's, an input that no training row has is an error.
     """
+    never = F.raise_error(F.lit("an input is never observed in training")).cast("double")
     mean = rows.where(train).groupBy("j").agg(F.avg("v").alias("mean"))
+    mean = mean if trunk else mean.select("j", F.coalesce("mean", never).alias("mean"))
     variance = F.coalesce(F.sum(F.pow(F.col("v") - F.col("mean"), 2)), F.lit(0.0)) / F.count("*")
     least = F.when(F.sqrt(variance) <= 1e-8, 1.0).otherwise(F.sqrt(variance)) if trunk else F.sqrt(F.greatest(variance, F.lit(1e-12)))
     scale = rows.where(train).join(mean, "j").groupBy("j", "mean").agg(least.alias("scale"))

@@ -6,51 +6,74 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "unit int, output_offset long, cpg_count long, membership_count long, class string"
+SCHEMA = "unit int, output_offset long, cpg_count long, membership_count long, class string, oversized boolean"
 
 
-def pack(counts: list[int], target: int) -> list[tuple[int, int, int, bool]]:
-    """(first rank, memberships, CpGs, oversized) of next-fit units.
+def pack_runs(runs: list[tuple[int, int]], target: int) -> list[tuple[int, int, int, int]]:
+    """Next-fit units of memberships in order, given as runs (CpGs of each, how many): (first rank, memberships, CpGs, units alike).
 
     A unit is closed when the next membership would exceed the target; one
-    larger than the target has a unit of its own. No membership is split.
+    larger than the target has a unit of its own. No membership is split. Units
+    of one run that are alike come as one entry, so the work follows the runs.
     """
-    out, first, held = [], 0, 0
-    for i, n in enumerate(counts):
-        if held and held + n > target:
-            out.append((first, i - first, held, False))
-            first, held = i, 0
-        held += n
+    out, rank, first, held = [], 0, 0, 0
+
+    def close() -> None:
+        nonlocal first, held
+        if held:
+            out.append((first, rank - first, held, 1))
+        first, held = rank, 0
+
+    for n, k in runs:
         if n > target:
-            out.append((first, i + 1 - first, held, True))
-            first, held = i + 1, 0
-    if held:
-        out.append((first, len(counts) - first, held, False))
+            close()
+            out.append((rank, 1, n, k))
+            rank += k
+            first = rank
+            continue
+        fits = min(k, (target - held) // n)
+        rank, held, k = rank + fits, held + fits * n, k - fits
+        if k:
+            close()
+            each = target // n
+            full = (k - 1) // each
+            if full:
+                out.append((rank, each, each * n, full))
+            rank, first = rank + k, rank + full * each
+            held = (k - full * each) * n
+    close()
     return out
 
 
 def membership_units(ranked: DataFrame, target: int) -> DataFrame:
-    """Units of the ranked patterns, and for each its ranks: (unit, output_offset, cpg_count, membership_count, class, first_rank).
+    """Units of the ranked patterns, and for each its ranks: (unit, output_offset, cpg_count, membership_count, class, oversized, first_rank).
 
-    The fold is sequential, over the pattern table alone (a row for each pattern, not for each CpG).
+    Ranks go by count, so patterns of equal count are runs: with N CpGs there
+    are no more than sqrt(2 N) different counts, and the sequential fold sees these alone.
     """
     def fold(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("rank")
-        rows, at = [], 0
-        for unit, (first, members, n, _) in enumerate(pack(df["n"].tolist(), target)):
-            rows.append((unit, at, n, members, "pure" if members == 1 else "mixed", first))
-            at += n
-        return pd.DataFrame(rows, columns=["unit", "output_offset", "cpg_count", "membership_count", "class", "first_rank"])
-
-    return ranked.select("rank", "n", F.lit(1).alias("all")).groupBy("all").applyInPandas(fold, SCHEMA + ", first_rank int")
+        df = df.sort_values("n", ascending=False)
+        rows, unit, at = [], 0, 0
+        for first, members, n, alike in pack_runs(list(zip(df["n"].tolist(), df["k"].tolist())), target):
+            rows.append((unit, at, n, members, first, alike))
+            unit, at = unit + alike, at + n * alike
+        return pd.DataFrame(rows, columns=["unit", "output_offset", "cpg_count", "membership_count", "first_rank", "alike"])
+
+    runs = ranked.groupBy("n").agg(F.count("*").alias("k")).withColumn("all", F.lit(1))
+    packed = runs.groupBy("all").applyInPandas(fold, "unit long, output_offset long, cpg_count long, membership_count long, first_rank long, alike long")
+    i = F.col("i")
+    return packed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("alike") - 1)).alias("i")).select(
+        (F.col("unit") + i).cast("int").alias("unit"), (F.col("output_offset") + i * F.col("cpg_count")).alias("output_offset"), "cpg_count", "membership_count",
+        F.when(F.col("membership_count") == 1, "pure").otherwise("mixed").alias("class"), (F.col("cpg_count") > target).alias("oversized"), (F.col("first_rank") + i * F.col("membership_count")).cast("int").alias("first_rank"),
+    )
 
 
 def pna_units(n_pna: int, real: DataFrame, target: int) -> DataFrame:
-    """Units of ``n_pna`` background CpGs, after the real ones."""
+    """Units of ``n_pna`` background CpGs, after the real ones; each CpG is a membership of its own."""
     last = real.agg(F.coalesce(F.max("unit") + 1, F.lit(0)).alias("units"), F.coalesce(F.sum("cpg_count"), F.lit(0)).alias("at"))
     chunks = last.where(F.lit(n_pna > 0)).select("units", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n_pna - 1, 0) // target).cast("long"))).alias("k"))
     n = F.least(F.lit(target).cast("long"), F.lit(n_pna).cast("long") - F.col("k") * target)
-    return chunks.select((F.col("units") + F.col("k")).cast("int").alias("unit"), (F.col("at") + F.col("k") * target).alias("output_offset"), n.alias("cpg_count"), F.lit(1).cast("long").alias("membership_count"), F.lit("PNA").alias("class"))
+    return chunks.select((F.col("units") + F.col("k")).cast("int").alias("unit"), (F.col("at") + F.col("k") * target).alias("output_offset"), n.alias("cpg_count"), n.alias("membership_count"), F.lit("PNA").alias("class"), F.lit(False).alias("oversized"))
 
 
 def scatter(members: DataFrame, ranked: DataFrame, real: DataFrame, target: int) -> DataFrame:
@@ -77,4 +100,6 @@ def scatter(members: DataFrame, ranked: DataFrame, real: DataFrame, target: int)
 
 
 def stats(units: DataFrame) -> DataFrame:
-    return units.groupBy("class").agg(F.count("*").alias("units"), F.min("cpg_count").alias("min_cpgs"), F.round(F.avg("cpg_count"), 6).alias("mean_cpgs"), F.max("cpg_count").alias("max_cpgs"))
+    return units.groupBy("class").agg(
+        F.count("*").alias("units"), F.min("cpg_count").alias("min_cpgs"), F.round(F.avg("cpg_count"), 6).alias("mean_cpgs"), F.max("cpg_count").alias("max_cpgs"), F.count_if("oversized").alias("oversized")
+    )

@@ -60,7 +60,9 @@ def ranks(spark, d):
 
 
 def members(spark, d):
-    return P.membership(*ranks(spark, d))
+    """Each CpG's rank, from patterns that are mined once."""
+    patterns = A.stage(mined(spark, d)[0], "patterns")
+    return A.stage(P.membership(patterns, P.pattern_rank(patterns, B.n_samples(spark, d))), "members")
 
 
 def masked(spark, d):
@@ -71,8 +73,20 @@ def feats(spark, d):
     return X.features(B.query_obs(spark, d), masked(spark, d), STATES)
 
 
+def staged_feats(spark, d):
+    """The features, for queries that use them more than once."""
+    return A.stage(feats(spark, d), "features")
+
+
+def signature_and_feats(spark, d):
+    """The signature and the cells' features from one mask, each computed once."""
+    mask = masked(spark, d)
+    sig = X.signature(A.stage(X.features(B.celltype_obs(spark, d), mask, STATES, "cell_type"), "features"))
+    return A.stage(sig, "signature"), A.stage(X.features(B.query_obs(spark, d), mask, STATES), "features")
+
+
 def type_feats(spark, d):
-    return X.features(B.celltype_obs(spark, d), masked(spark, d), STATES, "cell_type")
+    return A.stage(X.features(B.celltype_obs(spark, d), masked(spark, d), STATES, "cell_type"), "features")
 
 
 def ladder(spark):
@@ -80,11 +94,11 @@ def ladder(spark):
 
 
 def drawn(spark, d):
-    return M.sample(B.query_obs(spark, d), ladder(spark))
+    return A.stage(M.sample(B.query_obs(spark, d), ladder(spark)), "sampled")
 
 
-def sim_feats(spark, d):
-    return M.sampled_features(drawn(spark, d), members(spark, d), SIM_PATTERNS)
+def sim_feats(spark, d, sampled=None):
+    return A.stage(M.sampled_features(sampled or drawn(spark, d), members(spark, d), SIM_PATTERNS), "simulated")
 
 
 def cells(spark, d):
@@ -93,7 +107,7 @@ def cells(spark, d):
 
 def predictions(spark, d):
     """(cell_id, cpg_idx, y, state, p, q): truth, the cell's mean of the state, and the state's mean over all cells."""
-    rows = B.query_obs(spark, d).where(S.coverage() > 0).select("cell_id", "cpg_idx", S.beta().alias("y")).join(masked(spark, d), "cpg_idx")
+    rows = A.stage(B.query_obs(spark, d).where(S.coverage() > 0).select("cell_id", "cpg_idx", S.beta().alias("y")).join(masked(spark, d), "cpg_idx"), "truth")
     overall = rows.groupBy("state").agg(F.avg("y").alias("q"))
     own = rows.groupBy("cell_id", "state").agg(F.avg("y").alias("p"))
     return rows.join(own, ["cell_id", "state"]).join(F.broadcast(overall), "state").select("cell_id", "cpg_idx", "y", "state", "p", "q")
@@ -204,13 +218,13 @@ def signature_build(spark, d):
 
 @query(sql("SELECT pattern FROM used", "used"))
 def deconv_used_patterns(spark, d):
-    return X.used_patterns(X.signature(type_feats(spark, d)), feats(spark, d))
+    return X.used_patterns(*signature_and_feats(spark, d))
 
 
 @query(sql("SELECT f.cell_id, count(u.pattern) AS n_used FROM (SELECT DISTINCT cell_id FROM feat) f LEFT JOIN usable u USING (cell_id) GROUP BY 1", "usable"))
 def deconv_complete_case(spark, d):
-    f = feats(spark, d)
-    n = X.usable(X.signature(type_feats(spark, d)), f, 2).groupBy("cell_id").agg(F.count("*").alias("n_used"))
+    sig, f = signature_and_feats(spark, d)
+    n = X.usable(sig, f, 2).groupBy("cell_id").agg(F.count("*").alias("n_used"))
     return f.select("cell_id").distinct().join(n, "cell_id", "left").select("cell_id", F.coalesce("n_used", F.lit(0).cast("long")).alias("n_used"))
 
 
@@ -235,7 +249,7 @@ FROM (SELECT DISTINCT cell_id FROM feat) f CROSS JOIN (SELECT unnest(range(3)) A
 
 @query(sql("", "usable").rstrip() + _NNLS)
 def deconv_nnls3(spark, d):
-    return rounded(D.deconvolve(X.signature(type_feats(spark, d)), feats(spark, d), 2), 5)
+    return rounded(D.deconvolve(*signature_and_feats(spark, d), 2), 5)
 
 
 # ---- classifiers ----
@@ -247,25 +261,25 @@ def class_index(spark, d):
 
 @query(sql("SELECT pattern, round(mean, 6) AS mean, round(mu0, 6) AS mu0, round(mu1, 6) AS mu1 FROM lmeans", "lmeans"))
 def linear_feature_means(spark, d):
-    return rounded(C.feature_means(feats(spark, d), B.labels(spark, d)).drop("ord"))
+    return rounded(C.feature_means(staged_feats(spark, d), B.labels(spark, d)).drop("ord"))
 
 
 @query(sql("SELECT pattern, round(mu1 - mu0, 6) AS weight, round(mean, 6) AS mean, round(bias, 6) AS bias, round(scale, 6) AS scale FROM lmeans CROSS JOIN lcut", "lcut"))
 def linear_threshold_fit(spark, d):
-    return rounded(C.fit_threshold(feats(spark, d), B.labels(spark, d)))
+    return rounded(C.fit_threshold(staged_feats(spark, d), B.labels(spark, d)))
 
 
 @query(sql("""SELECT cell_id, CAST(p1 >= 0.5 AS INTEGER) AS label, round(p1, 6) AS p1,
   round(least(1.0, greatest(0.0, 1 + (p1 * ln(p1 + 1e-10) + (1 - p1) * ln(1 - p1 + 1e-10)) / ln(2.0))), 6) AS confidence
 FROM (SELECT cell_id, 1 / (1 + exp(-(bias + s) / scale)) AS p1 FROM lscore CROSS JOIN lcut)""", "lcut"))
 def linear_threshold_score(spark, d):
-    f = feats(spark, d)
+    f = staged_feats(spark, d)
     return rounded(C.score_linear(f, C.fit_threshold(f, B.labels(spark, d))))
 
 
 @query()
 def linear_logistic_fit(spark, d):
-    return rounded(C.fit_logistic(feats(spark, d), B.labels(spark, d)), 4)
+    return rounded(C.fit_logistic(staged_feats(spark, d), B.labels(spark, d)), 4)
 
 
 @query(sql("""SELECT cell_id, CAST(3 - list_position(list_reverse(p), list_max(p)) + 1 AS INTEGER) AS label,
@@ -284,7 +298,7 @@ def entropy_confidence(spark, d):
 @query()
 def gbt_train_predict(spark, d):
     region = B.table(spark, d, "supplier").join(F.broadcast(B.table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("cell_id"), F.col("n_regionkey").cast("string").alias("label"))
-    w = X.wide(feats(spark, d), STATES[:8])
+    w = A.stage(X.wide(feats(spark, d), STATES[:8]), "features")
     return rounded(C.boosted_predict(w.join(region, "cell_id"), w, STATES[:8], depth=4))
 
 
@@ -297,12 +311,12 @@ def placed(spark, d):
     return P.membership(patterns, ranked), ranked, A.stage(U.membership_units(ranked, TARGET), "units")
 
 
-def every_unit(members, real):
+def every_unit(members, real, target=TARGET):
     n_pna = members.where(F.col("rank").isNull()).count()
-    return real.drop("first_rank").unionByName(U.pna_units(n_pna, real, TARGET))
+    return real.drop("first_rank").unionByName(U.pna_units(n_pna, real, target))
 
 
-@query(sql("SELECT unit, output_offset, cpg_count, membership_count, class FROM units", "units"))
+@query(sql("SELECT unit, output_offset, cpg_count, membership_count, class, oversized FROM units", "units"))
 def unit_pack(spark, d):
     return U.membership_units(ranks(spark, d)[1], TARGET).drop("first_rank")
 
@@ -319,7 +333,7 @@ def unit_cpg_scatter(spark, d):
     return U.scatter(*placed(spark, d), TARGET)
 
 
-@query(sql("SELECT class, count(*) AS units, min(cpg_count) AS min_cpgs, round(avg(cpg_count), 6) AS mean_cpgs, max(cpg_count) AS max_cpgs FROM allunits GROUP BY class", "allunits"))
+@query(sql("SELECT class, count(*) AS units, min(cpg_count) AS min_cpgs, round(avg(cpg_count), 6) AS mean_cpgs, max(cpg_count) AS max_cpgs, count(*) FILTER (oversized) AS oversized FROM allunits GROUP BY class", "allunits"))
 def unit_stats(spark, d):
     of, _, real = placed(spark, d)
     return U.stats(every_unit(of, real))
@@ -366,11 +380,12 @@ _CHANNEL = {
 
 
 def sim_grid(spark, d):
-    return M.grid(sim_feats(spark, d), drawn(spark, d).select("rep", "cell_id").distinct(), SIM_PATTERNS)
+    sampled = drawn(spark, d)
+    return M.grid(sim_feats(spark, d, sampled), sampled.select("rep", "cell_id").distinct(), SIM_PATTERNS)
 
 
 def inputs(spark, d, mode, trunk=False):
-    rows = M.channels(sim_grid(spark, d), mode, SIM_PATTERNS).join(M.split(cells(spark, d)), "cell_id")
+    rows = A.stage(M.channels(sim_grid(spark, d), mode, SIM_PATTERNS).join(M.split(cells(spark, d)), "cell_id"), "channels")
     return M.standardise(rows, F.col("split") == "train", trunk)
 
 
@@ -566,22 +581,61 @@ def eval_coverage_ladder(spark, d):
     return rounded(E.coverage_ladder(B.query_obs(spark, d), members(spark, d), [50, 100, 200], SIM_PATTERNS))
 
 
-_PILOT = """, v AS (SELECT u.unit, u.class, var_pop(t.b) AS variance FROM (
-  SELECT dest, m / (m + u) AS b FROM query_obs JOIN (SELECT row_number() OVER (ORDER BY rank NULLS LAST, cpg_idx) - 1 AS dest, cpg_idx FROM member) USING (cpg_idx) WHERE m + u > 0) t
-  JOIN allunits u ON t.dest >= u.output_offset AND t.dest < u.output_offset + u.cpg_count GROUP BY 1, 2),
-w AS (SELECT unit, class, round(variance, 9) AS variance FROM v),
-q AS (SELECT *, CASE WHEN class = 'mixed' THEN ntile(4) OVER (PARTITION BY class ORDER BY variance, unit) ELSE 0 END AS quartile FROM w),
-r AS (SELECT *, row_number() OVER (PARTITION BY class, quartile ORDER BY variance, unit) - 1 AS rn, count(*) OVER (PARTITION BY class, quartile) AS n FROM q)
-SELECT unit, class FROM r WHERE rn % greatest(1, n // 2) = 0 AND rn // greatest(1, n // 2) < 2"""
+#: Units of the pilot are small, so that there are some to pick from on the smallest tables.
+PILOT_TARGET, PILOT_MIXED, PILOT_PNA, PILOT_PLACES = 10, 2, 2, 5
+_PILOT = f""", p AS (SELECT row_number() OVER (ORDER BY rank NULLS LAST, cpg_idx) - 1 AS dest, cpg_idx FROM member),
+s AS (SELECT p.dest - u.output_offset AS local, u.unit, u.cpg_count, p.cpg_idx FROM p JOIN allunits u ON p.dest >= u.output_offset AND p.dest < u.output_offset + u.cpg_count),
+k AS (SELECT unit, cpg_idx FROM s WHERE list_contains(list_transform(range(least(cpg_count, {PILOT_PLACES})), lambda j: CASE WHEN j = least(cpg_count, {PILOT_PLACES}) - 1 AND j > 0 THEN cpg_count - 1
+  ELSE CAST(floor(j * (cpg_count - 1) / greatest(least(cpg_count, {PILOT_PLACES}) - 1, 1)) AS BIGINT) END), local)),
+v AS (SELECT unit, round(var_pop(code / 65534.0), 9) AS variance FROM codes JOIN split USING (cell_id) JOIN k USING (cpg_idx) WHERE split = 'train' GROUP BY 1),
+w AS (SELECT unit, class, CASE WHEN class = 'mixed' THEN variance END AS variance FROM allunits LEFT JOIN v USING (unit) WHERE class <> 'pure'),
+q AS (SELECT *, CASE WHEN class = 'mixed' THEN ntile(4) OVER (PARTITION BY class ORDER BY variance NULLS LAST, unit) ELSE 0 END AS quarter FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY class, quarter ORDER BY variance NULLS LAST, unit) - 1 AS rn, count(*) OVER (PARTITION BY class, quarter) AS n,
+  CASE WHEN class = 'mixed' THEN {PILOT_MIXED} ELSE {PILOT_PNA} END AS pick FROM q)
+SELECT unit, class FROM r WHERE list_contains(list_transform(range(pick), lambda j: CAST(round_even(j * ((n - 1) / greatest(pick - 1, 1)), 0) AS BIGINT)), rn)"""
 
 
-@query(sql("", "query_obs", "allunits", "member").rstrip() + _PILOT)
+@query(sql("", "codes", "split", "allunits", "member").rstrip().replace("> 100", f"> {PILOT_TARGET}").replace("(100, ", f"({PILOT_TARGET}, ").replace("* 100", f"* {PILOT_TARGET}").replace("n_pna / 100", f"n_pna / {PILOT_TARGET}") + _PILOT)
 def pilot_select(spark, d):
-    of, ranked, real = placed(spark, d)
-    place = U.scatter(of, ranked, real, TARGET).select("unit", "cpg_idx")
-    b = B.query_obs(spark, d).where(S.coverage() > 0).select("cpg_idx", S.beta().alias("b"))
-    variance = b.join(place, "cpg_idx").groupBy("unit").agg(F.round(F.var_pop("b"), 9).alias("variance"))
-    return E.pilot(every_unit(of, real).select("unit", "class").join(variance, "unit"), 2)
+    patterns = A.stage(mined(spark, d)[0], "patterns")
+    ranked = A.stage(P.pattern_rank(patterns, B.n_samples(spark, d)), "ranked")
+    of, real = P.membership(patterns, ranked), A.stage(U.membership_units(ranked, PILOT_TARGET), "units")
+    units = every_unit(of, real, PILOT_TARGET)
+    train = M.split(cells(spark, d)).where("split = 'train'")
+    variance = E.target_variance(M.truth_codes(B.query_obs(spark, d)), U.scatter(of, ranked, real, PILOT_TARGET), units, train, PILOT_PLACES).withColumn("variance", F.round("variance", 9))
+    return E.pilot(A.stage(units.select("unit", "class").join(variance, "unit", "left"), "pilot"), PILOT_MIXED, PILOT_PNA)
+
+
+@query(sql("SELECT cell_id, count(*) AS n, round(avg(abs(p - y)), 6) AS mae_a, round(avg(abs(q - y)), 6) AS mae_b, round(avg(abs(q - y)) - avg(abs(p - y)), 6) AS delta FROM pred GROUP BY cell_id", "pred"))
+def eval_paired_rows(spark, d):
+    rows = A.stage(predictions(spark, d), "predictions")
+    both = E.paired(rows.select("cell_id", "cpg_idx", "y", "p"), rows.select("cell_id", "cpg_idx", F.col("q").alias("p")), ["cell_id", "cpg_idx"])
+    return rounded(E.paired_rows(both, ["cell_id"]))
+
+
+@query(sql("""SELECT class, count(*) AS n, round(avg(abs(p - y)), 6) AS mae_a, round(avg(abs(q - y)), 6) AS mae_b, round(avg(abs(p - y)) - avg(abs(q - y)), 6) AS gap,
+  round(sqrt(avg((p - y) * (p - y))), 6) AS rmse_a, round(sqrt(avg((q - y) * (q - y))), 6) AS rmse_b FROM (
+  SELECT *, unnest(['all', CASE WHEN state <> 'Pna' THEN 'top' ELSE 'residual' END]) AS class FROM pred) GROUP BY class""", "pred"))
+def eval_class_gap(spark, d):
+    return rounded(E.class_gap(predictions(spark, d).withColumn("group", F.when(F.col("state") != "Pna", 1).otherwise(0))))
+
+
+_UNITS = "(SELECT state, count(*) AS n, avg(abs(q - y)) - avg(abs(p - y)) AS d FROM pred GROUP BY 1)"
+
+
+@query(sql(f"""SELECT side, CAST(place AS INTEGER) AS place, state, contrib FROM (
+  SELECT 'worst' AS side, row_number() OVER (ORDER BY contrib DESC, state) AS place, state, contrib FROM u UNION ALL SELECT 'best', row_number() OVER (ORDER BY contrib, state DESC), state, contrib FROM u
+) WHERE place <= 5""", "pred").replace("\nSELECT side", f", u AS (SELECT state, round(d * n / sum(n) OVER (), 6) AS contrib FROM {_UNITS})\nSELECT side"))
+def eval_extreme_units(spark, d):
+    return E.extremes(rounded(E.contribution(predictions(spark, d), "state")), "state", 5)
+
+
+@query(sql("""SELECT change, count(*) AS units, round(sum(n) / sum(sum(n)) OVER (), 6) AS share, round(sum(d * n) / sum(sum(n)) OVER (), 6) AS contrib FROM (
+  SELECT *, CASE WHEN state = 'Pna' THEN 'unchanged' WHEN CAST(substr(state, 2) AS INTEGER) % 2 = 0 THEN 'promoted' ELSE 'demoted' END AS change FROM """ + _UNITS + ") GROUP BY change", "pred"))
+def eval_rank_rollup(spark, d):
+    units = E.contribution(predictions(spark, d), "state")
+    k = F.coalesce(F.expr("try_cast(substr(state, 2) AS int)"), F.lit(-1))
+    return rounded(E.rank_rollup(units.withColumn("rank_a", F.lit(16)).withColumn("rank_b", F.when(k < 0, 16).when(k % 2 == 0, 32).otherwise(8))))
 
 
 @query("SELECT CAST([10, 20, 50][i // 3 + 1] AS BIGINT) AS sample, count(*) AS n_reps FROM (SELECT unnest(range(9)) AS i) GROUP BY 1")
@@ -589,7 +643,8 @@ def store_levels(spark, d):
     return E.levels(M.ladder_fixed(spark, [10, 20, 50], 3))
 
 
-@query()
+@query(sql("""SELECT 'kind' AS key, 'patterns' AS value UNION ALL SELECT 'patterns.rows', CAST((SELECT count(*) FROM ranked) AS VARCHAR) UNION ALL SELECT 'patterns.columns', 'rank,label,pattern,n'
+UNION ALL SELECT 'membership.rows', CAST((SELECT count(*) FROM member) AS VARCHAR) UNION ALL SELECT 'membership.columns', 'cpg_idx,rank'""", "ranked", "member"))
 def artifact_describe(spark, d):
     p, ranked = ranks(spark, d)
     return A.describe({"patterns": ranked, "membership": P.membership(p, ranked)}, kind="patterns")

@@ -70,11 +70,11 @@ FROM (SELECT cell_id, cpg_idx, m / (m + u) AS y FROM query_obs WHERE m + u > 0)
     CASE WHEN w.closed OR w.held + r.n > 100 THEN r.n ELSE w.held + r.n END, r.n > 100
   FROM w JOIN ranked r ON r.rank = w.rank + 1)
 SELECT CAST(unit AS INTEGER) AS unit, CAST(sum(sum(n)) OVER (ORDER BY unit) - sum(n) AS BIGINT) AS output_offset, CAST(sum(n) AS BIGINT) AS cpg_count, count(*) AS membership_count,
-  CASE WHEN count(*) = 1 THEN 'pure' ELSE 'mixed' END AS class, min(rank) AS first_rank FROM w GROUP BY unit""",
-    "pnaunits": """SELECT CAST(t.units + k.i AS INTEGER) AS unit, CAST(t.total + k.i * 100 AS BIGINT) AS output_offset, CAST(least(100, t.n_pna - k.i * 100) AS BIGINT) AS cpg_count, CAST(1 AS BIGINT) AS membership_count, 'PNA' AS class
+  CASE WHEN count(*) = 1 THEN 'pure' ELSE 'mixed' END AS class, bool_or(n > 100) AS oversized, min(rank) AS first_rank FROM w GROUP BY unit""",
+    "pnaunits": """SELECT CAST(t.units + k.i AS INTEGER) AS unit, CAST(t.total + k.i * 100 AS BIGINT) AS output_offset, CAST(least(100, t.n_pna - k.i * 100) AS BIGINT) AS cpg_count, CAST(least(100, t.n_pna - k.i * 100) AS BIGINT) AS membership_count, 'PNA' AS class, false AS oversized
 FROM (SELECT (SELECT count(*) FROM member WHERE rank IS NULL) AS n_pna, (SELECT max(unit) + 1 FROM units) AS units, (SELECT sum(cpg_count) FROM units) AS total) t,
   LATERAL (SELECT unnest(range(CAST(ceil(t.n_pna / 100) AS BIGINT))) AS i) k""",
-    "allunits": "SELECT unit, output_offset, cpg_count, membership_count, class FROM units UNION ALL SELECT unit, output_offset, cpg_count, membership_count, class FROM pnaunits",
+    "allunits": "SELECT unit, output_offset, cpg_count, membership_count, class, oversized FROM units UNION ALL SELECT * FROM pnaunits",
 }
 
 NEEDS: dict[str, list[str]] = {

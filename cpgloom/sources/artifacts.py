@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def save(path: str, kind: str, tables: dict[str, DataFrame]) -> None:
@@ -25,8 +26,8 @@ def load(spark: SparkSession, path: str, kind: str | None = None) -> dict[str, D
         if kind is not None and r["kind"] != kind:
             raise ValueError(f"artifact of kind {r['kind']}, not {kind}")
         df = spark.read.parquet(f"{path}/{r['name']}")
-        if [f["name"] for f in json.loads(r["schema"])["fields"]] != df.columns:
-            raise ValueError(f"table {r['name']} doesn't have the manifest's columns")
+        if [(f.name, f.dataType.simpleString()) for f in StructType.fromJson(json.loads(r["schema"]))] != df.dtypes:
+            raise ValueError(f"table {r['name']} doesn't have the manifest's columns and types")
         out[r["name"]] = df
     return out
 
@@ -43,7 +44,10 @@ def describe(tables: dict[str, DataFrame], kind: str) -> DataFrame:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written below the session's spark.checkpoint.dir and read back: used several times, computed once."""
-    where = (df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{where}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(where or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

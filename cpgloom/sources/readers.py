@@ -43,16 +43,17 @@ def splits(spark: SparkSession, path: str, n_cells: int) -> DataFrame:
     """
     rows = _lines(spark, path).where((F.trim("value") != "") & ~F.col("value").startswith("#")).select("line", F.split("value", "\t").alias("f"))
     rows = rows.select("line", F.expr("try_cast(trim(f[0]) AS bigint)").alias("cell_id"), F.trim(F.try_element_at("f", F.lit(2))).alias("split"))
-    found = rows.orderBy("line").collect()  # a row for each cell
-    if found and found[0]["cell_id"] is None:
-        found = found[1:]
-    ids = [r["cell_id"] for r in found]
-    if sorted(i for i in ids if i is not None) != list(range(n_cells)) or len(ids) != n_cells:
+    first = rows.orderBy("line").first()
+    if first is not None and first["cell_id"] is None:
+        rows = rows.where(F.col("line") != first["line"])
+    kinds = ("train", "val", "test")
+    counted = [F.count("*").alias("n"), F.count_distinct("cell_id").alias("cells"), F.count_if(F.col("cell_id").between(0, n_cells - 1)).alias("inside")]
+    seen = rows.agg(*counted, *[F.count_if(F.col("split") == k).alias(k) for k in kinds]).first()
+    if not seen["n"] == seen["cells"] == seen["inside"] == n_cells:
         raise ValueError("every cell must be listed exactly once")
-    kinds = {r["split"] for r in found}
-    if not kinds <= {"train", "val", "test"} or not {"train", "val"} <= kinds:
+    if sum(seen[k] for k in kinds) != seen["n"] or not seen["train"] or not seen["val"]:
         raise ValueError("splits must be train, val or test, with some of train and val")
-    return rows.where(F.col("cell_id").isNotNull()).select("cell_id", "split")
+    return rows.select("cell_id", "split")
 
 
 def signature(spark: SparkSession, path: str, key: str = "cell_type") -> DataFrame:
@@ -66,12 +67,16 @@ def signature(spark: SparkSession, path: str, key: str = "cell_type") -> DataFra
 
 
 def features(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A feature table with the given columns; a first row that isn't numeric is a header."""
-    raw = spark.read.csv(path, sep="\t", header=False, schema=", ".join(f"`{c}` string" for c in columns))
-    head = F.lit(False)
-    for c in columns:
-        head = head | (~F.trim(F.coalesce(F.col(c), F.lit(""))).isin(*MISSING) & F.expr(f"try_cast(`{c}` AS double) IS NULL"))
-    return raw.where(~head).select(*[number(c).alias(c) for c in columns])
+    """A feature table with the given columns. A first line with a field that is neither a number nor missing is a header; in later lines such a field is null."""
+    schema = ", ".join(f"`{c}` string" for c in columns)
+
+    def strange(c: str):
+        return ~F.trim(F.coalesce(F.col(c), F.lit(""))).isin(*MISSING) & F.expr(f"try_cast(`{c}` AS double) IS NULL")
+
+    first = spark.read.csv(path, sep="\t", header=False, schema=schema).limit(1)
+    head = bool(first.where(" OR ".join(f"`{c}` IS NOT NULL" for c in columns)).select(F.array(*[strange(c) for c in columns]).alias("s")).where(F.array_contains("s", True)).count())
+    raw = spark.read.csv(path, sep="\t", header=head, schema=schema)
+    return raw.select(*[number(c).alias(c) for c in columns])
 
 
 def model_labels(spark: SparkSession, path: str) -> DataFrame:

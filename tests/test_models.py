@@ -123,6 +123,33 @@ def test_a_cell_alone_is_as_in_a_batch(spark):
     assert {r["proportion"] for r in D.deconvolve(sig, none).collect()} == {0.0}
 
 
+def test_nnls_of_nearly_equal_types():
+    rng = np.random.default_rng(5)
+    base = rng.uniform(0.2, 0.8, 60)
+    a = np.stack([base + 1e-4 * rng.normal(size=60) for _ in range(4)], 1)
+    x = np.array([0.1, 0.0, 0.6, 0.3])
+    assert np.abs(D.nnls(a, a @ x) - x).max() < 1e-4
+
+
+def test_pilot_golden(spark):
+    rows = [(i, "mixed", float(v)) for i, v in enumerate([5, 1, 9, 3, 7, 2, 8, 0, 6, 4])] + [(10 + i, "pure", 0.5) for i in range(3)] + [(20 + i, "PNA", None) for i in range(4)]
+    units = spark.createDataFrame(rows, "unit int, class string, variance double")
+    # by variance the units are 7 1 5 | 3 9 0 | 8 4 | 6 2; two of each quarter are its ends; of four background units the places 0, 1.5 (even: 2) and 3
+    assert sorted(r["unit"] for r in E.pilot(units, 2, 3).collect()) == sorted([7, 5, 3, 0, 8, 4, 6, 2, 20, 22, 23])
+    with pytest.raises(ValueError):
+        E.pilot(units, 3, 3)
+    with pytest.raises(ValueError):
+        E.pilot(units, 2, 5)
+
+
+def test_paired_models_must_have_the_same_targets(spark):
+    a = spark.createDataFrame([(1, 0.5, 0.4), (2, 0.1, 0.3)], "k int, y double, p double")
+    b = spark.createDataFrame([(1, 0.5), (2, 0.0)], "k int, p double")
+    assert sorted(tuple(r) for r in E.paired(a, b, ["k"]).collect()) == [(1, 0.5, 0.4, 0.5), (2, 0.1, 0.3, 0.0)]
+    with pytest.raises(Exception, match="keys differ"):
+        E.paired(a, b.where("k = 1"), ["k"]).collect()
+
+
 def test_feature_mean_is_of_cpgs_not_of_reads(spark):
     obs = spark.createDataFrame([(0, 0, 9, 1), (0, 1, 0, 1), (1, 0, 0, 0)], "cell_id long, cpg_idx long, m long, u long")
     masked = spark.createDataFrame([(0, "P1"), (1, "P1")], "cpg_idx long, state string")
@@ -171,6 +198,8 @@ def test_samples_are_nested_and_of_size(spark):
 
 def test_standardised_missing_is_zero(spark):
     rows = spark.createDataFrame([(0, 0, 0, 1.0, "train"), (0, 1, 0, 3.0, "train"), (0, 2, 0, None, "train"), (0, 3, 0, 5.0, "test")], "rep int, cell_id long, j int, v double, split string")
+    with pytest.raises(Exception, match="never observed"):
+        M.standardise(rows.unionByName(rows.withColumn("j", F.lit(1)).withColumn("v", F.lit(None).cast("double"))), F.col("split") == "train").collect()
     got = {r["cell_id"]: r["x"] for r in M.standardise(rows, F.col("split") == "train").collect()}
     scale = math.sqrt(2 / 3)  # squared deviations of the observed over all training rows
     assert got == pytest.approx({0: -1 / scale, 1: 1 / scale, 2: 0.0, 3: 3 / scale})

@@ -29,6 +29,7 @@ def test_equal_counts_are_ambiguous(spark):
 
 
 def layout(spark):
+    # The golden patterns and their order.
     p0, p1, small, pna = "0" * 35, "1" * 35, "0" * 34 + "1", "2" * 35
     order = [pna, p0, small, p1, pna, p0, pna, small, p1, pna, p0, pna]
     cpgs = spark.createDataFrame(list(enumerate(order)), "cpg_idx long, pattern string")
@@ -42,6 +43,10 @@ def test_rank_and_units(spark):
     real = U.membership_units(ranked, 4)
     units = real.drop("first_rank").unionByName(U.pna_units(5, real, 4)).orderBy("unit").collect()
     assert [r["cpg_count"] for r in units] == [3, 4, 4, 1]
+    assert [r["membership_count"] for r in units] == [1, 2, 4, 1] and not any(r["oversized"] for r in units)
+    big = U.membership_units(ranked, 2).orderBy("unit").collect()
+    assert [(r["cpg_count"], r["class"], r["oversized"], r["first_rank"]) for r in big] == [(3, "pure", True, 0), (2, "pure", False, 1), (2, "pure", False, 2)]
+    assert {r["class"]: r["oversized"] for r in U.stats(U.membership_units(ranked, 2)).collect()} == {"pure": 1}
     assert [r["class"] for r in units] == ["pure", "mixed", "PNA", "PNA"]
     assert [r["output_offset"] for r in units] == [0, 3, 7, 11]
     placed = U.scatter(members, ranked, real, 4).orderBy("dest").collect()
@@ -50,14 +55,30 @@ def test_rank_and_units(spark):
     assert [r["unit"] for r in placed] == [0] * 3 + [1] * 4 + [2] * 4 + [3]
 
 
-@settings(deadline=None)
-@given(st.lists(st.integers(1, 50), max_size=40), st.integers(1, 40))
+def brute_pack(counts, target):
+    """(first rank, memberships, CpGs) of next-fit units, one membership at a time."""
+    out, own = [], []
+    for i, n in enumerate(counts):
+        if own and (sum(counts[k] for k in own) + n > target or counts[own[-1]] > target):
+            out.append(own)
+            own = []
+        own.append(i)
+    return [(o[0], len(o), sum(counts[k] for k in o)) for o in [*out, own] if o]
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.integers(1, 30), max_size=60), st.integers(1, 40))
 def test_packing(counts, target):
-    units = U.pack(counts, target)
-    assert [i for first, n, _, _ in units for i in range(first, first + n)] == list(range(len(counts)))
-    for first, n, total, big in units:
-        assert total == sum(counts[first : first + n])
-        assert total <= target or (big and n == 1)
+    counts = sorted(counts, reverse=True)
+    runs = [(n, counts.count(n)) for n in sorted(set(counts), reverse=True)]
+    got = [(first + i * members, members, n) for first, members, n, alike in U.pack_runs(runs, target) for i in range(alike)]
+    assert got == brute_pack(counts, target)
+
+
+def test_mining_options(spark):
+    obs = spark.createDataFrame([(0, 0, 3, 2), (1, 0, 1, 0)], "sample_id int, cpg_idx long, m long, u long")
+    cpgs = spark.range(1).withColumnRenamed("id", "cpg_idx")
+    assert [P.mine(obs, cpgs, 2, **o).first()["pattern"] for o in ({}, {"threshold": 0.7}, {"mincov": 2})] == ["11", "01", "11"]
 
 
 def test_no_background_units(spark):

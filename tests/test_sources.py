@@ -38,6 +38,8 @@ def test_signature_and_features(spark, tmp_path):
         readers.signature(spark, put(tmp_path / "one.tsv", "cell\tP1\na\t0.5\n"))
     path = put(tmp_path / "feat.tsv", "x\ty\n1\tnan\n\t2\n")
     assert {(r["x"], r["y"]) for r in readers.features(spark, path, ["x", "y"]).collect()} == {(1.0, None), (None, 2.0)}
+    path = put(tmp_path / "bad.tsv", "1\t2\n3\toops\n4\t5\n")
+    assert sorted((r["x"], r["y"]) for r in readers.features(spark, path, ["x", "y"]).na.fill(-1).collect()) == [(1.0, 2.0), (3.0, -1.0), (4.0, 5.0)]
 
 
 def test_samples_and_model_labels(spark, tmp_path):
@@ -53,6 +55,9 @@ def test_artifact_round_trip(spark, tmp_path):
     assert artifacts.load(spark, str(tmp_path / "art"), "demo")["t"].collect() == df.collect()
     with pytest.raises(ValueError):
         artifacts.load(spark, str(tmp_path / "art"), "other")
+    df.selectExpr("cast(k AS string) k", "v").write.mode("overwrite").parquet(str(tmp_path / "art" / "t"))
+    with pytest.raises(ValueError):
+        artifacts.load(spark, str(tmp_path / "art"))
 
 
 def test_stream(spark, tmp_path):
