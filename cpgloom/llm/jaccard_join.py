@@ -225,21 +225,24 @@ def banded(listed: DataFrame, percent: int) -> DataFrame:
 def candidate_lists(nodes: DataFrame, percent: int) -> DataFrame:
     """(token, band, node, n, pos, index, probe, df, rank): all lists that can hold a pair.
 
-    ``df`` is the list's length, ``rank`` the smaller the more lists a set is in.
+    ``df`` is the list's length, ``rank`` how much of its prefix a set shares with no other.
     Aggregates are written before they are joined: a join of plain exchanges lets
     Spark split a list that many sets share.
     """
     listed = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     n = F.col("n")
     short = n - F.ceil(percent * 2 * n / (100 + percent)) + 1
-    common = materialize(listed.groupBy("token").agg(F.count("*").alias("sets"), F.count_if(F.col("pos") < short).alias("short")).where((F.col("sets") > 1) & (F.col("short") > 0)).select("token"), "join-common")
-    shared = materialize(banded(listed.join(common, "token"), percent), "join-shared")
+    common = listed.groupBy("token").agg(F.count("*").alias("sets"), F.count_if(F.col("pos") < short).alias("short")).where(F.col("sets") > 1)
+    common = materialize(common.select("token", (F.col("short") > 0).alias("paired")), "join-common")
+    both = materialize(listed.join(common, "token"), "join-tokens")
+    alone = F.first("n") - F.ceil(F.first("n") * percent / 100) + 1 - F.count("*")
+    centre = materialize(both.groupBy("node").agg(alone.alias("rank")), "join-centre")
+    shared = materialize(banded(both.where("paired").drop("paired"), percent), "join-shared")
     useful = shared.groupBy("token", "band").agg(F.count("*").alias("df"), F.count_if("index").alias("short"), F.count_if("probe").alias("own")).where((F.col("df") > 1) & (F.col("short") > 0) & (F.col("own") > 0))
     useful = materialize(useful.select("token", "band", "df"), "join-useful")
     kept = materialize(shared.join(useful, ["token", "band"]), "join-kept")
-    centre = materialize(kept.groupBy("node").agg((-F.count("*")).alias("rank")), "join-centre")
     lists = materialize(kept.join(centre, "node"), "join-lists")
-    discard(common, shared, useful, kept, centre)
+    discard(common, both, shared, useful, kept, centre)
     return lists
 
 
