@@ -144,10 +144,26 @@ class Boosted:
         return p / p.sum(1, keepdims=True)
 
 
-def boosted_predict(train: DataFrame, query: DataFrame, columns: list[str], rounds: int | None = None, depth: int = 6, most: int = 20_000) -> DataFrame:
-    """(cell_id, label, confidence): trees fitted in one task on at most ``most`` labelled cells, applied in a map to all.
+NODES = "round int, class_idx int, label string, node int, feature int, cut double, missing_left boolean, yes int, no int, value double"
 
-    Both tables are wide: cell_id and one column for each pattern; ``train`` has ``label`` too.
+
+def _flat(tree: tuple, out: list[tuple]) -> int:
+    """Appends the nodes of a tree, children after parents, and gives the number of its root."""
+    at = len(out)
+    out.append(())
+    if len(tree) == 1:
+        out[at] = (at, None, None, None, None, None, float(tree[0]))
+    else:
+        f, cut, left, yes, no = tree
+        out[at] = (at, int(f), float(cut), bool(left), _flat(yes, out), _flat(no, out), None)
+    return at
+
+
+def fit_boosted(train: DataFrame, columns: list[str], rounds: int | None = None, depth: int = 6, most: int = 20_000) -> DataFrame:
+    """Boosted trees as a table of nodes (round, class_idx, label, node, feature, cut, missing_left, yes, no, value), which ``artifacts`` can keep.
+
+    ``train`` is wide: cell_id, label and one column for each pattern. The trees
+    are fitted in one task on at most ``most`` labelled cells, chosen by a hash.
     """
     def learn(batches):
         df = pd.concat(list(batches)).sort_values("cell_id")
@@ -155,25 +171,57 @@ def boosted_predict(train: DataFrame, query: DataFrame, columns: list[str], roun
             return
         names = sorted(df["label"].unique())
         model = Boosted(rounds, depth=depth).fit(df[columns].to_numpy(dtype=np.float32).astype(float), df["label"].map({n: i for i, n in enumerate(names)}).to_numpy(), len(names))
-        import pickle
-
-        yield pd.DataFrame({"model": [pickle.dumps((names, model))]})
+        rows = []
+        for k, own in enumerate(model.trees):
+            for c, tree in enumerate(own):
+                nodes: list[tuple] = []
+                _flat(tree, nodes)
+                rows += [(k, c, str(names[c]), *n) for n in nodes]
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in NODES.split(", ")]).astype({"feature": "Int32", "yes": "Int32", "no": "Int32", "missing_left": "boolean"})
 
     sample = train.select("cell_id", "label", *columns).orderBy(F.xxhash64("cell_id"), "cell_id").limit(most)
-    stored = sample.repartition(1).mapInPandas(learn, "model binary").collect()
-    if not stored:
-        return query.select("cell_id", F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("confidence"))
-    blob = stored[0]["model"]
+    return sample.repartition(1).mapInPandas(learn, NODES)
 
-    def apply(batches):
-        import pickle
 
-        names, model = pickle.loads(blob)
+def predict_boosted(model: DataFrame, query: DataFrame, columns: list[str], probs: bool = False) -> DataFrame:
+    """(cell_id, label, confidence[, probs]) of wide ``query`` rows by a model of ``fit_boosted``; ``probs`` has a probability for each class in order.
+
+    The model is a bounded number of trees; every task gets them. Without a model labels are null.
+    """
+    rows = sorted(map(tuple, model.select(*[x.split()[0] for x in NODES.split(", ")]).collect()), key=lambda r: (r[0], r[1], r[3]))
+    schema = "cell_id long, label string, confidence double" + (", probs array<double>" if probs else "")
+    if not rows:
+        return query.select("cell_id", *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in schema.split(", ")[1:])])
+    names = [r[2] for r in sorted({r[1:3]: r for r in rows}.values(), key=lambda r: r[1])]
+    flat: dict[tuple[int, int], list[tuple]] = {}
+    for r in rows:
+        flat.setdefault((r[0], r[1]), []).append(r[3:])
+
+    def tree(nodes: list[tuple], at: int = 0) -> tuple:
+        _, f, cut, left, yes, no, value = nodes[at]
+        return (value,) if f is None else (f, cut, left, tree(nodes, yes), tree(nodes, no))
+
+    booster = Boosted()
+    booster.trees = [[tree(flat[k, c]) for c in range(len(names))] for k in range(1 + max(k for k, _ in flat))]
+
+    def apply(batches):
         for df in batches:
-            p = model.predict(df[columns].to_numpy(dtype=np.float32).astype(float)) if len(df) else np.zeros((0, len(names)))
+            p = booster.predict(df[columns].to_numpy(dtype=np.float32).astype(float)) if len(df) else np.zeros((0, len(names)))
             best = p.shape[1] - 1 - p[:, ::-1].argmax(1) if len(df) else []
             entropy = -(p * np.log(p + 1e-10)).sum(1)
             confidence = np.clip(1 - entropy / np.log(len(names)), 0, 1) if len(names) > 1 else np.ones(len(df))
-            yield pd.DataFrame({"cell_id": df["cell_id"], "label": [str(names[i]) for i in best], "confidence": confidence})
+            out = pd.DataFrame({"cell_id": df["cell_id"], "label": [str(names[i]) for i in best], "confidence": confidence})
+            yield out.assign(probs=p.tolist()) if probs else out
 
-    return query.select("cell_id", *columns).mapInPandas(apply, "cell_id long, label string, confidence double")
+    return query.select("cell_id", *columns).mapInPandas(apply, schema)
+
+
+def logistic_slopes(feat: DataFrame, labels: DataFrame, model: DataFrame) -> DataFrame:
+    """(pattern, slope): how steep the fit's objective still is in each standardised weight; all 0 at the optimum."""
+    means = feature_means(feat, labels).select("pattern", "mean")
+    filled = feat.join(means, "pattern").withColumn("x", F.coalesce("beta", "mean"))
+    spread = filled.groupBy("pattern").agg(F.var_pop("x").alias("v")).select("pattern", F.when(F.col("v") > 1e-12, F.sqrt("v")).otherwise(1.0).alias("sd"))
+    cut = model.select("bias").limit(1)
+    error = projected(feat, model).crossJoin(cut).join(labels.select("cell_id", "y"), "cell_id").select("cell_id", (S.sigmoid(F.col("s") + F.col("bias")) - F.col("y")).alias("e"))
+    rows = filled.join(spread, "pattern").join(error, "cell_id").join(model.select("pattern", "weight"), "pattern")
+    return rows.groupBy("pattern").agg((F.sum(F.col("e") * (F.col("x") - F.col("mean")) / F.col("sd")) + F.first(F.col("weight") * F.col("sd"))).alias("slope"))

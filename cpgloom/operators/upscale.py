@@ -1,4 +1,4 @@
-"""Upscaling: decoder forward passes, and per-unit training of low-rank decoders."""
+"""Upscaling: decoder forward passes."""
 
 from __future__ import annotations
 
@@ -49,15 +49,16 @@ def unit_forward(x: np.ndarray, unit: dict, linear: bool = True) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
-def check_units(units: list[dict], n_cpg: int) -> None:
+def check_units(units: DataFrame, n_cpg: int) -> None:
     """The units' CpGs must be all positions, each once."""
-    every = sorted(c for u in units for c in u["cpgs"])
-    if every != list(range(n_cpg)):
+    per = units.select(F.explode("cpgs").alias("c")).groupBy("c").agg(F.count("*").alias("k"))
+    seen = per.agg(F.count("*").alias("n"), F.max("k").alias("most"), F.count_if(F.col("c").between(0, n_cpg - 1)).alias("inside")).first()
+    if seen["n"] != n_cpg or seen["inside"] != n_cpg or (n_cpg and seen["most"] != 1):
         raise ValueError("unit CpGs are not a permutation of all positions")
 
 
-def upscale(inputs: DataFrame, units: DataFrame, linear: bool = True) -> DataFrame:
-    """(cell_id, cpg_idx, p, call): every unit applied to every cell.
+def upscale(inputs: DataFrame, units: DataFrame, linear: bool = True, shared: tuple | None = None) -> DataFrame:
+    """(cell_id, cpg_idx, p, call): every unit applied to every cell; ``shared`` are the trunk's weights (w1, b1, w2, b2), if the units have one.
 
     ``inputs`` is (cell_id, x array<double>), standardised; ``units`` is (unit,
     mode, rank, a, head, E, b arrays<double>, cpgs array<long>), head being A row by row. Unit models, with
@@ -74,6 +75,7 @@ def upscale(inputs: DataFrame, units: DataFrame, linear: bool = True) -> DataFra
         for df in batches:
             for r in df.itertuples():
                 x = np.frombuffer(r.x).reshape(r.n, -1)
+                x = trunk(x, *shared) if shared is not None else x
                 cells, cpgs = np.frombuffer(r.cells, np.int64), np.asarray(r.cpgs)
                 b = np.asarray(r.b, float)
                 unit = {"mode": r.mode, "b": b, "A": np.asarray(r.head, float).reshape(-1, x.shape[1])}
@@ -111,70 +113,3 @@ def select_outputs(units: DataFrame, wanted: DataFrame) -> DataFrame:
 def pending(units: DataFrame, checkpoint: DataFrame, run: str) -> DataFrame:
     """The units that ``checkpoint`` (unit, run) has no row of this run for; rows of other runs don't count."""
     return units.join(checkpoint.where(F.col("run") == run).select("unit"), "unit", "left_anti")
-
-
-def train_units(rows: DataFrame, inputs: DataFrame, rank: int = 4, steps: int = 300, evaluate: int = 50, patience: int = 4, lr: float = 1e-2, decay: float = 1e-5, seed: int = 1) -> DataFrame:
-    """(unit, best_step, best_mae, n_cpg, params): one decoder for each unit, trained where its rows are.
-
-    ``rows`` is (unit, rep, cell_id, split, cpg_idx, y) and ``inputs`` (rep,
-    cell_id, x). Adam with a plain L2 term in the gradient, squared error after the
-    sigmoid, biases undecayed; stops after ``patience`` evaluations without gain.
-    All rows of a unit are one group in one task: its CpGs times covered cells
-    times replicates. That grows with the cells, and a unit of one large
-    membership, which is never split, with the CpGs, so it is not bounded.
-    """
-    def fit(df: pd.DataFrame) -> pd.DataFrame:
-        cpgs = np.sort(df["cpg_idx"].unique())
-        df = df.sort_values(["rep", "cell_id", "cpg_idx"])
-        at = np.searchsorted(cpgs, df["cpg_idx"].to_numpy())
-        groups = [(g["x"].iloc[0], at[g.index.to_numpy()], g["y"].to_numpy(), g["split"].iloc[0]) for _, g in df.reset_index(drop=True).groupby(["rep", "cell_id"], sort=True)]
-        learn = [g for g in groups if g[3] == "train"]
-        check = [g for g in groups if g[3] == "val"] or learn
-        width = len(groups[0][0])
-        rng = np.random.default_rng(seed + int(df["unit"].iloc[0]))
-        o = len(cpgs)
-        prior = np.full(o, 0.5)
-        y_sum, y_n = np.zeros(o), np.zeros(o)
-        for _, i, y, _ in learn:
-            np.add.at(y_sum, i, y)
-            np.add.at(y_n, i, 1)
-        prior[y_n > 0] = np.clip(y_sum[y_n > 0] / y_n[y_n > 0], 0.01, 0.99)
-        bound = np.sqrt(6 / (width + rank))
-        net = {"A": rng.uniform(-bound, bound, (rank, width)), "a": np.zeros(rank), "E": rng.uniform(-0.02, 0.02, (o, rank)), "b": np.log(prior / (1 - prior))}
-        m = {k: np.zeros_like(v) for k, v in net.items()}
-        s = {k: np.zeros_like(v) for k, v in net.items()}
-
-        def mae() -> float:
-            total, n = 0.0, 0
-            for x, i, y, _ in check:
-                z = net["E"][i] @ (net["A"] @ x + net["a"]) + net["b"][i]
-                total += np.abs(1 / (1 + np.exp(-z)) - y).sum()
-                n += len(y)
-            return total / max(n, 1)
-
-        best, best_step, kept, bad = mae(), 0, {k: v.copy() for k, v in net.items()}, 0
-        for t in range(1, steps + 1 if learn else 1):
-            x, i, y, _ = learn[rng.integers(len(learn))]
-            h = net["A"] @ x + net["a"]
-            p = 1 / (1 + np.exp(-(net["E"][i] @ h + net["b"][i])))
-            dz = 2 * (p - y) * p * (1 - p) / len(y)
-            dh = net["E"][i].T @ dz
-            g = {"A": np.outer(dh, x) + decay * net["A"], "a": dh, "E": np.zeros_like(net["E"]), "b": np.zeros(o)}
-            np.add.at(g["E"], i, np.outer(dz, h) + decay * net["E"][i])
-            np.add.at(g["b"], i, dz)
-            for k in net:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                s[k] = 0.999 * s[k] + 0.001 * g[k] ** 2
-                net[k] = net[k] - lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
-            if t % evaluate == 0:
-                now = mae()
-                if now < best - 1e-7:
-                    best, best_step, kept, bad = now, t, {k: v.copy() for k, v in net.items()}, 0
-                else:
-                    bad += 1
-                if bad >= patience:
-                    break
-        flat = np.concatenate([kept[k].ravel() for k in ("A", "a", "E", "b")])
-        return pd.DataFrame({"unit": [int(df["unit"].iloc[0])], "best_step": [best_step], "best_mae": [best], "n_cpg": [o], "params": [flat.tolist()]})
-
-    return rows.join(inputs, ["rep", "cell_id"]).groupBy("unit").applyInPandas(fit, "unit int, best_step int, best_mae double, n_cpg int, params array<double>")

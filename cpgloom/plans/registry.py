@@ -14,6 +14,7 @@ from cpgloom.operators import evaluate as E
 from cpgloom.operators import features as X
 from cpgloom.operators import patterns as P
 from cpgloom.operators import simulate as M
+from cpgloom.operators import train as T
 from cpgloom.operators import units as U
 from cpgloom.operators import upscale as V
 from cpgloom.plans.sql import TOP, sql
@@ -277,6 +278,13 @@ def linear_threshold_score(spark, d):
     return rounded(C.score_linear(f, C.fit_threshold(f, B.labels(spark, d))))
 
 
+@query(sql("SELECT pattern, 0.0 AS slope FROM lmeans", "lmeans"))
+def linear_logistic_optimum(spark, d):
+    """The logistic fit is where its objective has no slope."""
+    f, labels = staged_feats(spark, d), B.labels(spark, d)
+    return C.logistic_slopes(f, labels, C.fit_logistic(f, labels)).select("pattern", F.abs(F.round("slope", 3)).alias("slope"))
+
+
 @query()
 def linear_logistic_fit(spark, d):
     return rounded(C.fit_logistic(staged_feats(spark, d), B.labels(spark, d)), 4)
@@ -298,8 +306,9 @@ def entropy_confidence(spark, d):
 @query()
 def gbt_train_predict(spark, d):
     region = B.table(spark, d, "supplier").join(F.broadcast(B.table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("cell_id"), F.col("n_regionkey").cast("string").alias("label"))
-    w = A.stage(X.wide(feats(spark, d), STATES[:8]), "features")
-    return rounded(C.boosted_predict(w.join(region, "cell_id"), w, STATES[:8], depth=4))
+    w = A.stage(X.wide(feats(spark, d), STATES), "features")
+    model = A.stage(C.fit_boosted(w.join(region, "cell_id"), STATES), "boosted")
+    return rounded(C.predict_boosted(model, w, STATES))
 
 
 # ---- units ----
@@ -478,9 +487,9 @@ def small_decoder(spark, d):
         {"unit": 0, "mode": "factor", "rank": 1, "a": [0.1], "head": [1.0, -1.0], "E": [0.5, -1.0], "b": [-0.2, 0.3], "cpgs": [0, 2]},
         {"unit": 1, "mode": "direct", "rank": 0, "a": [], "head": [0.0, 1.0], "E": [], "b": [0.05], "cpgs": [1]},
     ]
-    V.check_units(units, 3)
     schema = "unit int, mode string, rank int, a array<double>, head array<double>, E array<double>, b array<double>, cpgs array<long>"
     table = spark.createDataFrame([tuple(u.values()) for u in units], schema)
+    V.check_units(table, 3)
     return w, table
 
 
@@ -495,12 +504,39 @@ def upscale_forward_selected(spark, d):
     return rounded(V.upscale(w, V.select_outputs(units, spark.range(1, 3).withColumnRenamed("id", "cpg_idx"))))
 
 
-@query()
+TRAIN = T.Options(pure_rank=2, mixed_rank=3, batch=64, min_steps=40, max_steps=80, evaluate=20, patience=2, checks=4, lr=0.01)
+
+
+def trained(spark, d):
+    """Units trained on the simulated sets, and the inputs (rep, cell_id, x) that they were trained on."""
+    of, ranked, real = placed(spark, d)
+    units = A.stage(every_unit(of, real), "units")
+    places = A.stage(U.scatter(of, ranked, real, TARGET), "places")
+    split, sampled, codes = A.stage(M.split(cells(spark, d)), "split"), drawn(spark, d), A.stage(M.truth_codes(B.query_obs(spark, d)), "codes")
+    full = M.grid(A.stage(M.sampled_features(sampled, of, SIM_PATTERNS), "simulated"), sampled.select("rep", "cell_id").distinct(), SIM_PATTERNS)
+    rows = M.standardise(A.stage(M.channels(full, "beta", SIM_PATTERNS).join(split, "cell_id"), "channels"), F.col("split") == "train")
+    x = A.stage(rows.groupBy("rep", "cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda t: t["x"]).alias("x")), "inputs")
+    truth = A.stage(T.held(codes, places, units), "held")
+    plan = T.schedule(truth.select("unit", "cell_id").join(split, "cell_id"), 2, TRAIN)
+    batches = T.batches(plan, truth, T.seen(sampled, places, units), TRAIN)
+    bias = M.bias_prior(codes, split.where("split = 'train'").select("cell_id"), B.cpgs(spark, d))
+    return A.stage(T.train_units(batches, x, T.layout(places, units, bias), TRAIN), "trained"), x
+
+
+@query(sql("SELECT unit, class, cpg_count AS n_cpg, CASE WHEN class = 'pure' THEN 2 ELSE 3 END AS rank, true AS no_worse FROM allunits", "allunits"))
 def unit_train(spark, d):
-    x = inputs(spark, d, "beta").groupBy("rep", "cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda t: t["x"]).alias("x"))
-    place = U.scatter(*placed(spark, d), TARGET).select("unit", "cpg_idx")
-    y = M.targets(M.truth_codes(B.query_obs(spark, d)), drawn(spark, d), ladder(spark)).join(place, "cpg_idx").join(M.split(cells(spark, d)), "cell_id")
-    return rounded(V.train_units(y, x), 4).drop("params")
+    """Every unit has a head of its kind whose error is never above that of the prior it starts from."""
+    units, _ = trained(spark, d)
+    return units.select("unit", "class", F.size("cpgs").cast("long").alias("n_cpg"), "rank", (F.col("best_mae") <= F.col("first_mae")).alias("no_worse"))
+
+
+@query(sql("SELECT cell_id, count(*) AS n_cpg, min(cpg_idx) AS low, max(cpg_idx) AS high, true AS sound FROM (SELECT DISTINCT cell_id FROM query_obs) CROSS JOIN cpgs GROUP BY cell_id", "query_obs", "cpgs"))
+def unit_train_predict(spark, d):
+    """The trained units give every cell a probability for every CpG, once."""
+    units, x = trained(spark, d)
+    rows = V.upscale(x.where("rep = 0").select("cell_id", "x"), units.select("unit", "mode", "rank", "a", "head", "E", "b", "cpgs"))
+    sound = F.min((F.col("p") >= 0) & (F.col("p") <= 1) & (F.col("call") == (F.col("p") > 0.5)))
+    return rows.groupBy("cell_id").agg(F.count_distinct("cpg_idx").alias("n_cpg"), F.min("cpg_idx").alias("low"), F.max("cpg_idx").alias("high"), (sound & (F.count("*") == F.count_distinct("cpg_idx"))).alias("sound"))
 
 
 # ---- evaluation ----

@@ -13,6 +13,7 @@ from cpgloom.operators import deconvolve as D
 from cpgloom.operators import evaluate as E
 from cpgloom.operators import features as X
 from cpgloom.operators import simulate as M
+from cpgloom.operators import train as T
 from cpgloom.operators import upscale as V
 
 
@@ -86,9 +87,114 @@ def test_pending_units(spark):
     assert sorted(r["unit"] for r in V.pending(units, done, "a").collect()) == [1, 2]
 
 
-def test_duplicate_position_is_rejected():
-    with pytest.raises(ValueError):
-        V.check_units([{"cpgs": [2, 0]}, {"cpgs": [0]}], 3)
+def test_duplicate_position_is_rejected(spark):
+    units = lambda *cpgs: spark.createDataFrame([(i, list(c)) for i, c in enumerate(cpgs)], "unit int, cpgs array<long>")
+    V.check_units(units([2, 0], [1]), 3)
+    for bad in (([2, 0], [0]), ([2, 0], [3]), ([2, 0],), ([2, 0], [1, 1])):
+        with pytest.raises(ValueError):
+            V.check_units(units(*bad), 3)
+
+
+@pytest.mark.parametrize("rank,linear", [(3, True), (3, False), (0, True)])
+def test_slopes_of_a_head(rank, linear):
+    """Against differences of the loss, computed by the forward pass alone."""
+    rng = np.random.default_rng(2)
+    head = T.Head(4, rank, rng.normal(size=6), linear, rng)
+    if rank:
+        head.net["E"] = rng.normal(size=(6, 3))
+    x, at, y = rng.normal(size=4), np.array([5, 0, 2]), rng.uniform(size=3)
+
+    def loss():
+        unit = {"mode": "factor", "A": head.net["A"], "a": head.net["a"], "E": head.net["E"], "b": head.net["b"]} if rank else {"mode": "direct", "A": head.net["A"], "b": head.net["b"]}
+        return float(((V.unit_forward(x[None], unit, linear)[0, at] - y) ** 2).mean())
+
+    for k, g in head.slopes(x, at, y, 0.0).items():
+        for i in np.ndindex(g.shape):
+            old = head.net[k][i]
+            head.net[k][i] = old + 1e-6
+            up = loss()
+            head.net[k][i] = old - 1e-6
+            down = loss()
+            head.net[k][i] = old
+            assert g[i] == pytest.approx((up - down) / 2e-6, abs=1e-7)
+
+
+def unit_rows(rng, o=5, n=400):
+    w = rng.normal(size=(o, 3))
+    xs = rng.normal(size=(n, 3))
+    return [("val" if i < 20 else "train", x, np.arange(o), 1 / (1 + np.exp(-w @ x))) for i, x in enumerate(xs)]
+
+
+def test_training_stops_and_learns():
+    rows = unit_rows(np.random.default_rng(3))
+    for kind, direct in (("pure", False), ("mixed", False), ("mixed", True)):
+        got = T.fit_unit(rows, kind, np.zeros(5), 1, T.Options(pure_rank=2, mixed_rank=3, direct=direct, min_steps=100, evaluate=20, patience=2, lr=0.05))
+        assert (got["mode"], got["rank"]) == (("direct", 0) if direct else ("factor", 2 if kind == "pure" else 3)) and got["best_mae"] < 0.7 * got["first_mae"] and got["best_step"] >= 100
+    still = T.fit_unit(rows, "pure", np.zeros(5), 1, T.Options(min_steps=100, evaluate=20, patience=2, lr=0.0))
+    assert still["best_step"] == 0 and still["best_mae"] == still["first_mae"]
+
+
+def test_batches_and_restart(spark, tmp_path):
+    """Targets are unobserved, from the drawn start on; a second run trains the units that the first has not."""
+    options = T.Options(pure_rank=1, mixed_rank=1, batch=3, min_steps=2, max_steps=6, evaluate=2, patience=1, checks=2)
+    units = spark.createDataFrame([(0, 0, "pure"), (1, 5, "mixed")], "unit int, output_offset long, class string")
+    places = spark.createDataFrame([(i, int(i >= 5), 100 + i) for i in range(10)], "dest long, unit int, cpg_idx long")
+    codes = spark.createDataFrame([(c, 100 + i, 1000 * i) for c in range(4) for i in range(10) if (c, i) != (0, 2)], "cell_id long, cpg_idx long, code int")
+    sampled = spark.createDataFrame([(r, c, 101) for r in range(2) for c in range(4)], "rep int, cell_id long, cpg_idx long")
+    split = spark.createDataFrame([(0, "train"), (1, "train"), (2, "val"), (3, "test")], "cell_id long, split string")
+    truth = T.held(codes, places, units)
+    drawn = T.schedule(truth.select("unit", "cell_id").join(split, "cell_id"), 2, options)
+    rows = T.batches(drawn, truth, T.seen(sampled, places, units), options)
+    got = rows.collect()
+    assert sorted({(r["unit"], r["split"], r["step"]) for r in got}) == sorted((u, s, t) for u in (0, 1) for s, n in (("train", 6), ("val", 2)) for t in range(1, n + 1))
+    for r in got:
+        free = [i for i in range(5) if not (r["unit"] == 0 and (i == 1 or (i == 2 and r["cell_id"] == 0)))]
+        assert r["local"] in [[free[(s + k) % len(free)] for k in range(3)] for s in range(len(free))]
+        assert r["y"] == [pytest.approx(1000 * (i + 5 * r["unit"]) / 65534) for i in r["local"]] and (r["split"] == "val") == (r["cell_id"] == 2)
+    x = spark.createDataFrame([(r, c, [float(r), float(c)]) for r in range(2) for c in range(4)], "rep int, cell_id long, x array<double>")
+    info = T.layout(places, units, spark.createDataFrame([(100 + i, 0.0) for i in range(10)], "cpg_idx long, logit double"))
+    path, asked = str(tmp_path / "units"), []
+
+    def train(own):
+        asked.append(sorted({r["unit"] for r in own.select("unit").collect()}))
+        return T.train_units(own, x, info, options)
+
+    first = T.resume(spark, path, rows.where("unit = 0"), train, options).collect()
+    both = T.resume(spark, path, rows, train, options).collect()
+    assert asked == [[0], [1]] and sorted(r["unit"] for r in both) == [0, 1] and first[0] in both
+    whole = {r["unit"]: r for r in T.train_units(rows, x, info, options).collect()}
+    assert all(whole[r["unit"]] == r for r in both)
+    other = T.Options(**{**vars(options), "lr": 0.5})
+    T.resume(spark, path, rows, lambda own: T.train_units(own, x, info, other), other)
+    assert {r["run"] for r in spark.read.parquet(path).collect()} == {options.run(), other.run()}
+    out = V.upscale(x.where("rep = 0").select("cell_id", "x"), spark.createDataFrame(both, T.UNITS))
+    assert out.count() == 40 and out.select("cpg_idx").distinct().count() == 10
+
+
+def test_boosted_model_can_be_kept(spark, tmp_path):
+    from cpgloom.sources import artifacts
+
+    rng = np.random.default_rng(4)
+    rows = [(i, "abc"[i % 3], float(i % 3 + 0.3 * rng.normal()) if i % 7 else None, float(rng.normal())) for i in range(120)]
+    train = spark.createDataFrame(rows, "cell_id long, label string, P1 double, P2 double")
+    model = C.fit_boosted(train, ["P1", "P2"], rounds=4, depth=3)
+    artifacts.save(str(tmp_path / "m"), "boosted", {"nodes": model})
+    kept = artifacts.load(spark, str(tmp_path / "m"), "boosted")["nodes"]
+    a, b = ({r["cell_id"]: r for r in C.predict_boosted(m, train, ["P1", "P2"], probs=True).collect()} for m in (model, kept))
+    assert a == b and sum(a[r[0]]["label"] == r[1] for r in rows) > 100
+    direct = C.Boosted(4, depth=3).fit(np.array([[np.nan if v is None else np.float32(v) for v in r[2:]] for r in rows], dtype=float), np.array([i % 3 for i in range(120)]), 3)
+    want = direct.predict(np.array([[np.nan if v is None else np.float32(v) for v in r[2:]] for r in rows], dtype=float))
+    assert np.allclose([a[i]["probs"] for i in range(120)], want)
+    assert {r["label"] for r in C.predict_boosted(kept.where("round < 0"), train, ["P1", "P2"]).collect()} == {None}
+
+
+def test_logistic_slopes_vanish_at_the_optimum_only(spark):
+    rng = np.random.default_rng(6)
+    feat = spark.createDataFrame([(i, f"P{j + 1}", j, float(rng.uniform()) if (i, j) != (3, 1) else None, 3) for i in range(40) for j in range(2)], "cell_id long, pattern string, ord int, beta double, n_o long")
+    labels = spark.createDataFrame([(i, "x", int(rng.uniform() < 0.5)) for i in range(40)], "cell_id long, label string, y int")
+    model = C.fit_logistic(feat, labels)
+    assert all(abs(r["slope"]) < 1e-3 for r in C.logistic_slopes(feat, labels, model).collect())
+    assert all(abs(r["slope"]) > 0.1 for r in C.logistic_slopes(feat, labels, model.withColumn("weight", F.col("weight") + 1)).collect())
 
 
 def test_trunk_and_count_input():
