@@ -54,28 +54,28 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Rows:
-    """Sparse rows of zeros and ones."""
+    """Sparse rows of zeros and ones: for each one, its row and its column. 32-bit places keep a large sample small."""
 
-    def __init__(self, n: int, of: np.ndarray, at: np.ndarray, ids: np.ndarray):
-        self.n, self.of, self.at, self.ids = n, of, at, ids
+    def __init__(self, n: int, width: int, of: np.ndarray, at: np.ndarray):
+        self.n, self.width, self.of, self.at = n, width, of, at
 
     @staticmethod
-    def of_lists(rows: list[np.ndarray]) -> Rows:
-        ids, at = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]), return_inverse=True)
-        return Rows(len(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), at, ids)
+    def of_lists(rows: list[np.ndarray], width: int) -> Rows:
+        return Rows(len(rows), width, np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), np.concatenate([np.zeros(0, np.int32), *rows], dtype=np.int32))
 
     def columns(self, chosen: np.ndarray) -> Rows:
         """The same rows with some of the columns."""
-        place = np.full(len(self.ids), -1)
+        place = np.full(self.width, -1, dtype=np.int32)
         place[chosen] = np.arange(len(chosen))
         at = place[self.at]
-        return Rows(self.n, self.of[at >= 0], at[at >= 0], self.ids[chosen])
+        kept = at >= 0
+        return Rows(self.n, len(chosen), self.of[kept], at[kept])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.of, w[self.at], self.n)
 
     def back(self, d: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, d[self.of], len(self.ids))
+        return np.bincount(self.at, d[self.of], self.width)
 
 
 def loss(score: np.ndarray, theta: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -104,7 +104,7 @@ def descend(x: Rows, grade: np.ndarray, v: np.ndarray, lam: float, steps: int) -
 
     A step that does not lower the loss as its slopes promise is halved.
     """
-    f = len(x.ids)
+    f = x.width
 
     def slopes(v: np.ndarray) -> tuple[float, np.ndarray]:
         value, by_score, by_theta = loss(x.dot(v[:f]), thresholds(v[f:]), grade)
@@ -142,7 +142,7 @@ def fit(x: Rows, grade: np.ndarray, grades: int = GRADES, penalty: float = PENAL
     lam = penalty / max(x.n, 1)
     share = np.clip([(grade > j).mean() for j in range(k)], 1e-3, 1 - 1e-3)
     start = -np.log(share / (1 - share))
-    w, tail = np.zeros(len(x.ids)), np.concatenate((start[:1], np.log(np.maximum(np.diff(start), 1e-2))))
+    w, tail = np.zeros(x.width), np.concatenate((start[:1], np.log(np.maximum(np.diff(start), 1e-2))))
     chosen = np.zeros(0, np.int64)
     for _ in range(ROUNDS):
         slope = np.abs(x.back(loss(x.dot(w), thresholds(tail), grade)[1]))
@@ -157,7 +157,7 @@ def fit(x: Rows, grade: np.ndarray, grades: int = GRADES, penalty: float = PENAL
     return w, thresholds(tail)
 
 
-def graded(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+def graded(rows: list[np.ndarray], toxic: np.ndarray, width: int) -> np.ndarray:
     """Severity grades 0 to GRADES - 1: of toxic rows by the score of a model that the row had no part in."""
     grade = toxic.astype(np.int64)
     half = np.array([int(mix64(mix64(r.astype(np.uint64)).sum(keepdims=True) + np.uint64(len(r)))[0] >> np.uint64(63)) for r in rows])
@@ -165,9 +165,8 @@ def graded(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
         learn, judge = np.flatnonzero(half != h), np.flatnonzero((half == h) & toxic)
         if not len(judge) or len(np.unique(toxic[learn])) < 2:
             continue
-        x = Rows.of_lists([rows[i] for i in learn])
-        w, _ = fit(x, toxic[learn].astype(np.int64), 2)
-        score = np.array([w[np.searchsorted(x.ids, own)].sum() for own in (np.intersect1d(x.ids, rows[i]) for i in judge)])
+        w, _ = fit(Rows.of_lists([rows[i] for i in learn], width), toxic[learn].astype(np.int64), 2)
+        score = np.array([w[rows[i]].sum() for i in judge])
         cuts = np.quantile(score, np.arange(1, GRADES - 1) / (GRADES - 1))
         grade[judge] = 1 + (score[:, None] > cuts).sum(1)
     return grade
@@ -178,15 +177,15 @@ def _fit_rows(bits: int):
         rows, toxic, key = [], [], []
         for batch in batches:
             for r in batch.to_pylist():
-                rows.append(np.frombuffer(r["words"], np.int32).astype(np.int64))
+                rows.append(np.frombuffer(r["words"], np.int32))
                 toxic.append(r["label"] > 0)
                 key.append((r["doc_id"], r["words"]))
         order = sorted(range(len(rows)), key=lambda i: key[i])
         rows, y = [rows[i] for i in order], np.array([toxic[i] for i in order], dtype=bool)
         weights, theta = np.zeros(1 << bits), np.full(GRADES - 1, 30.0)
         if y.any() and not y.all():
-            x = Rows.of_lists(rows)
-            weights[x.ids], theta = fit(x, graded(rows, y))
+            grade = graded(rows, y, 1 << bits)
+            weights, theta = fit(Rows.of_lists(rows, 1 << bits), grade)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([theta.tobytes()], pa.binary())], names=["weights", "theta"])
 
     return fit_rows

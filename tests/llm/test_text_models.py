@@ -58,7 +58,7 @@ def test_toxicity_fit_is_optimal():
     rng = np.random.default_rng(0)
     x = (rng.uniform(size=(400, 12)) < 0.4).astype(float)
     grade = np.minimum((x[:, :3].sum(1) + (rng.uniform(size=400) < 0.2)).astype(int), 3)
-    rows = toxicity.Rows.of_lists([np.flatnonzero(r) for r in x])
+    rows = toxicity.Rows.of_lists([np.flatnonzero(r).astype(np.int32) for r in x], 12)
 
     def brute(w, theta):
         total = 0.0
@@ -84,7 +84,7 @@ def test_grades_come_from_the_other_half():
     rows = [np.unique(rng.integers(0, 50, 12)) for _ in range(600)]
     toxic = rng.uniform(size=600) < 0.3
     rows = [np.union1d(r, 100 + rng.choice(6, rng.integers(1, 7), replace=False)) if t else r for r, t in zip(rows, toxic)]
-    grade = toxicity.graded(rows, toxic)
+    grade = toxicity.graded([r.astype(np.int32) for r in rows], toxic, 200)
     assert (grade[~toxic] == 0).all() and set(grade[toxic]) == {1, 2, 3}
     bad = np.array([(r >= 100).sum() for r in rows])
     assert bad[grade == 1].mean() < bad[grade == 2].mean() < bad[grade == 3].mean()
