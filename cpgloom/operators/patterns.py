@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cpgloom.functions import scalars as S
 
 MAX_AMBIGUOUS, FOLD = 1.0, 10
+#: Digits by which patterns of equal count are grouped for ranking.
+LEAD = 12
 
 
 def site_calls(obs: DataFrame, cpgs: DataFrame, ns: int, threshold: float = 0.5, mincov: int = 1) -> DataFrame:
@@ -52,11 +54,16 @@ def mine(obs: DataFrame, cpgs: DataFrame, ns: int, threshold: float = 0.5, minco
 def pattern_rank(patterns: DataFrame, ns: int) -> DataFrame:
     """(rank, label, pattern, n): real patterns by count descending, then pattern.
 
-    Only the aggregated patterns are ranked; the CpGs stay where they are.
+    Only the aggregated patterns are ranked; the CpGs stay where they are. They
+    are numbered within groups of equal count and first digits, and shifted by
+    the groups' offsets, so no task numbers all patterns.
     """
-    counted = patterns.where(F.col("pattern") != "2" * ns).groupBy("pattern").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "pattern")) - 1
-    return counted.withColumn("rank", rank.cast("int")).select("rank", S.label_of(F.col("rank")).alias("label"), "pattern", "n")
+    counted = patterns.where(F.col("pattern") != "2" * ns).groupBy("pattern").agg(F.count("*").alias("n")).withColumn("lead", F.substring("pattern", 1, LEAD))
+    groups = counted.groupBy("n", "lead").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.orderBy(F.desc("n"), "lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = groups.select("n", "lead", before.alias("before"))
+    rows = counted.withColumn("rn", F.row_number().over(Window.partitionBy("n", "lead").orderBy("pattern")) - 1).join(offsets, ["n", "lead"])
+    return rows.withColumn("rank", (F.col("before") + F.col("rn")).cast("int")).select("rank", S.label_of(F.col("rank")).alias("label"), "pattern", "n")
 
 
 def membership(patterns: DataFrame, ranked: DataFrame) -> DataFrame:

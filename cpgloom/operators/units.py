@@ -79,10 +79,13 @@ def pna_units(n_pna: int, real: DataFrame, target: int) -> DataFrame:
 def scatter(members: DataFrame, ranked: DataFrame, real: DataFrame, target: int) -> DataFrame:
     """(dest, unit, cpg_idx): CpGs by pattern rank, then position, background last.
 
-    Numbered within each pattern and shifted by the pattern's offset from the
-    small pattern table, so no task numbers all CpGs.
+    Numbered within each pattern and shifted by the pattern's offset, so no task
+    numbers all CpGs.
     """
-    offsets = ranked.select("rank", F.coalesce(F.sum("n").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))
+    # patterns of equal count are runs of ranks: with N CpGs no more than sqrt(2 N) of them
+    runs = ranked.groupBy("n").agg(F.min("rank").alias("r0"), F.sum("n").alias("held"))
+    base = F.coalesce(F.sum("held").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranked.select("rank", "n").join(F.broadcast(runs.select("n", "r0", base.alias("base"))), "n").select("rank", (F.col("base") + (F.col("rank") - F.col("r0")) * F.col("n")).alias("at"))
     firsts = real.select("unit", "first_rank", (F.col("first_rank") + F.col("membership_count")).alias("end_rank"))
     placed = offsets.join(F.broadcast(firsts), (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank"))).select("rank", "at", "unit")
     total = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).crossJoin(real.agg(F.coalesce(F.max("unit") + 1, F.lit(0)).alias("units")))
