@@ -96,8 +96,8 @@ def batches(drawn: DataFrame, truth: DataFrame, observed: DataFrame, options: Op
         return pd.DataFrame(out, columns=["unit", "split", "step", "cell_id", "rep", "local", "y"])
 
     rows = drawn.join(observed, ["unit", "cell_id", "rep"], "left")
-    # the draws come from the truth's own keys: new names for its columns tell the two sides apart
-    truth = truth.select(*[F.col(c).alias(c) for c in truth.columns])
+    # only cells that are drawn; they come from the truth's own keys, so new names for its columns tell the two sides apart
+    truth = truth.select(*[F.col(c).alias(c) for c in truth.columns]).join(drawn.select("unit", "cell_id").distinct(), ["unit", "cell_id"], "left_semi")
     return rows.groupBy("unit", "cell_id").cogroup(truth.groupBy("unit", "cell_id")).applyInPandas(cut, "unit int, split string, step int, cell_id long, rep int, local array<int>, y array<double>")
 
 
