@@ -80,3 +80,9 @@ def key_of(*parts) -> Column:
 def uniform(*parts) -> Column:
     """A number in [0, 1) that depends on the parts alone."""
     return F.conv(F.substring(key_of(*parts), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def binomial_fraction(p: Column, depth: int, *parts) -> Column:
+    """The methylated share of ``depth`` reads of a site with fraction p; a read's draw depends on the parts and its number alone; null for a null p."""
+    reads = F.sequence(F.lit(1), F.lit(depth))
+    return F.when(p.isNotNull(), F.size(F.filter(reads, lambda i: uniform(*parts, i) < p)) / F.lit(depth))

@@ -79,13 +79,25 @@ def bootstrap(deltas: DataFrame, draws: int, seed: int = 1, nearest: bool = Fals
     return deltas.agg(F.avg("d").alias("mean")).crossJoin(limits)
 
 
-def coverage_ladder(obs: DataFrame, members: DataFrame, levels: list[int], patterns: int, seed: int = 1) -> DataFrame:
-    """(level, mae): error of pattern means from the first ``level`` CpGs of one nested order of each cell, on the others."""
+def parse_levels(text: str, n_cpg: int) -> list[int]:
+    """Sizes from a list such as "0.5%,200": shares of all CpGs, or counts; each size once, rising."""
+    words = [w for w in map(str.strip, text.split(",")) if w]
+    if not words:
+        raise ValueError("no levels")
+    return sorted({round(float(w[:-1]) / 100 * n_cpg) if w.endswith("%") else int(w) for w in words})
+
+
+def coverage_ladder(obs: DataFrame, members: DataFrame, levels: list[int], patterns: int, seed: int = 1, depth: int = 0) -> DataFrame:
+    """(level, mae): error of pattern means from the first ``level`` CpGs of one nested order of each cell, on the others.
+
+    With a ``depth``, a mean is over fractions of that many drawn reads at each CpG.
+    """
     order = Window.partitionBy("cell_id").orderBy(S.key_of(seed, F.col("cell_id"), F.col("cpg_idx")), "cpg_idx")
     rows = obs.where(S.coverage() > 0).select("cell_id", "cpg_idx", S.beta().alias("b")).withColumn("rn", F.row_number().over(order))
-    rows = rows.join(members.where(F.col("rank") < patterns), "cpg_idx").select("cell_id", "rank", "rn", "b")
+    seen = S.binomial_fraction(F.col("b"), depth, seed, F.lit("d"), F.col("cell_id"), F.col("cpg_idx")) if depth else F.col("b")
+    rows = rows.join(members.where(F.col("rank") < patterns), "cpg_idx").select("cell_id", "rank", "rn", "b", seen.alias("seen"))
     rows = rows.select("*", F.explode(F.array(*map(F.lit, levels))).alias("level"))
-    mean = F.avg(F.when(F.col("rn") <= F.col("level"), F.col("b"))).over(Window.partitionBy("cell_id", "rank", "level"))
+    mean = F.avg(F.when(F.col("rn") <= F.col("level"), F.col("seen"))).over(Window.partitionBy("cell_id", "rank", "level"))
     held = rows.withColumn("p", mean).where((F.col("rn") > F.col("level")) & F.col("p").isNotNull())
     return held.groupBy("level").agg(F.avg(F.abs(F.col("p") - F.col("b"))).alias("mae"))
 
@@ -128,6 +140,13 @@ def pilot(units: DataFrame, mixed: int = 6, pna: int = 8) -> DataFrame:
     return rows.where(picked).select("unit", "class")
 
 
+def pilot_metrics(trained: DataFrame, units: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(unit, class, cpgs, memberships, mode, bottleneck_dim, best_step, validation_n, validation_mae) of the wanted units; a direct head's dimension is 0."""
+    own = units.join(wanted.select("unit"), "unit", "left_semi").select("unit", F.col("cpg_count").alias("cpgs"), F.col("membership_count").alias("memberships"))
+    fit = trained.select("unit", "class", "mode", F.col("rank").alias("bottleneck_dim"), "best_step", F.col("checked").alias("validation_n"), F.col("best_mae").alias("validation_mae"))
+    return fit.join(own, "unit").select("unit", "class", "cpgs", "memberships", "mode", "bottleneck_dim", "best_step", "validation_n", "validation_mae")
+
+
 def paired(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, y, p, q): two models' predictions (keys, y, p) of the same targets side by side; each has the other's keys or it is an error."""
     both = a.select(*keys, "y", "p", F.lit(True).alias("in_a")).join(b.select(*keys, F.col("p").alias("q"), F.lit(True).alias("in_b")), keys, "full_outer")

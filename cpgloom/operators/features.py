@@ -20,6 +20,14 @@ def state_list(top: int, pna: str = "Pna") -> list[str]:
     return [*(f"P{k}" for k in range(1, top + 1)), pna]
 
 
+def chosen(states: list[str], first: int | None = None, include_pna: bool = False, pna: str = "Pna") -> list[str]:
+    """The states that a model is trained on: the first ``first`` in their order, by default all, without the background unless asked for."""
+    n = first or len(states) - (0 if include_pna else states.count(pna))
+    if not 0 < n <= len(states):
+        raise ValueError("no such number of states")
+    return states[:n]
+
+
 def features(obs: DataFrame, masked: DataFrame, states: list[str], key: str = "cell_id") -> DataFrame:
     """(key, pattern, ord, beta, n_o): mean fraction and number of covered CpGs for each cell and state.
 

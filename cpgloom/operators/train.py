@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cpgloom.functions import scalars as S
 
-UNITS = "unit int, class string, mode string, rank int, a array<double>, head array<double>, E array<double>, b array<double>, cpgs array<long>, best_step int, best_mae double, first_mae double, run string"
+UNITS = "unit int, class string, mode string, rank int, a array<double>, head array<double>, E array<double>, b array<double>, cpgs array<long>, best_step int, best_mae double, first_mae double, checked long, run string"
 
 
 @dataclass(frozen=True)
@@ -179,11 +179,11 @@ def fit_unit(rows: list[tuple], kind: str, bias: np.ndarray, unit: int, options:
                 bad += 1
             if t >= options.min_steps and bad >= options.patience:
                 break
-    return {"mode": "factor" if rank else "direct", "rank": rank, "net": kept, "best_step": best_step, "best_mae": best, "first_mae": first}
+    return {"mode": "factor" if rank else "direct", "rank": rank, "net": kept, "best_step": best_step, "best_mae": best, "first_mae": first, "checked": sum(len(y) for _, _, y in check)}
 
 
 def train_units(rows: DataFrame, inputs: DataFrame, places: DataFrame, options: Options) -> DataFrame:
-    """Trained units, in the columns that ``upscale`` reads and more: (unit, class, mode, rank, a, head, E, b, cpgs, best_step, best_mae, first_mae, run).
+    """Trained units, in the columns that ``upscale`` reads and more: (unit, class, mode, rank, a, head, E, b, cpgs, best_step, best_mae, first_mae, checked, run).
 
     ``rows`` are ``batches``, ``inputs`` (rep, cell_id, x), ``places`` a
     ``layout``. One group is one unit: at most max_steps + checks rows of one
@@ -198,7 +198,7 @@ def train_units(rows: DataFrame, inputs: DataFrame, places: DataFrame, options:
         drawn = [(s, np.asarray(x, float), np.asarray(at), np.asarray(y, float)) for s, x, at, y in zip(df["split"], df["x"], df["local"], df["y"])]
         got = fit_unit(drawn, own["class"], np.asarray(own["b"], float), int(own["unit"]), options)
         net = {k: got["net"].get(k, np.zeros(0)).ravel().tolist() for k in ("a", "A", "E", "b")}
-        return pd.DataFrame([(own["unit"], own["class"], got["mode"], got["rank"], net["a"], net["A"], net["E"], net["b"], list(own["cpgs"]), got["best_step"], got["best_mae"], got["first_mae"], run)], columns=[c.split()[0] for c in UNITS.split(", ")])
+        return pd.DataFrame([(own["unit"], own["class"], got["mode"], got["rank"], net["a"], net["A"], net["E"], net["b"], list(own["cpgs"]), got["best_step"], got["best_mae"], got["first_mae"], got["checked"], run)], columns=[c.split()[0] for c in UNITS.split(", ")])
 
     full = rows.join(inputs, ["rep", "cell_id"])
     places = places.select(*[F.col(c).alias(c) for c in places.columns])

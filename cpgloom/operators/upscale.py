@@ -113,3 +113,38 @@ def select_outputs(units: DataFrame, wanted: DataFrame) -> DataFrame:
 def pending(units: DataFrame, checkpoint: DataFrame, run: str) -> DataFrame:
     """The units that ``checkpoint`` (unit, run) has no row of this run for; rows of other runs don't count."""
     return units.join(checkpoint.where(F.col("run") == run).select("unit"), "unit", "left_anti")
+
+
+def predict_blocks(inputs: DataFrame, models: DataFrame, wanted: DataFrame, size: int = 10_000, eps: float = 1e-5) -> DataFrame:
+    """(cell_id, cpg_idx, p) of the wanted (cell_id, cpg_idx) by small networks, one for each block of ``size`` CpGs.
+
+    ``inputs`` is (cell_id, x array<double>) with nulls where nothing was seen.
+    ``models`` is (block, and arrays of doubles: fill, mean, scale, w1, b1, gain,
+    shift, centre, spread, w2, b2), weights row by row: missing inputs are filled, all
+    are standardised, then come linear, ReLU, batch norm, linear and sigmoid. A
+    group is one block for cells of 256 numbers in a row; a cell's row has no
+    more CpGs than a block. Blocks without a model or cells without inputs have no rows.
+    """
+    def apply(cells: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(cells) or not len(model):
+            return pd.DataFrame({"cell_id": pd.Series(dtype="int64"), "cpg_idx": pd.Series(dtype="int64"), "p": pd.Series(dtype="float64")})
+        m = {c: np.asarray(model[c].iloc[0], float) for c in model.columns if c not in ("block", "group")}
+        x = np.stack([np.asarray(v, float) for v in cells["x"]])
+        x = (np.where(np.isnan(x), m["fill"], x) - m["mean"]) / m["scale"]
+        h = np.maximum(x @ m["w1"].reshape(len(m["b1"]), -1).T + m["b1"], 0)
+        h = (h - m["centre"]) / np.sqrt(m["spread"] + eps) * m["gain"] + m["shift"]
+        out = m["w2"].reshape(len(m["b2"]), -1)
+        parts = []
+        for cell, own, at in zip(cells["cell_id"], h, cells["at"]):
+            at = np.asarray(at)
+            z = out[at] @ own + m["b2"][at]
+            parts.append(pd.DataFrame({"cell_id": cell, "cpg_idx": at + size * int(model["block"].iloc[0]), "p": 1 / (1 + np.exp(-np.clip(z, -700, 700)))}))
+        return pd.concat(parts)
+
+    block = F.floor(F.col("cpg_idx") / size)
+    rows = wanted.distinct().groupBy("cell_id", block.alias("block")).agg(F.collect_list((F.col("cpg_idx") - block * size).cast("int")).alias("at"))
+    rows = rows.join(inputs.select("cell_id", "x"), "cell_id").withColumn("group", F.floor(F.col("cell_id") / 256))
+    use = rows.select(F.col("block").alias("b"), "group").distinct().join(models, F.col("b") == F.col("block")).drop("b")
+    # it comes from the rows' own keys, so new names for its columns tell the two sides apart
+    use = use.select(*[F.col(c).alias(c) for c in use.columns])
+    return rows.groupBy("block", "group").cogroup(use.groupBy("block", "group")).applyInPandas(apply, "cell_id long, cpg_idx long, p double")

@@ -20,6 +20,7 @@ from cpgloom.operators import upscale as V
 from cpgloom.plans.sql import TOP, sql
 from cpgloom.sources import artifacts as A
 from cpgloom.sources import bindings as B
+from cpgloom.sources import readers as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -186,6 +187,18 @@ def mask_trim(spark, d):
     return P.trim(masked(spark, d), ["P1", "P2", "P3"])
 
 
+@query(sql("SELECT row_number() OVER (ORDER BY cpg_idx) - 1 AS cpg_idx, pattern FROM pat", "pat"))
+def pattern_texts(spark, d):
+    """Patterns by CpG and their counts, written as plain texts, read back and compared with each other."""
+    patterns = A.stage(mined(spark, d)[0], "patterns")
+    by_site, by_pattern = A.scratch(spark, "site-lines"), A.scratch(spark, "count-lines")
+    P.counts_with_pna(patterns).select(F.format_string("%7d %s", "n", "pattern")).write.text(by_pattern)
+    patterns.orderBy("cpg_idx").select("pattern").write.text(by_site)
+    sites = R.site_patterns(spark, by_site)
+    R.check_patterns(sites, R.pattern_counts(spark, by_pattern))
+    return sites
+
+
 # ---- features, signatures, deconvolution ----
 
 @query(sql("SELECT cell_id, pattern, ord, round(beta, 6) AS beta, n_o FROM feat", "feat"))
@@ -198,6 +211,11 @@ def feature_min_cov(spark, d):
     return rounded(X.min_cov(feats(spark, d), 20))
 
 
+@query(sql("SELECT cell_id, pattern, ord, round(beta, 6) AS beta, n_o FROM feat WHERE ord < 5", "feat"))
+def feature_selected(spark, d):
+    return rounded(feats(spark, d).where(F.col("pattern").isin(X.chosen(STATES, 5))))
+
+
 @query("""SELECT state AS pattern, CAST(row_number() OVER (ORDER BY CASE WHEN state = 'Pna' THEN 2 WHEN regexp_matches(state, '[0-9]') THEN 0 ELSE 1 END,
   TRY_CAST(nullif(regexp_extract(state, '([0-9]+)', 1), '') AS BIGINT) NULLS LAST, defined) - 1 AS INTEGER) AS ord
 FROM (SELECT n_name AS state, CAST(n_nationkey AS BIGINT) AS defined FROM nation UNION ALL SELECT 'P' || (s_suppkey * 3 % 1000), 100 + s_suppkey FROM supplier UNION ALL SELECT 'Pna', 50)""")
@@ -365,6 +383,13 @@ def sim_sample(spark, d):
     return drawn(spark, d).drop("b")
 
 
+@query(sql("""SELECT rep, cell_id, cpg_idx, round(len(list_filter(range(1, 6), lambda i: CAST('0x' || substr(md5(concat_ws('|', '1', 'd', rep, cell_id, cpg_idx, i)), 1, 8) AS BIGINT) / 4294967296.0 < b)) / 5, 6) AS share FROM sampled""", "sampled"))
+def sim_reads(spark, d):
+    """Five reads at each sampled CpG."""
+    share = S.binomial_fraction(F.col("b"), 5, 1, F.lit("d"), F.col("rep"), F.col("cell_id"), F.col("cpg_idx"))
+    return rounded(drawn(spark, d).select("rep", "cell_id", "cpg_idx", share.alias("share")))
+
+
 @query(sql("SELECT rep, cell_id, pattern, round(beta, 6) AS beta, round(beta_binary, 6) AS beta_binary, n FROM simfeat", "simfeat"))
 def sim_features(spark, d):
     return rounded(sim_feats(spark, d))
@@ -539,6 +564,37 @@ def unit_train_predict(spark, d):
     return rows.groupBy("cell_id").agg(F.count_distinct("cpg_idx").alias("n_cpg"), F.min("cpg_idx").alias("low"), F.max("cpg_idx").alias("high"), (sound & (F.count("*") == F.count_distinct("cpg_idx"))).alias("sound"))
 
 
+@query(sql("SELECT unit, class, cpg_count AS cpgs, membership_count AS memberships, 'factor' AS mode, CASE WHEN class = 'pure' THEN 2 ELSE 3 END AS bottleneck_dim, true AS sound FROM allunits WHERE unit % 3 = 0", "allunits"))
+def unit_pilot_metrics(spark, d):
+    """The metrics of every third unit; what training gives is only checked for its range."""
+    units, _ = trained(spark, d)
+    of, _, real = placed(spark, d)
+    every = every_unit(of, real)
+    rows = E.pilot_metrics(units, every, every.where("unit % 3 = 0"))
+    sound = (F.col("validation_n") > 0) & F.col("validation_mae").between(0, 1) & (F.col("best_step") >= 0)
+    return rows.select("unit", "class", "cpgs", "memberships", "mode", "bottleneck_dim", sound.alias("sound"))
+
+
+@query(sql("""SELECT cell_id, cpg_idx, round(1 / (1 + exp(-(((cpg_idx % 50) % 3 - 1) * h0 + 0.5 * h1 + 0.01 * ((cpg_idx % 50) % 7)))), 6) AS p FROM (
+  SELECT q.cell_id, q.cpg_idx, (greatest(a + b + 0.1 * (q.cpg_idx // 50), 0) - 0.1) / sqrt(0.25 + 1e-5) AS h0, (greatest(c - e, 0) - 0.1) / sqrt(0.25 + 1e-5) AS h1
+  FROM query_obs q JOIN (SELECT cell_id, """ + ", ".join(f"(coalesce(max(beta) FILTER (pattern = 'P{k}'), 0.5) - 0.4) / 0.25 AS {n}" for k, n in zip(range(1, 5), "abce")) + """ FROM feat GROUP BY 1) f USING (cell_id) WHERE q.m + q.u > 0)""", "feat"))
+def upscale_blocks(spark, d):
+    """One small network for each 50 CpGs, at the CpGs that a cell covers."""
+    obs = B.query_obs(spark, d)
+    wanted = obs.where(S.coverage() > 0).select("cell_id", "cpg_idx")
+    x = X.wide(feats(spark, d), STATES[:4]).select("cell_id", F.array(*STATES[:4]).alias("x"))
+    block, place = F.col("block"), F.sequence(F.lit(0), F.lit(49))
+
+    def fixed(*values):
+        return F.array(*[F.lit(float(v)) for v in values])
+
+    models = wanted.select(F.floor(F.col("cpg_idx") / 50).alias("block")).distinct().select(
+        "block", fixed(*[0.5] * 4).alias("fill"), fixed(*[0.4] * 4).alias("mean"), fixed(*[0.25] * 4).alias("scale"),
+        fixed(1, 1, 0, 0, 0, 0, 1, -1).alias("w1"), F.array(block * 0.1, F.lit(0.0)).alias("b1"), fixed(1, 1).alias("gain"), fixed(0, 0).alias("shift"), fixed(0.1, 0.1).alias("centre"), fixed(0.25, 0.25).alias("spread"),
+        F.flatten(F.transform(place, lambda i: F.array((i % 3 - 1).cast("double"), F.lit(0.5)))).alias("w2"), F.transform(place, lambda i: (i % 7) * F.lit(0.01)).alias("b2"))
+    return rounded(V.predict_blocks(x, models, wanted, 50))
+
+
 # ---- evaluation ----
 
 _METRICS = "count(*) AS n, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse, round(avg(abs(p - y)), 6) AS mae, round(corr(y, p), 6) AS pearson, round(avg(CASE WHEN abs(p - y) <= 0.05 THEN 1.0 ELSE 0.0 END), 6) AS within_005"
@@ -617,6 +673,19 @@ def eval_coverage_ladder(spark, d):
     return rounded(E.coverage_ladder(B.query_obs(spark, d), members(spark, d), [50, 100, 200], SIM_PATTERNS))
 
 
+@query(sql("""SELECT CAST(level AS INTEGER) AS level, round(avg(abs(p - b)), 6) AS mae FROM (
+  SELECT level, rn, b, avg(s) FILTER (rn <= level) OVER (PARTITION BY cell_id, rank, level) AS p FROM (
+    SELECT o.*, rank, level FROM (
+      SELECT *, len(list_filter(range(1, 5), lambda i: CAST('0x' || substr(md5(concat_ws('|', '1', 'd', cell_id, cpg_idx, i)), 1, 8) AS BIGINT) / 4294967296.0 < b)) / 4 AS s FROM (
+        SELECT cell_id, cpg_idx, m / (m + u) AS b, row_number() OVER (PARTITION BY cell_id ORDER BY md5(concat_ws('|', '1', cell_id, cpg_idx)), cpg_idx) AS rn FROM query_obs WHERE m + u > 0)) o
+    JOIN member USING (cpg_idx) CROSS JOIN (SELECT DISTINCT unnest([60, CAST(round_even(n * 5 / 100, 0) AS BIGINT)]) AS level FROM (SELECT count(*) AS n FROM cpgs)) WHERE rank < 8))
+WHERE rn > level AND p IS NOT NULL GROUP BY 1""", "query_obs", "member"))
+def eval_coverage_reads(spark, d):
+    """The ladder with four reads at each CpG, at 60 CpGs and at a share of all."""
+    sizes = E.parse_levels("5%, 60", B.cpgs(spark, d).count())
+    return rounded(E.coverage_ladder(B.query_obs(spark, d), members(spark, d), sizes, SIM_PATTERNS, depth=4))
+
+
 #: Units of the pilot are small, so that there are some to pick from on the smallest tables.
 PILOT_TARGET, PILOT_MIXED, PILOT_PNA, PILOT_PLACES = 10, 2, 2, 5
 _PILOT = f""", p AS (SELECT row_number() OVER (ORDER BY rank NULLS LAST, cpg_idx) - 1 AS dest, cpg_idx FROM member),

@@ -42,12 +42,16 @@ def describe(tables: dict[str, DataFrame], kind: str) -> DataFrame:
     return out
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written below the session's spark.checkpoint.dir and read back: used several times, computed once."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the session's spark.checkpoint.dir, which driver and executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{(where or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{(where or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: used several times, computed once."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

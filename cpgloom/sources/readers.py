@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cpgloom.sources.artifacts import stage
+
 MISSING = ("", "NA", "nan", "NaN")
 
 
@@ -13,15 +15,24 @@ def number(c: str):
     return F.when(~F.trim(F.col(c)).isin(*MISSING), F.expr(f"try_cast(`{c}` AS double)"))
 
 
-def samples(spark: SparkSession, path: str, most: int = 40) -> DataFrame:
-    """(sample_id, name): first tab-separated field of each non-empty line, in file order; over ``most`` is an error."""
+def samples(spark: SparkSession, path: str, most: int = 40, records: int | None = None) -> DataFrame:
+    """(sample_id, name): first tab-separated field of each non-empty line, in file order; over ``most``, or another number than ``records``, is an error."""
     rows = _lines(spark, path).select("line", F.split("value", "\t")[0].alias("name")).where(F.col("name") != "")
     out = rows.select((F.row_number().over(Window.orderBy("line")) - 1).cast("int").alias("sample_id"), "name")
-    if out.count() > most:
+    n = out.count()
+    if n > most:
         raise ValueError(f"more than {most} samples")
+    if records is not None and n != records:
+        raise ValueError(f"{n} names for {records} records")
     return out
 
 
+def named(records: DataFrame, names: DataFrame, key: str = "cell_id") -> DataFrame:
+    """``records`` with a ``name`` for each ``key``: that of ``names`` (sample_id, name), or the key's number from 1 on where there is none."""
+    own = names.select(F.col("sample_id").cast("long").alias(key), F.col("name").alias("_name"))
+    return records.join(own, key, "left").withColumn("name", F.coalesce("_name", (F.col(key) + 1).cast("string"))).drop("_name")
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value) of a text file of a few lines: names, labels or splits, one for each sample or cell."""
     return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
@@ -83,3 +94,48 @@ def model_labels(spark: SparkSession, path: str) -> DataFrame:
     """(class_idx, label) of the line of a key-value file whose key is ``labels``."""
     rows = spark.read.csv(path, sep="\t", header=False, schema="key string, value string").where("key = 'labels'")
     return rows.select(F.posexplode(F.split("value", ",")).alias("class_idx", "label"))
+
+
+def unit_ids(spark: SparkSession, path: str, n_units: int) -> DataFrame:
+    """(unit) of a list of unit numbers between white space: at least one, each below ``n_units`` and once."""
+    words = spark.read.text(path).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("w")).where(F.col("w") != "")
+    out = words.select(F.expr("try_cast(w AS int)").alias("unit"))
+    seen = out.agg(F.count("*").alias("n"), F.count_distinct("unit").alias("units"), F.count_if(F.col("unit").between(0, n_units - 1)).alias("inside")).first()
+    if not 0 < seen["n"] == seen["units"] == seen["inside"]:
+        raise ValueError("unit numbers must be in range and listed once, and there must be one")
+    return out
+
+
+def pattern_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(pattern, n) of lines of a count and a pattern of digits 0 to 2."""
+    parts = [F.regexp_extract("value", r"^\s*([0-9]+)\s+([0-2]+)\s*$", g) for g in (1, 2)]
+    rows = spark.read.text(path).select(parts[0].alias("n"), parts[1].alias("pattern"))
+    out = rows.select("pattern", F.expr("try_cast(n AS bigint)").alias("n"))
+    seen = out.agg(F.count("*").alias("rows"), F.count_distinct("pattern").alias("patterns"), F.count_if(F.col("n").between(1, 2**32 - 1)).alias("counts")).first()
+    if not seen["rows"] == seen["patterns"] == seen["counts"]:
+        raise ValueError("every line must have a count that fits 32 bits and a pattern of its own")
+    return out
+
+
+def site_patterns(spark: SparkSession, path: str) -> DataFrame:
+    """(cpg_idx, pattern) of a text of one pattern a line, a line for each CpG in order; files of a folder follow each other by name.
+
+    Lines are numbered within the splits that Spark reads, and shifted by the lines of the splits before, so no split waits for another.
+    """
+    raw = spark.read.text(path).select(F.trim("value").alias("pattern"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    rows = stage(raw.select("*", F.monotonically_increasing_id().alias("id")), "lines")
+    splits = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    # one row for each split of the input
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "start", "first", before.alias("before"))
+    return rows.join(splits, ["file", "start"]).select((F.col("before") + F.col("id") - F.col("first")).alias("cpg_idx"), "pattern")
+
+
+def check_patterns(sites: DataFrame, counts: DataFrame) -> None:
+    """The sites' patterns must be those of the counts, each as often; the background (all 2) and another must be among them."""
+    have = sites.groupBy("pattern").agg(F.count("*").alias("sites"))
+    both = have.join(counts, "pattern", "full")
+    background = F.regexp_like("pattern", F.lit("^2+$"))
+    seen = both.agg(F.count_if(~F.col("sites").eqNullSafe(F.col("n"))).alias("off"), F.count_if(background).alias("pna"), F.count_if(~background).alias("real")).first()
+    if seen["off"] or not seen["pna"] or not seen["real"]:
+        raise ValueError("patterns of the sites and their counts disagree")

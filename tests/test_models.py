@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cpgloom.functions import scalars as S
 from cpgloom.operators import classify as C
 from cpgloom.operators import deconvolve as D
 from cpgloom.operators import evaluate as E
@@ -309,3 +310,31 @@ def test_standardised_missing_is_zero(spark):
     got = {r["cell_id"]: r["x"] for r in M.standardise(rows, F.col("split") == "train").collect()}
     scale = math.sqrt(2 / 3)  # squared deviations of the observed over all training rows
     assert got == pytest.approx({0: -1 / scale, 1: 1 / scale, 2: 0.0, 3: 3 / scale})
+
+
+def test_block_networks(spark):
+    rng = np.random.default_rng(5)
+    size, width, hidden = 4, 3, 2
+    shapes = {"fill": (width,), "mean": (width,), "scale": (width,), "w1": (hidden, width), "b1": (hidden,), "gain": (hidden,), "shift": (hidden,), "centre": (hidden,), "spread": (hidden,), "w2": (size, hidden), "b2": (size,)}
+    nets = {b: {c: rng.uniform(0.1, 1, s) for c, s in shapes.items()} for b in (0, 2)}
+    models = spark.createDataFrame([(b, *[n[c].ravel().tolist() for c in shapes]) for b, n in nets.items()], "block long, " + ", ".join(f"{c} array<double>" for c in shapes))
+    xs = {c: [float(v) for v in rng.uniform(0, 1, width)] for c in (1, 2, 700)}
+    xs[2][1] = None
+    inputs = spark.createDataFrame(list(xs.items()), "cell_id long, x array<double>")
+    wanted = [(c, g) for c in (1, 2, 700, 9) for g in (0, 3, 5, 8, 11)] + [(1, 0)]
+    got = {(r["cell_id"], r["cpg_idx"]): r["p"] for r in V.predict_blocks(inputs, models, spark.createDataFrame(wanted, "cell_id long, cpg_idx long"), size).collect()}
+    want = {}
+    for c, g in wanted:
+        if c in xs and g // size in nets:
+            n = nets[g // size]
+            x = np.array([n["fill"][i] if v is None else v for i, v in enumerate(xs[c])])
+            h = np.maximum(n["w1"] @ ((x - n["mean"]) / n["scale"]) + n["b1"], 0)
+            h = n["gain"] * (h - n["centre"]) / np.sqrt(n["spread"] + 1e-5) + n["shift"]
+            want[c, g] = 1 / (1 + np.exp(-(n["w2"][g % size] @ h + n["b2"][g % size])))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_binomial_reads(spark):
+    rows = spark.range(4000).select(S.binomial_fraction(F.lit(0.3), 5, 1, F.col("id")).alias("s"), S.binomial_fraction(F.lit(1.0), 3, F.col("id")).alias("one"), S.binomial_fraction(F.lit(None).cast("double"), 3, F.col("id")).alias("none"))
+    got = rows.agg(F.avg("s").alias("mean"), F.var_pop("s").alias("var"), F.min("one").alias("one"), F.max("none").alias("none")).first()
+    assert abs(got["mean"] - 0.3) < 0.02 and abs(got["var"] - 0.3 * 0.7 / 5) < 0.004 and got["one"] == 1 and got["none"] is None

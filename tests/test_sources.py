@@ -1,11 +1,12 @@
 """Readers, artifacts, streaming and the entry point."""
 
 import importlib
+import random
 import sys
 
 import pytest
 
-from cpgloom.operators import classify, features
+from cpgloom.operators import classify, evaluate, features
 from cpgloom.sources import artifacts, readers
 from cpgloom.streaming import inference
 
@@ -84,3 +85,60 @@ def test_flagship(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_names(spark, tmp_path):
+    path = put(tmp_path / "names.idx", "s1\t0\ns2\t99\n")
+    assert readers.samples(spark, path, records=2).count() == 2
+    with pytest.raises(ValueError):
+        readers.samples(spark, path, records=3)
+    got = readers.named(spark.range(3).withColumnRenamed("id", "cell_id"), readers.samples(spark, path))
+    assert {r["cell_id"]: r["name"] for r in got.collect()} == {0: "s1", 1: "s2", 2: "3"}
+
+
+def test_unit_ids(spark, tmp_path):
+    assert sorted(r["unit"] for r in readers.unit_ids(spark, put(tmp_path / "units", "3\n 1\n\n"), 4).collect()) == [1, 3]
+    for bad in ("", "4\n", "1\n1\n", "1\nx\n", "-1\n"):
+        with pytest.raises(ValueError):
+            readers.unit_ids(spark, put(tmp_path / "bad", bad), 4)
+
+
+def test_pattern_texts(spark, tmp_path):
+    counts = readers.pattern_counts(spark, put(tmp_path / "counts", "      2 010\n      1 222\n"))
+    assert {r["pattern"]: r["n"] for r in counts.collect()} == {"010": 2, "222": 1}
+    readers.check_patterns(readers.site_patterns(spark, put(tmp_path / "sites", "010\n222\n010\n")), counts)
+    for bad in ("010\n222\n", "010\n222\n010\n010\n", "010\n222\n011\n"):
+        with pytest.raises(ValueError):
+            readers.check_patterns(readers.site_patterns(spark, put(tmp_path / "bad", bad)), counts)
+    for bad in ("2 010\n2 010\n", "0 010\n", "x 010\n", "5000000000 010\n"):
+        with pytest.raises(ValueError):
+            readers.pattern_counts(spark, put(tmp_path / "bad", bad))
+
+
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    (tmp_path / "many").mkdir()
+    lines = ["".join(random.Random(i).choices("01", k=7)) for i in range(3000)]
+    for k in range(3):
+        put(tmp_path / "many" / f"part-{k}", "\n".join(lines[k * 1000 : (k + 1) * 1000]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = readers.site_patterns(spark, str(tmp_path / "many"))
+        assert [r["pattern"] for r in got.orderBy("cpg_idx").collect()] == lines
+        assert [r["cpg_idx"] for r in got.orderBy("cpg_idx").collect()] == list(range(3000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_chosen_states():
+    states = ["P1", "P2", "Pna"]
+    assert features.chosen(states) == ["P1", "P2"] and features.chosen(states, include_pna=True) == states and features.chosen(states, 1) == ["P1"]
+    for first in (4, -1):
+        with pytest.raises(ValueError):
+            features.chosen(states, first)
+
+
+def test_levels():
+    assert evaluate.parse_levels(" 50%, 7,,10 , 0.07%", 10_000) == [7, 10, 5000]
+    with pytest.raises(ValueError):
+        evaluate.parse_levels(" , ", 10)
