@@ -15,6 +15,7 @@ from cpgloom.operators import features as X
 from cpgloom.operators import patterns as P
 from cpgloom.operators import simulate as M
 from cpgloom.operators import train as T
+from cpgloom.operators import trunk as K
 from cpgloom.operators import units as U
 from cpgloom.operators import upscale as V
 from cpgloom.plans.sql import TOP, sql
@@ -555,6 +556,24 @@ def unit_train(spark, d):
     return units.select("unit", "class", F.size("cpgs").cast("long").alias("n_cpg"), "rank", (F.col("best_mae") <= F.col("first_mae")).alias("no_worse"))
 
 
+TRUNK = K.Options(patterns=SIM_PATTERNS, hidden=6, rank=2, rounds=2, steps=10, batch=32, easy=(1, 2), fraction=0.25, lr=0.01, block=500)
+
+
+@query(sql("SELECT CAST(cpg_idx // 500 AS INTEGER) AS unit, count(*) AS n_cpg, min(cpg_idx) AS low, max(cpg_idx) AS high, true AS sound FROM member WHERE rank < 8 GROUP BY 1", "member"))
+def trunk_train(spark, d):
+    """A trunk trained by blocks of 500 CpGs: every active CpG has an embedding, once, and all weights are finite."""
+    of, split = members(spark, d), A.stage(M.split(cells(spark, d)), "split")
+    sampled, codes = drawn(spark, d), A.stage(M.truth_codes(B.query_obs(spark, d)), "codes")
+    full = M.grid(A.stage(M.sampled_features(sampled, of, SIM_PATTERNS), "simulated"), sampled.select("rep", "cell_id").distinct(), SIM_PATTERNS)
+    rows = M.standardise(A.stage(M.channels(full, "beta", SIM_PATTERNS).join(split, "cell_id"), "channels"), F.col("split") == "train", trunk=True)
+    x = A.stage(rows.groupBy("rep", "cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda t: t["x"]).alias("x")), "inputs")
+    placed = A.stage(K.places(of, TRUNK), "trunk-places")
+    bias = M.bias_prior(codes, split.where("split = 'train'").select("cell_id"), B.cpgs(spark, d))
+    model = K.train(K.batches(placed, codes, sampled, split, 2, TRUNK), x, K.start(placed, bias, TRUNK), SIM_PATTERNS, TRUNK)
+    sites, whole = model["sites"], F.forall("E", lambda e: F.abs(e) < 1e6) & F.forall("b", lambda e: F.abs(e) < 1e6)
+    return sites.select("unit", F.size("cpgs").cast("long").alias("n_cpg"), F.array_min("cpgs").alias("low"), F.array_max("cpgs").alias("high"), (whole & (F.size("E") == 2 * F.size("cpgs"))).alias("sound"))
+
+
 @query(sql("SELECT cell_id, count(*) AS n_cpg, min(cpg_idx) AS low, max(cpg_idx) AS high, true AS sound FROM (SELECT DISTINCT cell_id FROM query_obs) CROSS JOIN cpgs GROUP BY cell_id", "query_obs", "cpgs"))
 def unit_train_predict(spark, d):
     """The trained units give every cell a probability for every CpG, once."""
