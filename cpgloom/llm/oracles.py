@@ -83,4 +83,50 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
 """
 
-ORACLES = {"op1_substring_dedup": OP1, "op3_mixing": OP3, "op5_topk": OP5, "op7_ngram_join": OP7}
+OP11 = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+held AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+told AS (SELECT doc_id, line, i, coalesce(doc_id <> last, false) AS gone FROM k LEFT JOIN held USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM told GROUP BY doc_id
+"""
+
+# crc32 by its definition: a table of 256 remainders made bit by bit, applied to a word's bytes one after another
+OP12 = r"""
+WITH remainders AS (SELECT list(r ORDER BY b) AS t FROM (
+  SELECT b, list_reduce(range(8), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, b) AS r FROM range(256) x(b))),
+words AS (SELECT 0 AS corpus, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL SELECT 1, NULL, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+hashed AS MATERIALIZED (SELECT w, xor(list_reduce(list_transform(range(1, length(hex(encode(w))), 2), lambda i: CAST('0x' || substr(hex(encode(w)), i, 2) AS BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT w FROM words), remainders),
+counts AS (SELECT corpus, doc_id, bucket, count(*) AS n FROM words JOIN hashed USING (w) GROUP BY ALL),
+sums AS (SELECT bucket, CAST(coalesce(sum(n) FILTER (corpus = 0), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (corpus = 1), 0) AS DOUBLE) AS t FROM counts GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM sums) + 10000) / ((s + 1) * ((SELECT sum(t) FROM sums) + 10000)))) AS BIGINT) AS gain FROM sums),
+weights AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * gain) AS BIGINT) AS weight FROM counts JOIN gains USING (bucket) WHERE corpus = 0 GROUP BY doc_id),
+scores AS (SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM documents d LEFT JOIN weights USING (doc_id)),
+able AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scores WHERE n_features >= 20)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scores s LEFT JOIN able USING (doc_id)
+"""
+
+
+def _op13(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Assignments and means, one pair of steps after another."""
+    steps = [f"""x AS MATERIALIZED (SELECT vec_id, label, p, list_slice(v, 1 + p * len(v) // {parts}, (p + 1) * len(v) // {parts}) AS y FROM (
+  SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0), range({parts}) r(p))""",
+        f"b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, y AS c FROM x WHERE vec_id IN (SELECT vec_id FROM x WHERE p = 0 ORDER BY vec_id LIMIT {entries}))"]
+    for k in range(rounds + 1):
+        gap = "CAST(list_sum(list_transform(list_zip(y, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+        steps.append(f"a{k} AS MATERIALIZED (SELECT vec_id, label, p, y, min(struct_pack(g := {gap}, e := e)) AS best FROM x JOIN b{k} USING (p) GROUP BY ALL)")
+        if k < rounds:
+            steps.append(f"m{k} AS (SELECT p, e, list(mean ORDER BY i) AS c FROM (SELECT p, e, i, CAST(floor(sum(t) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS mean FROM (SELECT p, best.e AS e, unnest(y) AS t, generate_subscripts(y, 1) AS i FROM a{k}) GROUP BY ALL) GROUP BY ALL)")
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (p, e))")
+    steps.append(f"codes AS (SELECT vec_id, label, string_agg(lower(printf('%02x', best.e)), '' ORDER BY p) AS code, CAST(sum(best.g) AS BIGINT) AS error FROM a{rounds} GROUP BY ALL)")
+    return "WITH " + ",\n".join(steps) + f"\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM codes"
+
+
+OP13 = _op13()
+
+ORACLES = {"op1_substring_dedup": OP1, "op3_mixing": OP3, "op5_topk": OP5, "op7_ngram_join": OP7, "op11_line_dedup": OP11, "op12_resampling": OP12, "op13_vector_codes": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cpgloom.llm import bpe, jaccard_join, licenses, mixing, pii, quality, rlz_dedup, secrets, topk, toxicity
+from cpgloom.llm import bpe, jaccard_join, licenses, line_dedup, mixing, pii, quality, resample, rlz_dedup, secrets, topk, toxicity, vector_codes
 from cpgloom.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -68,4 +68,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_mixing, op4_quality, op5_topk, op6_licenses, op7_ngram_join, op8_secrets, op9_pii, op10_bpe)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that a later document and two others or more hold too, as a digest."""
+    return line_dedup.dedup(_table(spark, sf_dir, "documents"), keep_text=False)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark texts and its rank in the seeded draw."""
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code of four bytes and its error."""
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_mixing, op4_quality, op5_topk, op6_licenses, op7_ngram_join, op8_secrets, op9_pii, op10_bpe, op11_line_dedup, op12_resampling, op13_vector_codes)}
