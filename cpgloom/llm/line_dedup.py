@@ -191,8 +191,10 @@ def _sent(shards: int, least: int, docs: int, hot):
                 hi, lo = _numbers(keys)
                 doc, tkey, line, gone = zip(*rows)
                 gone = np.array(gone)
-                # a verdict needs no shard: it goes wherever its document's hash says
-                at = np.where(gone, np.array(tkey, np.int64), hi) % shards
+                # a verdict needs no shard: it goes wherever a hash of its row says, so that copies of a text part
+                own = [np.array([0 if x is None else x for x in v], np.int64).view(np.uint64) for v in (doc, tkey, line)]
+                spread = mix64(mix64(own[0] + own[2]) + own[1]).view(np.int64)
+                at = np.where(gone, spread, hi) % shards
                 arrays = [pa.array(at.astype(np.int32)), pa.array(hi, mask=gone), pa.array(lo, mask=gone), pa.array(doc, pa.int64()), pa.array(tkey, pa.int64()), pa.array(line, pa.int32())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["shard", "hi", "lo", "doc_id", "tkey", "line"])
 
