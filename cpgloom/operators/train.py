@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from cpgloom.functions import scalars as S
 
-UNITS = "unit int, class string, mode string, rank int, a array<double>, head array<double>, E array<double>, b array<double>, cpgs array<long>, best_step int, best_mae double, first_mae double, checked long, run string"
+UNITS = "unit int, class string, mode string, rank int, a array<double>, head array<double>, E array<double>, b array<double>, cpgs array<long>, best_step int, best_mae double, first_mae double, prior_mae double, checked long, run string"
 
 
 @dataclass(frozen=True)
 class Options:
-    """Heads and schedule: ``direct`` gives units other than pure ones a head without a bottleneck; ``checks`` validation rows for each unit."""
+    """Heads and schedule: ``direct`` gives units other than pure ones a head without a bottleneck; ``checks`` validation rows for each unit; ``last`` keeps a unit as it is after its last step, not at its best."""
 
     pure_rank: int = 16
     mixed_rank: int = 32
@@ -38,6 +38,7 @@ class Options:
     lr: float = 1e-3
     decay: float = 1e-5
     seed: int = 1
+    last: bool = False
 
     def run(self) -> str:
         """A key of these options: units trained with others are not reused."""
@@ -167,6 +168,7 @@ def fit_unit(rows: list[tuple], kind: str, bias: np.ndarray, unit: int, options:
         parts = [np.abs(head.predict(x, at)[0] - y) for x, at, y in check]
         return float(np.concatenate(parts).mean())
 
+    prior = float(np.concatenate([np.abs(1 / (1 + np.exp(-bias[at])) - y) for _, at, y in check]).mean())
     best, best_step, kept, bad = error(), 0, {k: v.copy() for k, v in head.net.items()}, 0
     first = best
     for t, (x, at, y) in enumerate(learn, 1):
@@ -179,17 +181,21 @@ def fit_unit(rows: list[tuple], kind: str, bias: np.ndarray, unit: int, options:
                 bad += 1
             if t >= options.min_steps and bad >= options.patience:
                 break
-    return {"mode": "factor" if rank else "direct", "rank": rank, "net": kept, "best_step": best_step, "best_mae": best, "first_mae": first, "checked": sum(len(y) for _, _, y in check)}
+    if options.last:
+        best, best_step, kept = error(), head.steps, head.net
+    return {"mode": "factor" if rank else "direct", "rank": rank, "net": kept, "best_step": best_step, "best_mae": best, "first_mae": first, "prior_mae": prior, "checked": sum(len(y) for _, _, y in check)}
 
 
-def train_units(rows: DataFrame, inputs: DataFrame, places: DataFrame, options: Options) -> DataFrame:
-    """Trained units, in the columns that ``upscale`` reads and more: (unit, class, mode, rank, a, head, E, b, cpgs, best_step, best_mae, first_mae, checked, run).
+def train_units(rows: DataFrame, inputs: DataFrame, places: DataFrame, options: Options, runs: DataFrame | None = None) -> DataFrame:
+    """Trained units, in the columns that ``upscale`` reads and more: (unit, class, mode, rank, a, head, E, b, cpgs, best_step, best_mae, first_mae, prior_mae, checked, run).
 
     ``rows`` are ``batches``, ``inputs`` (rep, cell_id, x), ``places`` a
-    ``layout``. One group is one unit: at most max_steps + checks rows of one
-    input vector and one batch. A unit without any training row is left out.
+    ``layout``, ``runs`` the units' ``identity`` (default: a key of the options).
+    One group is one unit: at most max_steps + checks rows of one input vector
+    and one batch. A unit without any training row is left out. prior_mae is the
+    error of the prior alone, first_mae that of the head as drawn.
     """
-    run = options.run()
+    places = places.withColumn("run", F.lit(options.run())) if runs is None else places.join(runs, "unit")
 
     def fit(df: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
         if not len(info) or not (df["split"] == "train").any():
@@ -198,23 +204,64 @@ def train_units(rows: DataFrame, inputs: DataFrame, places: DataFrame, options:
         drawn = [(s, np.asarray(x, float), np.asarray(at), np.asarray(y, float)) for s, x, at, y in zip(df["split"], df["x"], df["local"], df["y"])]
         got = fit_unit(drawn, own["class"], np.asarray(own["b"], float), int(own["unit"]), options)
         net = {k: got["net"].get(k, np.zeros(0)).ravel().tolist() for k in ("a", "A", "E", "b")}
-        return pd.DataFrame([(own["unit"], own["class"], got["mode"], got["rank"], net["a"], net["A"], net["E"], net["b"], list(own["cpgs"]), got["best_step"], got["best_mae"], got["first_mae"], got["checked"], run)], columns=[c.split()[0] for c in UNITS.split(", ")])
+        return pd.DataFrame([(own["unit"], own["class"], got["mode"], got["rank"], net["a"], net["A"], net["E"], net["b"], list(own["cpgs"]), got["best_step"], got["best_mae"], got["first_mae"], got["prior_mae"], got["checked"], own["run"])], columns=[c.split()[0] for c in UNITS.split(", ")])
 
     full = rows.join(inputs, ["rep", "cell_id"])
     places = places.select(*[F.col(c).alias(c) for c in places.columns])
     return full.groupBy("unit").cogroup(places.groupBy("unit")).applyInPandas(fit, UNITS)
 
 
-def resume(spark: SparkSession, path: str, drawn: DataFrame, train, options: Options) -> DataFrame:
+def _sums(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, sums): a checksum of each group's rows, whatever their order; equal rows don't cancel out."""
+    key = F.xxhash64(*[F.array_sort(c) if c == "seen" else F.col(c) for c in sorted(rows.columns)])
+    parts = [F.count("*"), F.bit_xor(key), F.sum(key.cast("decimal(38,0)")), F.sum(F.xxhash64(key).cast("decimal(38,0)"))]
+    return rows.groupBy(*by).agg(F.concat_ws(",", *[x.cast("string") for x in parts]).alias("sums"))
+
+
+def content(*tables: DataFrame) -> str:
+    """A key of tables' names of columns and rows, whatever the rows' order."""
+    return hashlib.md5(repr([(sorted(t.columns), _sums(t).first()["sums"]) for t in tables]).encode()).hexdigest()
+
+
+def identity(places: DataFrame, truth: DataFrame, observed: DataFrame, drawn: DataFrame, inputs: DataFrame, options: Options, trunk: str = "") -> DataFrame:
+    """(unit, run): a key of all that a unit's training depends on.
+
+    That is the options, the unit's class, CpGs and priors (``layout``), its true
+    values (``held``), the places that replicates observe (``seen``), its draws
+    (``schedule``: seed, split, replicates), all inputs (their values, number and standardisation), and
+    ``trunk``, a key of the frozen trunk that was applied to them.
+    """
+    whole = F.lit("|".join((options.run(), content(inputs.select("rep", "cell_id", "x")), trunk)))
+    out = _sums(places.select("unit", "class", "cpgs", "b"), "unit").withColumnRenamed("sums", "s0")
+    for k, t in enumerate((truth.select("unit", "cell_id", "local", "code"), observed.select("unit", "cell_id", "rep", "seen"), drawn.select("unit", "split", "step", "cell_id", "rep", "start")), 1):
+        out = out.join(_sums(t, "unit").withColumnRenamed("sums", f"s{k}"), "unit", "left")
+    return out.select("unit", F.md5(F.concat_ws("|", whole, *[F.coalesce(f"s{k}", F.lit("none")) for k in range(4)])).alias("run"))
+
+
+def resume(spark: SparkSession, path: str, drawn: DataFrame, train, options: Options, runs: DataFrame | None = None) -> DataFrame:
     """All units of this run under ``path``: those without a row there are trained by ``train(drawn rows)`` and added first.
 
-    Units of runs with other options stay there and are not reused.
+    ``runs`` is the units' ``identity``: a unit whose key has changed is trained
+    again, while others are reused. Without it the key is one of the options
+    alone. Units of other runs stay there and are not reused.
     """
+    runs = drawn.select("unit").distinct().withColumn("run", F.lit(options.run())) if runs is None else runs.select("unit", "run")
+
+    def own() -> DataFrame:
+        return spark.read.schema(UNITS).parquet(path).join(runs, ["unit", "run"], "left_semi")
+
     try:
-        done = spark.read.parquet(path).where(F.col("run") == options.run()).select("unit")
-        drawn = drawn.join(done, "unit", "left_anti")
+        drawn = drawn.join(own().select("unit"), "unit", "left_anti")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
     train(drawn).write.mode("append").parquet(path)
-    return spark.read.parquet(path).where(F.col("run") == options.run())
+    return own()
+
+
+def exported(kept: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """(unit, mode, rank, input_dim, cpg_count, param_floats, best_step, best_mae, run) of kept units, of those in ``units`` (unit) if given."""
+    rows = kept if units is None else kept.join(units.select("unit").distinct(), "unit", "left_semi")
+    sizes = [F.size(c) for c in ("a", "head", "E", "b")]
+    width = F.size("head") / F.when(F.col("mode") == "direct", F.size("cpgs")).otherwise(F.col("rank"))
+    return rows.select("unit", "mode", "rank", width.cast("int").alias("input_dim"), F.size("cpgs").alias("cpg_count"), sum(sizes[1:], sizes[0]).cast("long").alias("param_floats"), "best_step", "best_mae", "run")

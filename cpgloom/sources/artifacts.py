@@ -55,3 +55,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written whole below ``path``."""
+    fs, p = _path(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what is below ``path``, if anything, wherever Spark keeps it."""
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
