@@ -77,9 +77,14 @@ def key_of(*parts) -> Column:
     return F.md5(F.concat_ws("|", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts)))
 
 
+def share_of(key: Column) -> Column:
+    """A key's place in the order of keys, as a number in [0, 1)."""
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
 def uniform(*parts) -> Column:
     """A number in [0, 1) that depends on the parts alone."""
-    return F.conv(F.substring(key_of(*parts), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return share_of(key_of(*parts))
 
 
 def binomial_fraction(p: Column, depth: int, *parts) -> Column:

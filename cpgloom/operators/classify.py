@@ -1,9 +1,8 @@
-"""Classifiers: mean-difference and logistic linear models, entropy confidence, and boosted trees."""
+"""Classifiers: mean-difference and logistic linear models, and entropy confidence."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +14,21 @@ def class_index(labels: DataFrame) -> DataFrame:
     return labels.select("label").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("class_idx"))
 
 
+def check_classes(labels: DataFrame, exactly: int | None = None) -> None:
+    """Classifiers need two classes or more, linear models exactly two; anything else is an error."""
+    n = labels.select("label").where(F.col("label").isNotNull()).distinct().limit((exactly or 1) + 1).count()
+    if n < 2 or exactly is not None and n != exactly:
+        raise ValueError(f"need {'at least two' if exactly is None else f'exactly {exactly}'} classes")
+
+
+def two_classes(labels: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(cell_id, label, y) with y the place of the label in byte order, and the two names; labels of more or fewer classes are an error."""
+    labels = labels.select("cell_id", "label").where(F.col("label").isNotNull())
+    check_classes(labels, 2)
+    names = sorted(r["label"] for r in labels.select("label").distinct().collect())
+    return labels.withColumn("y", (F.col("label") == names[1]).cast("int")), names
+
+
 def feature_means(feat: DataFrame, labels: DataFrame) -> DataFrame:
     """(pattern, ord, mean, mu0, mu1): a class without values takes the overall mean, which is 0 without any."""
     rows = feat.join(labels.select("cell_id", "y"), "cell_id")
@@ -62,12 +76,18 @@ def fit_logistic(feat: DataFrame, labels: DataFrame, rounds: int = 200) -> DataF
     return feat.sparkSession.createDataFrame([(r["pattern"], float(x), r["mean"], bias, 1.0) for r, x in zip(info, w)], "pattern string, weight double, mean double, bias double, scale double")
 
 
-def score_linear(feat: DataFrame, model: DataFrame) -> DataFrame:
-    """(cell_id, label, p1, confidence): label 1 from p1 = 0.5 on."""
+def score_linear(feat: DataFrame, model: DataFrame, names: list[str] | None = None, probs: bool = False) -> DataFrame:
+    """(cell_id, label, p1, confidence[, probs]): the second class from p1 = 0.5 on.
+
+    label is 0 or 1, or the class's name if ``names`` has both; ``probs`` are the probabilities of both classes in order.
+    """
     cut = model.select("bias", "scale").limit(1)
     p = S.sigmoid((F.col("bias") + F.col("s")) / F.col("scale"))
     rows = projected(feat, model).crossJoin(cut).select("cell_id", p.alias("p1"))
-    return rows.select("cell_id", (F.col("p1") >= 0.5).cast("int").alias("label"), "p1", S.entropy_confidence([F.col("p1"), 1 - F.col("p1")]).alias("confidence"))
+    second = F.col("p1") >= 0.5
+    label = second.cast("int") if names is None else F.when(second, names[1]).otherwise(names[0])
+    more = [F.array(1 - F.col("p1"), F.col("p1")).alias("probs")] if probs else []
+    return rows.select("cell_id", label.alias("label"), "p1", S.entropy_confidence([F.col("p1"), 1 - F.col("p1")]).alias("confidence"), *more)
 
 
 def decide(p: list[Column]) -> tuple[Column, Column]:
@@ -76,146 +96,6 @@ def decide(p: list[Column]) -> tuple[Column, Column]:
     return best, S.entropy_confidence(p)
 
 
-class Boosted:
-    """Second-order boosted trees for several classes, by the published algorithm; missing values take the better side."""
-
-    def __init__(self, rounds: int | None = None, eta: float = 0.3, depth: int = 6, ridge: float = 1.0, least: float = 1.0):
-        self.rounds, self.eta, self.depth, self.ridge, self.least = rounds, eta, depth, ridge, least
-        self.trees: list[list[tuple]] = []
-
-    def _tree(self, x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple:
-        def grow(rows: np.ndarray, depth: int) -> tuple:
-            gs, hs = g[rows].sum(), h[rows].sum()
-            best = (1e-6, None)
-            if depth < self.depth and hs >= 2 * self.least:
-                for f in range(x.shape[1]):
-                    v = x[rows, f]
-                    seen = ~np.isnan(v)
-                    order = np.argsort(v[seen], kind="stable")
-                    own = rows[seen][order]
-                    if len(own) < 2:
-                        continue
-                    cut = np.flatnonzero(np.diff(x[own, f]) > 0)
-                    gl, hl = g[own].cumsum()[cut], h[own].cumsum()[cut]
-                    gm, hm = gs - g[own].sum(), hs - h[own].sum()
-                    for left in (True, False):
-                        a, b = (gl + gm, hl + hm) if left else (gl, hl)
-                        ok = (b >= self.least) & (hs - b >= self.least)
-                        gain = np.where(ok, a**2 / (b + self.ridge) + (gs - a) ** 2 / (hs - b + self.ridge) - gs**2 / (hs + self.ridge), -1)
-                        if len(gain) and gain.max() > best[0]:
-                            k = int(gain.argmax())
-                            best = (float(gain[k]), (f, (x[own[cut[k]], f] + x[own[cut[k] + 1], f]) / 2, left))
-            if best[1] is None:
-                return (-self.eta * gs / (hs + self.ridge),)
-            f, at, left = best[1]
-            v = x[rows, f]
-            go = np.where(np.isnan(v), left, v < at)
-            return (f, at, left, grow(rows[go], depth + 1), grow(rows[~go], depth + 1))
-
-        return grow(np.arange(len(x)), 0)
-
-    @staticmethod
-    def _value(tree: tuple, x: np.ndarray) -> np.ndarray:
-        if len(tree) == 1:
-            return np.full(len(x), tree[0])
-        f, at, left, yes, no = tree
-        go = np.where(np.isnan(x[:, f]), left, x[:, f] < at)
-        out = np.empty(len(x))
-        out[go], out[~go] = Boosted._value(yes, x[go]), Boosted._value(no, x[~go])
-        return out
-
-    def fit(self, x: np.ndarray, y: np.ndarray, classes: int) -> Boosted:
-        score = np.full((len(x), classes), 0.5)
-        for _ in range(self.rounds or max(1, int(np.sqrt(len(x)) + 0.5))):
-            p = np.exp(score - score.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            own = [self._tree(x, p[:, k] - (y == k), np.maximum(2 * p[:, k] * (1 - p[:, k]), 1e-16)) for k in range(classes)]
-            for k, t in enumerate(own):
-                score[:, k] += self._value(t, x)
-            self.trees.append(own)
-        return self
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        score = np.full((len(x), len(self.trees[0])), 0.5)
-        for own in self.trees:
-            for k, t in enumerate(own):
-                score[:, k] += self._value(t, x)
-        p = np.exp(score - score.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
-
-
-NODES = "round int, class_idx int, label string, node int, feature int, cut double, missing_left boolean, yes int, no int, value double"
-
-
-def _flat(tree: tuple, out: list[tuple]) -> int:
-    """Appends the nodes of a tree, children after parents, and gives the number of its root."""
-    at = len(out)
-    out.append(())
-    if len(tree) == 1:
-        out[at] = (at, None, None, None, None, None, float(tree[0]))
-    else:
-        f, cut, left, yes, no = tree
-        out[at] = (at, int(f), float(cut), bool(left), _flat(yes, out), _flat(no, out), None)
-    return at
-
-
-def fit_boosted(train: DataFrame, columns: list[str], rounds: int | None = None, depth: int = 6, most: int = 20_000) -> DataFrame:
-    """Boosted trees as a table of nodes (round, class_idx, label, node, feature, cut, missing_left, yes, no, value), which ``artifacts`` can keep.
-
-    ``train`` is wide: cell_id, label and one column for each pattern. The trees
-    are fitted in one task on at most ``most`` labelled cells, chosen by a hash.
-    """
-    def learn(batches):
-        df = pd.concat(list(batches)).sort_values("cell_id")
-        if not len(df):
-            return
-        names = sorted(df["label"].unique())
-        model = Boosted(rounds, depth=depth).fit(df[columns].to_numpy(dtype=np.float32).astype(float), df["label"].map({n: i for i, n in enumerate(names)}).to_numpy(), len(names))
-        rows = []
-        for k, own in enumerate(model.trees):
-            for c, tree in enumerate(own):
-                nodes: list[tuple] = []
-                _flat(tree, nodes)
-                rows += [(k, c, str(names[c]), *n) for n in nodes]
-        yield pd.DataFrame(rows, columns=[x.split()[0] for x in NODES.split(", ")]).astype({"feature": "Int32", "yes": "Int32", "no": "Int32", "missing_left": "boolean"})
-
-    sample = train.select("cell_id", "label", *columns).orderBy(F.xxhash64("cell_id"), "cell_id").limit(most)
-    return sample.repartition(1).mapInPandas(learn, NODES)
-
-
-def predict_boosted(model: DataFrame, query: DataFrame, columns: list[str], probs: bool = False) -> DataFrame:
-    """(cell_id, label, confidence[, probs]) of wide ``query`` rows by a model of ``fit_boosted``; ``probs`` has a probability for each class in order.
-
-    The model is a bounded number of trees; every task gets them. Without a model labels are null.
-    """
-    rows = sorted(map(tuple, model.select(*[x.split()[0] for x in NODES.split(", ")]).collect()), key=lambda r: (r[0], r[1], r[3]))
-    schema = "cell_id long, label string, confidence double" + (", probs array<double>" if probs else "")
-    if not rows:
-        return query.select("cell_id", *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in schema.split(", ")[1:])])
-    names = [r[2] for r in sorted({r[1:3]: r for r in rows}.values(), key=lambda r: r[1])]
-    flat: dict[tuple[int, int], list[tuple]] = {}
-    for r in rows:
-        flat.setdefault((r[0], r[1]), []).append(r[3:])
-
-    def tree(nodes: list[tuple], at: int = 0) -> tuple:
-        _, f, cut, left, yes, no, value = nodes[at]
-        return (value,) if f is None else (f, cut, left, tree(nodes, yes), tree(nodes, no))
-
-    booster = Boosted()
-    booster.trees = [[tree(flat[k, c]) for c in range(len(names))] for k in range(1 + max(k for k, _ in flat))]
-
-    def apply(batches):
-        for df in batches:
-            p = booster.predict(df[columns].to_numpy(dtype=np.float32).astype(float)) if len(df) else np.zeros((0, len(names)))
-            best = p.shape[1] - 1 - p[:, ::-1].argmax(1) if len(df) else []
-            entropy = -(p * np.log(p + 1e-10)).sum(1)
-            confidence = np.clip(1 - entropy / np.log(len(names)), 0, 1) if len(names) > 1 else np.ones(len(df))
-            out = pd.DataFrame({"cell_id": df["cell_id"], "label": [str(names[i]) for i in best], "confidence": confidence})
-            yield out.assign(probs=p.tolist()) if probs else out
-
-    return query.select("cell_id", *columns).mapInPandas(apply, schema)
-
-
 def logistic_slopes(feat: DataFrame, labels: DataFrame, model: DataFrame) -> DataFrame:
     """(pattern, slope): how steep the fit's objective still is in each standardised weight; all 0 at the optimum."""
     means = feature_means(feat, labels).select("pattern", "mean")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cpgloom.functions import scalars as S
+from cpgloom.sources.artifacts import scratch
 
 
 def order_states(states: DataFrame) -> DataFrame:
@@ -28,6 +31,17 @@ def chosen(states: list[str], first: int | None = None, include_pna: bool = Fals
     return states[:n]
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, by: str = "cpg_idx") -> DataFrame:
+    """``df`` as a table of files by buckets of CpGs: tables of as many buckets are joined on their CpGs where they lie.
+
+    Observations that are kept like this cross the network no more when features
+    are made of them, only the sums of cells and states do.
+    """
+    spark = df.sparkSession
+    df.write.bucketBy(buckets, by).sortBy(by).option("path", scratch(spark, name)).mode("errorifexists").saveAsTable(table := f"{name}_{uuid.uuid4().hex}")
+    return spark.table(table)
+
+
 def features(obs: DataFrame, masked: DataFrame, states: list[str], key: str = "cell_id") -> DataFrame:
     """(key, pattern, ord, beta, n_o): mean fraction and number of covered CpGs for each cell and state.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cpgloom.functions import scalars as S
+from cpgloom.sources.artifacts import stage
 
 
 def ladder_fixed(spark: SparkSession, levels: list[int], reps: int) -> DataFrame:
@@ -23,16 +24,37 @@ def ladder_log(spark: SparkSession, reps: int, low: int, high: int, skew: float
     return spark.range(reps).select(F.col("id").cast("int").alias("rep"), F.greatest(F.lit(1).cast("long"), size.cast("long")).alias("sample"))
 
 
+def near_sample(obs: DataFrame, ladder: DataFrame, seed: int = 1) -> DataFrame:
+    """(rep, cell_id, cpg_idx, b, sample, n, key): the covered CpGs whose key is low enough to be in the sample, by four deviations and a few more, of ``n`` covered ones.
+
+    The bound follows from the cell's number of covered CpGs, so all others go before anything is sorted.
+    """
+    covered = obs.where(S.coverage() > 0).select("cell_id", "cpg_idx", S.beta().alias("b"))
+    rows = covered.join(covered.groupBy("cell_id").agg(F.count("*").alias("n")), "cell_id").crossJoin(F.broadcast(ladder))
+    rows = rows.withColumn("key", S.key_of(seed, F.col("rep"), F.col("cell_id"), F.col("cpg_idx")))
+    bound = (F.col("sample") + 4 * F.sqrt("sample") + 8) / F.col("n")
+    return rows.where(S.share_of(F.col("key")) < bound).select("rep", "cell_id", "cpg_idx", "b", "sample", "n", "key")
+
+
 def sample(obs: DataFrame, ladder: DataFrame, seed: int = 1) -> DataFrame:
     """(rep, cell_id, cpg_idx, b): of each cell's covered CpGs the first ``sample`` in a seeded order, for each replicate.
 
     The ladder is a few rows; the order of a CpG depends on seed, replicate,
-    cell and CpG alone, so replicates are independent and reruns agree.
+    cell and CpG alone, so replicates are independent and reruns agree. Only CpGs
+    of ``near_sample`` are sorted; a cell and replicate with too few of these is sorted whole.
     """
+    own = Window.partitionBy("rep", "cell_id")
+    rows = near_sample(obs, ladder, seed).select("*", F.row_number().over(own.orderBy("key", "cpg_idx")).alias("rn"), F.count("*").over(own).alias("near"))
+    rows = stage(rows.where((F.col("rn") <= F.col("sample")) & (F.col("near") >= F.least("sample", "n"))).select("rep", "cell_id", "cpg_idx", "b"), "sampled")
     covered = obs.where(S.coverage() > 0).select("cell_id", "cpg_idx", S.beta().alias("b"))
-    rows = covered.crossJoin(F.broadcast(ladder))
-    order = Window.partitionBy("rep", "cell_id").orderBy(S.key_of(seed, F.col("rep"), F.col("cell_id"), F.col("cpg_idx")), "cpg_idx")
-    return rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= F.col("sample")).select("rep", "cell_id", "cpg_idx", "b")
+    pairs = covered.select("cell_id").distinct().crossJoin(F.broadcast(ladder.where("sample > 0")))
+    short = stage(pairs.join(rows.select("rep", "cell_id").distinct(), ["rep", "cell_id"], "left_anti"), "short")
+    if short.isEmpty():
+        return rows
+    whole = covered.join(short, "cell_id")
+    order = own.orderBy(S.key_of(seed, F.col("rep"), F.col("cell_id"), F.col("cpg_idx")), "cpg_idx")
+    whole = whole.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= F.col("sample"))
+    return rows.unionByName(whole.select("rep", "cell_id", "cpg_idx", "b"))
 
 
 def sampled_features(sampled: DataFrame, members: DataFrame, patterns: int, seed: int = 1) -> DataFrame:

@@ -8,7 +8,7 @@ size of a task follows the steps and the batch, not the cells or the replicates.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace  # noqa: F401
 
 import numpy as np
 import pandas as pd
@@ -248,7 +248,8 @@ def resume(spark: SparkSession, path: str, drawn: DataFrame, train, options: Opt
     runs = drawn.select("unit").distinct().withColumn("run", F.lit(options.run())) if runs is None else runs.select("unit", "run")
 
     def own() -> DataFrame:
-        return spark.read.schema(UNITS).parquet(path).join(runs, ["unit", "run"], "left_semi")
+        kept = spark.read.schema(UNITS).parquet(path)
+        return kept.join(runs, ["unit", "run"], "left_semi").select(*kept.columns)
 
     try:
         drawn = drawn.join(own().select("unit"), "unit", "left_anti")

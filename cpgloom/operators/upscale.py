@@ -57,35 +57,60 @@ def check_units(units: DataFrame, n_cpg: int) -> None:
         raise ValueError("unit CpGs are not a permutation of all positions")
 
 
-def upscale(inputs: DataFrame, units: DataFrame, linear: bool = True, shared: tuple | None = None) -> DataFrame:
+#: Cells of a tile on average, and probabilities that a task holds at once.
+TILE, AT_ONCE = 8192, 1 << 20
+
+
+def tiled(inputs: DataFrame, units: DataFrame, tile: int) -> tuple[DataFrame, int]:
+    """All that the tasks of ``upscale`` take, in their order, and the number of tiles of cells.
+
+    A part is a tile of cells and a slot of units: cells go to each slot, units to
+    each tile. There are only as many slots as it takes to have a part for each
+    partition, so with many tiles cells are sent once, and a unit once for each tile.
+    """
+    parts = max(int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    tiles = max(-(-inputs.count() // tile), 1)
+    slots = max(-(-parts // tiles), 1)
+    left = inputs.select(F.pmod(F.xxhash64("cell_id"), F.lit(tiles)).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), "cell_id", "x")
+    right = units.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), F.pmod("unit", F.lit(slots)).cast("int").alias("slot"), "unit", "mode", "rank", "a", "head", "E", "b", "cpgs")
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("part", F.col("tile") * slots + F.col("slot"))
+    return both.repartition(min(tiles * slots, max(parts, tiles)), "part").sortWithinPartitions("part", F.col("unit").isNotNull()), tiles
+
+
+def upscale(inputs: DataFrame, units: DataFrame, linear: bool = True, shared: tuple | None = None, tile: int = TILE) -> DataFrame:
     """(cell_id, cpg_idx, p, call): every unit applied to every cell; ``shared`` are the trunk's weights (w1, b1, w2, b2), if the units have one.
 
     ``inputs`` is (cell_id, x array<double>), standardised; ``units`` is (unit,
-    mode, rank, a, head, E, b arrays<double>, cpgs array<long>), head being A row by row. Unit models, with
-    their parameters, are the side that grows; cells meet them unit by unit in
-    packed blocks of rows, and output stays long and partitioned by unit.
+    mode, rank, a, head, E, b arrays<double>, cpgs array<long>), head being A row
+    by row. A task holds one tile of cells as a matrix while the units of its slot
+    pass by; ``select_outputs`` takes CpGs that aren't wanted off the units before.
     """
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            for a in range(0, len(df), 512):
-                part = df.iloc[a : a + 512]
-                yield pd.DataFrame({"cells": [part["cell_id"].to_numpy(np.int64).tobytes()], "x": [np.stack(part["x"].to_numpy()).astype(np.float64).tobytes()], "n": [len(part)]})
-
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, cells, rows, x = None, [], [], None
         for df in batches:
             for r in df.itertuples():
-                x = np.frombuffer(r.x).reshape(r.n, -1)
-                x = trunk(x, *shared) if shared is not None else x
-                cells, cpgs = np.frombuffer(r.cells, np.int64), np.asarray(r.cpgs)
-                b = np.asarray(r.b, float)
+                if r.part != part:
+                    part, cells, rows, x = r.part, [], [], None
+                if r.cpgs is None:
+                    cells.append(r.cell_id)
+                    rows.append(np.asarray(r.x, float))
+                    continue
+                if not cells:
+                    continue
+                if x is None:
+                    x, rows = np.stack(rows), []
+                    x = trunk(x, *shared) if shared is not None else x
+                    ids = np.array(cells, np.int64)
+                cpgs, b = np.asarray(r.cpgs, np.int64), np.asarray(r.b, float)
                 unit = {"mode": r.mode, "b": b, "A": np.asarray(r.head, float).reshape(-1, x.shape[1])}
                 if r.mode != "direct":
                     unit |= {"a": np.asarray(r.a, float), "E": np.asarray(r.E, float).reshape(len(b), -1)}
-                p = unit_forward(x, unit, linear)
-                yield pd.DataFrame({"cell_id": np.repeat(cells, len(cpgs)), "cpg_idx": np.tile(cpgs, len(cells)), "p": p.ravel(), "call": p.ravel() > 0.5})
+                most = max(AT_ONCE // max(len(cpgs), 1), 1)
+                for at in range(0, len(ids), most):
+                    p = unit_forward(x[at : at + most], unit, linear).ravel()
+                    yield pd.DataFrame({"cell_id": np.repeat(ids[at : at + most], len(cpgs)), "cpg_idx": np.tile(cpgs, len(ids[at : at + most])), "p": p, "call": p > 0.5})
 
-    packed = inputs.select("cell_id", "x").mapInPandas(pack, "cells binary, x binary, n int")
-    return packed.crossJoin(units).mapInPandas(apply, "cell_id long, cpg_idx long, p double, call boolean")
+    return tiled(inputs, units, tile)[0].mapInPandas(apply, "cell_id long, cpg_idx long, p double, call boolean")
 
 
 def select_outputs(units: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cpgloom.functions import scalars as S
+from cpgloom.operators import boost as G
 from cpgloom.operators import classify as C
 from cpgloom.operators import deconvolve as D
 from cpgloom.operators import evaluate as E
 from cpgloom.operators import features as X
 from cpgloom.operators import patterns as P
 from cpgloom.operators import simulate as M
+from cpgloom.operators import store as Z
 from cpgloom.operators import train as T
 from cpgloom.operators import trunk as K
 from cpgloom.operators import units as U
@@ -207,6 +209,12 @@ def feature_long(spark, d):
     return rounded(feats(spark, d))
 
 
+@query(sql("SELECT cell_id, pattern, ord, round(beta, 6) AS beta, n_o FROM feat", "feat"))
+def feature_bucketed(spark, d):
+    """Features of observations that are kept by buckets of CpGs."""
+    return rounded(X.features(X.bucketed(B.query_obs(spark, d), "observations", 8), X.bucketed(masked(spark, d), "mask", 8), STATES))
+
+
 @query(sql("SELECT cell_id, pattern, ord, CASE WHEN n_o >= 20 THEN round(beta, 6) END AS beta, n_o FROM feat", "feat"))
 def feature_min_cov(spark, d):
     return rounded(X.min_cov(feats(spark, d), 20))
@@ -322,12 +330,44 @@ def entropy_confidence(spark, d):
     return rounded(w.select("cell_id", best.cast("int").alias("label"), confidence.alias("confidence")))
 
 
+@query(sql("""SELECT cell_id, CASE WHEN p1 >= 0.5 THEN n[2] ELSE n[1] END AS label, round(p1, 5) AS p1
+FROM (SELECT cell_id, 1 / (1 + exp(-(bias + s) / scale)) AS p1 FROM lscore CROSS JOIN lcut) CROSS JOIN (SELECT ['far', 'near'] AS n)""", "lcut"))
+def linear_named_score(spark, d):
+    """A linear model that was written as text and read again, with the names of its classes."""
+    f, labels = staged_feats(spark, d), B.labels(spark, d)
+    named, names = C.two_classes(labels.select("cell_id", F.when(F.col("y") == 1, "near").otherwise("far").alias("label")))
+    path = A.scratch(spark, "linear")
+    R.write_linear(path, C.fit_threshold(f, named), "threshold", names)
+    model, _, names = R.read_linear(spark, path)
+    return rounded(C.score_linear(f, model, names).drop("confidence"), 5)
+
+
+def regions(spark, d):
+    return B.table(spark, d, "supplier").join(F.broadcast(B.table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("cell_id"), F.col("n_regionkey").cast("string").alias("label"))
+
+
 @query()
 def gbt_train_predict(spark, d):
-    region = B.table(spark, d, "supplier").join(F.broadcast(B.table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("cell_id"), F.col("n_regionkey").cast("string").alias("label"))
     w = A.stage(X.wide(feats(spark, d), STATES), "features")
-    model = A.stage(C.fit_boosted(w.join(region, "cell_id"), STATES), "boosted")
-    return rounded(C.predict_boosted(model, w, STATES))
+    return rounded(G.predict_boosted(G.fit_boosted(w.join(regions(spark, d), "cell_id"), STATES, depth=3), w, STATES))
+
+
+# every distinct value is a cut here, as for tables of up to BINS cells
+@query(sql("", "feat").rstrip() + """, w AS (SELECT f.cell_id, r.label, f.ord AS f, CAST(CAST(f.beta AS FLOAT) AS DOUBLE) AS x FROM feat f JOIN (SELECT s_suppkey AS cell_id, CAST(n_regionkey AS VARCHAR) AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey) r USING (cell_id)),
+n AS (SELECT DISTINCT label AS k, 1.0::DOUBLE / (SELECT count(DISTINCT label) FROM w) AS p FROM w),
+gh AS (SELECT k, f, x, p - CAST(label = k AS INTEGER) AS g, 2 * p * (1 - p) AS h FROM w CROSS JOIN n),
+t AS (SELECT k, f, sum(g) AS gs, sum(h) AS hs, coalesce(sum(g) FILTER (x IS NULL), 0) AS gm, coalesce(sum(h) FILTER (x IS NULL), 0) AS hm FROM gh GROUP BY ALL),
+v AS (SELECT *, sum(g) OVER o AS gl, sum(h) OVER o AS hl, lead(x) OVER o AS nx FROM (SELECT k, f, x, sum(g) AS g, sum(h) AS h FROM gh WHERE x IS NOT NULL GROUP BY ALL) WINDOW o AS (PARTITION BY k, f ORDER BY x)),
+c AS (SELECT k, f, x, (x + nx) / 2 AS cut, l AS missing_left, gl + CASE WHEN l THEN gm ELSE 0 END AS a, hl + CASE WHEN l THEN hm ELSE 0 END AS b, gs, hs FROM v JOIN t USING (k, f) CROSS JOIN (SELECT unnest([true, false]) AS l) WHERE nx IS NOT NULL),
+e AS (SELECT *, round(a * a / (b + 1) + (gs - a) * (gs - a) / (hs - b + 1) - gs * gs / (hs + 1), 9) AS gain FROM c WHERE b >= 1 AND hs - b >= 1),
+z AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gain DESC, f, missing_left DESC, x) AS rn FROM e WHERE gain > 1e-6)
+SELECT k AS label, f AS feature, round(cut, 6) AS cut, missing_left, round(-0.3 * a / (b + 1), 6) AS yes_value, round(-0.3 * (gs - a) / (hs - b + 1), 6) AS no_value FROM z WHERE rn = 1""")
+def gbt_first_split(spark, d):
+    """The first split of each class's first tree, and the values of its two leaves."""
+    nodes = A.stage(G.fit_boosted(X.wide(feats(spark, d), STATES).join(regions(spark, d), "cell_id"), STATES, rounds=1, depth=1), "boosted")
+    leaf = nodes.where("value IS NOT NULL").select(F.col("class_idx"), F.col("node").alias("leaf"), "value")
+    yes, no = (leaf.select("class_idx", F.col("leaf").alias(c), F.col("value").alias(f"{c}_value")) for c in ("yes", "no"))
+    return rounded(nodes.where("feature IS NOT NULL").join(yes, ["class_idx", "yes"]).join(no, ["class_idx", "no"]).select("label", "feature", "cut", "missing_left", "yes_value", "no_value"))
 
 
 # ---- units ----
@@ -458,6 +498,24 @@ def train_targets(spark, d):
     return rounded(M.targets(M.truth_codes(B.query_obs(spark, d)), drawn(spark, d), ladder(spark)))
 
 
+def stored(spark, d):
+    """The simulated set, written by replicate and read again."""
+    path = A.scratch(spark, "store")
+    Z.save(path, drawn(spark, d), M.truth_codes(B.query_obs(spark, d)), ladder(spark))
+    return Z.load(spark, path)
+
+
+@query(ORACLES["train_targets"])
+def train_store_targets(spark, d):
+    """The targets of a stored set."""
+    return rounded(Z.targets(stored(spark, d)))
+
+
+@query(sql("SELECT sample, count(DISTINCT rep) AS n_reps, count(*) AS n_observed, max(c) AS n_cells FROM (SELECT *, (SELECT count(DISTINCT cell_id) FROM sampled) AS c FROM sampled JOIN ladder USING (rep)) GROUP BY sample", "sampled", "ladder"))
+def train_store_levels(spark, d):
+    return Z.levels(stored(spark, d))
+
+
 @query(sql("", "codes", "sampled", "member", "allunits").rstrip() + """, place AS (SELECT p.dest - u.output_offset AS local, u.unit, u.cpg_count, p.cpg_idx
   FROM (SELECT row_number() OVER (ORDER BY rank NULLS LAST, cpg_idx) - 1 AS dest, cpg_idx FROM member) p JOIN allunits u ON p.dest >= u.output_offset AND p.dest < u.output_offset + u.cpg_count),
 t AS (SELECT l.rep, c.cell_id, c.cpg_idx, c.code / 65534.0 AS y FROM codes c CROSS JOIN ladder l ANTI JOIN sampled s ON s.rep = l.rep AND s.cell_id = c.cell_id AND s.cpg_idx = c.cpg_idx),

@@ -54,7 +54,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: used several times, computed once."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``stage`` that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.staged_at)
 
 
 def _path(spark: SparkSession, path: str):

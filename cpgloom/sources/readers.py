@@ -139,3 +139,41 @@ def check_patterns(sites: DataFrame, counts: DataFrame) -> None:
     seen = both.agg(F.count_if(~F.col("sites").eqNullSafe(F.col("n"))).alias("off"), F.count_if(background).alias("pna"), F.count_if(~background).alias("real")).first()
     if seen["off"] or not seen["pna"] or not seen["real"]:
         raise ValueError("patterns of the sites and their counts disagree")
+
+
+def write_linear(path: str, model: DataFrame, method: str, names: list[str], header: str = "cpgloom") -> None:
+    """A linear model (pattern, weight, mean, bias, scale; one row for each pattern of a model) as text of one file, fields cut by tabs, numbers with nine digits."""
+    rows = model.orderBy("pattern").collect()
+    if len(names) != 2 or any("\t" in x or "\n" in x for x in [method, *names, *(r["pattern"] for r in rows)]):
+        raise ValueError("two class names are needed, and names without tabs and line ends")
+    cut = (rows[0]["bias"], rows[0]["scale"]) if rows else (0.0, 1.0)
+    lines = [f"{header}-linear\t1", f"method\t{method}", "labels\t" + "\t".join(names), f"bias\t{cut[0]:.9g}", f"scale\t{cut[1]:.9g}"]
+    lines += [f"feature\t{r['pattern']}\t{r['weight']:.9g}\t{r['mean']:.9g}" for r in rows]
+    spark = model.sparkSession
+    spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.text(path)
+
+
+def read_linear(spark: SparkSession, path: str) -> tuple[DataFrame, str, list[str]]:
+    """(model, method, names) of a linear model as text.
+
+    The header is any name before ``-linear``; a scale of 0 counts as 1, unknown
+    lines are skipped, and a file without header, method or both names, or with a
+    feature of fewer than three fields, is an error.
+    """
+    lines = [r["value"].split("\t") for r in spark.read.text(path).collect()]  # a row for each pattern of one model
+    found: dict[str, list[str]] = {}
+    features = []
+    for key, *rest in lines:
+        if key.endswith("-linear"):
+            found["header"] = rest
+        elif key == "feature":
+            if len(rest) < 3:
+                raise ValueError("a feature needs a name, a weight and a mean")
+            features.append((rest[0], float(rest[1]), float(rest[2])))
+        elif rest:
+            found[key] = rest
+    if "header" not in found or "method" not in found or len(found.get("labels", ())) < 2:
+        raise ValueError("not a linear model")
+    bias, scale = (float(found[k][0]) if k in found else 0.0 for k in ("bias", "scale"))
+    schema = "pattern string, weight double, mean double, bias double, scale double"
+    return spark.createDataFrame([(*f, bias, scale or 1.0) for f in features], schema), found["method"][0], found["labels"][:2]

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cpgloom.functions import scalars as S
+from cpgloom.operators import boost as G
 from cpgloom.operators import classify as C
 from cpgloom.operators import deconvolve as D
 from cpgloom.operators import evaluate as E
@@ -16,6 +17,7 @@ from cpgloom.operators import features as X
 from cpgloom.operators import simulate as M
 from cpgloom.operators import train as T
 from cpgloom.operators import upscale as V
+from exact_trees import Boosted
 
 
 def sigma(x):
@@ -178,15 +180,15 @@ def test_boosted_model_can_be_kept(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = [(i, "abc"[i % 3], float(i % 3 + 0.3 * rng.normal()) if i % 7 else None, float(rng.normal())) for i in range(120)]
     train = spark.createDataFrame(rows, "cell_id long, label string, P1 double, P2 double")
-    model = C.fit_boosted(train, ["P1", "P2"], rounds=4, depth=3)
+    model = G.fit_boosted(train, ["P1", "P2"], rounds=4, depth=3)
     artifacts.save(str(tmp_path / "m"), "boosted", {"nodes": model})
     kept = artifacts.load(spark, str(tmp_path / "m"), "boosted")["nodes"]
-    a, b = ({r["cell_id"]: r for r in C.predict_boosted(m, train, ["P1", "P2"], probs=True).collect()} for m in (model, kept))
+    a, b = ({r["cell_id"]: r for r in G.predict_boosted(m, train, ["P1", "P2"], probs=True).collect()} for m in (model, kept))
     assert a == b and sum(a[r[0]]["label"] == r[1] for r in rows) > 100
-    direct = C.Boosted(4, depth=3).fit(np.array([[np.nan if v is None else np.float32(v) for v in r[2:]] for r in rows], dtype=float), np.array([i % 3 for i in range(120)]), 3)
+    direct = Boosted(4, depth=3).fit(np.array([[np.nan if v is None else np.float32(v) for v in r[2:]] for r in rows], dtype=float), np.array([i % 3 for i in range(120)]), 3)
     want = direct.predict(np.array([[np.nan if v is None else np.float32(v) for v in r[2:]] for r in rows], dtype=float))
     assert np.allclose([a[i]["probs"] for i in range(120)], want)
-    assert {r["label"] for r in C.predict_boosted(kept.where("round < 0"), train, ["P1", "P2"]).collect()} == {None}
+    assert {r["label"] for r in G.predict_boosted(kept.where("round < 0"), train, ["P1", "P2"]).collect()} == {None}
 
 
 def test_logistic_slopes_vanish_at_the_optimum_only(spark):
@@ -291,7 +293,7 @@ def test_boosted_trees_learn_and_take_missing_values():
     x = rng.uniform(size=(300, 3))
     y = np.digitize(x[:, 0], [0.33, 0.66])
     x[rng.uniform(size=x.shape) < 0.05] = np.nan
-    model = C.Boosted(rounds=10, depth=3).fit(x, y, 3)
+    model = Boosted(rounds=10, depth=3).fit(x, y, 3)
     assert (model.predict(x).argmax(1) == y).mean() > 0.9
     assert np.allclose(model.predict(x).sum(1), 1)
 
