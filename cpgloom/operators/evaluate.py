@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cpgloom.functions import scalars as S
+from cpgloom.sources.artifacts import stage
 
 
 def metric_columns(y: str = "y", p: str = "p") -> list[Column]:
@@ -95,11 +96,21 @@ def coverage_ladder(obs: DataFrame, members: DataFrame, levels: list[int], patte
     order = Window.partitionBy("cell_id").orderBy(S.key_of(seed, F.col("cell_id"), F.col("cpg_idx")), "cpg_idx")
     rows = obs.where(S.coverage() > 0).select("cell_id", "cpg_idx", S.beta().alias("b")).withColumn("rn", F.row_number().over(order))
     seen = S.binomial_fraction(F.col("b"), depth, seed, F.lit("d"), F.col("cell_id"), F.col("cpg_idx")) if depth else F.col("b")
-    rows = rows.join(members.where(F.col("rank") < patterns), "cpg_idx").select("cell_id", "rank", "rn", "b", seen.alias("seen"))
-    rows = rows.select("*", F.explode(F.array(*map(F.lit, levels))).alias("level"))
-    mean = F.avg(F.when(F.col("rn") <= F.col("level"), F.col("seen"))).over(Window.partitionBy("cell_id", "rank", "level"))
-    held = rows.withColumn("p", mean).where((F.col("rn") > F.col("level")) & F.col("p").isNotNull())
-    return held.groupBy("level").agg(F.avg(F.abs(F.col("p") - F.col("b"))).alias("mae"))
+    rows = stage(rows.join(members.where(F.col("rank") < patterns), "cpg_idx").select("cell_id", "rank", "rn", "b", seen.alias("seen")), "ladder-rows")
+    levels = sorted(set(levels))
+    # sums between two levels, added up over the levels: a cell's pattern has a few small rows
+    between = F.size(F.filter(F.array(*map(F.lit, levels)), lambda x: x < F.col("rn")))
+    sums = rows.where(F.col("rn") <= levels[-1]).groupBy("cell_id", "rank", between.alias("at")).agg(F.sum("seen").alias("s"), F.count("seen").alias("n"))
+    sums = sums.groupBy("cell_id", "rank").agg(F.collect_list(F.struct("at", "s", "n")).alias("v"))
+
+    def mean(at: int) -> Column:
+        own = F.filter("v", lambda x: x["at"] <= at)
+        s, n = F.aggregate(own, F.lit(0.0), lambda t, x: t + F.coalesce(x["s"], F.lit(0.0))), F.aggregate(own, F.lit(0.0), lambda t, x: t + x["n"])
+        return F.struct(F.lit(levels[at]).alias("level"), F.try_divide(s, n).alias("p"))
+
+    means = sums.select("cell_id", "rank", F.array(*[mean(k) for k in range(len(levels))]).alias("means"))
+    held = rows.join(means, ["cell_id", "rank"]).select("b", F.explode(F.filter("means", lambda m: (m["level"] < F.col("rn")) & m["p"].isNotNull())).alias("m"))
+    return held.groupBy("m.level").agg(F.avg(F.abs(F.col("m.p") - F.col("b"))).alias("mae"))
 
 
 def spaced(n: Column, pick: int) -> Column:
@@ -160,6 +171,47 @@ def paired_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), a.alias("mae_a"), b.alias("mae_b"), (b - a).alias("delta"))
 
 
+def candidates(*drawn: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys): all that any of the draws has, each once: the targets that every model is held to."""
+    out = drawn[0].select(*keys)
+    for rows in drawn[1:]:
+        out = out.unionByName(rows.select(*keys))
+    return out.distinct()
+
+
+def compare(targets: DataFrame, models: dict[str, DataFrame], keys: list[str], by: list[str]) -> DataFrame:
+    """(by, n, mae_<model> .., delta_<model> ..): errors of any number of models on the same targets (keys, y), for each row ``by`` of targets.
+
+    A delta is against the first model. Models (keys, p) are gathered by key in
+    one shuffle; a target that a model has no value for, or two, is an error, and
+    what a model says of other keys doesn't count.
+    """
+    names = list(models)
+    rows = targets.select(*keys, "y", F.lit(True).alias("asked"))
+    for name, p in models.items():
+        rows = rows.unionByName(p.select(*keys, F.col("p").alias(f"p_{name}")), allowMissingColumns=True)
+    told = F.coalesce(F.sum(sum((F.col(f"p_{n}").isNotNull().cast("int") for n in names), F.lit(0))), F.lit(0))
+    rows = rows.groupBy(*keys).agg(F.max("y").alias("y"), F.max("asked").alias("asked"), told.alias("told"), *[F.max(f"p_{n}").alias(f"p_{n}") for n in names]).where("asked")
+    lone = (F.col("told") != len(names)) | F.greatest(*[F.col(f"p_{n}").isNull() for n in names], F.lit(False))
+    y = F.when(lone, F.raise_error(F.lit("a model doesn't have one value for each target")).cast("double")).otherwise(F.col("y"))
+    errors = rows.select(*by, *[F.abs(F.col(f"p_{n}") - y).alias(n) for n in names]).groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(n).alias(f"mae_{n}") for n in names])
+    return errors.select("*", *[(F.col(f"mae_{n}") - F.col(f"mae_{names[0]}")).alias(f"delta_{n}") for n in names[1:]])
+
+
+def compare_intervals(rows: DataFrame, by: str, names: list[str], draws: int, seed: int = 1) -> DataFrame:
+    """(model, mean, lo, hi): 95 % intervals of the models' deltas in rows of ``compare``; all models share each draw of rows.
+
+    Rows are those of an evaluation, a few for each cell; they are numbered in the order of ``by``.
+    """
+    numbered = stage(rows.select((F.row_number().over(Window.orderBy(by)) - 1).cast("long").alias("i"), *[f"delta_{n}" for n in names]), "deltas")
+    n = numbered.count()
+    places = rows.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).cast("long").alias("draw"), F.floor(S.uniform(seed, F.col("id")) * n).cast("long").alias("i"))
+    means = places.join(numbered, "i").groupBy("draw").agg(*[F.avg(f"delta_{m}").alias(m) for m in names])
+    limits = means.agg(*[F.percentile(m, F.lit(q)).alias(f"{c}_{m}") for m in names for q, c in ((0.025, "lo"), (0.975, "hi"))])
+    whole = numbered.agg(*[F.avg(f"delta_{m}").alias(f"mean_{m}") for m in names]).crossJoin(limits)
+    return whole.select(F.explode(F.array(*[F.struct(F.lit(m).alias("model"), *[F.col(f"{c}_{m}").alias(c) for c in ("mean", "lo", "hi")]) for m in names])).alias("r")).select("r.*")
+
+
 def class_gap(rows: DataFrame) -> DataFrame:
     """(class, n, mae_a, mae_b, gap, rmse_a, rmse_b) of targets in a ranked group (``group`` > 0: top), the residual ones, and all."""
     d, e = F.col("p") - F.col("y"), F.col("q") - F.col("y")

@@ -55,6 +55,30 @@ def features(obs: DataFrame, masked: DataFrame, states: list[str], key: str = "c
     return grid.join(joined, [key, "state"], "left").select(key, F.col("state").alias("pattern"), "ord", "beta", F.coalesce("n_o", F.lit(0).cast("long")).alias("n_o"))
 
 
+def mask_features(obs: DataFrame, masks: dict[str, DataFrame], states: dict[str, list[str]], key: str = "cell_id") -> DataFrame:
+    """(key, mask_id, pattern, ord, beta, n_o) of several masks (cpg_idx, state) by one scan of the observations.
+
+    A CpG's states in all masks are one row, so an observation is joined once and
+    counted in each mask that has the CpG. Patterns are named mask-state and
+    ordered by the state's number, the background last; equal ones in the masks' order.
+    """
+    names = list(masks)
+    parts = [masks[m].select("cpg_idx", F.struct(F.lit(m).alias("mask_id"), F.col("state")).alias("s")) for m in names]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    every = every.groupBy("cpg_idx").agg(F.collect_list("s").alias("in"))
+    covered = obs.where(S.coverage() > 0).select(key, "cpg_idx", S.beta().alias("b"))
+    joined = covered.join(every, "cpg_idx").select(key, "b", F.explode("in").alias("s")).groupBy(key, "s.mask_id", "s.state").agg(F.avg("b").alias("beta"), F.count("*").alias("n_o"))
+    listed = obs.sparkSession.createDataFrame([(m, s, i, k) for i, m in enumerate(names) for k, s in enumerate(states[m])], "mask_id string, state string, mask int, defined int")
+    number = S.first_number(F.col("state"))
+    order = Window.orderBy(F.when(F.col("state") == "Pna", 2).when(number.isNotNull(), 0).otherwise(1), number.asc_nulls_last(), "mask", "defined")  # a row for each state
+    listed = listed.select("mask_id", "state", (F.row_number().over(order) - 1).cast("int").alias("ord"))
+    grid = obs.select(key).distinct().crossJoin(F.broadcast(listed))
+    name = F.concat_ws("-", "mask_id", "state").alias("pattern")
+    return grid.join(joined, [key, "mask_id", "state"], "left").select(key, "mask_id", name, "ord", "beta", F.coalesce("n_o", F.lit(0).cast("long")).alias("n_o"))
+
+
 def min_cov(feat: DataFrame, least: int) -> DataFrame:
     """Blanks betas with fewer covered CpGs; a bound of 1 blanks nothing."""
     return feat.withColumn("beta", F.when(F.col("n_o") >= least, F.col("beta"))) if least > 1 else feat

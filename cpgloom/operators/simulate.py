@@ -65,11 +65,12 @@ def sampled_features(sampled: DataFrame, members: DataFrame, patterns: int, seed
 
 
 def split(cells: DataFrame, seed: int = 1) -> DataFrame:
-    """(cell_id, split): 70, 15 and 15 in 100 in a seeded order; the cells are a small dimension."""
+    """(cell_id, split): 70, 15 and 15 in 100 in a seeded order; the cells are a small dimension. Too few for all three are an error."""
     n = F.count("*").over(Window.partitionBy())
     rn = F.row_number().over(Window.orderBy(S.key_of(seed, F.col("cell_id")), "cell_id"))
     train, val = F.floor(n * 70 / 100), F.floor(n * 15 / 100)
-    return cells.select("cell_id", F.when(rn <= train, "train").when(rn <= train + val, "val").otherwise("test").alias("split"))
+    few = (train < 1) | (val < 1) | (train + val >= n)
+    return cells.select("cell_id", F.when(few, F.raise_error(F.lit("too few cells for a split")).cast("string")).when(rn <= train, "train").when(rn <= train + val, "val").otherwise("test").alias("split"))
 
 
 def truth_codes(obs: DataFrame) -> DataFrame:

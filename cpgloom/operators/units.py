@@ -106,3 +106,15 @@ def stats(units: DataFrame) -> DataFrame:
     return units.groupBy("class").agg(
         F.count("*").alias("units"), F.min("cpg_count").alias("min_cpgs"), F.round(F.avg("cpg_count"), 6).alias("mean_cpgs"), F.max("cpg_count").alias("max_cpgs"), F.count_if("oversized").alias("oversized")
     )
+
+
+def check_index(places: DataFrame, units: DataFrame, cpgs: DataFrame) -> None:
+    """A unit index is sound if places are 0 .. n - 1, each with another CpG of ``cpgs`` and in the unit that its range says, and ranges meet without gaps; else it is an error."""
+    n = cpgs.count()
+    own = places.join(units.select("unit", "output_offset", "cpg_count"), "unit", "left")
+    inside = (F.col("dest") >= F.col("output_offset")) & (F.col("dest") < F.col("output_offset") + F.col("cpg_count"))
+    at = own.agg(F.count("*").alias("n"), F.count_distinct("dest").alias("places"), F.min("dest").alias("low"), F.max("dest").alias("high"), F.count_if(inside).alias("inside")).first()
+    known = places.select("cpg_idx").distinct().join(cpgs.select("cpg_idx"), "cpg_idx", "left_semi").count()
+    total = units.agg(F.sum("cpg_count").alias("n")).first()["n"] or 0
+    if not at["n"] == at["places"] == at["inside"] == known == total == n or n and (at["low"], at["high"]) != (0, n - 1):
+        raise ValueError("the unit index doesn't hold each CpG once, in the range of its unit")

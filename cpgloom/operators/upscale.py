@@ -113,11 +113,14 @@ def upscale(inputs: DataFrame, units: DataFrame, linear: bool = True, shared: tu
     return tiled(inputs, units, tile)[0].mapInPandas(apply, "cell_id long, cpg_idx long, p double, call boolean")
 
 
-def select_outputs(units: DataFrame, wanted: DataFrame) -> DataFrame:
+def select_outputs(units: DataFrame, wanted: DataFrame, n_cpg: int | None = None) -> DataFrame:
     """``units`` with the outputs of the CpGs in ``wanted`` (cpg_idx) alone, so that a forward pass computes nothing else.
 
-    Units without any are left out. In direct mode a CpG's row is in ``head``, else in ``E``.
+    Units without any are left out. In direct mode a CpG's row is in ``head``,
+    else in ``E``. With ``n_cpg``, a wanted CpG that isn't below it, or below 0, is an error.
     """
+    if n_cpg is not None and wanted.where(~F.coalesce(F.col("cpg_idx").between(0, n_cpg - 1), F.lit(False))).limit(1).count():
+        raise ValueError("a wanted CpG is out of range")
     listed = units.select("unit", F.posexplode("cpgs").alias("at", "cpg_idx"))
     kept = listed.join(wanted.select("cpg_idx"), "cpg_idx", "left_semi").groupBy("unit").agg(F.array_sort(F.collect_list("at")).alias("at"))
     both = units.join(kept, "unit")

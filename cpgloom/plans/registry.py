@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cpgloom.functions import pcg as N
 from cpgloom.functions import scalars as S
 from cpgloom.operators import boost as G
 from cpgloom.operators import classify as C
@@ -215,6 +217,17 @@ def feature_bucketed(spark, d):
     return rounded(X.features(X.bucketed(B.query_obs(spark, d), "observations", 8), X.bucketed(masked(spark, d), "mask", 8), STATES))
 
 
+@query(sql("""SELECT g.cell_id, g.mask_id, g.mask_id || '-' || g.state AS pattern, g.ord, round(f.beta, 6) AS beta, coalesce(f.n_o, 0) AS n_o
+FROM (SELECT DISTINCT cell_id, mask_id, state, ord FROM query_obs CROSS JOIN (SELECT mask_id, state, CAST(row_number() OVER (ORDER BY CASE WHEN i = n THEN 1 ELSE 0 END, CASE WHEN i < n THEN i END NULLS LAST, mask) - 1 AS INTEGER) AS ord FROM (
+  SELECT *, CASE WHEN i < n THEN 'P' || (i + 1) ELSE 'Pna' END AS state FROM (SELECT *, unnest(range(n + 1)) AS i FROM (SELECT 'fine' AS mask_id, 0 AS mask, 16 AS n UNION ALL SELECT 'coarse', 1, 4))))) g
+LEFT JOIN (SELECT cell_id, mask_id, state, avg(m / (m + u)) AS beta, count(*) AS n_o FROM query_obs JOIN (
+  SELECT cpg_idx, mask_id, CASE WHEN rank < n THEN 'P' || (rank + 1) ELSE 'Pna' END AS state FROM member CROSS JOIN (SELECT 'fine' AS mask_id, 16 AS n UNION ALL SELECT 'coarse', 4)) USING (cpg_idx) WHERE m + u > 0 GROUP BY 1, 2, 3) f USING (cell_id, mask_id, state)""", "query_obs", "member"))
+def feature_two_masks(spark, d):
+    """Features of two masks by one scan."""
+    of = members(spark, d)
+    return rounded(X.mask_features(B.query_obs(spark, d), {"fine": P.mask(of, TOP), "coarse": P.mask(of, 4)}, {"fine": STATES, "coarse": X.state_list(4)}))
+
+
 @query(sql("SELECT cell_id, pattern, ord, CASE WHEN n_o >= 20 THEN round(beta, 6) END AS beta, n_o FROM feat", "feat"))
 def feature_min_cov(spark, d):
     return rounded(X.min_cov(feats(spark, d), 20))
@@ -280,6 +293,13 @@ def deconv_nnls3(spark, d):
     return rounded(D.deconvolve(*signature_and_feats(spark, d), 2), 5)
 
 
+@query(sql("SELECT cell_id, count(pattern) AS n_used, CASE WHEN count(pattern) > 0 THEN true END AS converged FROM (SELECT DISTINCT cell_id FROM feat) f LEFT JOIN usable USING (cell_id) GROUP BY 1", "usable"))
+def deconv_status(spark, d):
+    """With how many patterns each cell is solved, and whether the solver came to its end."""
+    rows = D.deconvolve(*signature_and_feats(spark, d), 2, status=True)
+    return rows.groupBy("cell_id").agg(F.max("n_used").alias("n_used"), F.bool_and("converged").alias("converged"))
+
+
 # ---- classifiers ----
 
 @query(sql("SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS class_idx FROM (SELECT DISTINCT label FROM labels2)", "labels2"))
@@ -353,15 +373,17 @@ def gbt_train_predict(spark, d):
 
 
 # every distinct value is a cut here, as for tables of up to BINS cells
-@query(sql("", "feat").rstrip() + """, w AS (SELECT f.cell_id, r.label, f.ord AS f, CAST(CAST(f.beta AS FLOAT) AS DOUBLE) AS x FROM feat f JOIN (SELECT s_suppkey AS cell_id, CAST(n_regionkey AS VARCHAR) AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey) r USING (cell_id)),
+_SPLITS = sql("", "feat").rstrip() + """, w AS (SELECT f.cell_id, r.label, f.ord AS f, CAST(CAST(f.beta AS FLOAT) AS DOUBLE) AS x FROM feat f JOIN (SELECT s_suppkey AS cell_id, CAST(n_regionkey AS VARCHAR) AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey) r USING (cell_id)),
 n AS (SELECT DISTINCT label AS k, 1.0::DOUBLE / (SELECT count(DISTINCT label) FROM w) AS p FROM w),
 gh AS (SELECT k, f, x, p - CAST(label = k AS INTEGER) AS g, 2 * p * (1 - p) AS h FROM w CROSS JOIN n),
 t AS (SELECT k, f, sum(g) AS gs, sum(h) AS hs, coalesce(sum(g) FILTER (x IS NULL), 0) AS gm, coalesce(sum(h) FILTER (x IS NULL), 0) AS hm FROM gh GROUP BY ALL),
 v AS (SELECT *, sum(g) OVER o AS gl, sum(h) OVER o AS hl, lead(x) OVER o AS nx FROM (SELECT k, f, x, sum(g) AS g, sum(h) AS h FROM gh WHERE x IS NOT NULL GROUP BY ALL) WINDOW o AS (PARTITION BY k, f ORDER BY x)),
 c AS (SELECT k, f, x, (x + nx) / 2 AS cut, l AS missing_left, gl + CASE WHEN l THEN gm ELSE 0 END AS a, hl + CASE WHEN l THEN hm ELSE 0 END AS b, gs, hs FROM v JOIN t USING (k, f) CROSS JOIN (SELECT unnest([true, false]) AS l) WHERE nx IS NOT NULL),
 e AS (SELECT *, round(a * a / (b + 1) + (gs - a) * (gs - a) / (hs - b + 1) - gs * gs / (hs + 1), 9) AS gain FROM c WHERE b >= 1 AND hs - b >= 1),
-z AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gain DESC, f, missing_left DESC, x) AS rn FROM e WHERE gain > 1e-6)
-SELECT k AS label, f AS feature, round(cut, 6) AS cut, missing_left, round(-0.3 * a / (b + 1), 6) AS yes_value, round(-0.3 * (gs - a) / (hs - b + 1), 6) AS no_value FROM z WHERE rn = 1""")
+z AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gain DESC, f, missing_left DESC, x) AS rn FROM e WHERE gain > 1e-6)"""
+
+
+@query(_SPLITS + """ SELECT k AS label, f AS feature, round(cut, 6) AS cut, missing_left, round(-0.3 * a / (b + 1), 6) AS yes_value, round(-0.3 * (gs - a) / (hs - b + 1), 6) AS no_value FROM z WHERE rn = 1""")
 def gbt_first_split(spark, d):
     """The first split of each class's first tree, and the values of its two leaves."""
     nodes = A.stage(G.fit_boosted(X.wide(feats(spark, d), STATES).join(regions(spark, d), "cell_id"), STATES, rounds=1, depth=1), "boosted")
@@ -370,6 +392,19 @@ def gbt_first_split(spark, d):
     return rounded(nodes.where("feature IS NOT NULL").join(yes, ["class_idx", "yes"]).join(no, ["class_idx", "no"]).select("label", "feature", "cut", "missing_left", "yes_value", "no_value"))
 
 
+@query(_SPLITS + """, r AS (SELECT k, any_value(gs) AS gs, any_value(hs) AS hs FROM t GROUP BY k),
+q AS (SELECT c.cell_id, r.k, 0.5 + CASE WHEN z.k IS NULL THEN -0.3 * r.gs / (r.hs + 1) WHEN coalesce(w.x < z.cut, z.missing_left) THEN -0.3 * z.a / (z.b + 1) ELSE -0.3 * (z.gs - z.a) / (z.hs - z.b + 1) END AS s
+  FROM (SELECT DISTINCT cell_id FROM w) c CROSS JOIN r LEFT JOIN (SELECT * FROM z WHERE rn = 1) z ON z.k = r.k LEFT JOIN w ON w.cell_id = c.cell_id AND w.f = z.f),
+u AS (SELECT cell_id, k, exp(s) / sum(exp(s)) OVER (PARTITION BY cell_id) AS p, count(*) OVER (PARTITION BY cell_id) AS n, row_number() OVER (PARTITION BY cell_id ORDER BY round(s, 12) DESC, k DESC) AS rn FROM q)
+SELECT cell_id, max(k) FILTER (rn = 1) AS label, round(least(1.0, greatest(0.0, 1 + sum(p * ln(p + 1e-10)) / ln(any_value(n)))), 5) AS confidence FROM u GROUP BY cell_id""")
+def gbt_stump_predict(spark, d):
+    """Labels and confidence by one tree of one split for each class, kept and loaded."""
+    w = A.stage(X.wide(feats(spark, d), STATES), "features")
+    labelled, path = w.join(regions(spark, d), "cell_id"), A.scratch(spark, "boosted-model")
+    A.save(path, "boosted", {"nodes": G.fit_boosted(labelled, STATES, rounds=1, depth=1)})
+    return rounded(G.predict_boosted(A.load(spark, path, "boosted")["nodes"], labelled, STATES), 5)
+
+
 # ---- units ----
 
 def placed(spark, d):
@@ -446,6 +481,31 @@ def cell_split(spark, d):
     return M.split(cells(spark, d))
 
 
+# the generator's steps and the exchanges of places, one after another
+_PCG_STATE = N.seeded(7)
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT CAST({_PCG_STATE} AS UBIGINT) AS st, list(c ORDER BY c) AS v, CAST(count(*) AS BIGINT) AS q FROM (SELECT DISTINCT l_suppkey AS c FROM lineitem)
+  UNION ALL SELECT CAST((CAST(st AS HUGEINT) * {N.MULTIPLIER} + {N.INCREMENT}) % 18446744073709551616 AS UBIGINT), list_transform(v, lambda x, i: CASE WHEN i = q THEN v[j + 1] WHEN i = j + 1 THEN v[q] ELSE x END), q - 1 FROM (
+    SELECT *, CAST(((x >> r) | ((x << ((32 - r) & 31)) & 4294967295)) % q AS BIGINT) AS j FROM (
+      SELECT *, CAST((xor(st >> 18, st) >> 27) & 4294967295 AS BIGINT) AS x, CAST(st >> 59 AS BIGINT) AS r FROM s WHERE q > 1)))
+SELECT cell_id, CASE WHEN i <= n * 70 // 100 THEN 'train' WHEN i <= n * 70 // 100 + n * 15 // 100 THEN 'val' ELSE 'test' END AS split FROM (SELECT unnest(v) AS cell_id, generate_subscripts(v, 1) AS i, len(v) AS n FROM s WHERE q <= 1)""")
+def cell_split_seeded(spark, d):
+    """The split of a sequential generator's seed."""
+    return N.split(cells(spark, d), 7)
+
+
+@query(sql("""SELECT kind, CAST(rep AS INTEGER) AS rep, sample FROM (
+  SELECT 'fixed' AS kind, i AS rep, CAST([least(60, h), greatest(60, h)][i // 2 + 1] AS BIGINT) AS sample FROM (SELECT unnest(range(4)) AS i, CAST(round_even(n * 5 / 100, 0) AS BIGINT) AS h FROM c)
+  UNION ALL SELECT 'log', i, greatest(1, CAST(floor(exp(ln(10.0) + (ln(CAST(n AS DOUBLE)) - ln(10.0)) * pow(i / 7.0, 0.5)) + 0.5) AS BIGINT)) FROM (SELECT unnest(range(8)) AS i, n FROM c))""", "query_obs").replace("\nSELECT kind", ", c AS (SELECT count(DISTINCT cpg_idx) AS n FROM query_obs WHERE m + u > 0)\nSELECT kind"))
+def sim_ladder_data(spark, d):
+    """Ladders up to the CpGs that any cell covers: two sizes in turn, and sizes on a log scale."""
+    n = B.query_obs(spark, d).where(S.coverage() > 0).select("cpg_idx").distinct().count()
+    kinds = (("fixed", M.ladder_fixed(spark, E.parse_levels("5%, 60", n), 2)), ("log", M.ladder_log(spark, 8, 10, n)))
+    a, b = (rows.select(F.lit(kind).alias("kind"), "rep", "sample") for kind, rows in kinds)
+    return a.unionByName(b)
+
+
 _CHANNEL = {
     "beta": "SELECT rep, cell_id, pattern AS j, beta AS v FROM simgrid",
     "missing": "SELECT rep, cell_id, 2 * pattern AS j, beta AS v FROM simgrid UNION ALL SELECT rep, cell_id, 2 * pattern + 1, CASE WHEN beta IS NULL THEN 1.0 ELSE 0.0 END FROM simgrid",
@@ -588,6 +648,21 @@ def upscale_forward_selected(spark, d):
     return rounded(V.upscale(w, V.select_outputs(units, spark.range(1, 3).withColumnRenamed("id", "cpg_idx"))))
 
 
+_LEAKY = "CASE WHEN {0} < 0 THEN 0.01 * ({0}) ELSE {0} END"
+
+
+@query(sql(f"""SELECT cell_id, CAST(u.i AS BIGINT) AS cpg_idx, round(p, 6) AS p, p > 0.5 AS call FROM (
+  SELECT cell_id, [1 / (1 + exp(-(0.5 * (h0 + s0 - h1 - s1 + 0.1) - 0.2))), 1 / (1 + exp(-(h1 + s1 + 0.05))), 1 / (1 + exp(h0 + s0 - h1 - s1 + 0.1 - 0.3))] AS q FROM (
+    SELECT *, {_LEAKY.format("h0 - h1 + 0.05")} AS s0, {_LEAKY.format("0.5 * h1")} AS s1 FROM (
+      SELECT cell_id, {_LEAKY.format("0.5 * x0 - x1 + 0.1")} AS h0, {_LEAKY.format("0.25 * x1 - x0")} AS h1 FROM (
+        SELECT cell_id, (coalesce(max(beta) FILTER (pattern = 'P1'), 0.5) - 0.5) / 0.25 AS x0, (coalesce(max(beta) FILTER (pattern = 'P2'), 0.5) - 0.5) / 0.25 AS x1 FROM feat GROUP BY 1)))),
+  LATERAL (SELECT unnest(range(3)) AS i, unnest(q) AS p) u""", "feat"))
+def upscale_forward_trunk(spark, d):
+    """Units behind a residual trunk of two layers."""
+    shared = tuple(np.array(v, float) for v in ([[0.5, -1], [-1, 0.25]], [0.1, 0], [[1, -1], [0, 0.5]], [0.05, 0]))
+    return rounded(V.upscale(*small_decoder(spark, d), shared=shared))
+
+
 TRAIN = T.Options(pure_rank=2, mixed_rank=3, batch=64, min_steps=40, max_steps=80, evaluate=20, patience=2, checks=4, lr=0.01)
 
 
@@ -711,7 +786,9 @@ def trunk_model(spark, d, options):
     at = A.stage(K.places(of, options), "trunk-places")
     bias = A.stage(M.bias_prior(codes, split.where("split = 'train'").select("cell_id"), B.cpgs(spark, d)), "bias")
     batches = A.stage(K.batches(at, codes, sampled, split, 2, options), "trunk-batches")
-    return K.train(batches, x, K.start(at, bias, options), SIM_PATTERNS, options), batches, at, bias
+    path = A.scratch(spark, "trunk-model")
+    A.save(path, "trunk", K.train(batches, x, K.start(at, bias, options), SIM_PATTERNS, options))
+    return A.load(spark, path, "trunk"), batches, at, bias
 
 
 def _of_blocks(text, options):
@@ -908,6 +985,42 @@ def eval_paired_rows(spark, d):
     return rounded(E.paired_rows(both, ["cell_id"]))
 
 
+_THREE = sql("", "sampled", "simfeat", "member", "query_obs").rstrip() + """, t AS (SELECT cell_id, rank, m / (m + u) AS y FROM (SELECT DISTINCT cell_id, cpg_idx FROM sampled JOIN member USING (cpg_idx) WHERE rank < 8) JOIN member USING (cpg_idx) JOIN query_obs USING (cell_id, cpg_idx)),
+e AS (SELECT t.cell_id, y, coalesce(f.beta, 0.5) AS f, coalesce(g.beta, 0.5) AS g, h FROM t JOIN (SELECT rank, avg(y) AS h FROM t GROUP BY rank) USING (rank)
+  LEFT JOIN (SELECT * FROM simfeat WHERE rep = 0) f ON f.cell_id = t.cell_id AND f.pattern = t.rank LEFT JOIN (SELECT * FROM simfeat WHERE rep = 1) g ON g.cell_id = t.cell_id AND g.pattern = t.rank),
+r AS (SELECT cell_id, count(*) AS n, avg(abs(f - y)) AS mae_first, avg(abs(g - y)) AS mae_second, avg(abs(h - y)) AS mae_mean FROM e GROUP BY cell_id)"""
+
+
+def three_models(spark, d):
+    """Cells' errors of three models, made from two replicates and from all cells, on the targets that either replicate drew."""
+    keys, of, sampled = ["cell_id", "cpg_idx"], members(spark, d).where(F.col("rank") < SIM_PATTERNS), drawn(spark, d)
+    wanted = E.candidates(sampled.where("rep = 0"), sampled.where("rep = 1"), keys=keys)
+    truth = B.query_obs(spark, d).where(S.coverage() > 0).select(*keys, S.beta().alias("y"))
+    t = A.stage(wanted.join(of, "cpg_idx").join(truth, keys), "candidates")
+    full = A.stage(M.sampled_features(sampled, of, SIM_PATTERNS), "simulated")
+
+    def model(rep):
+        own = full.where(F.col("rep") == rep).select("cell_id", F.col("pattern").alias("rank"), "beta")
+        return t.join(own, ["cell_id", "rank"], "left").select(*keys, F.coalesce("beta", F.lit(0.5)).alias("p"))
+
+    mean = t.groupBy("rank").agg(F.avg("y").alias("p"))
+    return E.compare(t.select(*keys, "y"), {"first": model(0), "second": model(1), "mean": t.join(mean, "rank").select(*keys, "p")}, keys, ["cell_id"])
+
+
+@query(_THREE + " SELECT cell_id, n, round(mae_first, 6) AS mae_first, round(mae_second, 6) AS mae_second, round(mae_mean, 6) AS mae_mean, round(mae_second - mae_first, 6) AS delta_second, round(mae_mean - mae_first, 6) AS delta_mean FROM r")
+def eval_compare_models(spark, d):
+    return rounded(three_models(spark, d))
+
+
+@query(_THREE + f""", u AS (SELECT row_number() OVER (ORDER BY cell_id) - 1 AS i, count(*) OVER () AS n, mae_second - mae_first AS second, mae_mean - mae_first AS mean FROM r),
+k AS (SELECT k // n AS draw, CAST(floor({_u("", "k").replace("'', ", "")} * n) AS BIGINT) AS i FROM (SELECT n, unnest(range(300 * n)) AS k FROM (SELECT DISTINCT n FROM u))),
+v AS (SELECT draw, avg(second) AS second, avg(mean) AS mean FROM k JOIN u USING (i) GROUP BY draw)
+SELECT 'second' AS model, round((SELECT avg(second) FROM u), 6) AS mean, round(quantile_cont(second, 0.025), 6) AS lo, round(quantile_cont(second, 0.975), 6) AS hi FROM v
+UNION ALL SELECT 'mean', round((SELECT avg(mean) FROM u), 6), round(quantile_cont(mean, 0.025), 6), round(quantile_cont(mean, 0.975), 6) FROM v""")
+def eval_compare_intervals(spark, d):
+    return rounded(E.compare_intervals(three_models(spark, d), "cell_id", ["second", "mean"], 300))
+
+
 @query(sql("""SELECT class, count(*) AS n, round(avg(abs(p - y)), 6) AS mae_a, round(avg(abs(q - y)), 6) AS mae_b, round(avg(abs(p - y)) - avg(abs(q - y)), 6) AS gap,
   round(sqrt(avg((p - y) * (p - y))), 6) AS rmse_a, round(sqrt(avg((q - y) * (q - y))), 6) AS rmse_b FROM (
   SELECT *, unnest(['all', CASE WHEN state <> 'Pna' THEN 'top' ELSE 'residual' END]) AS class FROM pred) GROUP BY class""", "pred"))
@@ -945,6 +1058,83 @@ def artifact_describe(spark, d):
     return A.describe({"patterns": ranked, "membership": P.membership(p, ranked)}, kind="patterns")
 
 
+@query(sql("""SELECT 'kind' AS key, 'unit-index' AS value UNION ALL SELECT 'units.rows', CAST(count(*) AS VARCHAR) FROM allunits UNION ALL SELECT 'units.columns', 'unit,class,cpg_count,membership_count'
+UNION ALL SELECT unnest(['units', 'pure', 'mixed', 'PNA', 'memberships', 'cpgs', 'largest_unit']), unnest([CAST(count(*) AS VARCHAR), CAST(count(*) FILTER (class = 'pure') AS VARCHAR), CAST(count(*) FILTER (class = 'mixed') AS VARCHAR),
+  CAST(count(*) FILTER (class = 'PNA') AS VARCHAR), CAST(sum(membership_count) AS VARCHAR), CAST(sum(cpg_count) AS VARCHAR), CAST(max(cpg_count) AS VARCHAR)]) FROM allunits""", "allunits"))
+def artifact_describe_index(spark, d):
+    """The unit index, checked and described."""
+    of, ranked, real = placed(spark, d)
+    units = A.stage(every_unit(of, real), "units")
+    U.check_index(A.stage(U.scatter(of, ranked, real, TARGET), "places"), units, B.cpgs(spark, d))
+    return A.describe({"units": units.select("unit", "class", "cpg_count", "membership_count")}, "unit-index")
+
+
+@query(sql("SELECT rank, label, pattern, n FROM (SELECT *, 'P' || (rank + 1) AS label FROM ranked) JOIN (SELECT DISTINCT rank FROM member) USING (rank)", "ranked", "member"))
+def artifact_bundle(spark, d):
+    """Patterns and memberships bundled, and unbundled again."""
+    patterns = A.stage(mined(spark, d)[0], "patterns")
+    ranked, path = A.stage(P.pattern_rank(patterns, B.n_samples(spark, d)), "ranked"), A.scratch(spark, "bundle")
+    A.save(path, "patterns", {"patterns": ranked, "membership": P.membership(patterns, ranked)})
+    back = A.load(spark, path, "patterns")
+    return back["patterns"].join(back["membership"].select("rank").distinct(), "rank")
+
+
+# ---- text inputs, written from the tables and read ----
+
+def text_of(df, *order):
+    """A text file of the rows' fields, cut by tabs, NA for null."""
+    path = A.scratch(df.sparkSession, "text")
+    df.coalesce(1).sortWithinPartitions(*order).drop("_order").write.csv(path, sep="\t", nullValue="NA", header=False)
+    return path
+
+
+def numbered_cells(spark, d):
+    """(cell_id, i): the cells' numbers from 0 on; a small dimension."""
+    return cells(spark, d).select("cell_id", (F.row_number().over(Window.orderBy("cell_id")) - 1).cast("long").alias("i"))
+
+
+@query(sql("SELECT row_number() OVER (ORDER BY cell_id) - 1 AS cell_id, label FROM labels2", "labels2"))
+def reader_labels(spark, d):
+    rows = B.labels(spark, d)
+    return R.labels(spark, text_of(rows.select("label", F.col("cell_id").alias("_order")), "_order"), rows.count())
+
+
+@query(sql("SELECT row_number() OVER (ORDER BY cell_id) - 1 AS cell_id, split FROM split", "split"))
+def reader_splits(spark, d):
+    rows = M.split(cells(spark, d)).join(numbered_cells(spark, d), "cell_id").select("i", "split")
+    return R.splits(spark, text_of(rows, F.desc("i")), rows.count())
+
+
+@query(sql("SELECT i AS cell_id, CASE WHEN i < ns THEN 'sample-' || i ELSE CAST(i + 1 AS VARCHAR) END AS name FROM (SELECT row_number() OVER (ORDER BY cell_id) - 1 AS i FROM (SELECT DISTINCT cell_id FROM query_obs)) CROSS JOIN ns", "query_obs", "ns"))
+def reader_names(spark, d):
+    """Names of the first cells from a list, and numbers for the others."""
+    listed = numbered_cells(spark, d).where(F.col("i") < B.n_samples(spark, d)).select(F.concat(F.lit("sample-"), "i").alias("name"), F.lit("a field more").alias("more"), F.col("i").alias("_order"))
+    return R.named(numbered_cells(spark, d).select(F.col("i").alias("cell_id")), R.samples(spark, text_of(listed, "_order")))
+
+
+@query(sql("SELECT CAST(cell_type AS VARCHAR) AS cell_type, pattern, beta FROM sig", "sig"))
+def reader_signature(spark, d):
+    sig = A.stage(X.signature(type_feats(spark, d)), "signature")
+    path = A.scratch(spark, "text")
+    sig.groupBy("cell_type").pivot("pattern").agg(F.first("beta")).coalesce(1).write.csv(path, sep="\t", header=True)
+    return R.signature(spark, path)
+
+
+@query(sql("SELECT CAST(cell_id AS DOUBLE) AS cell_id, " + ", ".join(f"round(max(beta) FILTER (pattern = 'P{k}'), 6) AS P{k}" for k in range(1, 9)) + " FROM feat GROUP BY cell_id", "feat"))
+def reader_features(spark, d):
+    columns = STATES[:8]
+    return R.features(spark, text_of(rounded(X.wide(feats(spark, d), columns)).select("cell_id", *columns), "cell_id"), ["cell_id", *columns])
+
+
+@query(sql("SELECT unit, class, cpg_count FROM allunits WHERE unit % 3 = 0", "allunits"))
+def reader_units(spark, d):
+    """The units of a list."""
+    of, _, real = placed(spark, d)
+    units = A.stage(every_unit(of, real), "units")
+    listed = R.unit_ids(spark, text_of(units.where("unit % 3 = 0").select("unit"), "unit"), units.count())
+    return units.join(listed, "unit").select("unit", "class", "cpg_count")
+
+
 def flagship(spark, d):
     """The commonest patterns with their mean fraction in each cell."""
     top = ranks(spark, d)[1].where(F.col("rank") < TOP)
