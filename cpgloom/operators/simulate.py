@@ -48,9 +48,10 @@ def sample(obs: DataFrame, ladder: DataFrame, seed: int = 1) -> DataFrame:
     rows = stage(rows.where((F.col("rn") <= F.col("sample")) & (F.col("near") >= F.least("sample", "n"))).select("rep", "cell_id", "cpg_idx", "b"), "sampled")
     covered = obs.where(S.coverage() > 0).select("cell_id", "cpg_idx", S.beta().alias("b"))
     pairs = covered.select("cell_id").distinct().crossJoin(F.broadcast(ladder.where("sample > 0")))
-    short = stage(pairs.join(rows.select("rep", "cell_id").distinct(), ["rep", "cell_id"], "left_anti"), "short")
+    short = pairs.join(rows.select("rep", "cell_id").distinct(), ["rep", "cell_id"], "left_anti")
     if short.isEmpty():
         return rows
+    short = stage(short, "short")
     whole = covered.join(short, "cell_id")
     order = own.orderBy(S.key_of(seed, F.col("rep"), F.col("cell_id"), F.col("cpg_idx")), "cpg_idx")
     whole = whole.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= F.col("sample"))

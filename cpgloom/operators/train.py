@@ -8,10 +8,12 @@ size of a task follows the steps and the batch, not the cells or the replicates.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace  # noqa: F401
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,25 +83,33 @@ def schedule(pairs: DataFrame, reps: int, options: Options) -> DataFrame:
 def batches(drawn: DataFrame, truth: DataFrame, observed: DataFrame, options: Options) -> DataFrame:
     """(unit, split, step, cell_id, rep, local array<int>, y array<double>): of the unobserved targets the first ``batch`` from the drawn start on, going round.
 
-    One group is one unit of one cell: its values are read once for all its draws. Draws without targets are left out.
+    A unit's values of a cell come before its draws, so they are read once, and a
+    task holds one such row at a time. Draws without targets are left out.
     """
     size = options.batch
 
-    def cut(rows: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(values):
-            local, code = np.asarray(values["local"].iloc[0]), np.asarray(values["code"].iloc[0])
-            for r in rows.itertuples():
-                free = np.flatnonzero(~np.isin(local, r.seen)) if r.seen is not None else np.arange(len(local))
-                if len(free):
-                    at = np.roll(free, -int(r.start * len(free)))[:size]
-                    out.append((r.unit, r.split, r.step, r.cell_id, r.rep, local[at].tolist(), (code[at] / 65534.0).tolist()))
-        return pd.DataFrame(out, columns=["unit", "split", "step", "cell_id", "rep", "local", "y"])
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, local, code = None, None, None
+        for part in parts:
+            out = []
+            for r in part.to_pylist():
+                if r["code"] is not None:
+                    own, local, code = (r["unit"], r["cell_id"]), np.array(r["local"], np.int64), np.array(r["code"], np.int64)
+                elif own == (r["unit"], r["cell_id"]):
+                    free = np.flatnonzero(~np.isin(local, r["seen"])) if r["seen"] is not None else np.arange(len(local))
+                    if len(free):
+                        at = np.roll(free, -int(r["start"] * len(free)))[:size]
+                        out.append((r["unit"], r["split"], r["step"], r["cell_id"], r["rep"], local[at], code[at] / 65534.0))
+            if out:
+                columns = zip(zip(*out), (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64())))
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in columns], names=["unit", "split", "step", "cell_id", "rep", "local", "y"])
 
     rows = drawn.join(observed, ["unit", "cell_id", "rep"], "left")
     # only cells that are drawn; they come from the truth's own keys, so new names for its columns tell the two sides apart
     truth = truth.select(*[F.col(c).alias(c) for c in truth.columns]).join(drawn.select("unit", "cell_id").distinct(), ["unit", "cell_id"], "left_semi")
-    return rows.groupBy("unit", "cell_id").cogroup(truth.groupBy("unit", "cell_id")).applyInPandas(cut, "unit int, split string, step int, cell_id long, rep int, local array<int>, y array<double>")
+    both = truth.select("unit", "cell_id", "local", "code").unionByName(rows, allowMissingColumns=True)
+    both = both.repartition("unit", "cell_id").sortWithinPartitions("unit", "cell_id", F.col("code").isNull(), "split", "step")
+    return both.mapInArrow(cut, "unit int, split string, step int, cell_id long, rep int, local array<int>, y array<double>")
 
 
 def layout(places: DataFrame, units: DataFrame, bias: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def ladder(spark):
 
 
 def drawn(spark, d):
-    return A.stage(M.sample(B.query_obs(spark, d), ladder(spark)), "sampled")
+    return M.sample(B.query_obs(spark, d), ladder(spark))
 
 
 def sim_feats(spark, d, sampled=None):
@@ -722,21 +722,27 @@ def _of_units(text, options=TRAIN):
     return sql("", "codes", "sampled", "member", "allunits", "split", "cpgs").rstrip() + ", " + _batches(_UNIT_PLACE, options) + ",\n" + _CHECKED + "\n" + text
 
 
-@query(_of_units("SELECT unit, class, cpg_count AS n_cpg, CASE WHEN class = 'pure' THEN 2 ELSE 3 END AS rank, checked, prior_mae, true AS no_worse, true AS agrees FROM allunits JOIN checked USING (unit) JOIN learned USING (unit)"))
+@query(_of_units("SELECT unit, class, cpg_count AS n_cpg, CASE WHEN class = 'pure' THEN 2 ELSE 3 END AS rank, checked, prior_mae, true AS no_worse FROM allunits JOIN checked USING (unit) JOIN learned USING (unit)"))
 def unit_train(spark, d):
-    """Every unit has a head of its kind, checked on its drawn rows, whose error is never above that of the head it starts from; ``agrees``: the kept head, applied by itself, has that error on them."""
+    """Every unit has a head of its kind, checked on its drawn rows, whose error is never above that of the head it starts from."""
+    units, _, _ = trained(spark, d)
+    return units.select("unit", "class", F.size("cpgs").cast("long").alias("n_cpg"), "rank", "checked", F.round("prior_mae", 6).alias("prior_mae"), (F.col("best_mae") <= F.col("first_mae")).alias("no_worse"))
+
+
+@query(_of_units("SELECT unit, checked, true AS agrees FROM allunits JOIN checked USING (unit) JOIN learned USING (unit)"))
+def unit_train_agrees(spark, d):
+    """The kept heads, applied by themselves to the rows that they were checked on, have the errors that training gave."""
     units, x, batches = trained(spark, d)
-    # each replicate's cell is a row of inputs of its own
-    rows = x.select((F.col("cell_id") * 2 + F.col("rep")).alias("cell_id"), "x")
-    p = V.upscale(rows, units.select("unit", "mode", "rank", "a", "head", "E", "b", "cpgs"))
-    listed = units.select("unit", F.posexplode("cpgs").alias("local", "cpg_idx"))
     nth = F.dense_rank().over(Window.partitionBy("unit", "split").orderBy("step"))
     kinds = batches.withColumn("nth", nth).withColumn("kind", F.max("split").over(Window.partitionBy("unit")))
-    kinds = kinds.where((F.col("split") == F.col("kind")) & ((F.col("split") == "val") | (F.col("nth") <= TRAIN.checks)))
-    cuts = kinds.select("unit", (F.col("cell_id") * 2 + F.col("rep")).alias("cell_id"), F.explode(F.arrays_zip("local", "y")).alias("t")).select("unit", "cell_id", "t.local", "t.y")
-    own = cuts.join(listed, ["unit", "local"]).join(p, ["cell_id", "cpg_idx"]).groupBy("unit").agg(F.avg(F.abs(F.col("p") - F.col("y"))).alias("mae"))
-    same = F.abs(F.col("mae") - F.col("best_mae")) < 1e-9
-    return units.join(own, "unit").select("unit", "class", F.size("cpgs").cast("long").alias("n_cpg"), "rank", "checked", F.round("prior_mae", 6).alias("prior_mae"), (F.col("best_mae") <= F.col("first_mae")).alias("no_worse"), same.alias("agrees"))
+    kinds = A.stage(kinds.where((F.col("split") == F.col("kind")) & ((F.col("split") == "val") | (F.col("nth") <= TRAIN.checks))).withColumn("row", F.col("cell_id") * 2 + F.col("rep")), "checked")
+    # each replicate's cell is a row of inputs of its own, if it is drawn
+    rows = x.select((F.col("cell_id") * 2 + F.col("rep")).alias("cell_id"), "x").join(kinds.select(F.col("row").alias("cell_id")).distinct(), "cell_id", "left_semi")
+    p = V.upscale(rows, units.select("unit", "mode", "rank", "a", "head", "E", "b", "cpgs"))
+    listed = units.select("unit", F.posexplode("cpgs").alias("local", "cpg_idx"))
+    cuts = kinds.select("unit", F.col("row").alias("cell_id"), F.explode(F.arrays_zip("local", "y")).alias("t")).select("unit", "cell_id", "t.local", "t.y")
+    own = cuts.join(listed, ["unit", "local"]).join(p, ["cell_id", "cpg_idx"]).groupBy("unit").agg(F.avg(F.abs(F.col("p") - F.col("y"))).alias("mae"), F.count("*").alias("checked"))
+    return units.join(own.withColumnRenamed("checked", "rows"), "unit").select("unit", F.col("rows").alias("checked"), (F.abs(F.col("mae") - F.col("best_mae")) < 1e-9).alias("agrees"))
 
 
 ONE_STEP = T.Options(pure_rank=2, mixed_rank=3, batch=64, min_steps=1, max_steps=1, evaluate=1, patience=1, checks=1, lr=0.01, last=True)
