@@ -58,10 +58,6 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def leaky(x: Column) -> Column:
-    return F.when(x < 0, x * 0.01).otherwise(x)
-
-
 def u16(b: Column) -> Column:
     """The fraction as an integer code of 0..65534, null if missing."""
     return F.round(b * 65534).cast("int")

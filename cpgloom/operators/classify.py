@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cpgloom.functions import scalars as S
+from cpgloom.sources.artifacts import stage
 
 
 def class_index(labels: DataFrame) -> DataFrame:
@@ -43,8 +44,16 @@ def projected(feat: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.groupBy("cell_id").agg(F.sum(F.col("weight") * F.coalesce("beta", "mean")).alias("s"))
 
 
+def _check_two(labels: DataFrame) -> None:
+    """A linear model's cells are of both classes, y being 0 and 1; else it is an error."""
+    found = labels.agg(F.count_if(F.col("y") == 0).alias("a"), F.count_if(F.col("y") == 1).alias("b"), F.count_if(~F.coalesce(F.col("y").isin(0, 1), F.lit(False))).alias("c")).first()
+    if not found["a"] or not found["b"] or found["c"]:
+        raise ValueError("a linear model needs exactly two classes, numbered 0 and 1")
+
+
 def fit_threshold(feat: DataFrame, labels: DataFrame) -> DataFrame:
     """(pattern, weight, mean, bias, scale): class mean differences; the cut lies midway between the classes' mean scores."""
+    _check_two(labels)
     weights = feature_means(feat, labels).select("pattern", (F.col("mu1") - F.col("mu0")).alias("weight"), "mean")
     scores = projected(feat, weights).join(labels.select("cell_id", "y"), "cell_id")
     cut = scores.agg(F.avg(F.when(F.col("y") == 0, F.col("s"))).alias("c0"), F.avg(F.when(F.col("y") == 1, F.col("s"))).alias("c1"))
@@ -63,11 +72,13 @@ def fit_logistic(feat: DataFrame, labels: DataFrame, rounds: int = 200) -> DataF
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
+    _check_two(labels)
     means = feature_means(feat, labels).select("pattern", "ord", "mean")
     filled = feat.join(means.drop("ord"), "pattern").withColumn("x", F.coalesce("beta", "mean"))
     spread = filled.groupBy("pattern").agg(F.var_pop("x").alias("v")).select("pattern", F.when(F.col("v") > 1e-12, F.sqrt("v")).otherwise(1.0).alias("sd"))
     rows = filled.join(spread, "pattern").withColumn("z", (F.col("x") - F.col("mean")) / F.col("sd"))
     vectors = rows.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "z"))), lambda t: t["z"]).alias("v")).join(labels.select("cell_id", F.col("y").cast("double").alias("label")), "cell_id")
+    vectors = stage(vectors, "vectors")  # counted, and read in each round of the fit
     n = max(vectors.count(), 1)
     model = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=rounds, tol=1e-10).fit(vectors.select(array_to_vector("v").alias("features"), "label"))
     info = means.join(spread, "pattern").orderBy("ord").collect()  # one row for each pattern of the model

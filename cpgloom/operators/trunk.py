@@ -66,6 +66,22 @@ def places(members: DataFrame, options: Options) -> DataFrame:
     return rows.select(F.floor(F.col("cpg_idx") / options.block).cast("int").alias("unit"), F.col("cpg_idx").alias("dest"), "cpg_idx", F.col("rank").cast("int").alias("group"))
 
 
+def check(placed: DataFrame, options: Options) -> None:
+    """Options that don't fit the CpGs are an error: no active CpG, a batch above all of them, easy groups out of range or twice, or none or all CpGs easy."""
+    easy = [g for g in options.easy]
+    if any(not 1 <= g <= options.patterns for g in easy) or len(set(easy)) != len(easy):
+        raise ValueError("easy groups must be different ones from 1 to the number of patterns")
+    if not 0 <= options.fraction <= 1 or min(options.patterns, options.hidden, options.rank, options.steps, options.batch, options.block) < 1 or options.rounds < 0:
+        raise ValueError("sizes must be 1 or more and the fraction a share")
+    found = placed.agg(F.count("*").alias("n"), F.count_if(F.col("group").isin([g - 1 for g in easy])).alias("easy")).first()
+    if not found["n"]:
+        raise ValueError("no active CpG")
+    if options.batch > found["n"]:
+        raise ValueError("the batch is larger than all active CpGs")
+    if easy and not 0 < found["easy"] < found["n"]:
+        raise ValueError("the easy groups leave a stratum empty")
+
+
 def batches(placed: DataFrame, codes: DataFrame, sampled: DataFrame, split: DataFrame, reps: int, options: Options) -> DataFrame:
     """(unit, split, step, cell_id, rep, local, y): the drawn batches of each block, of easy and other CpGs in their shares."""
     units = placed.select("unit").distinct().withColumn("output_offset", F.col("unit").cast("long") * options.block)

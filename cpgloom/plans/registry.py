@@ -790,6 +790,7 @@ def trunk_model(spark, d, options):
     rows = M.standardise(A.stage(M.channels(full, "beta", SIM_PATTERNS).join(split, "cell_id"), "channels"), F.col("split") == "train", trunk=True)
     x = A.stage(rows.groupBy("rep", "cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda t: t["x"]).alias("x")), "inputs")
     at = A.stage(K.places(of, options), "trunk-places")
+    K.check(at, options)
     bias = A.stage(M.bias_prior(codes, split.where("split = 'train'").select("cell_id"), B.cpgs(spark, d)), "bias")
     batches = A.stage(K.batches(at, codes, sampled, split, 2, options), "trunk-batches")
     path = A.scratch(spark, "trunk-model")

@@ -91,3 +91,16 @@ def test_two_classes(spark):
     C.check_classes(labels)
     with pytest.raises(ValueError):
         C.check_classes(labels.where("label = 'a'"))
+
+
+def test_linear_models_need_both_classes(spark):
+    feat = spark.createDataFrame([(c, "P1", 0, 0.1 * c) for c in range(4)], "cell_id long, pattern string, ord int, beta double")
+    labels = spark.createDataFrame([(c, "a", c % 2) for c in range(4)], "cell_id long, label string, y int")
+    assert C.fit_threshold(feat, labels).count() == 1
+    for bad in ("y = 0", "y = 1", "y IS NULL"):
+        with pytest.raises(ValueError):
+            C.fit_threshold(feat, labels.where(bad))
+        with pytest.raises(ValueError):
+            C.fit_logistic(feat, labels.where(bad))
+    with pytest.raises(ValueError):
+        C.fit_threshold(feat, labels.selectExpr("cell_id", "label", "IF(cell_id = 3, 2, y) AS y"))

@@ -200,3 +200,14 @@ def test_without_rows_the_weights_stay(spark):
     np.testing.assert_array_equal(np.concatenate(list(net_of(model)[0].values())), K.initial(3, o))
     empty = run(spark, o, data_of=(codes.limit(0), split, inputs, sampled, members.limit(0), bias))
     assert empty["sites"].count() == 0 and [r["mae"] for r in empty["scores"].collect()] == [None, None]
+
+
+def test_options_that_do_not_fit(spark):
+    placed = K.places(signal(spark)[4], K.Options(patterns=2, block=10))
+    fit = K.Options(patterns=2, hidden=4, rank=2, batch=8, block=10, easy=(2,))
+    K.check(placed, fit)
+    for bad in ({"batch": 41}, {"easy": (3,)}, {"easy": (0,)}, {"easy": (1, 1)}, {"easy": (1, 2)}, {"fraction": 1.5}, {"rank": 0}):
+        with pytest.raises(ValueError):
+            K.check(placed, K.replace(fit, **bad))
+    with pytest.raises(ValueError):
+        K.check(placed.limit(0), fit)
