@@ -189,7 +189,7 @@ def test_bpe_splits_every_class_of_code_points():
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, small, name):
     c = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark"):
         c.execute(f"create view {table} as select * from '{small}/{table}.parquet'")
     want = c.execute(queries.ORACLES[name])
     columns = [x[0] for x in want.description]
