@@ -233,7 +233,7 @@ def _probed(docs: int):
     return probed
 
 
-def dropped(docs: DataFrame, least: int = LEAST, most_docs: int = DOCS) -> DataFrame:
+def dropped(docs: DataFrame, least: int = LEAST, least_docs: int = DOCS) -> DataFrame:
     """(doc_id, tkey, lines array<int>), written: the numbers of the lines that go, from 0, of each document that loses any."""
     spark = docs.sparkSession
     known = known_lines(docs, least)
@@ -242,10 +242,10 @@ def dropped(docs: DataFrame, least: int = LEAST, most_docs: int = DOCS) -> DataF
     # fewer than HOT rows, since each has more than one in HOT of all occurrences
     hot = known.where((F.col("n") > HOT_FLOOR) & (F.col("n") > F.lit(total / HOT))).collect()
     verdicts = spark.sparkContext.broadcast({np.array([r["hi"], r["lo"]], np.int64).tobytes(): (r["n"], r["last"]) for r in hot})
-    probes = keyed(docs).mapInArrow(_sent(n, least, most_docs, verdicts), "shard int, hi long, lo long, doc_id long, tkey long, line int")
+    probes = keyed(docs).mapInArrow(_sent(n, least, least_docs, verdicts), "shard int, hi long, lo long, doc_id long, tkey long, line int")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     both = shards.unionByName(probes, allowMissingColumns=True).repartition(parts, "shard").sortWithinPartitions("shard", F.col("n").isNull())
-    gone = both.mapInArrow(_probed(most_docs), "doc_id long, tkey long, line int")
+    gone = both.mapInArrow(_probed(least_docs), "doc_id long, tkey long, line int")
     # a set, so that repeated rows of one text are one here
     out = materialize(gone.groupBy("doc_id", "tkey").agg(F.collect_set("line").alias("lines")), "line-drops")
     discard(known, shards)
@@ -274,10 +274,10 @@ def _apply(keep_text: bool):
     return apply
 
 
-def dedup(docs: DataFrame, least: int = LEAST, most_docs: int = DOCS, keep_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, least: int = LEAST, least_docs: int = DOCS, keep_text: bool = True) -> DataFrame:
     """Every document without its repeated lines: (doc_id, n_lines, n_dropped, kept_sha256[, kept]).
 
-    A line goes if its key has ``least`` code points or more, ``most_docs``
+    A line goes if its key has ``least`` code points or more, ``least_docs``
     documents or more (at least 2) hold the key, and the document isn't the one
     with the largest doc_id among them; n_lines is counted before. All lines with
     that key stay there, however often it repeats it. Null and empty texts have
@@ -286,9 +286,9 @@ def dedup(docs: DataFrame, least: int = LEAST, most_docs: int = DOCS, keep_text:
     input row gives one row, an empty table an empty table; columns other than
     doc_id and text are not read.
     """
-    if most_docs < 2:
-        raise ValueError("a line of one document only is never dropped: most_docs must be 2 or more")
-    found = dropped(docs, least, most_docs).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"), "lines")
+    if least_docs < 2:
+        raise ValueError("a line of one document only is never dropped: least_docs must be 2 or more")
+    found = dropped(docs, least, least_docs).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"), "lines")
     rows = keyed(docs)
     joined = rows.join(found, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey")), "left").select("doc_id", "text", "lines")
     return joined.mapInArrow(_apply(keep_text), "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + (", kept string" if keep_text else ""))

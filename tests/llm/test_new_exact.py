@@ -15,7 +15,7 @@ from cpgloom.llm import line_dedup, resample, vector_codes
 # --- line dedup
 
 
-def brute_lines(rows, least=20, most_docs=3):
+def brute_lines(rows, least=20, least_docs=3):
     """Rows of (doc_id, text); each row is a document."""
     low = lambda d: (d is not None, d or 0)
 
@@ -30,7 +30,7 @@ def brute_lines(rows, least=20, most_docs=3):
     out = []
     for doc, text in rows:
         lines = (text or "").split("\n")
-        kept = [x for x in lines if not (key(x) in holders and len(holders[key(x)]) >= most_docs and low(doc) != max(map(low, holders[key(x)])))]
+        kept = [x for x in lines if not (key(x) in holders and len(holders[key(x)]) >= least_docs and low(doc) != max(map(low, holders[key(x)])))]
         out.append((doc, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest(), "\n".join(kept)))
     return sorted(out, key=str)
 
@@ -56,8 +56,8 @@ def test_lines_against_brute_force(docs):
     got = line_dedup.dedup(docs(rows))
     assert got.columns == ["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept"]
     assert sorted(map(tuple, got.collect()), key=str) == brute_lines(rows)
-    for least, most in ((1, 2), (5, 10)):
-        assert sorted(map(tuple, line_dedup.dedup(docs(rows), least, most).collect()), key=str) == brute_lines(rows, least, most)
+    for least, least_docs in ((1, 2), (5, 10)):
+        assert sorted(map(tuple, line_dedup.dedup(docs(rows), least, least_docs).collect()), key=str) == brute_lines(rows, least, least_docs)
     with pytest.raises(ValueError):
         line_dedup.dedup(docs(rows), 20, 1)
 
