@@ -13,13 +13,23 @@ block that an earlier document holds is a copy of the reference from a known
 place on. Where a block isn't copied whole, a factor may still end inside it: if
 blocks of other content share its anchor, its windows are looked up one by one
 among those of such blocks' first copies. (Windows of a block whose first copy
-is elsewhere need no such look, since that copy's windows stand for them.) From
-left to right, a factor goes on as long as the next window is a copy of the next
-place of the same reference document, so a factor is (reference document, place
-in it, length in words). Factors are made of whole windows, so all are long
-enough, and the words that they cover are the duplicate spans.
-
-Keys are pairs of 64-bit hashes (anchor and content), so they behave as 128 bits.
+is elsewhere need no such look, since that copy's windows stand for them.)
+
+A block's first place needn't be the one that goes on longest, so runs of 2, 4,
+8, ... neighbouring blocks are looked up too, each with its own first place: a
+block has as many known places as runs begin in it. What a block that isn't
+copied whole shares of its windows counts as a block here. Runs whose blocks'
+first places already follow one another say nothing new and are left out; that
+depends on their content only, so whoever looks a run up finds it wherever it stands.
+From left to right, a factor takes, of all known places that its first window is
+a copy of, the one that goes on longest, and ends where that one's copy ends. A
+factor is (reference document, place in it, length in words). Where a factor
+begins with a block and some earlier document holds the next b whole blocks, it
+gets more than b / 2 of them, as the longest run of a power of two is among the
+known places. Factors are made of whole windows, so all are long enough, and the
+words that they cover are the duplicate spans.
+
+Keys are pairs of 64-bit hashes, so they behave as 128 bits.
 """
 
 from __future__ import annotations
@@ -111,7 +121,7 @@ def _index(window: int, gram: int):
 
 
 def _windows(window: int):
-    names = ["doc_id", "tkey", "anchor", "content", "place"]
+    names = ["doc_id", "tkey", "anchor", "content", "place", "part"]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,23 +129,86 @@ def _windows(window: int):
             marks = batch.column(3)
             for a, b, data, offsets in slices(batch.column(2)):
                 starts, ends, first = word_spans(data, offsets)
-                whole = gram_hashes(word_hashes(data, starts, ends), window)
+                held = gram_hashes(word_hashes(data, starts, ends), window)
                 part = marks.slice(a, b - a)
                 flat = part.flatten()
                 sizes = np.diff(np.asarray(part.offsets))
                 row = np.repeat(np.arange(b - a), sizes)
                 start, n, anchor = (np.asarray(flat.field(f)) for f in ("start", "n", "anchor"))
+                whole = np.asarray(flat.field("shared"))
                 if not len(row):
                     continue
                 begin = np.concatenate(([0], np.cumsum(n)[:-1]))
                 rel = np.arange(int(n.sum())) - np.repeat(begin, n)
                 at = np.repeat(start, n) + rel
                 row = np.repeat(row, n)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[a:b][row]), pa.array(key[a:b][row]), pa.array(np.repeat(anchor, n)), pa.array(whole[first[row] + at].view(np.int64)), pa.array(at.astype(np.int32))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[a:b][row]), pa.array(key[a:b][row]), pa.array(np.repeat(anchor, n)), pa.array(held[first[row] + at].view(np.int64)), pa.array(at.astype(np.int32)), pa.array(np.repeat(~whole.astype(bool), n))], names=names)
 
     return look
 
 
+def runs_of(row: np.ndarray, start: np.ndarray, n: np.ndarray, ref: np.ndarray, at: np.ndarray, keys: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(first block, windows, keys) of the runs of 2, 4, 8, ... neighbouring blocks whose first places don't follow one another.
+
+    Blocks are in order of row and start; ``keys`` are hashes of each.
+    """
+    if len(row) < 2:
+        return
+    follows = (row[1:] == row[:-1]) & (start[1:] == start[:-1] + n[:-1])
+    turns = (ref[1:] != ref[:-1]) | (at[1:] - start[1:] != at[:-1] - start[:-1])
+    chain, turn = (np.concatenate(([0], np.cumsum(x))) for x in (~follows, turns))
+    size = 1
+    while size < len(row):
+        scale = powers(_ROLL, size + 1)[-1]
+        keys = [mix64(k[:-size] * scale + k[size:]) for k in keys]
+        size *= 2
+        last = np.arange(size - 1, len(row))
+        first = last - size + 1
+        whole = chain[last] == chain[first]
+        if not whole.any():
+            return
+        told = np.flatnonzero(whole & (turn[last] > turn[first]))
+        yield told, start[told + size - 1] + n[told + size - 1] - start[told], [k[told] for k in keys]
+
+
+def _run_keys(ref: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of a place and a length: what stands there is known by them."""
+    ref, at, n = (x.astype(np.int64).view(np.uint64) for x in (ref, at, n))
+    return [mix64(mix64(mix64(ref + np.uint64(salt)) + at) + n) for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)]
+
+
+def _fields(lists: pa.ListArray, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    """The row of each struct in the lists, and its fields."""
+    lists = lists.fill_null([])
+    flat = lists.flatten()
+    return np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets))), *(np.asarray(flat.field(f)) for f in names)
+
+
+def parts_of(row: np.ndarray, start: np.ndarray, ref: np.ndarray, at: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, start, windows, ref, at) of the longest runs of windows of one block that are copied from places that follow one another."""
+    order = np.lexsort((start, row))
+    row, start, ref, at, anchor = (x[order] for x in (row, start, ref, at, anchor))
+    fresh = np.ones(len(row), dtype=bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (ref[1:] != ref[:-1]) | (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1])
+    begin = np.flatnonzero(fresh)
+    return row[begin], start[begin], np.diff(np.concatenate((begin, [len(row)]))), ref[begin], at[begin]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "tkey", "key", "key2", "start", "n"]
+    for batch in batches:
+        doc, key = (np.asarray(batch.column(i)) for i in (0, 1))
+        blocks = _fields(batch.column(2), ("start", "n", "ref", "at"))
+        parts = parts_of(*_fields(batch.column(3), ("start", "ref", "at", "anchor")))
+        row, start, n, ref, at = (np.concatenate(x) for x in zip(blocks, parts))
+        order = np.lexsort((start, row))
+        row, start, n, ref, at = (x[order] for x in (row, start, n, ref, at))
+        for told, size, keys in runs_of(row, start, n, ref, at, _run_keys(ref, at, n)):
+            if len(told):
+                columns = (doc[row[told]], key[row[told]], *(k.view(np.int64) for k in keys), start[told].astype(np.int32), size.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, tkey, text): tkey tells rows of one doc_id apart by their texts."""
     text = text_or_empty(F.col("text"))
@@ -143,7 +216,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, tkey, copies array<struct<start, n, ref, at>>): runs of n windows that document ``ref``, an earlier one, holds from its word ``at`` on.
+    """(doc_id, tkey, copies array<struct<start, n, ref, at>>): n windows from ``start`` on that document ``ref``, an earlier one, holds from its word ``at`` on.
+
+    Copies may overlap: a block's own, those of the runs that it is part of, and windows looked up one by one.
 
     Aggregates are written before they are joined: a join of plain exchanges lets Spark split a block, anchor or text that many rows share.
     """
@@ -154,43 +229,74 @@ def marks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     shared = reference.groupBy("anchor").agg(F.count("*").alias("blocks"), F.min("ref").alias("low"), F.max("last").alias("high"))
     shared = materialize(shared.where((F.col("blocks") > 1) & (F.col("low") < F.col("high"))).select("anchor", F.lit(True).alias("varies")), "rlz-anchors")
     useful = reference.join(shared, "anchor", "left").where((F.col("ref") < F.col("last")) | F.col("varies"))
-    useful = materialize(useful.select("anchor", "block", "ref", "at", F.coalesce("varies", F.lit(False)).alias("varies")), "rlz-useful")
+    useful = materialize(useful.select("anchor", "block", "ref", "at", (F.col("ref") < F.col("last")).alias("shared"), F.coalesce("varies", F.lit(False)).alias("varies")), "rlz-useful")
     discard(reference, shared)
     copied = F.col("ref") < F.col("doc_id")
-    found = blocks.join(useful, ["anchor", "block"]).where(copied | F.col("varies"))
+    found = blocks.join(useful, ["anchor", "block"]).where(F.col("shared") | F.col("varies"))
     # sets, so that repeated rows of one text are one here
     per_doc = found.groupBy("doc_id", "tkey").agg(
-        F.collect_set(F.when(copied, F.struct("start", "n", "ref", "at"))).alias("copies"), F.collect_set(F.when(~copied, F.struct("start", "n", "anchor"))).alias("edges")
+        F.collect_set(F.when(F.col("shared"), F.struct("start", "n", "ref", "at"))).alias("chain"), F.collect_set(F.when(~copied & F.col("varies"), F.struct("start", "n", "anchor", "shared"))).alias("edges")
     )
     per_doc = materialize(per_doc, "rlz-copies")
     discard(blocks, useful)
     edges = per_doc.where(F.size("edges") > 0).select("doc_id", "tkey", "edges")
     texts = keyed.join(edges, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "edges")
-    look = materialize(texts.mapInArrow(_windows(window), "doc_id long, tkey long, anchor long, content long, place int"), "rlz-windows")
+    look = materialize(texts.mapInArrow(_windows(window), "doc_id long, tkey long, anchor long, content long, place int, part boolean"), "rlz-windows")
     early = look.groupBy("anchor", "content").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last"), F.min(F.struct("doc_id", "place"))["place"].alias("at"))
     early = materialize(early.where(F.col("ref") < F.col("last")).select("anchor", "content", "ref", "at"), "rlz-early")
-    late = look.join(early, ["anchor", "content"]).where(copied)
-    single = late.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct(F.col("place").alias("start"), F.lit(1).alias("n"), "ref", "at")).alias("places"))
-    both = per_doc.select("doc_id", "tkey", "copies").join(single, ["doc_id", "tkey"], "left")
-    both = both.select("doc_id", "tkey", F.when(F.col("places").isNull(), F.col("copies")).otherwise(F.concat("copies", "places")).alias("copies")).where(F.size("copies") > 0)
-    both = materialize(both, "rlz-marks")
+    single = look.join(early, ["anchor", "content"]).groupBy("doc_id", "tkey").agg(
+        F.collect_set(F.when(copied, F.struct(F.col("place").alias("start"), F.lit(1).alias("n"), "ref", "at"))).alias("places"),
+        F.collect_set(F.when(F.col("part"), F.struct(F.col("place").alias("start"), "ref", "at", "anchor"))).alias("parts"),
+    )
+    known = per_doc.select("doc_id", "tkey", "chain").join(single, ["doc_id", "tkey"], "left")
+    known = materialize(known.where((F.size("chain") > 0) | F.col("places").isNotNull()), "rlz-known")
     discard(per_doc, look, early)
+    runs = known.where((F.size("chain") > 1) | F.col("parts").isNotNull()).select("doc_id", "tkey", "chain", "parts")
+    runs = materialize(runs.mapInArrow(_runs, "doc_id long, tkey long, key long, key2 long, start int, n int"), "rlz-runs")
+    origin = runs.groupBy("key", "key2").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last"), F.min(F.struct("doc_id", "start"))["start"].alias("at"))
+    origin = materialize(origin.where(F.col("ref") < F.col("last")).select("key", "key2", "ref", "at"), "rlz-run-origins")
+    # a start's longest run, so that there are at most as many as blocks; a text is one row of known, so no text comes twice
+    longer = runs.join(origin, ["key", "key2"]).where(copied).repartition("doc_id", "tkey").groupBy("doc_id", "tkey", "start").agg(F.max_by(F.struct("n", "ref", "at"), "n").alias("m"))
+    longer = materialize(longer.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "m.n", "m.ref", "m.at")).alias("longer")), "rlz-longer")
+    discard(runs, origin)
+    none = F.array().cast("array<struct<start:int,n:int,ref:bigint,at:int>>")
+    own = F.filter("chain", lambda c: c["ref"] < F.col("doc_id"))
+    both = known.join(longer, ["doc_id", "tkey"], "left").select("doc_id", "tkey", F.concat(own, F.coalesce("places", none), F.coalesce("longer", none)).alias("copies"))
+    both = materialize(both.where(F.size("copies") > 0), "rlz-marks")
+    discard(known, longer)
     return both
 
 
 def factors(copies: list[tuple[int, int, int, int]], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """The greedy parse, as (first word, end word, reference document, its first word), from runs (start, n, ref, at) of copied windows.
+    """The greedy parse, as (first word, end word, reference document, its first word), from copies (start, n, ref, at) of windows.
 
-    A factor goes on while the next window is a copy of the reference's next
-    place. Runs don't overlap, as a window is either in a copied block or looked up.
+    Copies of one document that lie at the same distance from it and meet are one
+    stretch. A factor begins at the first window that is left and takes the
+    stretch around it that goes on longest, of equal ones that of the smallest
+    (document, place).
     """
-    out: list[list[int]] = []
-    for start, n, ref, at in sorted(copies):
-        if out and out[-1][2] == ref and start == out[-1][1] and at - start == out[-1][3] - out[-1][0]:
-            out[-1][1] += n
+    stretches: list[list[int]] = []
+    for ref, shift, start, end in sorted((ref, at - start, start, start + n) for start, n, ref, at in copies):
+        if stretches and stretches[-1][1:3] == [ref, shift] and start <= stretches[-1][3]:
+            stretches[-1][3] = max(stretches[-1][3], end)
+        else:
+            stretches.append([start, ref, shift, end])
+    stretches.sort()
+    out, left, at = [], 0, 0
+    best: tuple[int, int, int] | None = None  # (-end, ref, shift) of the longest stretch that begins at ``at`` or before
+    while True:
+        while left < len(stretches) and stretches[left][0] <= at:
+            start, ref, shift, end = stretches[left]
+            best = (-end, ref, shift) if best is None else min(best, (-end, ref, shift))
+            left += 1
+        if best is not None and -best[0] > at:
+            end, ref, shift = -best[0], *best[1:]
+            out.append((at, end - 1 + window, ref, at + shift))
+            at = end
+        elif left < len(stretches):
+            at, best = stretches[left][0], None
         else:
-            out.append([start, start + n, ref, at])
-    return [(a, b - 1 + window, ref, at) for a, b, ref, at in out]
+            return out
 
 
 def covered(parts: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
@@ -245,8 +351,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bo
     in a document with a smaller doc_id; spans are judged on the input. ``kept``
     joins the other words by one space. ``factors`` are the copies (start, end,
     ref, at): words start to end, exclusive, are those of document ``ref`` from
-    its word ``at`` on, the first document that holds the block, or of the windows
-    looked up, the window (of several rows with that doc_id, any).
+    its word ``at`` on, of the known places the one that goes on longest (of
+    several rows with that doc_id, any).
     Null text has no words. A row with a null doc_id is neither searched nor a
     source and stays whole; rows with equal doc_id are no sources for each
     other. Each input row gives one row; an empty table gives an empty table;

@@ -85,10 +85,73 @@ def test_no_break_space_is_part_of_a_word(docs):
 
 def test_factors():
     assert rlz_dedup.factors([(5, 2, 1, 30), (7, 1, 1, 32), (8, 3, 2, 0), (20, 1, 1, 9)], 10) == [(5, 17, 1, 30), (8, 20, 2, 0), (20, 30, 1, 9)]
+    # the longest of the stretches around the first window left, of equal ones the first document's; copies that meet are one stretch
+    assert rlz_dedup.factors([(0, 5, 1, 40), (0, 3, 2, 10), (3, 9, 2, 13), (4, 2, 0, 4), (12, 3, 7, 0), (12, 3, 3, 9)], 10) == [(0, 21, 2, 10), (12, 24, 3, 9)]
+    assert rlz_dedup.factors([(0, 8, 5, 0), (2, 4, 1, 0), (6, 6, 9, 3)], 4) == [(0, 11, 5, 0), (8, 15, 9, 5)]
+    assert rlz_dedup.factors([]) == []
     assert rlz_dedup.covered([(5, 17, 1, 30), (8, 20, 2, 0), (20, 30, 1, 9), (40, 50, 1, 0)]) == [(5, 30), (40, 50)]
     assert rlz_dedup.cut(list(range(12)), [(2, 5), (4, 6), (9, 12)]) == [0, 1, 6, 7, 8]
 
 
+def greedy(words, doc, window):
+    """Number of factors of the longest greedy parse of ``doc`` against all documents with smaller ids."""
+    own, i, n = words[doc], 0, 0
+    held = {}
+    for d in range(doc):
+        for p in range(len(words[d]) - window + 1):
+            held.setdefault(tuple(words[d][p : p + window]), []).append((d, p))
+    while i + window <= len(own):
+        longest = 0
+        for d, p in held.get(tuple(own[i : i + window]), ()):
+            m = window
+            while i + m < len(own) and p + m < len(words[d]) and own[i + m] == words[d][p + m]:
+                m += 1
+            longest = max(longest, m)
+        n, i = (n + 1, i + longest - window + 1) if longest else (n, i + 1)
+    return n
+
+
+def test_longest_source_wins(docs):
+    """A block's first place is not where it goes on longest: the run's own first place is taken."""
+    rng = random.Random(4)
+    a, b, c, d = ([f"p{k}_{rng.randrange(10**6)}" for _ in range(90)] for k in range(4))
+    x, y = (lambda k=k: [f"{k}{rng.randrange(10**9)}" for _ in range(25)] for k in "xy")
+    texts = [a, x() + a + b + y(), b + c, x() + a + b + c, x() + d + y(), x() + a + b + c + y(), c + d, x() + a + b + c + d, y() + a + b + c + d]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert run_dedup(docs, rows, 20, 5) == brute_dedup(rows, 20)
+    found = {r["doc_id"]: [tuple(f) for f in r["factors"]] for r in rlz_dedup.dedup(docs(rows), 20, 5).collect()}
+    assert found[5] == [(25, 295, 3, 25)]
+    assert found[8] == [(25, 385, 7, 25)]
+    longest = {k: greedy(dict(enumerate(texts)), k, 20) for k in found}
+    # document 7 needs a run that is no power of two: the factor gets more than half of its blocks, and one more follows
+    assert {k: len(f) for k, f in found.items()} == longest | {7: longest[7] + 1}
+
+
+def test_factors_against_the_longest_greedy_parse(docs):
+    """Whole queries: nowhere fewer factors than the longest greedy parse, nor more than twice as many, as the next b blocks of one source give more than b / 2."""
+    rng = random.Random(11)
+    parts = [[f"q{k}_{rng.randrange(10**6)}" for _ in range(rng.randrange(30, 120))] for k in range(8)]
+    texts = []
+    for i in range(60):
+        k, m = rng.randrange(8), rng.randrange(1, 6)
+        texts.append([w for j in range(m) for w in parts[(k + j) % 8]] + [f"o{i}_{j}" for j in range(rng.randrange(30))])
+        if rng.random() < 0.3:
+            texts[-1] = texts[-1] + parts[rng.randrange(8)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert run_dedup(docs, rows, 20, 5) == brute_dedup(rows, 20)
+    got = {r["doc_id"]: len(r["factors"]) for r in rlz_dedup.dedup(docs(rows), 20, 5).collect()}
+    want = {i: greedy(dict(enumerate(texts)), i, 20) for i in got}
+    assert all(want[i] <= got[i] <= 2 * want[i] for i in got)
+
+
+def test_runs_that_repeat_a_word(docs):
+    """One word repeated: each window is a block, runs are as many as the levels, and a start keeps its longest."""
+    rows = [(1, "z " * 700), (2, "z " * 600), (3, "z " * 5000)]
+    assert run_dedup(docs, rows, 50, 12) == brute_dedup(rows, 50)
+    found = {r["doc_id"]: len(r["factors"]) for r in rlz_dedup.dedup(docs(rows), 50, 12).collect()}
+    assert found[2] <= 2 and found[3] <= 10
+
+
 def test_passage_in_most_documents(docs):
     """One notice in nine of ten documents, between words of their own: a few factors cover it, and nothing else."""
     rng = random.Random(9)
