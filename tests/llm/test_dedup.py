@@ -128,7 +128,7 @@ def test_longest_source_wins(docs):
 
 
 def test_factors_against_the_longest_greedy_parse(docs):
-    """Whole queries: nowhere fewer factors than the longest greedy parse, nor more than twice as many, as the next b blocks of one source give more than b / 2."""
+    """Whole queries: nowhere fewer factors than the longest greedy parse, and in all not many more: a factor gets more than half of the blocks that the longest would."""
     rng = random.Random(11)
     parts = [[f"q{k}_{rng.randrange(10**6)}" for _ in range(rng.randrange(30, 120))] for k in range(8)]
     texts = []
@@ -141,7 +141,8 @@ def test_factors_against_the_longest_greedy_parse(docs):
     assert run_dedup(docs, rows, 20, 5) == brute_dedup(rows, 20)
     got = {r["doc_id"]: len(r["factors"]) for r in rlz_dedup.dedup(docs(rows), 20, 5).collect()}
     want = {i: greedy(dict(enumerate(texts)), i, 20) for i in got}
-    assert all(want[i] <= got[i] <= 2 * want[i] for i in got)
+    assert all(got[i] >= want[i] for i in got)
+    assert sum(got.values()) <= 1.75 * sum(want.values())
 
 
 def test_runs_that_repeat_a_word(docs):
