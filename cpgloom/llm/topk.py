@@ -95,26 +95,30 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, values: np.ndarray,
     """(query id, vector id, score) of each query's k best in a block; columns are vectors, rows dimensions.
 
     ``bounds``: scores that each query's results must reach (-inf for none).
-    Where float64 isn't exact, all scores are sums of Python integers.
+    A pair for which float64 isn't exact has a sum of Python integers as its score.
     """
     dims = max(len(queries), len(values))
     q, v = np.zeros((dims, queries.shape[1])), np.zeros((dims, values.shape[1]))
     q[: len(queries)], v[: len(values)] = queries, values
-    with np.errstate(over="ignore"):
-        top_q, top_v = (float(np.abs(np.floor(x * SCALE)).max(initial=0)) for x in (q, v))
+    with np.errstate(over="ignore", invalid="ignore"):
+        whole_q, whole_v = q, v
+        q, v = np.floor(q * SCALE), np.floor(v * SCALE)
+        top_q, top_v = (np.abs(x).max(axis=0, initial=0) for x in (q, v))
+        rest_q, rest_v = norms(q), norms(v)
+        finite_q, finite_v = (np.isfinite(x[0]) for x in (rest_q, rest_v))
+        # vectors that are too large for one of the queries; only these become Python integers
+        large = ~(top_q.max(initial=0) * top_v * max(dims, 1) < EXACT) | ~finite_v | ~finite_q.all()
+    integers = _integers(whole_v[:, large])
     out = []
-    if not top_q * top_v * max(dims, 1) < EXACT:
-        whole_q, whole_v = _integers(q), _integers(v)
-        for j, own in enumerate(query_ids.tolist()):
-            score = (whole_q[:, j, None] * whole_v).sum(0) if dims else np.zeros(len(ids), dtype=object)
-            best = sorted(((-score[i], c) for i, c in enumerate(ids.tolist()) if c != own))[:k]
-            out += [(own, c, -s) for s, c in best]
-        return out
-    q, v = np.floor(q * SCALE), np.floor(v * SCALE)
-    rest_q, rest_v = norms(q), norms(v)
     for j, own in enumerate(query_ids.tolist()):
         least = -np.inf if bounds is None else bounds[j]
-        alive = np.flatnonzero((ids != own) & (rest_q[0, j] * rest_v[0] + 1e-6 >= least))
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = (top_q[j] * top_v * max(dims, 1) < EXACT) & finite_v & finite_q[j]
+            alive = np.flatnonzero(exact & (ids != own) & (rest_q[0, j] * rest_v[0] + 1e-6 >= least))
+        others: list[tuple[int, int]] = []
+        if not exact.all():
+            sums = (_integers(whole_q[:, j : j + 1]) * integers).sum(0) if dims else np.zeros(int(large.sum()), dtype=object)
+            others = [(-s, c) for s, c, e in zip(sums, ids[large].tolist(), exact[large]) if c != own and not e]
         score = np.zeros(len(alive))
         for d in range(0, dims, step):
             if not len(alive):
@@ -128,7 +132,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, values: np.ndarray,
             keep = score + left + 1e-6 >= least
             alive, score = alive[keep], score[keep]
         best = np.lexsort((ids[alive], -score))[:k]
-        out += [(own, int(ids[alive[b]]), int(score[b])) for b in best]
+        out += [(own, c, -s) for s, c in sorted(others + [(-int(score[b]), int(ids[alive[b]])) for b in best])[:k]]
     return out
 
 

@@ -1,7 +1,9 @@
 """Mixing, top-k search, BPE and the pipeline."""
 
 import hashlib
+import math
 import random
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -176,6 +178,27 @@ def test_bpe_equals_the_library(docs):
     assert bpe.encode(docs([])).count() == 0
 
 
+def test_top_k_sums_integers_for_large_vectors_only(monkeypatch):
+    """A few huge components among ordinary ones: the same results, and no other vector becomes Python integers."""
+    rng = np.random.default_rng(8)
+    q, v = rng.normal(size=(12, 7)), rng.normal(size=(12, 300))
+    v[3, 5], v[7, 90], v[0, 91], q[2, 6] = 3e12, -4e200, 1.7e308, 5e14
+    v[:, 10], q[:, 1] = 0.0, 0.0
+    ids, own = np.arange(300), np.arange(295, 302)
+    shapes = []
+    whole = topk._integers
+    monkeypatch.setattr(topk, "_integers", lambda x: shapes.append(x.shape) or whole(x))
+    for k in (3, 400):
+        want = []
+        for j, o in enumerate(own.tolist()):
+            scores = [(-sum(math.floor(Fraction(float(a)) * 256) * math.floor(Fraction(float(b)) * 256) for a, b in zip(q[:, j], v[:, i])), i) for i in ids.tolist() if i != o]
+            want += [(o, i, -s) for s, i in sorted(scores)[:k]]
+        assert topk.search_block(q, own, v, ids, k, step=5) == want
+    shapes.clear()
+    topk.search_block(q[:, :6], own[:6], v, ids, 3)
+    assert shapes[0] == (12, 3) and set(shapes[1:]) <= {(12, 1)}
+
+
 def test_bpe_splits_every_class_of_code_points():
     import public_tokenizers
     from tokenizers import Tokenizer
