@@ -108,13 +108,33 @@ def stats(units: DataFrame) -> DataFrame:
     )
 
 
-def check_index(places: DataFrame, units: DataFrame, cpgs: DataFrame) -> None:
-    """A unit index is sound if places are 0 .. n - 1, each with another CpG of ``cpgs`` and in the unit that its range says, and ranges meet without gaps; else it is an error."""
-    n = cpgs.count()
-    own = places.join(units.select("unit", "output_offset", "cpg_count"), "unit", "left")
+def index_faults(places: DataFrame, units: DataFrame, cpgs: DataFrame) -> DataFrame:
+    """(fault, n): what is wrong with a unit index of (dest, unit, cpg_idx) over all ``cpgs``; a sound one has no row.
+
+    missing: CpGs without a place. repeated: places of a CpG beyond its first.
+    unknown: placed CpGs that ``cpgs`` doesn't have. shared: CpGs of a place beyond
+    its first. outside: places that aren't in the range of their unit. unfilled: by
+    how much ranges and used places differ. gaps: ranges that begin neither at 0 nor
+    where another ends.
+    """
+    known = cpgs.select("cpg_idx").distinct().withColumn("known", F.lit(True))
+    of = places.groupBy("cpg_idx").agg(F.count("*").alias("k")).join(known, "cpg_idx", "full_outer")
+    extra = F.coalesce(F.sum(F.when(F.col("known"), F.col("k") - 1)), F.lit(0))
+    by_cpg = of.agg(F.count_if(F.col("k").isNull()).alias("missing"), extra.alias("repeated"), F.count_if(F.col("known").isNull()).alias("unknown"))
+    taken = places.groupBy("dest").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("shared"), F.count("*").alias("used"))
     inside = (F.col("dest") >= F.col("output_offset")) & (F.col("dest") < F.col("output_offset") + F.col("cpg_count"))
-    at = own.agg(F.count("*").alias("n"), F.count_distinct("dest").alias("places"), F.min("dest").alias("low"), F.max("dest").alias("high"), F.count_if(inside).alias("inside")).first()
-    known = places.select("cpg_idx").distinct().join(cpgs.select("cpg_idx"), "cpg_idx", "left_semi").count()
-    total = units.agg(F.sum("cpg_count").alias("n")).first()["n"] or 0
-    if not at["n"] == at["places"] == at["inside"] == known == total == n or n and (at["low"], at["high"]) != (0, n - 1):
-        raise ValueError("the unit index doesn't hold each CpG once, in the range of its unit")
+    outside = places.join(units.select("unit", "output_offset", "cpg_count"), "unit", "left").agg(F.count_if(~F.coalesce(inside, F.lit(False))).alias("outside"))
+    total = units.agg(F.coalesce(F.sum("cpg_count"), F.lit(0)).alias("total"))
+    ends = units.select((F.col("output_offset") + F.col("cpg_count")).alias("at"))
+    gaps = units.where("output_offset <> 0").select(F.col("output_offset").alias("at")).join(ends, "at", "left_anti").agg(F.count("*").alias("gaps"))
+    # one row each
+    found = by_cpg.crossJoin(taken).crossJoin(outside).crossJoin(total).crossJoin(gaps).withColumn("unfilled", F.abs(F.col("total") - F.col("used")))
+    kinds = ("missing", "repeated", "unknown", "shared", "outside", "unfilled", "gaps")
+    return found.select(F.explode(F.array(*[F.struct(F.lit(k).alias("fault"), F.col(k).cast("long").alias("n")) for k in kinds])).alias("f")).select("f.*").where("n > 0")
+
+
+def check_index(places: DataFrame, units: DataFrame, cpgs: DataFrame) -> None:
+    """A unit index is sound if places are 0 .. n - 1, each with another CpG of ``cpgs`` and in the unit that its range says, and ranges meet without gaps; else it is an error that says what is wrong."""
+    found = {r["fault"]: r["n"] for r in index_faults(places, units, cpgs).collect()}  # seven kinds at most
+    if found:
+        raise ValueError("the unit index doesn't hold each CpG once, in the range of its unit: " + ", ".join(f"{n} {k}" for k, n in sorted(found.items())))

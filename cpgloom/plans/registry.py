@@ -26,6 +26,7 @@ from cpgloom.plans.sql import TOP, sql
 from cpgloom.sources import artifacts as A
 from cpgloom.sources import bindings as B
 from cpgloom.sources import readers as R
+from cpgloom.streaming import inference as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -325,6 +326,16 @@ def linear_threshold_score(spark, d):
     return rounded(C.score_linear(f, C.fit_threshold(f, B.labels(spark, d))))
 
 
+@query(ORACLES["linear_threshold_score"])
+def stream_threshold_score(spark, d):
+    """The cells arrive as files, whole in one each, and are classified by micro-batches."""
+    model = A.stage(C.fit_threshold(staged_feats(spark, d), B.labels(spark, d)), "linear")
+    arrived, out, at = (A.scratch(spark, name) for name in ("arrived", "classified", "stream"))
+    B.query_obs(spark, d).repartition(12, "cell_id").write.parquet(arrived)
+    L.classify_stream(spark, arrived, masked(spark, d), STATES, model, out, at, files=4).awaitTermination()
+    return rounded(spark.read.parquet(out).drop("batch"))
+
+
 @query(sql("SELECT pattern, 0.0 AS slope FROM lmeans", "lmeans"))
 def linear_logistic_optimum(spark, d):
     """The logistic fit is where its objective has no slope."""
@@ -436,6 +447,29 @@ def unit_cpg_scatter(spark, d):
     return U.scatter(*placed(spark, d), TARGET)
 
 
+@query(sql("", "allunits", "member", "cpgs").rstrip() + """, place AS (SELECT p.dest, u.unit, p.cpg_idx FROM (SELECT row_number() OVER (ORDER BY rank NULLS LAST, cpg_idx) - 1 AS dest, cpg_idx FROM member) p
+  JOIN allunits u ON p.dest >= u.output_offset AND p.dest < u.output_offset + u.cpg_count),
+pl AS (SELECT CASE WHEN dest % 50 = 7 THEN dest + 1 ELSE dest END AS dest, unit, CASE WHEN cpg_idx % 89 = 5 THEN -cpg_idx WHEN cpg_idx % 83 = 1 THEN cpg_idx + 1 ELSE cpg_idx END AS cpg_idx FROM place WHERE cpg_idx % 97 <> 3),
+un AS (SELECT unit, output_offset, CASE WHEN unit % 4 = 2 THEN cpg_count - 1 ELSE cpg_count END AS cpg_count FROM allunits),
+f AS (SELECT 'missing' AS fault, (SELECT count(*) FROM cpgs WHERE cpg_idx NOT IN (SELECT cpg_idx FROM pl)) AS n
+  UNION ALL SELECT 'repeated', (SELECT count(*) - count(DISTINCT cpg_idx) FROM pl WHERE cpg_idx IN (SELECT cpg_idx FROM cpgs))
+  UNION ALL SELECT 'unknown', (SELECT count(DISTINCT cpg_idx) FROM pl WHERE cpg_idx NOT IN (SELECT cpg_idx FROM cpgs))
+  UNION ALL SELECT 'shared', (SELECT count(*) - count(DISTINCT dest) FROM pl)
+  UNION ALL SELECT 'outside', (SELECT count(*) FROM pl JOIN un USING (unit) WHERE dest < output_offset OR dest >= output_offset + cpg_count)
+  UNION ALL SELECT 'unfilled', CAST(abs((SELECT sum(cpg_count) FROM un) - (SELECT count(DISTINCT dest) FROM pl)) AS BIGINT)
+  UNION ALL SELECT 'gaps', (SELECT count(*) FROM un WHERE output_offset <> 0 AND output_offset NOT IN (SELECT output_offset + cpg_count FROM un)))
+SELECT * FROM f WHERE n > 0""")
+def unit_index_faults(spark, d):
+    """What is found in a unit index with moved, lost, foreign and repeated CpGs and shortened ranges."""
+    of, ranked, real = placed(spark, d)
+    units, c = A.stage(every_unit(of, real), "units"), F.col("cpg_idx")
+    foreign = F.when(c % 89 == 5, -c).when(c % 83 == 1, c + 1).otherwise(c)
+    dest = F.when(F.col("dest") % 50 == 7, F.col("dest") + 1).otherwise(F.col("dest"))
+    places = A.stage(U.scatter(of, ranked, real, TARGET).where(c % 97 != 3).select(dest.alias("dest"), "unit", foreign.alias("cpg_idx")), "places")
+    short = units.withColumn("cpg_count", F.when(F.col("unit") % 4 == 2, F.col("cpg_count") - 1).otherwise(F.col("cpg_count")))
+    return U.index_faults(places, short, B.cpgs(spark, d))
+
+
 @query(sql("SELECT class, count(*) AS units, min(cpg_count) AS min_cpgs, round(avg(cpg_count), 6) AS mean_cpgs, max(cpg_count) AS max_cpgs, count(*) FILTER (oversized) AS oversized FROM allunits GROUP BY class", "allunits"))
 def unit_stats(spark, d):
     of, _, real = placed(spark, d)
@@ -444,14 +478,31 @@ def unit_stats(spark, d):
 
 # ---- simulation and training inputs ----
 
-@query("SELECT CAST(i AS INTEGER) AS rep, CAST([10, 20, 50][i // 3 + 1] AS BIGINT) AS sample FROM (SELECT unnest(range(9)) AS i)")
+def covered(spark, d):
+    """(cell_id, n): how many CpGs each cell covers."""
+    return B.query_obs(spark, d).where(S.coverage() > 0).groupBy("cell_id").agg(F.count("*").alias("n"))
+
+
+# sizes are the quartiles (nearest rank) of the CpGs that a cell covers, or go from the least to the most of them
+_COVERED = ", cov AS (SELECT cell_id, count(*) AS n FROM query_obs WHERE m + u > 0 GROUP BY 1)"
+_QUARTILES = sql("", "query_obs").rstrip() + _COVERED + ", fixed AS (SELECT CAST(i AS INTEGER) AS rep, levels[i // 3 + 1] AS sample FROM (SELECT list_sort(list_distinct(quantile_disc(n, [0.25, 0.5, 0.75]))) AS levels FROM cov), LATERAL (SELECT unnest(range(3 * len(levels))) AS i))\n"
+
+
+def quartile_ladder(spark, d):
+    """Three replicates of each quartile of the cells' covered CpGs."""
+    found = covered(spark, d).agg(F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY n)").alias("a"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n)").alias("b"), F.expr("percentile_disc(0.75) WITHIN GROUP (ORDER BY n)").alias("c"))
+    return M.ladder_fixed(spark, sorted({int(x) for x in found.first() if x is not None}), 3)
+
+
+@query(_QUARTILES + "SELECT * FROM fixed")
 def sim_ladder_fixed(spark, d):
-    return M.ladder_fixed(spark, [10, 20, 50], 3)
+    return quartile_ladder(spark, d)
 
 
-@query("SELECT CAST(i AS INTEGER) AS rep, greatest(1, CAST(floor(exp(ln(5.0) + (ln(200.0) - ln(5.0)) * pow(i / 19.0, 0.5)) + 0.5) AS BIGINT)) AS sample FROM (SELECT unnest(range(20)) AS i)")
+@query(sql("", "query_obs").rstrip() + _COVERED + "\nSELECT CAST(i AS INTEGER) AS rep, greatest(1, CAST(floor(exp(ln(a) + (ln(b) - ln(a)) * pow(i / 19.0, 0.5)) + 0.5) AS BIGINT)) AS sample FROM (SELECT CAST(min(n) AS DOUBLE) AS a, CAST(max(n) AS DOUBLE) AS b FROM cov), LATERAL (SELECT unnest(range(20)) AS i)")
 def sim_ladder_log(spark, d):
-    return M.ladder_log(spark, 20, 5, 200)
+    low, high = covered(spark, d).agg(F.min("n"), F.max("n")).first()
+    return M.ladder_log(spark, 20, low or 1, high or 1)
 
 
 @query(sql("SELECT rep, cell_id, cpg_idx FROM sampled", "sampled"))
@@ -1053,9 +1104,9 @@ def eval_rank_rollup(spark, d):
     return rounded(E.rank_rollup(units.withColumn("rank_a", F.lit(16)).withColumn("rank_b", F.when(k < 0, 16).when(k % 2 == 0, 32).otherwise(8))))
 
 
-@query("SELECT CAST([10, 20, 50][i // 3 + 1] AS BIGINT) AS sample, count(*) AS n_reps FROM (SELECT unnest(range(9)) AS i) GROUP BY 1")
+@query(_QUARTILES + "SELECT sample, count(*) AS n_reps FROM fixed GROUP BY 1")
 def store_levels(spark, d):
-    return E.levels(M.ladder_fixed(spark, [10, 20, 50], 3))
+    return E.levels(quartile_ladder(spark, d))
 
 
 @query(sql("""SELECT 'kind' AS key, 'patterns' AS value UNION ALL SELECT 'patterns.rows', CAST((SELECT count(*) FROM ranked) AS VARCHAR) UNION ALL SELECT 'patterns.columns', 'rank,label,pattern,n'

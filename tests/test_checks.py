@@ -146,3 +146,25 @@ def test_descriptions_by_kind(spark):
     nodes = spark.createDataFrame([(0, 0, "a", 0, 1, None), (0, 0, "a", 1, None, 0.1), (0, 1, "b", 0, None, 0.3)], "round int, class_idx int, label string, node int, feature int, value double")
     got = told({"nodes": nodes}, "boosted")
     assert (got["rounds"], got["classes"], got["used_features"], got["leaves"], got["labels"]) == ("1", "2", "1", "2", "a,b")
+
+
+def test_faults_of_an_index(spark):
+    units = spark.createDataFrame([(0, 0, 3), (1, 3, 2)], "unit int, output_offset long, cpg_count long")
+    cpgs = spark.range(10, 15).withColumnRenamed("id", "cpg_idx")
+
+    def faults(rows, of=units):
+        return {r["fault"]: r["n"] for r in U.index_faults(spark.createDataFrame(rows, "dest long, unit int, cpg_idx long"), of, cpgs).collect()}
+
+    good = [(i, int(i >= 3), 10 + i) for i in range(5)]
+    assert faults(good) == {}
+    assert faults([(0, 0, 99), *good[1:]]) == {"missing": 1, "unknown": 1}
+    assert faults([(0, 0, 11), *good[1:]]) == {"missing": 1, "repeated": 1}
+    assert faults([(1, 0, 10), *good[1:]]) == {"shared": 1, "unfilled": 1}
+    assert faults([(0, 1, 10), *good[1:]]) == {"outside": 1}
+    assert faults([(None, 0, None), *good[1:]]) == {"missing": 1, "unknown": 1, "outside": 1}
+    assert faults(good[:4]) == {"missing": 1, "unfilled": 1}
+    assert faults([]) == {"missing": 5, "unfilled": 5}
+    late = spark.createDataFrame([(0, 0, 2), (1, 3, 2)], "unit int, output_offset long, cpg_count long")
+    assert faults(good, late) == {"outside": 1, "unfilled": 1, "gaps": 1}
+    with pytest.raises(ValueError, match="1 missing, 1 unfilled"):
+        U.check_index(spark.createDataFrame(good[:4], "dest long, unit int, cpg_idx long"), units, cpgs)
