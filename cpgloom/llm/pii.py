@@ -4,7 +4,8 @@ One map over the texts finds candidate spans and lets labelers vote on each:
 fixed patterns, validity rules, gazetteers and context words. The corpus is then
 counted by kind and vote pattern, a table of fixed size, on which
 expectation-maximisation estimates each labeler's reliability and each pattern's
-probability of being personal data. These soft labels, with the shape features
+probability of being personal data; base spans count as true, and candidates
+that break the rules of their kind as false. These soft labels, with the shape features
 of the spans, train a logistic span classifier, again on counts by feature
 pattern. Base spans always stay. Further candidates are matches of looser
 patterns, and matches of the base patterns that failed their check, which the
@@ -17,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,7 @@ CALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 5
 CARD_LEADS = ("34", "37", "4", "51", "52", "53", "54", "55", "60", "65", "35", "2")
 
 LABELERS = ("pattern", "valid", "gazetteer", "context", "against")
+PATTERN, VALID = 0, 1
 #: Threshold of the classifier; rounds of expectation-maximisation.
 THRESHOLD, ROUNDS = 0.5, 50
 #: Odds that a pattern's votes are judged against at first: a labeler is right so often.
@@ -130,13 +132,13 @@ def votes(text: str, kind: str, s: int, e: int, pattern: int) -> tuple[int, ...]
             valid = known = -1
     elif kind == "ip":
         parts = span.split(".")
-        valid = 1 if len(parts) == 4 and all(p == "0" or not p.startswith("0") for p in parts) else -1
+        valid = 1 if len(parts) == 4 and all(p == "0" or not p.startswith("0") and len(p) <= 3 and int(p) <= 255 for p in parts) else -1
         known = -1 if parts[0] in ("0", "1", "2", "3") and len(span) < 9 else 1
     elif kind == "card":
         valid, known = (1 if luhn(digits) else -1), (1 if digits.startswith(CARD_LEADS) else -1)
     else:
-        valid = 1 if 10 <= len(digits) <= 13 else -1
         dialled = digits[2:] if span.startswith("00") else digits if span.startswith("+") else ""
+        valid = 1 if 10 <= len(dialled or digits) <= 13 else -1
         known = 1 if dialled and any(dialled[:n] in CALLING for n in (1, 2)) else 0
     cue = 1 if CUES[kind].search(before) else 0
     return (pattern, valid, known, cue, -1 if AGAINST.search(before) else 0)
@@ -201,26 +203,47 @@ def vote_pattern(pattern: str) -> tuple[str, tuple[int, ...]]:
     return kind, tuple(map(int, vote.split(",")))
 
 
-def em(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[np.ndarray, dict[tuple[int, ...], float]]:
+def known(patterns: Iterable[tuple[int, ...]]) -> dict[tuple[int, ...], int]:
+    """What needs no estimate: base spans (the pattern labeler votes for no others) are true, other candidates that break their kind's rules are not."""
+    return {v: int(v[PATTERN] > 0) for v in patterns if v[PATTERN] > 0 or v[VALID] < 0}
+
+
+def em(patterns: dict[tuple[int, ...], int], sure: dict[tuple[int, ...], int] | None = None, rounds: int = ROUNDS) -> tuple[np.ndarray, dict[tuple[int, ...], float]]:
     """Reliabilities (chance that a vote is right, of each labeler) and the probability of each vote pattern.
 
-    Latent class model: labelers vote independently given the truth; a labeler
-    that does not vote says nothing. Starts from FIRST_RIGHT.
+    Latent class model: labelers vote independently given the truth. A labeler that
+    votes both ways has a chance to be right on true and one on other spans, so a
+    vote that it gives to everything says little; where it doesn't vote it says
+    nothing. One that only ever votes for, or only against, has a rate of voting in
+    either class. A vote for never counts against a span, nor the other way round.
+    ``sure`` gives patterns that are known to be true (1) or not (0), as ``known``
+    does. As one labeler's vote chose them, they don't count for its reliability,
+    and their share says nothing of the others: without votes these are as likely
+    true as not. Starts from FIRST_RIGHT.
     """
     rows = sorted(patterns)
     if not rows:
         return np.full(len(LABELERS), FIRST_RIGHT), {}
     v = np.array(rows)
     n = np.array([patterns[r] for r in rows], dtype=float)
-    right, prior = np.full(v.shape[1], FIRST_RIGHT), 0.5
-    p = np.full(len(rows), 0.5)
+    truth = np.array([(sure or {}).get(r, -1) for r in rows])
+    counts = np.ones(v.shape, bool)
+    counts[truth == 1, PATTERN] = counts[truth == 0, VALID] = False
+    up, down = (v > 0) & counts, (v < 0) & counts
+    lone = ~(up.any(0) & down.any(0))
+    most, first = np.log(0.99 / 0.01), np.log(FIRST_RIGHT / (1 - FIRST_RIGHT))
+    odds_up, odds_down = np.full(v.shape[1], first), np.full(v.shape[1], -first)
     for _ in range(rounds):
-        logit = np.log(prior / (1 - prior)) + v @ np.log(right / (1 - right))
-        p = 1 / (1 + np.exp(-logit))
-        agree = np.where(v > 0, p[:, None], 1 - p[:, None]) * (v != 0)
-        right = ((agree * n[:, None]).sum(0) + 2 * FIRST_RIGHT) / (((v != 0) * n[:, None]).sum(0) + 2)
-        right = np.clip(right, 0.51, 0.99)
-        prior = float(np.clip((p * n).sum() / n.sum(), 0.05, 0.95))
+        p = np.where(truth < 0, 1 / (1 + np.exp(-(up @ odds_up + down @ odds_down))), truth)
+        true, other = p * n, (1 - p) * n
+        # votes for and against in both classes, each with the start's votes beside them
+        a, b = true @ up + 2 * FIRST_RIGHT, true @ down + 2 * (1 - FIRST_RIGHT)
+        c, d = other @ up + 2 * (1 - FIRST_RIGHT), other @ down + 2 * FIRST_RIGHT
+        of_true, of_other = np.where(lone, true @ counts + 4, a + b), np.where(lone, other @ counts + 4, c + d)
+        odds_up = np.clip(np.log(a / of_true) - np.log(c / of_other), 0, most)
+        odds_down = np.clip(np.log(b / of_true) - np.log(d / of_other), -most, 0)
+    agree = np.where(v > 0, p[:, None], 1 - p[:, None]) * (v != 0)
+    right = (n @ agree + 2 * FIRST_RIGHT) / (n @ (v != 0) + 2)
     return right, dict(zip(rows, p.tolist()))
 
 
@@ -238,7 +261,7 @@ def train(counts: dict[str, int], rounds: int = 300) -> dict[str, float]:
             k, v = vote_pattern(pattern)
             if k == kind:
                 own[v] = own.get(v, 0) + n
-        _, p = em(own)
+        _, p = em(own, known(own))
         soft |= {pattern: p[vote_pattern(pattern)[1]] for pattern in counts if vote_pattern(pattern)[0] == kind}
     names = sorted({c for p in counts for c in _columns(p)})
     at = {c: i for i, c in enumerate(names)}
