@@ -134,19 +134,21 @@ def target_variance(codes: DataFrame, places: DataFrame, units: DataFrame, train
     return rows.groupBy("unit").agg(F.var_pop(F.col("code") / 65534.0).alias("variance"))
 
 
-def pilot(units: DataFrame, mixed: int = 6, pna: int = 8) -> DataFrame:
+def pilot(units: DataFrame, mixed: int = 6, pna: int = 8, strict: bool = True) -> DataFrame:
     """(unit, class): evenly spaced picks of each quarter of the mixed units by variance, and of the background units in order.
 
-    ``units`` is (unit, class, variance), a row for each unit; pure units have no part. Too few units to pick from are an error.
+    ``units`` is (unit, class, variance), a row for each unit; pure units have no part. Too few units to pick from are an
+    error; unless ``strict`` the places then fall on the same units, and a stratum gives what it has.
     """
     rows = units.where(F.col("class").isin("mixed", "PNA"))
     order = Window.partitionBy("class").orderBy(F.when(F.col("class") == "mixed", F.col("variance")).asc_nulls_last(), "unit")
     rows = rows.withColumn("quarter", F.when(F.col("class") == "mixed", F.ntile(4).over(order)).otherwise(0))
     group = Window.partitionBy("class", "quarter")
     rows = rows.withColumn("rn", F.row_number().over(group.orderBy(F.when(F.col("class") == "mixed", F.col("variance")).asc_nulls_last(), "unit")) - 1).withColumn("n", F.count("*").over(group))
-    have = {(r["class"], r["quarter"]): r["n"] for r in rows.select("class", "quarter", "n").distinct().collect()}  # five rows
-    if any(have.get(("mixed", q), 0) < mixed for q in (1, 2, 3, 4)) or have.get(("PNA", 0), 0) < pna:
-        raise ValueError("too few units in a stratum")
+    if strict:
+        have = {(r["class"], r["quarter"]): r["n"] for r in rows.select("class", "quarter", "n").distinct().collect()}  # five rows
+        if any(have.get(("mixed", q), 0) < mixed for q in (1, 2, 3, 4)) or have.get(("PNA", 0), 0) < pna:
+            raise ValueError("too few units in a stratum")
     picked = F.when(F.col("class") == "mixed", F.array_contains(spaced(F.col("n"), mixed), F.col("rn"))).otherwise(F.array_contains(spaced(F.col("n"), pna), F.col("rn")))
     return rows.where(picked).select("unit", "class")
 
