@@ -1,8 +1,11 @@
 """What only tables larger than the smallest ones show: strata that run empty, many values, one step for many cells."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cpgloom.operators import evaluate as E
+from cpgloom.operators import upscale as V
 
 
 def test_pilot_of_few_units_gives_what_there_is(spark):
@@ -15,3 +18,23 @@ def test_pilot_of_few_units_gives_what_there_is(spark):
     mixed = spark.createDataFrame([(u, "mixed", 0.1 * u) for u in range(5)], "unit int, class string, variance double")
     # quarters of 2, 1, 1 and 1
     assert sorted(r["unit"] for r in E.pilot(mixed, 2, 2, strict=False).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_blocks_are_no_group_of_their_own(spark):
+    """Networks pass with their cells in one stream: thousands of blocks of one CpG each are no calls."""
+    n = 3000
+    same = {c: [1.0] for c in V.NETWORK} | {"fill": [0.5], "mean": [0.0]}
+    models = spark.range(n).select(F.col("id").alias("block"), *[F.array(*[F.lit(v) for v in same[c]]).alias(c) if c != "b2" else F.array(F.col("id") / n).alias(c) for c in V.NETWORK]).where("block % 10 <> 3")
+    wanted = spark.range(4 * n).selectExpr("id % 7 * 70000 AS cell_id", f"id % {n} AS cpg_idx")
+    inputs = spark.range(6).selectExpr("id * 70000 AS cell_id", "array(IF(id = 2, NULL, double(id))) AS x")
+    out = V.predict_blocks(inputs, models, wanted.union(wanted), 1)
+    assert "FlatMap" not in out._jdf.queryExecution().toString()
+    got = {(r["cell_id"], r["cpg_idx"]): r["p"] for r in out.collect()}
+    want = {}
+    for c, g in {(i % 7 * 70000, i % n) for i in range(4 * n)}:
+        if c < 420000 and g % 10 != 3:
+            x = 0.5 if c == 140000 else c / 70000
+            h = (max(x + 1, 0) - 1) / np.sqrt(1 + 1e-5) + 1
+            want[c, g] = 1 / (1 + np.exp(-(h + g / n)))
+    assert got.keys() == want.keys() == {(r["cell_id"], r["cpg_idx"]) for r in out.select("cell_id", "cpg_idx").collect()} and out.count() == len(want)
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
