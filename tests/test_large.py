@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cpgloom.operators import evaluate as E
+from cpgloom.operators import train as T
 from cpgloom.operators import upscale as V
 
 
@@ -20,6 +21,13 @@ def test_pilot_of_few_units_gives_what_there_is(spark):
     assert sorted(r["unit"] for r in E.pilot(mixed, 2, 2, strict=False).collect()) == [0, 1, 2, 3, 4]
 
 
+def heads(spark, units):
+    return spark.createDataFrame(units, "unit int, mode string, rank int, a array<double>, head array<double>, E array<double>, b array<double>, cpgs array<long>")
+
+
+_UNITS = [(0, "factor", 1, [0.1], [1.0, -1.0], [0.5, -1.0], [-0.2, 0.3], [0, 2]), (1, "direct", 0, [], [0.0, 1.0], [], [0.05], [1])]
+
+
 def test_blocks_are_no_group_of_their_own(spark):
     """Networks pass with their cells in one stream: thousands of blocks of one CpG each are no calls."""
     n = 3000
@@ -38,3 +46,13 @@ def test_blocks_are_no_group_of_their_own(spark):
             want[c, g] = 1 / (1 + np.exp(-(h + g / n)))
     assert got.keys() == want.keys() == {(r["cell_id"], r["cpg_idx"]) for r in out.select("cell_id", "cpg_idx").collect()} and out.count() == len(want)
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_heads_meet_only_their_own_rows(spark):
+    inputs = spark.createDataFrame([(r, c, [float(c), 0.5]) for c in range(5) for r in range(2)], "rep int, cell_id long, x array<double>")
+    rows = spark.createDataFrame([(0, 1, 0, [0, 1], [0.5, 0.25]), (0, 3, 1, [1], [1.0]), (1, 2, 0, [0], [0.0])], "unit int, cell_id long, rep int, local array<int>, y array<double>")
+    out = T.errors(heads(spark, _UNITS), rows, inputs)
+    s = lambda z: 1 / (1 + np.exp(-z))
+    h = [c - 0.5 + 0.1 for c in range(5)]
+    want = {0: (3, (abs(s(0.5 * h[1] - 0.2) - 0.5) + abs(s(0.3 - h[1]) - 0.25) + abs(s(0.3 - h[3]) - 1)) / 3), 1: (1, s(0.5 + 0.05))}
+    assert {r["unit"]: (r["n"], pytest.approx(r["mae"])) for r in out.collect()} == want
