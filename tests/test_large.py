@@ -48,6 +48,20 @@ def test_blocks_are_no_group_of_their_own(spark):
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_cells_are_added_up_where_they_are_made(spark):
+    """As many rows as tasks and cells leave the forward pass, whatever the CpGs, and they say what the grid of all says."""
+    inputs = spark.createDataFrame([(c, [float(c), 0.5]) for c in range(40)], "cell_id long, x array<double>")
+    for units, n, sound in ((_UNITS, 3, True), ([*_UNITS, (2, "direct", 0, [], [1.0, 0.0, 1.0, 0.0], [], [0.0, 1.0], [2, 9])], 4, False)):
+        table = heads(spark, units)
+        for tile in (8, 1000):
+            p = V.upscale(inputs, table, tile=tile)
+            inside = F.min((F.col("p") >= 0) & (F.col("p") <= 1)) & (F.count("*") == F.count_distinct("cpg_idx"))
+            want = p.groupBy("cell_id").agg(F.count_distinct("cpg_idx"), F.min("cpg_idx"), F.max("cpg_idx"), inside)
+            got = sorted(map(tuple, V.upscale_summary(inputs, table, tile=tile).collect()))
+            assert got == sorted(map(tuple, want.collect())) and {(r[1], r[4]) for r in got} == {(n, sound)} and len(got) == 40
+    assert V.upscale_summary(inputs.limit(0), heads(spark, _UNITS)).count() == 0
+
+
 def test_heads_meet_only_their_own_rows(spark):
     inputs = spark.createDataFrame([(r, c, [float(c), 0.5]) for c in range(5) for r in range(2)], "rep int, cell_id long, x array<double>")
     rows = spark.createDataFrame([(0, 1, 0, [0, 1], [0.5, 0.25]), (0, 3, 1, [1], [1.0]), (1, 2, 0, [0], [0.0])], "unit int, cell_id long, rep int, local array<int>, y array<double>")
