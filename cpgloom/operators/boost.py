@@ -3,9 +3,10 @@
 Each feature is cut into bins once, at its distinct values or, if these are too
 many, at quantiles. A level is one job: every task adds up gradients and second
 derivatives by (class, node, feature, bin) in arrays, a grouped sum adds up the
-tasks, and windows over the bins find each node's best cut, so only one row for
-each open node comes to the driver. All labelled cells train. Splits are those
-of the published second-order method; cells without a value take the better side.
+tasks node by node and finds each node's best cut, so only one row for each open
+node comes to the driver. All labelled cells train. Splits are those of the
+published second-order method; cells without a value take the better side. Without
+bins every value stays a cut, whatever the cells: gradients are then summed by value.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ NODES = "round int, class_idx int, label string, node int, feature int, cut doub
 BINS, KEEP, MOST = 256, 8, 1 << 25
 _MISSING = 65_535
 _BINNED = "y int, bins binary, score binary"
+_SPLIT = "k int, node int, gs double, hs double, best struct<loss:double,f:int,right:boolean,bin:double,next:double,a:double,b:double>"
 
 
 def _value(c: str) -> Column:
@@ -48,12 +50,16 @@ def bounds(train: DataFrame, columns: list[str], bins: int = BINS) -> list[tuple
     return [out[i] for i in range(len(columns))]
 
 
-def _bin(cuts: list[tuple[np.ndarray, bool]], classes: int):
+def _bin(cuts: list[tuple[np.ndarray, bool]], classes: int, exact: bool):
+    """Rows of bins, or with ``exact`` of the values themselves."""
     def bin_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = np.full((batch.num_rows, len(cuts)), _MISSING, np.uint16)
+            cells = np.full((batch.num_rows, len(cuts)), _MISSING, np.uint16) if not exact else np.empty((batch.num_rows, len(cuts)))
             for f, (low, _) in enumerate(cuts):
                 x = batch.column(1 + f).to_numpy(zero_copy_only=False).astype(float)
+                if exact:
+                    cells[:, f] = x
+                    continue
                 seen = ~np.isnan(x)
                 cells[seen, f] = np.maximum(np.searchsorted(low, x[seen], side="right") - 1, 0)
             score = np.full(classes, 0.5).tobytes()
@@ -69,7 +75,8 @@ def _route(tree: dict, cells: np.ndarray) -> np.ndarray:
         v = tree[at]
         here = np.flatnonzero(node == at)
         x = cells[here, v["feature"]]
-        node[here] = np.where(np.where(x == _MISSING, v["left"], x <= v["bin"]), 2 * at + 1, 2 * at + 2)
+        absent = np.isnan(x) if x.dtype.kind == "f" else x == _MISSING
+        node[here] = np.where(np.where(absent, v["left"], x <= v["bin"]), 2 * at + 1, 2 * at + 2)
     return node
 
 
@@ -81,9 +88,9 @@ def _leaf_values(tree: dict, node: np.ndarray) -> np.ndarray:
     return values[node]
 
 
-def _read(batch: pa.RecordBatch, features: int, classes: int, later: list[list[dict]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _read(batch: pa.RecordBatch, features: int, classes: int, later: list[list[dict]], exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(y, bins, scores) of a batch, with the trees that its scores don't hold yet."""
-    cells = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, features)
+    cells = np.frombuffer(b"".join(batch.column(1).to_pylist()), float if exact else np.uint16).reshape(-1, features)
     score = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(-1, classes).copy()
     for own in later:
         for k, tree in enumerate(own):
@@ -102,6 +109,7 @@ def _histograms(sent, features: int, classes: int, some: list[int], bins: int):
             y, cells, score = _read(batch, features, classes, later)
             p = np.exp(score - score.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
+            x = np.ascontiguousarray(np.where(cells == _MISSING, bins, cells).astype(np.int64).T)
             for k, sums in total.items():
                 place = np.full(max(open_[k]) + 1, -1)
                 place[open_[k]] = np.arange(len(open_[k]))
@@ -109,59 +117,147 @@ def _histograms(sent, features: int, classes: int, some: list[int], bins: int):
                 own = np.where(node < len(place), place[np.minimum(node, len(place) - 1)], -1)
                 here = np.flatnonzero(own >= 0)
                 g, h = p[here, k] - (y[here] == k), np.maximum(2 * p[here, k] * (1 - p[here, k]), 1e-16)
-                x = cells[here].astype(np.int64)
-                at = ((own[here, None] * features + np.arange(features)) * (bins + 1) + np.where(x == _MISSING, bins, x)).ravel()
-                for s, values in enumerate((g, h)):
-                    sums[s] += np.bincount(at, np.repeat(values, features), sums.shape[1])
-        for k, (g, h) in total.items():
-            at = np.flatnonzero(h)
-            cell, bin_ = at // (bins + 1), at % (bins + 1)
-            node = np.array(open_[k])[cell // features]
-            columns = [pa.array(np.full(len(at), k, np.int32)), pa.array(node.astype(np.int32)), pa.array((cell % features).astype(np.int32)), pa.array(np.where(bin_ == bins, -1, bin_).astype(np.int32)), pa.array(g[at]), pa.array(h[at])]
-            yield pa.RecordBatch.from_arrays(columns, names=["k", "node", "f", "bin", "g", "h"])
+                base, added = own[here] * (bins + 1), sums.reshape(2, -1, features, bins + 1)
+                for f in range(features):
+                    at = base + (x[f] if len(here) == len(y) else x[f][here])
+                    for s, values in enumerate((g, h)):
+                        added[s, :, f] += np.bincount(at, values, added.shape[1] * (bins + 1)).reshape(-1, bins + 1)
+        for k, sums in total.items():
+            g, h = (x.reshape(-1, features, bins + 1) for x in sums)
+            for i, node in enumerate(open_[k]):
+                f = np.flatnonzero(h[i].any(1))
+                columns = [np.full(len(f), k, np.int32), np.full(len(f), node, np.int32), f.astype(np.int32)]
+                columns = [pa.array(c) for c in columns] + [pa.array([v.tobytes() for v in x[i, f]], pa.binary()) for x in (g, h)]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "node", "f", "g", "h"])
 
     return histograms
 
 
+def _best_cut(g: np.ndarray, h: np.ndarray, gs: float, hs: float, ridge: float, least: float) -> tuple | None:
+    """(loss, right, bin, next, a, b) of one feature's best cut, the last place being missing values; the order is that of ``best_splits``."""
+    there = np.flatnonzero(h[:-1] > 0)
+    if len(there) < 2 or hs < 2 * least:
+        return None
+    gl, hl, best = g[there].cumsum()[:-1], h[there].cumsum()[:-1], None
+    for right in (False, True):
+        a, b = (gl, hl) if right else (gl + g[-1], hl + h[-1])
+        gain = a**2 / (b + ridge) + (gs - a) ** 2 / (hs - b + ridge) - gs**2 / (hs + ridge)
+        gain = np.where((b >= least) & (hs - b >= least) & (gain > 1e-6), np.round(gain, 9), -1.0)
+        i = int(gain.argmax())
+        if gain[i] >= 0 and (best is None or -gain[i] < best[0]):
+            best = (-float(gain[i]), right, float(there[i]), float(there[i + 1]), float(a[i]), float(b[i]))
+    return best
+
+
+def _best_of_nodes(ridge: float, least: float):
+    """Adds up the tasks' histograms of a feature as they pass, sorted by class, node and feature, and keeps each node's best cut."""
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, f, g, h, whole, found = None, None, None, None, None, None
+
+        def end_feature() -> None:
+            nonlocal whole, found
+            if f is None:
+                return
+            whole = whole or (float(g.sum()), float(h.sum()))
+            cut = _best_cut(g, h, *whole, ridge, least)
+            if cut is not None and (found is None or cut[0] < found["loss"]):
+                found = dict(zip(("loss", "f", "right", "bin", "next", "a", "b"), (cut[0], f, *cut[1:])))
+
+        def end_node() -> Iterator[pa.RecordBatch]:
+            end_feature()
+            if own is not None:
+                kinds = pa.struct([("loss", pa.float64()), ("f", pa.int32()), ("right", pa.bool_()), ("bin", pa.float64()), ("next", pa.float64()), ("a", pa.float64()), ("b", pa.float64())])
+                columns = [pa.array([own[0]], pa.int32()), pa.array([own[1]], pa.int32()), pa.array([whole[0]]), pa.array([whole[1]]), pa.array([found], kinds)]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "node", "gs", "hs", "best"])
+
+        for batch in batches:
+            for k, node, feature, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k, node) != own:
+                    yield from end_node()
+                    own, f, whole, found = (k, node), None, None, None
+                x, y = np.frombuffer(x), np.frombuffer(y)
+                if feature != f:
+                    end_feature()
+                    f, g, h = feature, x.copy(), y.copy()
+                else:
+                    g += x
+                    h += y
+        yield from end_node()
+
+    return best
+
+
+def _by_value(sent, features: int, classes: int, some: list[int], quantiles: list[np.ndarray]):
+    """(k, node, f, part, bin, g, h) of each row, open node and feature; bin is the value, part its place among the quantiles."""
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        later, grown = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y, cells, score = _read(batch, features, classes, later, True)
+            p = np.exp(score - score.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            parts = [np.searchsorted(q, cells[:, f], side="right").astype(np.int32) for f, q in enumerate(quantiles)]
+            for k in some:
+                node = _route(grown[k], cells)
+                here = np.flatnonzero(np.isin(node, [at for at, v in grown[k].items() if v["open"]]))
+                g, h = p[here, k] - (y[here] == k), np.maximum(2 * p[here, k] * (1 - p[here, k]), 1e-16)
+                for f in range(features):
+                    columns = [pa.array(np.full(len(here), k, np.int32)), pa.array(node[here].astype(np.int32)), pa.array(np.full(len(here), f, np.int32)), pa.array(parts[f][here]), pa.array(cells[here, f], from_pandas=True), pa.array(g), pa.array(h)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["k", "node", "f", "part", "bin", "g", "h"])
+
+    return values
+
+
 def best_splits(sums: DataFrame, ridge: float = 1.0, least: float = 1.0) -> DataFrame:
-    """(k, node, gs, hs, best) from (k, node, f, bin, g, h), bin -1 being missing values: each node's sums and its best cut, null if none gains.
+    """(k, node, gs, hs, best) from (k, node, f, part, bin, g, h), a null bin being missing values: each node's sums and its best cut, null if none gains.
 
     Of cuts whose gains agree to nine digits the first feature's counts, then missing to the left, then the lowest cut.
+    Values are added up within parts, in whose order they are, and parts are shifted by the sums before them: no task has a feature's values whole.
     """
-    own = Window.partitionBy("k", "node", "f")
-    up = own.orderBy("bin")
-    so_far = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    there, absent = F.col("bin") >= 0, F.col("bin") < 0
+    keys = ["k", "node", "f"]
+    there, absent = F.col("bin").isNotNull(), F.col("bin").isNull()
 
-    def added(c: str, rows: Column, over) -> Column:
-        return F.coalesce(F.sum(F.when(rows, F.col(c))).over(over), F.lit(0.0))
+    def added(c: str, rows: Column) -> Column:
+        return F.coalesce(F.sum(F.when(rows, F.col(c))), F.lit(0.0))
 
-    rows = sums.select("*", F.sum("g").over(own).alias("gs"), F.sum("h").over(own).alias("hs"), added("g", absent, own).alias("gm"), added("h", absent, own).alias("hm"), added("g", there, so_far).alias("gl"), added("h", there, so_far).alias("hl"), F.lead("bin").over(up).alias("next"))
-    side = F.explode(F.array(F.lit(True), F.lit(False))).alias("left")
-    rows = rows.select("*", side).withColumn("a", F.col("gl") + F.when(F.col("left"), F.col("gm")).otherwise(0.0)).withColumn("b", F.col("hl") + F.when(F.col("left"), F.col("hm")).otherwise(0.0))
+    parts = sums.groupBy(*keys, F.when(there, F.col("part")).alias("part")).agg(*[added(c, rows).alias(f"{c}{n}") for c in "gh" for n, rows in (("m", absent), ("t", there))], F.min("bin").alias("low"))
+    own = Window.partitionBy(*keys)
+    before, after = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), own.orderBy("part")
+    parts = parts.select(*keys, "part", *[(F.sum(f"{c}m").over(own) + F.sum(f"{c}t").over(own)).alias(f"{c}s") for c in "gh"], *[F.sum(f"{c}m").over(own).alias(f"{c}m") for c in "gh"], *[F.coalesce(F.sum(f"{c}t").over(before), F.lit(0.0)).alias(f"{c}b") for c in "gh"], F.lead("low").over(after).alias("after"))
+    up = Window.partitionBy(*keys, "part").orderBy("bin")
+    so_far = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = sums.where(there).select(*keys, "part", "bin", F.sum("g").over(so_far).alias("gl"), F.sum("h").over(so_far).alias("hl"), F.lead("bin").over(up).alias("next"))
+    # new names for the columns of the sums tell the two sides apart
+    parts = parts.select(*[F.col(c).alias(c) for c in parts.columns])
+    whole = parts.groupBy("k", "node").agg(F.min(F.struct("f", "part", "gs", "hs")).alias("w")).select("k", "node", "w.gs", "w.hs")
+    rows = rows.join(F.broadcast(parts), [*keys, "part"]).withColumn("next", F.coalesce("next", "after"))
+    rows = rows.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("left"))
+    rows = rows.withColumn("a", F.col("gb") + F.col("gl") + F.when(F.col("left"), F.col("gm")).otherwise(0.0)).withColumn("b", F.col("hb") + F.col("hl") + F.when(F.col("left"), F.col("hm")).otherwise(0.0))
     gain = F.pow("a", 2) / (F.col("b") + ridge) + F.pow(F.col("gs") - F.col("a"), 2) / (F.col("hs") - F.col("b") + ridge) - F.pow("gs", 2) / (F.col("hs") + ridge)
-    able = there & F.col("next").isNotNull() & (F.col("hs") >= 2 * least) & (F.col("b") >= least) & (F.col("hs") - F.col("b") >= least) & (gain > 1e-6)
+    able = F.col("next").isNotNull() & (F.col("hs") >= 2 * least) & (F.col("b") >= least) & (F.col("hs") - F.col("b") >= least) & (gain > 1e-6)
     cut = F.struct((-F.round(gain, 9)).alias("loss"), "f", (~F.col("left")).alias("right"), "bin", "next", "a", "b")
-    whole = F.min(F.struct("f", "bin", "gs", "hs"))
-    return rows.groupBy("k", "node").agg(whole["gs"].alias("gs"), whole["hs"].alias("hs"), F.min(F.when(able, cut)).alias("best"))
+    best = rows.where(able).groupBy("k", "node").agg(F.min(cut).alias("best"))
+    return whole.join(best, ["k", "node"], "left")
 
 
-def _scored(sent, features: int, classes: int):
+def _scored(sent, features: int, classes: int, exact: bool):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                _, _, score = _read(batch, features, classes, sent.value)
+                _, _, score = _read(batch, features, classes, sent.value, exact)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in score], pa.binary())], names=["y", "bins", "score"])
 
     return scored
 
 
-def fit_boosted(train: DataFrame, columns: list[str], rounds: int | None = None, depth: int = 6, eta: float = 0.3, ridge: float = 1.0, least: float = 1.0, bins: int = BINS) -> DataFrame:
+def fit_boosted(train: DataFrame, columns: list[str], rounds: int | None = None, depth: int = 6, eta: float = 0.3, ridge: float = 1.0, least: float = 1.0, bins: int | None = BINS) -> DataFrame:
     """Boosted trees as a table of nodes (round, class_idx, label, node, feature, cut, missing_left, yes, no, value), which ``artifacts`` can keep.
 
     ``train`` is wide: label and one column for each pattern; rows without a label
     take no part, and a table without labelled rows gives no nodes. Rounds are by
-    default the rounded square root of the cells. Fewer than two classes are an error.
+    default the rounded square root of the cells. Without ``bins`` every value is a
+    cut, however many there are. Fewer than two classes are an error.
     """
     spark = train.sparkSession
     train = train.where(F.col("label").isNotNull())
@@ -171,9 +267,10 @@ def fit_boosted(train: DataFrame, columns: list[str], rounds: int | None = None,
     if len(labels) < 2:
         raise ValueError("need at least two classes")
     classes, features = len(labels), len(columns)
-    cuts = bounds(train, columns, bins)
+    exact = bins is None
+    cuts = bounds(train, columns, BINS if exact else bins)
     index = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1
-    rows = A.stage(train.select(index.cast("int").alias("y"), *[_value(c).alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(_bin(cuts, classes), _BINNED), "boosted-rows")
+    rows = A.stage(train.select(index.cast("int").alias("y"), *[_value(c).alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(_bin(cuts, classes, exact), _BINNED), "boosted-rows")
     out: list[tuple] = []
     later: list[list[dict]] = []
     for t in range(rounds or max(1, int(rows.count() ** 0.5 + 0.5))):
@@ -183,21 +280,28 @@ def fit_boosted(train: DataFrame, columns: list[str], rounds: int | None = None,
             if not open_ or level == depth and depth:
                 break
             # as many classes in a job as a task has room for
-            most = max(1, MOST // max(2 * features * (bins + 1) * max(sum(v["open"] for v in tree.values()) for tree in grown), 1))
+            most = classes if exact else max(1, MOST // max(2 * features * (bins + 1) * max(sum(v["open"] for v in tree.values()) for tree in grown), 1))
             found = []
             for a in range(0, classes, most):
-                sent = spark.sparkContext.broadcast((later, grown))
-                sums = rows.mapInArrow(_histograms(sent, features, classes, list(range(a, min(a + most, classes))), bins), "k int, node int, f int, bin int, g double, h double")
-                sums = sums.groupBy("k", "node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-                found += best_splits(sums, ridge, least).collect()  # one row for each open node
+                sent, some = spark.sparkContext.broadcast((later, grown)), list(range(a, min(a + most, classes)))
+                if exact:
+                    sums = rows.mapInArrow(_by_value(sent, features, classes, some, [low for low, _ in cuts]), "k int, node int, f int, part int, bin double, g double, h double")
+                    sums = A.stage(sums.groupBy("k", "node", "f", "part", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")), "boosted-sums")
+                    found += best_splits(sums, ridge, least).collect()  # one row for each open node
+                    A.discard(sums)
+                else:
+                    sums = rows.mapInArrow(_histograms(sent, features, classes, some, bins), "k int, node int, f int, g binary, h binary")
+                    sums = sums.repartition("k", "node").sortWithinPartitions("k", "node", "f")
+                    found += sums.mapInArrow(_best_of_nodes(ridge, least), _SPLIT).collect()  # one row for each open node
                 sent.unpersist()
             for r in found:
                 tree, at, best = grown[r["k"]], r["node"], r["best"]
                 tree[at] = {"feature": None, "open": False, "value": -eta * r["gs"] / (r["hs"] + ridge)}
                 if best is None or not depth:
                     continue
-                low, exact = cuts[best["f"]]
-                cut = (low[best["bin"]] + low[best["next"]]) / 2 if exact else low[best["next"]]
+                low, all_values = cuts[best["f"]]
+                low = {v: v for v in (best["bin"], best["next"])} if exact else {v: low[int(v)] for v in (best["bin"], best["next"])}
+                cut = (low[best["bin"]] + low[best["next"]]) / 2 if exact or all_values else low[best["next"]]
                 tree[at] = {"feature": best["f"], "open": False, "bin": best["bin"], "left": not best["right"], "cut": float(cut)}
                 for child, g, h in ((2 * at + 1, best["a"], best["b"]), (2 * at + 2, r["gs"] - best["a"], r["hs"] - best["b"])):
                     tree[child] = {"feature": None, "open": True, "value": -eta * g / (h + ridge)}
@@ -208,7 +312,7 @@ def fit_boosted(train: DataFrame, columns: list[str], rounds: int | None = None,
                 out.append((t, k, str(labels[k]), at, *((v["feature"], v["cut"], v["left"], 2 * at + 1, 2 * at + 2, None) if inner else (None, None, None, None, None, v["value"]))))
         if len(later) == KEEP:
             old, sent = rows, spark.sparkContext.broadcast(later)
-            rows, later = A.stage(old.mapInArrow(_scored(sent, features, classes), _BINNED), "boosted-rows"), []
+            rows, later = A.stage(old.mapInArrow(_scored(sent, features, classes, exact), _BINNED), "boosted-rows"), []
             A.discard(old)
     A.discard(rows)
     return spark.createDataFrame(out, NODES)

@@ -1,9 +1,11 @@
 """What only tables larger than the smallest ones show: strata that run empty, many values, one step for many cells."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from cpgloom.operators import boost as G
 from cpgloom.operators import evaluate as E
 from cpgloom.operators import train as T
 from cpgloom.operators import upscale as V
@@ -70,3 +72,12 @@ def test_heads_meet_only_their_own_rows(spark):
     h = [c - 0.5 + 0.1 for c in range(5)]
     want = {0: (3, (abs(s(0.5 * h[1] - 0.2) - 0.5) + abs(s(0.3 - h[1]) - 0.25) + abs(s(0.3 - h[3]) - 1)) / 3), 1: (1, s(0.5 + 0.05))}
     assert {r["unit"]: (r["n"], pytest.approx(r["mae"])) for r in out.collect()} == want
+
+
+def test_histograms_of_tasks_meet_node_by_node():
+    """Rows of two tasks are added up as they pass, and a node leaves as one row, with the first feature's cut of equal ones."""
+    g, h = [np.array(v, float).tobytes() for v in ([-3, 2, 0, 1], [3, 0, 0, -3], [0, 0, 0, 0])], np.array([2, 2, 0, 1.0]).tobytes()
+    rows = [(0, 0, 1, g[2]), (0, 0, 2, g[0]), (0, 0, 2, g[0]), (0, 0, 3, g[0]), (0, 0, 3, g[0]), (1, 5, 0, g[2])]
+    batch = pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.int32()) for i in range(3)], pa.array([r[3] for r in rows], pa.binary()), pa.array([h] * len(rows), pa.binary())], names=["k", "node", "f", "g", "h"])
+    out = [r for b in G._best_of_nodes(1.0, 1.0)(iter([batch.slice(0, 3), batch.slice(3)])) for r in b.to_pylist()]
+    assert [(r["k"], r["node"], r["hs"]) for r in out] == [(0, 0, 5.0), (1, 5, 5.0)] and out[1]["best"] is None
