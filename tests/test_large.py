@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from exact_trees import Boosted
 from pyspark.sql import functions as F
 
 from cpgloom.operators import boost as G
@@ -81,3 +82,19 @@ def test_histograms_of_tasks_meet_node_by_node():
     batch = pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.int32()) for i in range(3)], pa.array([r[3] for r in rows], pa.binary()), pa.array([h] * len(rows), pa.binary())], names=["k", "node", "f", "g", "h"])
     out = [r for b in G._best_of_nodes(1.0, 1.0)(iter([batch.slice(0, 3), batch.slice(3)])) for r in b.to_pylist()]
     assert [(r["k"], r["node"], r["hs"]) for r in out] == [(0, 0, 5.0), (1, 5, 5.0)] and out[1]["best"] is None
+
+
+def test_every_value_is_a_cut_without_bins(spark):
+    """Far more values than bins, some missing: the first trees are those of the exact search, deeper ones and later rounds, too."""
+    rng = np.random.default_rng(7)
+    x = rng.uniform(size=(1500, 2)).astype(np.float32).astype(float)
+    y = (x[:, 0] + 0.2 * rng.normal(size=1500) > 0.5).astype(int)
+    x[rng.uniform(size=x.shape) < 0.1] = np.nan
+    rows = spark.createDataFrame([(i, "ab"[y[i]], *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "cell_id long, label string, P1 double, P2 double").repartition(3)
+    for rounds, depth in ((1, 1), (2, 2)):
+        want = Boosted(rounds, depth=depth).fit(x, y, 2)
+        model = G.fit_boosted(rows, ["P1", "P2"], rounds=rounds, depth=depth, bins=None)
+        got = np.array([r["probs"] for r in G.predict_boosted(model, rows, ["P1", "P2"], probs=True).orderBy("cell_id").collect()])
+        np.testing.assert_allclose(got, want.predict(x), atol=1e-9)
+        root = {r["class_idx"]: (r["feature"], r["cut"], r["missing_left"]) for r in model.where("round = 0 AND node = 0").collect()}
+        assert root == {k: (t[0], pytest.approx(t[1], abs=1e-12), t[2]) for k, t in enumerate(want.trees[0])}
