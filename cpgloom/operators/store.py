@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,18 +57,20 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def _free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The unobserved places of a batch's cells and blocks, all at once: lists by their keys of row and place, bitmaps bit by bit."""
     for batch in batches:
-        for r in batch.to_pylist():
-            seen = np.zeros(BITS, np.bool_)
-            if r["bits"] is not None:
-                seen[:] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little", count=BITS)
-            elif r["seen"] is not None:
-                seen[np.array(r["seen"], np.int64)] = True
-            places = np.array(r["places"], np.int64)
-            free = np.flatnonzero(~seen[places])
-            n = len(free)
-            columns = [pa.array(np.full(n, r["rep"], np.int32)), pa.array(np.full(n, r["cell_id"], np.int64)), pa.array(places[free] + r["block"] * BITS), pa.array(np.array(r["codes"], np.int64)[free] / 65534.0)]
-            yield pa.RecordBatch.from_arrays(columns, names=["rep", "cell_id", "cpg_idx", "y"])
+        rep, cell, block, places, codes, seen, bits = batch.columns
+        counts = pc.list_value_length(places).to_numpy()
+        row, place = np.repeat(np.arange(batch.num_rows), counts), places.flatten().to_numpy().astype(np.int64)
+        own = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(seen), 0).to_numpy())
+        free = ~np.isin(row * BITS + place, own * BITS + seen.flatten().to_numpy())
+        ends = counts.cumsum()
+        for i in np.flatnonzero(bits.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            at = slice(ends[i] - counts[i], ends[i])
+            free[at] = ~np.unpackbits(np.frombuffer(bits[i].as_py(), np.uint8), bitorder="little", count=BITS).astype(bool)[place[at]]
+        row, place, code = row[free], place[free], codes.flatten().to_numpy()[free]
+        columns = [rep.to_numpy()[row], cell.to_numpy()[row], place + block.to_numpy()[row] * BITS, code / 65534.0]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rep", "cell_id", "cpg_idx", "y"])
 
 
 def targets(store: dict[str, DataFrame], reps: list[int] | None = None) -> DataFrame:

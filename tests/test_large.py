@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cpgloom.operators import boost as G
 from cpgloom.operators import evaluate as E
+from cpgloom.operators import store as Z
 from cpgloom.operators import train as T
 from cpgloom.operators import upscale as V
 
@@ -98,3 +99,15 @@ def test_every_value_is_a_cut_without_bins(spark):
         np.testing.assert_allclose(got, want.predict(x), atol=1e-9)
         root = {r["class_idx"]: (r["feature"], r["cut"], r["missing_left"]) for r in model.where("round = 0 AND node = 0").collect()}
         assert root == {k: (t[0], pytest.approx(t[1], abs=1e-12), t[2]) for k, t in enumerate(want.trees[0])}
+
+
+def test_stored_targets_leave_by_batches(spark):
+    """Cells and blocks of one CpG each are no batches of their own."""
+    n = 500
+    one = lambda v, t: pa.array(v, t)
+    batch = pa.RecordBatch.from_arrays([one([0] * n, pa.int32()), one(range(n), pa.int64()), one([2] * n, pa.int64()), one([[i % 9, 10] for i in range(n)], pa.list_(pa.int16())), one([[i, 65534] for i in range(n)], pa.list_(pa.int32())),
+                                        one([[i % 9] if i % 2 else None for i in range(n)], pa.list_(pa.int16())), one([b"\x00\x04" + bytes(4094) if i == 4 else None for i in range(n)], pa.binary())], names=["rep", "cell_id", "block", "places", "codes", "seen", "bits"])
+    out = list(Z._free(iter([batch.slice(0, 300), batch.slice(300)])))
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    want = [(0, i, p + 2 * Z.BITS, c / 65534) for i in range(n) for p, c in ((i % 9, i), (10, 65534)) if not (i % 2 and p < 9) and not (i == 4 and p == 10)]
+    assert len(out) == 2 and got == want
