@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cpgloom.operators import boost as G
 from cpgloom.operators import evaluate as E
+from cpgloom.operators import simulate as M
 from cpgloom.operators import store as Z
 from cpgloom.operators import train as T
 from cpgloom.operators import upscale as V
@@ -111,3 +112,17 @@ def test_stored_targets_leave_by_batches(spark):
     got = [tuple(r.values()) for b in out for r in b.to_pylist()]
     want = [(0, i, p + 2 * Z.BITS, c / 65534) for i in range(n) for p, c in ((i % 9, i), (10, 65534)) if not (i % 2 and p < 9) and not (i == 4 and p == 10)]
     assert len(out) == 2 and got == want
+
+
+def test_more_rows_are_sorted_in_more_partitions(spark, monkeypatch):
+    """A task's sort doesn't grow with the rows; targets and scans are the same in any number of partitions."""
+    monkeypatch.setattr(M, "PER_TASK", 100)
+    assert M.parts_of(spark, 5000) == 50 and M.parts_of(spark, 10) == 4
+    codes = spark.range(600).selectExpr("id % 5 AS cell_id", "id DIV 5 AS cpg_idx", "CAST(id AS INT) AS code")
+    ladder = spark.createDataFrame([(0, 5), (1, 9)], "rep int, sample long")
+    sampled = codes.where("code % 7 = 0").selectExpr("code % 2 AS rep", "cell_id", "cpg_idx")
+    places = spark.range(120).selectExpr("id AS dest", "CAST(id DIV 40 AS INT) AS unit", "(id * 7) % 120 AS cpg_idx")
+    units = spark.createDataFrame([(u, 40 * u, 40) for u in range(3)], "unit int, output_offset long, cpg_count long")
+    out = [M.target_scan(M.targets(codes, sampled, ladder, n), places, units, 4, parts=n) for n in (None, 13)]
+    assert sorted(map(tuple, out[0].collect())) == sorted(map(tuple, out[1].collect())) and out[1].count() == 2 * 5 * 3 * 4
+    assert "hashpartitioning(rep#" in (plan := out[1]._jdf.queryExecution().executedPlan().toString()) and ", 13), REPARTITION_BY_NUM" in plan
