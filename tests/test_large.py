@@ -12,6 +12,8 @@ from cpgloom.operators import simulate as M
 from cpgloom.operators import store as Z
 from cpgloom.operators import train as T
 from cpgloom.operators import upscale as V
+from cpgloom.plans import registry
+from cpgloom.sources import bindings as B
 
 
 def test_pilot_of_few_units_gives_what_there_is(spark):
@@ -77,15 +79,6 @@ def test_heads_meet_only_their_own_rows(spark):
     assert {r["unit"]: (r["n"], pytest.approx(r["mae"])) for r in out.collect()} == want
 
 
-def test_histograms_of_tasks_meet_node_by_node():
-    """Rows of two tasks are added up as they pass, and a node leaves as one row, with the first feature's cut of equal ones."""
-    g, h = [np.array(v, float).tobytes() for v in ([-3, 2, 0, 1], [3, 0, 0, -3], [0, 0, 0, 0])], np.array([2, 2, 0, 1.0]).tobytes()
-    rows = [(0, 0, 1, g[2]), (0, 0, 2, g[0]), (0, 0, 2, g[0]), (0, 0, 3, g[0]), (0, 0, 3, g[0]), (1, 5, 0, g[2])]
-    batch = pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.int32()) for i in range(3)], pa.array([r[3] for r in rows], pa.binary()), pa.array([h] * len(rows), pa.binary())], names=["k", "node", "f", "g", "h"])
-    out = [r for b in G._best_of_nodes(1.0, 1.0)(iter([batch.slice(0, 3), batch.slice(3)])) for r in b.to_pylist()]
-    assert [(r["k"], r["node"], r["hs"]) for r in out] == [(0, 0, 5.0), (1, 5, 5.0)] and out[1]["best"] is None
-
-
 def test_every_value_is_a_cut_without_bins(spark):
     """Far more values than bins, some missing: the first trees are those of the exact search, deeper ones and later rounds, too."""
     rng = np.random.default_rng(7)
@@ -102,18 +95,6 @@ def test_every_value_is_a_cut_without_bins(spark):
         assert root == {k: (t[0], pytest.approx(t[1], abs=1e-12), t[2]) for k, t in enumerate(want.trees[0])}
 
 
-def test_stored_targets_leave_by_batches(spark):
-    """Cells and blocks of one CpG each are no batches of their own."""
-    n = 500
-    one = lambda v, t: pa.array(v, t)
-    batch = pa.RecordBatch.from_arrays([one([0] * n, pa.int32()), one(range(n), pa.int64()), one([2] * n, pa.int64()), one([[i % 9, 10] for i in range(n)], pa.list_(pa.int16())), one([[i, 65534] for i in range(n)], pa.list_(pa.int32())),
-                                        one([[i % 9] if i % 2 else None for i in range(n)], pa.list_(pa.int16())), one([b"\x00\x04" + bytes(4094) if i == 4 else None for i in range(n)], pa.binary())], names=["rep", "cell_id", "block", "places", "codes", "seen", "bits"])
-    out = list(Z._free(iter([batch.slice(0, 300), batch.slice(300)])))
-    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
-    want = [(0, i, p + 2 * Z.BITS, c / 65534) for i in range(n) for p, c in ((i % 9, i), (10, 65534)) if not (i % 2 and p < 9) and not (i == 4 and p == 10)]
-    assert len(out) == 2 and got == want
-
-
 def test_more_rows_are_sorted_in_more_partitions(spark, monkeypatch):
     """A task's sort doesn't grow with the rows; targets and scans are the same in any number of partitions."""
     monkeypatch.setattr(M, "PER_TASK", 100)
@@ -126,3 +107,33 @@ def test_more_rows_are_sorted_in_more_partitions(spark, monkeypatch):
     out = [M.target_scan(M.targets(codes, sampled, ladder, n), places, units, 4, parts=n) for n in (None, 13)]
     assert sorted(map(tuple, out[0].collect())) == sorted(map(tuple, out[1].collect())) and out[1].count() == 2 * 5 * 3 * 4
     assert "hashpartitioning(rep#" in (plan := out[1]._jdf.queryExecution().executedPlan().toString()) and ", 13), REPARTITION_BY_NUM" in plan
+
+
+def test_stored_targets_leave_by_batches(spark):
+    """Cells and blocks of one CpG each are no batches of their own."""
+    n = 500
+    one = lambda v, t: pa.array(v, t)
+    batch = pa.RecordBatch.from_arrays([one([0] * n, pa.int32()), one(range(n), pa.int64()), one([2] * n, pa.int64()), one([[i % 9, 10] for i in range(n)], pa.list_(pa.int16())), one([[i, 65534] for i in range(n)], pa.list_(pa.int32())),
+                                        one([[i % 9] if i % 2 else None for i in range(n)], pa.list_(pa.int16())), one([b"\x00\x04" + bytes(4094) if i == 4 else None for i in range(n)], pa.binary())], names=["rep", "cell_id", "block", "places", "codes", "seen", "bits"])
+    out = list(Z._free(iter([batch.slice(0, 300), batch.slice(300)])))
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    want = [(0, i, p + 2 * Z.BITS, c / 65534) for i in range(n) for p, c in ((i % 9, i), (10, 65534)) if not (i % 2 and p < 9) and not (i == 4 and p == 10)]
+    assert len(out) == 2 and got == want
+
+
+def test_observations_are_added_up_once(spark, small, monkeypatch):
+    """All steps of a training set read one table of the cells' observations."""
+    calls = []
+    of = B.query_obs
+    monkeypatch.setattr(B, "query_obs", lambda *a: calls.append(1) or of(*a))
+    registry.training_set(spark, small, registry.ONE_STEP)
+    assert len(calls) == 1
+
+
+def test_histograms_of_tasks_meet_node_by_node():
+    """Rows of two tasks are added up as they pass, and a node leaves as one row, with the first feature's cut of equal ones."""
+    g, h = [np.array(v, float).tobytes() for v in ([-3, 2, 0, 1], [3, 0, 0, -3], [0, 0, 0, 0])], np.array([2, 2, 0, 1.0]).tobytes()
+    rows = [(0, 0, 1, g[2]), (0, 0, 2, g[0]), (0, 0, 2, g[0]), (0, 0, 3, g[0]), (0, 0, 3, g[0]), (1, 5, 0, g[2])]
+    batch = pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.int32()) for i in range(3)], pa.array([r[3] for r in rows], pa.binary()), pa.array([h] * len(rows), pa.binary())], names=["k", "node", "f", "g", "h"])
+    out = [r for b in G._best_of_nodes(1.0, 1.0)(iter([batch.slice(0, 3), batch.slice(3)])) for r in b.to_pylist()]
+    assert [(r["k"], r["node"], r["hs"]) for r in out] == [(0, 0, 5.0), (1, 5, 5.0)] and out[1]["best"] is None
