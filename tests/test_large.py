@@ -1,5 +1,7 @@
 """What only tables larger than the smallest ones show: strata that run empty, many values, one step for many cells."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -69,6 +71,28 @@ def test_cells_are_added_up_where_they_are_made(spark):
     assert V.upscale_summary(inputs.limit(0), heads(spark, _UNITS)).count() == 0
 
 
+def test_calls_at_one_half_are_those_of_the_sums_in_order(spark):
+    """Many cells are at one half but for the last bit, where the order of the sums and the exponential's rounding decide."""
+    def leaky(v):
+        return 0.01 * v if v < 0 else v
+
+    shared = tuple(np.array(v, float) for v in ([[0.5, -1], [-1, 0.25]], [0.1, 0], [[1, -1], [0, 0.5]], [0.05, 0]))
+    rows = [(1.988839743156844, 0.9868846104486323), (-0.1986425334028521, -0.24580909215618366), (0.536279917389773, 0.29776987910720665), (1.156618494820584, 0.6133670965351772), (1.0137861543356208, 0.4908261503257708)]
+    want = {}
+    for c, (x0, x1) in enumerate(rows):
+        h0, h1 = leaky(0.5 * x0 - x1 + 0.1), leaky(0.25 * x1 - x0)
+        u = h0 + leaky(h0 - h1 + 0.05) - h1 - leaky(0.5 * h1) + 0.1
+        want |= {(c, 0): 1 / (1 + math.exp(-(0.5 * u - 0.2))), (c, 2): 1 / (1 + math.exp(u - 0.3))}
+    for tile in (2, 100):
+        out = V.upscale(spark.createDataFrame([(c, [*x]) for c, x in enumerate(rows)], "cell_id long, x array<double>"), heads(spark, _UNITS), shared=shared, tile=tile)
+        got = {(r["cell_id"], r["cpg_idx"]): (r["p"], r["call"]) for r in out.where("cpg_idx <> 1").collect()}
+        assert got.keys() == want.keys() and all(got[k] == (pytest.approx(p, abs=1e-12), p > 0.5) for k, p in want.items())
+    # whatever the vector exponential gave
+    p, unit = np.array([[0.5 + 2**-53, 0.9]]), {"mode": "direct", "A": np.array([[1.0], [5.0]]), "b": np.zeros(2)}
+    V.settle_ties(p, np.array([[3 * 2.0**-54]]), unit)
+    assert p.tolist() == [[0.5, 0.9]]
+
+
 def test_heads_meet_only_their_own_rows(spark):
     inputs = spark.createDataFrame([(r, c, [float(c), 0.5]) for c in range(5) for r in range(2)], "rep int, cell_id long, x array<double>")
     rows = spark.createDataFrame([(0, 1, 0, [0, 1], [0.5, 0.25]), (0, 3, 1, [1], [1.0]), (1, 2, 0, [0], [0.0])], "unit int, cell_id long, rep int, local array<int>, y array<double>")
