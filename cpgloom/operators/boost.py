@@ -1,9 +1,10 @@
 """Boosted trees for several classes, grown level by level on histograms.
 
 Each feature is cut into bins once, at its distinct values or, if these are too
-many, at quantiles. A level is one job: every task adds up gradients and second
-derivatives by (class, node, feature, bin) in arrays, a grouped sum adds up the
-tasks node by node and finds each node's best cut, so only one row for each open
+many, at quantiles, and packed by thousands of rows. A level is one job: every task
+adds up gradients and second derivatives by (class, node, feature, bin) in arrays.
+While the arrays of all tasks are few numbers the driver adds them up and finds each
+node's best cut; else a shuffle does so node by node, and only one row for each open
 node comes to the driver. All labelled cells train. Splits are those of the
 published second-order method; cells without a value take the better side. Without
 bins every value stays a cut, whatever the cells: gradients are then summed by value.
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 from cpgloom.sources import artifacts as A
 
 NODES = "round int, class_idx int, label string, node int, feature int, cut double, missing_left boolean, yes int, no int, value double"
-#: Bins of a feature at most; scores are written after so many rounds; numbers of all histograms of a task at most.
-BINS, KEEP, MOST = 256, 8, 1 << 25
+#: Bins of a feature at most; scores are written after so many rounds; numbers of all histograms of a task at most, and of all tasks that the driver adds up.
+BINS, KEEP, MOST, MOST_HERE = 256, 8, 1 << 25, 1 << 22
+#: Rows that are worth a task of their own, and bytes of a task's rows at most.
+ROWS, BYTES = 1 << 15, 1 << 26
 _MISSING = 65_535
-_BINNED = "y int, bins binary, score binary"
+_BINNED = "y binary, bins binary, score binary"
 _SPLIT = "k int, node int, gs double, hs double, best struct<loss:double,f:int,right:boolean,bin:double,next:double,a:double,b:double>"
 
 
@@ -50,33 +53,39 @@ def bounds(train: DataFrame, columns: list[str], bins: int = BINS) -> list[tuple
     return [out[i] for i in range(len(columns))]
 
 
+def _packed(packs: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in c], pa.binary()) for c in zip(*packs)], names=["y", "bins", "score"])
+
+
 def _bin(cuts: list[tuple[np.ndarray, bool]], classes: int, exact: bool):
-    """Rows of bins, or with ``exact`` of the values themselves."""
+    """Packs of rows, one for each batch: classes, bins by feature, or with ``exact`` the values themselves, and scores by class."""
     def bin_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = np.full((batch.num_rows, len(cuts)), _MISSING, np.uint16) if not exact else np.empty((batch.num_rows, len(cuts)))
+            if not batch.num_rows:
+                continue
+            cells = np.full((len(cuts), batch.num_rows), _MISSING, np.uint16) if not exact else np.empty((len(cuts), batch.num_rows))
             for f, (low, _) in enumerate(cuts):
                 x = batch.column(1 + f).to_numpy(zero_copy_only=False).astype(float)
                 if exact:
-                    cells[:, f] = x
+                    cells[f] = x
                     continue
                 seen = ~np.isnan(x)
-                cells[seen, f] = np.maximum(np.searchsorted(low, x[seen], side="right") - 1, 0)
-            score = np.full(classes, 0.5).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in cells], pa.binary()), pa.array([score] * batch.num_rows, pa.binary())], names=["y", "bins", "score"])
+                cells[f, seen] = np.maximum(np.searchsorted(low, x[seen], side="right") - 1, 0)
+            yield _packed([(batch.column(0).to_numpy().astype(np.int32), cells, np.full((classes, batch.num_rows), 0.5))])
 
     return bin_rows
 
 
 def _route(tree: dict, cells: np.ndarray) -> np.ndarray:
     """The node of each row; children have greater numbers than parents."""
-    node = np.zeros(len(cells), np.int64)
+    node = np.zeros(cells.shape[1], np.int32)
     for at in sorted(k for k, v in tree.items() if v["feature"] is not None):
         v = tree[at]
-        here = np.flatnonzero(node == at)
-        x = cells[here, v["feature"]]
-        absent = np.isnan(x) if x.dtype.kind == "f" else x == _MISSING
-        node[here] = np.where(np.where(absent, v["left"], x <= v["bin"]), 2 * at + 1, 2 * at + 2)
+        x = cells[v["feature"]]
+        left = x <= v["bin"]
+        if v["left"]:
+            left |= np.isnan(x) if x.dtype.kind == "f" else x == _MISSING
+        node = np.where(node == at, 2 * at + 2 - left.astype(np.int32), node)
     return node
 
 
@@ -88,14 +97,21 @@ def _leaf_values(tree: dict, node: np.ndarray) -> np.ndarray:
     return values[node]
 
 
-def _read(batch: pa.RecordBatch, features: int, classes: int, later: list[list[dict]], exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(y, bins, scores) of a batch, with the trees that its scores don't hold yet."""
-    cells = np.frombuffer(b"".join(batch.column(1).to_pylist()), float if exact else np.uint16).reshape(-1, features)
-    score = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(-1, classes).copy()
-    for own in later:
-        for k, tree in enumerate(own):
-            score[:, k] += _leaf_values(tree, _route(tree, cells))
-    return batch.column(0).to_numpy(), cells, score
+def _read(batches: Iterator[pa.RecordBatch], features: int, classes: int, later: list[list[dict]], exact: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(classes, bins by feature, scores by class) of each pack, with the trees that its scores don't hold yet."""
+    for batch in batches:
+        for y, cells, score in zip(*batch.columns):
+            cells = np.frombuffer(cells.as_buffer(), float if exact else np.uint16).reshape(features, -1)
+            score = np.frombuffer(score.as_buffer()).reshape(classes, -1).copy()
+            for own in later:
+                for k, tree in enumerate(own):
+                    score[k] += _leaf_values(tree, _route(tree, cells))
+            yield np.frombuffer(y.as_buffer(), np.int32), cells, score
+
+
+def _probabilities(score: np.ndarray) -> np.ndarray:
+    p = np.exp(score - score.max(0))
+    return p / p.sum(0)
 
 
 def _histograms(sent, features: int, classes: int, some: list[int], bins: int):
@@ -103,20 +119,16 @@ def _histograms(sent, features: int, classes: int, some: list[int], bins: int):
         later, grown = sent.value
         open_ = {k: sorted(at for at, v in grown[k].items() if v["open"]) for k in some}
         total = {k: np.zeros((2, len(v) * features * (bins + 1))) for k, v in open_.items() if v}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            y, cells, score = _read(batch, features, classes, later)
-            p = np.exp(score - score.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            x = np.ascontiguousarray(np.where(cells == _MISSING, bins, cells).astype(np.int64).T)
+        for y, cells, score in _read(batches, features, classes, later):
+            p, x = _probabilities(score), np.where(cells == _MISSING, bins, cells).astype(np.int64)
             for k, sums in total.items():
                 place = np.full(max(open_[k]) + 1, -1)
                 place[open_[k]] = np.arange(len(open_[k]))
                 node = _route(grown[k], cells)
                 own = np.where(node < len(place), place[np.minimum(node, len(place) - 1)], -1)
                 here = np.flatnonzero(own >= 0)
-                g, h = p[here, k] - (y[here] == k), np.maximum(2 * p[here, k] * (1 - p[here, k]), 1e-16)
+                own_p = p[k, here]
+                g, h = own_p - (y[here] == k), np.maximum(2 * own_p * (1 - own_p), 1e-16)
                 base, added = own[here] * (bins + 1), sums.reshape(2, -1, features, bins + 1)
                 for f in range(features):
                     at = base + (x[f] if len(here) == len(y) else x[f][here])
@@ -134,55 +146,53 @@ def _histograms(sent, features: int, classes: int, some: list[int], bins: int):
 
 
 def _best_cut(g: np.ndarray, h: np.ndarray, gs: float, hs: float, ridge: float, least: float) -> tuple | None:
-    """(loss, right, bin, next, a, b) of one feature's best cut, the last place being missing values; the order is that of ``best_splits``."""
-    there = np.flatnonzero(h[:-1] > 0)
-    if len(there) < 2 or hs < 2 * least:
+    """(loss, feature, right, bin, next, a, b) of the best cut of features' sums by bin, the last place being missing values; the order is that of ``best_splits``."""
+    there = h[:, :-1] > 0
+    # bins with values, but for each feature's last one
+    there &= there[:, ::-1].cumsum(1)[:, ::-1] > 1
+    if hs < 2 * least or not there.any():
         return None
-    gl, hl, best = g[there].cumsum()[:-1], h[there].cumsum()[:-1], None
-    for right in (False, True):
-        a, b = (gl, hl) if right else (gl + g[-1], hl + h[-1])
+    gl, hl = g[:, :-1].cumsum(1), h[:, :-1].cumsum(1)
+    a, b = (np.stack([s + x[:, -1:], s], 1) for s, x in ((gl, g), (hl, h)))
+    able = there[:, None] & (b >= least) & (hs - b >= least)
+    with np.errstate(divide="ignore", invalid="ignore"):
         gain = a**2 / (b + ridge) + (gs - a) ** 2 / (hs - b + ridge) - gs**2 / (hs + ridge)
-        gain = np.where((b >= least) & (hs - b >= least) & (gain > 1e-6), np.round(gain, 9), -1.0)
-        i = int(gain.argmax())
-        if gain[i] >= 0 and (best is None or -gain[i] < best[0]):
-            best = (-float(gain[i]), right, float(there[i]), float(there[i + 1]), float(a[i]), float(b[i]))
-    return best
+    gain = np.where(able & (gain > 1e-6), np.round(gain, 9), -1.0)
+    f, right, i = np.unravel_index(int(gain.argmax()), gain.shape)
+    if gain[f, right, i] < 0:
+        return None
+    after = i + 1 + int((h[f, i + 1 : -1] > 0).argmax())
+    return -float(gain[f, right, i]), int(f), bool(right), float(i), float(after), float(a[f, right, i]), float(b[f, right, i])
 
 
 def _best_of_nodes(ridge: float, least: float):
-    """Adds up the tasks' histograms of a feature as they pass, sorted by class, node and feature, and keeps each node's best cut."""
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, f, g, h, whole, found = None, None, None, None, None, None
-
-        def end_feature() -> None:
-            nonlocal whole, found
-            if f is None:
-                return
-            whole = whole or (float(g.sum()), float(h.sum()))
-            cut = _best_cut(g, h, *whole, ridge, least)
-            if cut is not None and (found is None or cut[0] < found["loss"]):
-                found = dict(zip(("loss", "f", "right", "bin", "next", "a", "b"), (cut[0], f, *cut[1:])))
-
-        def end_node() -> Iterator[pa.RecordBatch]:
-            end_feature()
-            if own is not None:
-                kinds = pa.struct([("loss", pa.float64()), ("f", pa.int32()), ("right", pa.bool_()), ("bin", pa.float64()), ("next", pa.float64()), ("a", pa.float64()), ("b", pa.float64())])
-                columns = [pa.array([own[0]], pa.int32()), pa.array([own[1]], pa.int32()), pa.array([whole[0]]), pa.array([whole[1]]), pa.array([found], kinds)]
-                yield pa.RecordBatch.from_arrays(columns, names=["k", "node", "gs", "hs", "best"])
+    """Adds up the tasks' histograms of a feature as they pass, sorted by class, node and feature, and finds each node's best cut."""
+    kinds = pa.struct([("loss", pa.float64()), ("f", pa.int32()), ("right", pa.bool_()), ("bin", pa.float64()), ("next", pa.float64()), ("a", pa.float64()), ("b", pa.float64())])
 
+    def end(own: tuple[int, int], sums: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
+        g, h = (np.stack(x) for x in zip(*sums.values()))
+        whole = float(g[0].sum()), float(h[0].sum())
+        cut = _best_cut(g, h, *whole, ridge, least)
+        found = None if cut is None else dict(zip(kinds.names, (cut[0], [*sums][cut[1]], *cut[2:])))
+        return pa.RecordBatch.from_arrays([pa.array([own[0]], pa.int32()), pa.array([own[1]], pa.int32()), pa.array([whole[0]]), pa.array([whole[1]]), pa.array([found], kinds)], names=["k", "node", "gs", "hs", "best"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sums = None, {}
         for batch in batches:
-            for k, node, feature, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+            # sums are read where they are
+            for k, node, f, g, h in zip(*(c.to_pylist() for c in batch.columns[:3]), *batch.columns[3:]):
+                g, h = np.frombuffer(g.as_buffer()), np.frombuffer(h.as_buffer())
                 if (k, node) != own:
-                    yield from end_node()
-                    own, f, whole, found = (k, node), None, None, None
-                x, y = np.frombuffer(x), np.frombuffer(y)
-                if feature != f:
-                    end_feature()
-                    f, g, h = feature, x.copy(), y.copy()
+                    if own is not None:
+                        yield end(own, sums)
+                    own, sums = (k, node), {}
+                if f in sums:
+                    sums[f][0] += g
+                    sums[f][1] += h
                 else:
-                    g += x
-                    h += y
-        yield from end_node()
+                    sums[f] = [g.copy(), h.copy()]
+        if own is not None:
+            yield end(own, sums)
 
     return best
 
@@ -191,19 +201,16 @@ def _by_value(sent, features: int, classes: int, some: list[int], quantiles: lis
     """(k, node, f, part, bin, g, h) of each row, open node and feature; bin is the value, part its place among the quantiles."""
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later, grown = sent.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            y, cells, score = _read(batch, features, classes, later, True)
-            p = np.exp(score - score.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            parts = [np.searchsorted(q, cells[:, f], side="right").astype(np.int32) for f, q in enumerate(quantiles)]
+        for y, cells, score in _read(batches, features, classes, later, True):
+            p = _probabilities(score)
+            parts = [np.searchsorted(q, cells[f], side="right").astype(np.int32) for f, q in enumerate(quantiles)]
             for k in some:
                 node = _route(grown[k], cells)
                 here = np.flatnonzero(np.isin(node, [at for at, v in grown[k].items() if v["open"]]))
-                g, h = p[here, k] - (y[here] == k), np.maximum(2 * p[here, k] * (1 - p[here, k]), 1e-16)
+                own_p = p[k, here]
+                g, h = own_p - (y[here] == k), np.maximum(2 * own_p * (1 - own_p), 1e-16)
                 for f in range(features):
-                    columns = [pa.array(np.full(len(here), k, np.int32)), pa.array(node[here].astype(np.int32)), pa.array(np.full(len(here), f, np.int32)), pa.array(parts[f][here]), pa.array(cells[here, f], from_pandas=True), pa.array(g), pa.array(h)]
+                    columns = [pa.array(np.full(len(here), k, np.int32)), pa.array(node[here].astype(np.int32)), pa.array(np.full(len(here), f, np.int32)), pa.array(parts[f][here]), pa.array(cells[f, here], from_pandas=True), pa.array(g), pa.array(h)]
                     yield pa.RecordBatch.from_arrays(columns, names=["k", "node", "f", "part", "bin", "g", "h"])
 
     return values
@@ -243,10 +250,8 @@ def best_splits(sums: DataFrame, ridge: float = 1.0, least: float = 1.0) -> Data
 
 def _scored(sent, features: int, classes: int, exact: bool):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                _, _, score = _read(batch, features, classes, sent.value, exact)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in score], pa.binary())], names=["y", "bins", "score"])
+        for pack in _read(batches, features, classes, sent.value, exact):
+            yield _packed([pack])
 
     return scored
 
@@ -261,7 +266,8 @@ def fit_boosted(train: DataFrame, columns: list[str], rounds: int | None = None,
     """
     spark = train.sparkSession
     train = train.where(F.col("label").isNotNull())
-    labels = [r["label"] for r in train.select("label").distinct().orderBy("label").collect()]  # one row for each class
+    counts = train.groupBy("label").count().orderBy("label").collect()  # one row for each class
+    labels, cells = [r["label"] for r in counts], sum(r["count"] for r in counts)
     if not labels:
         return spark.createDataFrame([], NODES)
     if len(labels) < 2:
@@ -270,17 +276,20 @@ def fit_boosted(train: DataFrame, columns: list[str], rounds: int | None = None,
     exact = bins is None
     cuts = bounds(train, columns, BINS if exact else bins)
     index = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1
-    rows = A.stage(train.select(index.cast("int").alias("y"), *[_value(c).alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(_bin(cuts, classes, exact), _BINNED), "boosted-rows")
+    parts = max(min(-(-cells // ROWS), spark.sparkContext.defaultParallelism), -(-cells * (features * (8 if exact else 2) + 8 * classes + 4) // BYTES))
+    wide = train.select(index.cast("int").alias("y"), *[_value(c).alias(f"c{i}") for i, c in enumerate(columns)]).repartition(parts)
+    rows = A.stage(wide.mapInArrow(_bin(cuts, classes, exact), _BINNED), "boosted-rows")
     out: list[tuple] = []
     later: list[list[dict]] = []
-    for t in range(rounds or max(1, int(rows.count() ** 0.5 + 0.5))):
+    for t in range(rounds or max(1, int(cells**0.5 + 0.5))):
         grown: list[dict] = [{0: {"feature": None, "open": True, "value": 0.0}} for _ in labels]
         for level in range(depth + 1):
             open_ = sum(v["open"] for tree in grown for v in tree.values())
             if not open_ or level == depth and depth:
                 break
             # as many classes in a job as a task has room for
-            most = classes if exact else max(1, MOST // max(2 * features * (bins + 1) * max(sum(v["open"] for v in tree.values()) for tree in grown), 1))
+            widest = 0 if exact else 2 * features * (bins + 1) * max(sum(v["open"] for v in tree.values()) for tree in grown)
+            most = classes if exact else max(1, MOST // max(widest, 1))
             found = []
             for a in range(0, classes, most):
                 sent, some = spark.sparkContext.broadcast((later, grown)), list(range(a, min(a + most, classes)))
@@ -291,8 +300,12 @@ def fit_boosted(train: DataFrame, columns: list[str], rounds: int | None = None,
                     A.discard(sums)
                 else:
                     sums = rows.mapInArrow(_histograms(sent, features, classes, some, bins), "k int, node int, f int, g binary, h binary")
-                    sums = sums.repartition("k", "node").sortWithinPartitions("k", "node", "f")
-                    found += sums.mapInArrow(_best_of_nodes(ridge, least), _SPLIT).collect()  # one row for each open node
+                    if parts * widest * len(some) <= MOST_HERE:
+                        by_node = sums.toArrow().sort_by([(c, "ascending") for c in ("k", "node", "f")]).to_batches()
+                        found += [r for b in _best_of_nodes(ridge, least)(iter(by_node)) for r in b.to_pylist()]
+                    else:
+                        sums = sums.repartition("k", "node").sortWithinPartitions("k", "node", "f")
+                        found += sums.mapInArrow(_best_of_nodes(ridge, least), _SPLIT).collect()  # one row for each open node
                 sent.unpersist()
             for r in found:
                 tree, at, best = grown[r["k"]], r["node"], r["best"]

@@ -161,3 +161,41 @@ def test_histograms_of_tasks_meet_node_by_node():
     batch = pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], pa.int32()) for i in range(3)], pa.array([r[3] for r in rows], pa.binary()), pa.array([h] * len(rows), pa.binary())], names=["k", "node", "f", "g", "h"])
     out = [r for b in G._best_of_nodes(1.0, 1.0)(iter([batch.slice(0, 3), batch.slice(3)])) for r in b.to_pylist()]
     assert [(r["k"], r["node"], r["hs"]) for r in out] == [(0, 0, 5.0), (1, 5, 5.0)] and out[1]["best"] is None
+
+
+def test_a_level_is_one_stage_while_histograms_are_few(spark, monkeypatch):
+    """More rounds are one job of one stage for each level; trees are the same where a shuffle adds up many histograms, and in one task or several."""
+    rng = np.random.default_rng(11)
+    rows = spark.createDataFrame([(i, "abc"[int(x * 3)], float(int(x * 50)), float(y) if y > 0.1 else None) for i, (x, y) in enumerate(rng.uniform(size=(400, 2)))], "cell_id long, label string, P1 double, P2 double").repartition(3).cache()
+    sc, trees, _ = spark.sparkContext, {}, rows.count()
+
+    def grown(rounds):
+        sc.setJobGroup(group := f"boosted-{len(trees)}-{rounds}", "")
+        try:
+            nodes = G.fit_boosted(rows, ["P1", "P2"], rounds=rounds, depth=3, bins=32)
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+        return nodes, len(jobs), sum(len(j.stageIds) for j in jobs)
+
+    one, three = grown(1), grown(3)
+    assert (three[1] - one[1], three[2] - one[2]) == (6, 6)
+    for name, here, own in (("here", 1 << 22, 1 << 15), ("tasks", 1 << 22, 100), ("shuffle", 0, 100)):
+        monkeypatch.setattr(G, "MOST_HERE", here)
+        monkeypatch.setattr(G, "ROWS", own)
+        trees[name] = sorted(map(tuple, grown(3)[0].collect()), key=lambda r: (r[0], r[1], r[3]))
+    for name in ("tasks", "shuffle"):
+        assert [r[:5] + r[6:9] for r in trees[name]] == [r[:5] + r[6:9] for r in trees["here"]]
+        assert all(a[k] == pytest.approx(b[k], abs=1e-9) for a, b in zip(trees[name], trees["here"]) for k in (5, 9) if a[k] is not None)
+
+
+def test_rows_are_packed():
+    """A batch of rows is one row of arrays by feature and by class."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 0, 1], pa.int32()), pa.array([0.5, None, 2.0])], names=["y", "c0"])
+    (out,) = G._bin([(np.array([0.0, 1.0]), True)], 2, False)(iter([batch.slice(0, 0), batch]))
+    ((y, cells, score),) = G._read(iter([out]), 1, 2, [])
+    assert y.tolist() == [1, 0, 1] and cells.tolist() == [[0, 65_535, 1]] and score.tolist() == [[0.5] * 3] * 2
+    tree = {0: {"feature": 0, "bin": 0, "left": False}, 1: {"feature": None, "value": -1.0}, 2: {"feature": None, "value": 2.0}}
+    ((_, _, score),) = G._read(iter([out]), 1, 2, [[tree, {0: {"feature": None, "value": 0.0}}]])
+    assert score.tolist() == [[-0.5, 2.5, 2.5], [0.5] * 3]
