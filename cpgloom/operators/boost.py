@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -248,6 +249,11 @@ def best_splits(sums: DataFrame, ridge: float = 1.0, least: float = 1.0) -> Data
     return whole.join(best, ["k", "node"], "left")
 
 
+def _kept(rows: DataFrame) -> RDD:
+    """The packs as batches that Spark keeps between levels: a level's job then takes half the time of one that is planned and reads files."""
+    return rows.rdd.map(lambda r: pa.RecordBatch.from_arrays([pa.array([bytes(v)], pa.binary()) for v in r], names=["y", "bins", "score"])).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _scored(sent, features: int, classes: int, exact: bool):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack in _read(batches, features, classes, sent.value, exact):
@@ -281,6 +287,7 @@ def fit_boosted(train: DataFrame, columns: list[str], rounds: int | None = None,
     rows = A.stage(wide.mapInArrow(_bin(cuts, classes, exact), _BINNED), "boosted-rows")
     out: list[tuple] = []
     later: list[list[dict]] = []
+    kept = None
     for t in range(rounds or max(1, int(cells**0.5 + 0.5))):
         grown: list[dict] = [{0: {"feature": None, "open": True, "value": 0.0}} for _ in labels]
         for level in range(depth + 1):
@@ -299,11 +306,13 @@ def fit_boosted(train: DataFrame, columns: list[str], rounds: int | None = None,
                     found += best_splits(sums, ridge, least).collect()  # one row for each open node
                     A.discard(sums)
                 else:
-                    sums = rows.mapInArrow(_histograms(sent, features, classes, some, bins), "k int, node int, f int, g binary, h binary")
+                    histograms = _histograms(sent, features, classes, some, bins)
                     if parts * widest * len(some) <= MOST_HERE:
-                        by_node = sums.toArrow().sort_by([(c, "ascending") for c in ("k", "node", "f")]).to_batches()
-                        found += [r for b in _best_of_nodes(ridge, least)(iter(by_node)) for r in b.to_pylist()]
+                        kept = kept or _kept(rows)
+                        by_node = pa.Table.from_batches(kept.mapPartitions(histograms).collect()).sort_by([(c, "ascending") for c in ("k", "node", "f")])
+                        found += [r for b in _best_of_nodes(ridge, least)(iter(by_node.to_batches())) for r in b.to_pylist()]
                     else:
+                        sums = rows.mapInArrow(histograms, "k int, node int, f int, g binary, h binary")
                         sums = sums.repartition("k", "node").sortWithinPartitions("k", "node", "f")
                         found += sums.mapInArrow(_best_of_nodes(ridge, least), _SPLIT).collect()  # one row for each open node
                 sent.unpersist()
@@ -326,7 +335,12 @@ def fit_boosted(train: DataFrame, columns: list[str], rounds: int | None = None,
         if len(later) == KEEP:
             old, sent = rows, spark.sparkContext.broadcast(later)
             rows, later = A.stage(old.mapInArrow(_scored(sent, features, classes, exact), _BINNED), "boosted-rows"), []
+            if kept is not None:
+                kept.unpersist()
+                kept = None
             A.discard(old)
+    if kept is not None:
+        kept.unpersist()
     A.discard(rows)
     return spark.createDataFrame(out, NODES)
 
